@@ -27,7 +27,7 @@ class TopicCF:
         self.scored = pin(scored_interactions(self.interactions, self.binary_model, 1.0, 1.0))
         flags = self.topics.select("article_id", "topic").dropna().distinct().withColumn("flag", F.lit(1.0))
         # Few topic sets cover many articles, so equal ones are searched once.
-        self.neighbors = pin(top_k_cosine(flags, "article_id", "topic", "flag", sim_size, collapse=True, **limits))
+        self.neighbors = pin(top_k_cosine(flags, "article_id", "topic", "flag", sim_size, **limits))
         return self
 
     def recommend(

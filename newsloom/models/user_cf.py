@@ -47,7 +47,7 @@ class UserCF:
         self.scored = pin(scored_interactions(self.interactions, self.binary_model, scroll_weight, readtime_weight))
         self.neighbors = pin(
             top_k_cosine(
-                self.scored, "user_id", "article_id", "interaction_score", sim_size, collapse=True, **limits
+                self.scored, "user_id", "article_id", "interaction_score", sim_size, **limits
             )
         )
         return self

@@ -1,15 +1,18 @@
 """Exact top-K cosine neighbours of sparse rows.
 
 Rows are (entity, key, weight): users by article, articles by user, or articles by
-topic. Cost is what decides the plan, since a key held by d entities links d * d pairs:
+topic. A key held by d entities links d * d pairs, so pairs are never rows of a table:
 
 * copies: entities with the same normalised row are searched once (``collapse``);
-* light keys, held by at most ``hot_degree`` entities, go through an equi-join on the
-  key, where a row meets a bounded number of partners, with map-side partial sums;
-* hot keys never enter that join. Their rows are cut into chunks of bounded size and
-  each pair of chunks is one task's sparse product, which keeps K rows per entity
-  rather than emitting its pairs. Light sums of a pair are routed to the pair's task,
-  so its ranking is on the full similarity and nothing is left out.
+* entities are hashed into chunks. The holders of a key are packed per chunk, and one
+  equi-join on the key brings a chunk together with all holders of its keys. One task
+  multiplies a chunk with a part of the holders and keeps K rows per entity;
+* the holders are cut into as many parts as keep a task's input bounded, and a hot
+  key's holders into lists of bounded length;
+* an entity with so many keys that its own row does not fit a task is summed by a
+  plain join and aggregation instead.
+
+Nothing is left out: every pair that shares a key is weighed exactly once.
 """
 
 from __future__ import annotations
@@ -24,14 +27,23 @@ from newsloom.functions import RANK_DIGITS
 from newsloom.operators.ranking import top_n
 from newsloom.session import pin
 
-# A key held by more entities than this is hot.
-HOT_DEGREE = 128
-# Bounds of one chunk of hot rows: entities (side of the product) and stored weights.
-CHUNK_ENTITIES = 2048
-CHUNK_WEIGHTS = 2_000_000
-# Products a task expands at a time.
-PRODUCT_BATCH = 4_000_000
-# Multiply-adds of a dense product that cost as much as one expanded product.
+# Bounds of one chunk: entities and stored weights.
+CHUNK_ENTITIES = 4096
+CHUNK_WEIGHTS = 1_000_000
+# Holders that one task reads beside its chunk, and the longest list of a key's holders.
+TASK_HOLDERS = 4_000_000
+LIST_HOLDERS = 8192
+# Entities with more keys than this are summed by the plain join.
+HEAVY_KEYS = 1_000_000
+# Below this a chunk is not split further for the sake of parallel tasks.
+SMALLEST_CHUNK = 64
+
+# Inside a task: products expanded at a time, the cells of a result that cost as much as
+# sorting one product, the size of a dense result, the multiply-adds of a dense product
+# that cost as much as one expanded product, and the keys in one dense slab.
+PRODUCT_BATCH = 1_000_000
+SPARSE_GAIN = 16
+DENSE_CELLS = 16_000_000
 DENSE_GAIN = 100
 DENSE_KEYS = 1024
 
@@ -54,50 +66,57 @@ def require_unique_pairs(rows: DataFrame, entity: str, key: str) -> None:
         raise ValueError(f"({entity}, {key}) is not unique, e.g. {repeated[0].asDict()}")
 
 
-def _mirror(pairs: DataFrame) -> DataFrame:
-    """Both directions of each pair, in one pass over the pairs."""
-    both = F.array(
-        F.struct(F.col("a").alias("entity"), F.col("b").alias("neighbor"), "sim"),
-        F.struct(F.col("b").alias("entity"), F.col("a").alias("neighbor"), "sim"),
-    )
-    return pairs.select(F.inline(both))
+def _contenders(rows: np.ndarray, vals: np.ndarray, k: int) -> np.ndarray:
+    """Entries that can be among the ``k`` best of their row; ``rows`` is ascending.
 
+    A row's entries are cut into k runs: the least of the runs' maxima is reached by at
+    least k entries, so what lies below it is out.
+    """
+    starts = np.flatnonzero(np.r_[True, rows[1:] != rows[:-1]]) if len(rows) else np.zeros(0, dtype=np.int64)
+    sizes = np.diff(np.r_[starts, len(rows)])
+    cuts = starts[:, None] + np.arange(k)[None, :] * sizes[:, None] // k
+    bound = np.full(len(starts), -np.inf)
+    long = sizes >= 2 * k
+    if long.any():
+        maxima = np.maximum.reduceat(vals, cuts.ravel()).reshape(-1, k)
+        # Values equal after rounding must stay together.
+        bound[long] = maxima[long].min(axis=1) - 2 * 10.0**-RANK_DIGITS
+    return vals >= np.repeat(bound, sizes)
+
+
+def _best_entries(rows: np.ndarray, cols: np.ndarray, vals: np.ndarray, k: int):
+    """The ``k`` best entries of each row; equal values by column. ``rows`` is ascending."""
+    keep = _contenders(rows, vals, k)
+    rows, cols, vals = rows[keep], cols[keep], vals[keep]
+    order = np.lexsort((cols, -np.round(vals, RANK_DIGITS), rows))
+    rows, cols, vals = rows[order], cols[order], vals[order]
+    keep = np.arange(len(rows)) - np.searchsorted(rows, rows, side="left") < k
+    return rows[keep], cols[keep], vals[keep]
 
-def _light_pairs(light: DataFrame, carried: list[str]) -> DataFrame:
-    """(a, b, sim) summed over shared light keys, a < b; ``carried`` columns follow both sides."""
-    left = light.select("f", F.col("e").alias("a"), F.col("x").alias("xa"), *[F.col(c).alias(f"{c}_a") for c in carried])
-    right = light.select("f", F.col("e").alias("b"), F.col("x").alias("xb"), *[F.col(c).alias(f"{c}_b") for c in carried])
-    extra = [f"{c}_{side}" for c in carried for side in "ab"]
-    return (
-        left.join(right, "f")
-        .where("a < b")
-        .groupBy("a", "b", *extra)
-        .agg(F.sum(F.col("xa") * F.col("xb")).alias("sim"))
-    )
 
+def best_per_row(scores: np.ndarray, k: int, allowed: np.ndarray | None = None) -> tuple[np.ndarray, np.ndarray]:
+    """(row, column) of the ``k`` best scores of each row of a matrix; equal scores by column."""
+    ranked = -np.round(scores, RANK_DIGITS)
+    if allowed is not None:
+        ranked[~allowed] = np.inf
+    if scores.shape[1] > k:
+        limit = np.partition(ranked, k - 1, axis=1)[:, k - 1 : k]
+        rows, cols = np.nonzero((ranked <= limit) & np.isfinite(ranked))
+    else:
+        rows, cols = np.nonzero(np.isfinite(ranked))
+    rows, cols, _ = _best_entries(rows, cols, -ranked[rows, cols], k)
+    return rows, cols
 
-def _with_chunks(hot: DataFrame, chunk_entities: int, chunk_weights: int) -> tuple[DataFrame, int]:
-    """(e, chunk) of every entity with hot keys, and the number of chunks.
 
-    Entities are classed by the power of two of their stored weights and hashed inside
-    their class, into as many chunks as keep both bounds. The classes are at most 64
-    rows on the driver.
-    """
-    held = hot.groupBy("e").agg(F.count("*").alias("held"))
-    classed = held.withColumn("class", F.floor(F.log2("held")).cast("int"))
-    classes = classed.groupBy("class").agg(F.count("*").alias("n")).collect()
-    chunk, first = F.lit(None).cast("long"), 0
-    for row in sorted(classes, key=lambda r: r["class"]):
-        heaviest = 2 ** (row["class"] + 1)
-        n = max(-(-row["n"] // chunk_entities), -(-row["n"] * heaviest // chunk_weights), 1)
-        placed = F.lit(first) + F.pmod(F.xxhash64("e"), F.lit(n))
-        chunk = F.when(F.col("class") == row["class"], placed).otherwise(chunk)
-        first += n
-    return classed.select("e", chunk.cast("int").alias("chunk")), first
-
-
-def _dense_products(left, right, n_keys: int, shape: tuple[int, int]) -> np.ndarray:
-    """The same product through dense slabs of DENSE_KEYS keys."""
+def _lists(column: pa.ChunkedArray):
+    """(length of each list, entity and weight of each element)."""
+    lists = pa.concat_arrays(column.chunks)
+    flat = lists.flatten()
+    return lists.value_lengths().to_numpy(), flat.field("e").to_numpy(), flat.field("x").to_numpy()
+
+
+def _dense_product(left, right, n_keys: int, shape: tuple[int, int]) -> np.ndarray:
+    """Product of two blocks of (row, key, weight) through dense slabs of keys."""
     out = np.zeros(shape)
     for begin in range(0, n_keys, DENSE_KEYS):
         slabs = []
@@ -110,133 +129,118 @@ def _dense_products(left, right, n_keys: int, shape: tuple[int, int]) -> np.ndar
     return out
 
 
-def _expanded_products(left, right, shape: tuple[int, int]) -> np.ndarray:
-    """Product of two row blocks given as (row, key, weight) arrays sorted by key."""
-    (li, lk, lw), (ri, rk, rw) = left, right
-    out = np.zeros(shape[0] * shape[1])
-    keys, starts, counts = np.unique(rk, return_index=True, return_counts=True)
-    if not len(keys) or not len(lk):
-        return out.reshape(shape)
-    slot = np.searchsorted(keys, lk)
-    slot[slot == len(keys)] = 0
-    hit = keys[slot] == lk
-    li, lw, slot = li[hit], lw[hit], slot[hit]
-    fan = counts[slot]
-    if shape[0] * shape[1] * len(keys) <= DENSE_GAIN * int(fan.sum()):
-        return _dense_products((li, slot, lw), (ri, np.searchsorted(keys, rk), rw), len(keys), shape)
-    ends = np.cumsum(fan)
-    begin = 0
-    while begin < len(fan):
-        done = ends[begin - 1] if begin else 0
-        stop = max(begin + 1, int(np.searchsorted(ends, done + PRODUCT_BATCH, side="right")))
-        f = fan[begin:stop]
-        total = int(f.sum())
-        offset = np.arange(total) - np.repeat(np.cumsum(f) - f, f)
-        at = np.repeat(starts[slot[begin:stop]], f) + offset
-        cell = np.repeat(li[begin:stop], f).astype(np.int64) * shape[1] + ri[at]
-        out += np.bincount(cell, weights=np.repeat(lw[begin:stop], f) * rw[at], minlength=len(out))
-        begin = stop
-    return out.reshape(shape)
-
-
-def best_per_row(scores: np.ndarray, k: int, allowed: np.ndarray | None = None) -> tuple[np.ndarray, np.ndarray]:
-    """(row, column) of the ``k`` best scores of each row; equal scores by column order."""
-    ranked = -np.round(scores, RANK_DIGITS)
-    if allowed is not None:
-        ranked[~allowed] = np.inf
-    if scores.shape[1] > k:
-        limit = np.partition(ranked, k - 1, axis=1)[:, k - 1 : k]
-        rows, cols = np.nonzero((ranked <= limit) & np.isfinite(ranked))
-    else:
-        rows, cols = np.nonzero(np.isfinite(ranked))
-    order = np.lexsort((cols, ranked[rows, cols], rows))
-    rows, cols = rows[order], cols[order]
-    first = np.searchsorted(rows, rows, side="left")
-    keep = np.arange(len(rows)) - first < k
-    return rows[keep], cols[keep]
-
-
 def _cell_neighbours(k: int):
-    """The task of one pair of chunks: rows in, the K best neighbours of each entity out."""
+    """The task of one (chunk, part of the holders).
+
+    Each input row is a key with its holders in the chunk (``l``) and in the part
+    (``r``).
+    """
 
     def run(table: pa.Table) -> pa.Table:
-        cols = {c: table[c].to_numpy() for c in ("chunk_a", "chunk_b", "side", "e", "f", "x")}
-        same = cols["chunk_a"][0] == cols["chunk_b"][0]
-
-        def block(side: int):
-            mine = cols["side"] == side
-            e, f, x = cols["e"][mine], cols["f"][mine], cols["x"][mine]
-            ids, row = np.unique(e, return_inverse=True)
-            by_key = np.argsort(f, kind="stable")
-            return ids, (row[by_key], f[by_key], x[by_key])
-
-        ids_a, rows_a = block(0)
-        ids_b, rows_b = (ids_a, rows_a) if same else block(1)
-        sims = _expanded_products(rows_a, rows_b, (len(ids_a), len(ids_b)))
-        light = cols["side"] == 2
-        a, b, s = cols["e"][light], cols["f"][light], cols["x"][light]
-        if len(a):
-            if same:
-                ia, ib = np.searchsorted(ids_a, a), np.searchsorted(ids_a, b)
-                np.add.at(sims, (np.r_[ia, ib], np.r_[ib, ia]), np.r_[s, s])
-            else:
-                np.add.at(sims, (np.searchsorted(ids_a, a), np.searchsorted(ids_b, b)), s)
+        n_left, left_ids, left_x = _lists(table["l"])
+        n_right, right_ids, right_x = _lists(table["r"])
+        mine, a = np.unique(left_ids, return_inverse=True)
+        theirs, b = np.unique(right_ids, return_inverse=True)
+        key = np.arange(table.num_rows)
+        left_key, right_key = np.repeat(key, n_left), np.repeat(key, n_right)
+        fan = n_right[left_key]
+        cells = len(mine) * len(theirs)
         found = []
-        for score, mine, theirs in [(sims, ids_a, ids_b)] + ([] if same else [(sims.T, ids_b, ids_a)]):
-            allowed = (score > 0) & (mine[:, None] != theirs[None, :])
-            r, c = best_per_row(score, k, allowed)
-            found.append((mine[r], theirs[c], score[r, c]))
-        entity, neighbor, sim = (np.concatenate(part) for part in zip(*found))
-        return pa.table({"entity": entity, "neighbor": neighbor, "sim": sim})
+        if cells <= DENSE_CELLS and cells * len(key) <= DENSE_GAIN * int(fan.sum()):
+            sims = _dense_product((a, left_key, left_x), (b, right_key, right_x), len(key), (len(mine), len(theirs)))
+            rows, cols = best_per_row(sims, k, (sims > 0) & (mine[:, None] != theirs[None, :]))
+            found.append((rows, cols, sims[rows, cols]))
+        else:
+            by_entity = np.argsort(a, kind="stable")
+            a, left_x, left_key, fan = a[by_entity], left_x[by_entity], left_key[by_entity], fan[by_entity]
+            starts = np.cumsum(n_right) - n_right
+            ends = np.cumsum(np.bincount(a, weights=fan, minlength=len(mine)).astype(np.int64))
+            first = 0
+            while first < len(mine):
+                done = ends[first - 1] if first else 0
+                last = max(first + 1, int(np.searchsorted(ends, done + PRODUCT_BATCH, side="right")))
+                lo, hi = np.searchsorted(a, [first, last])
+                f = fan[lo:hi]
+                offset = np.arange(int(f.sum())) - np.repeat(np.cumsum(f) - f, f)
+                at = np.repeat(starts[left_key[lo:hi]], f) + offset
+                cell = np.repeat((a[lo:hi] - first).astype(np.int64) * len(theirs), f) + b[at]
+                product = np.repeat(left_x[lo:hi], f) * right_x[at]
+                size = (last - first) * len(theirs)
+                if size <= SPARSE_GAIN * len(cell):
+                    sums = np.bincount(cell, weights=product, minlength=size)
+                    cell = np.flatnonzero(sums > 0)
+                    sums = sums[cell]
+                else:
+                    cell, place = np.unique(cell, return_inverse=True)
+                    sums = np.bincount(place, weights=product, minlength=len(cell))
+                rows, cols = cell // len(theirs) + first, cell % len(theirs)
+                ok = (sums > 0) & (mine[rows] != theirs[cols])
+                found.append(_best_entries(rows[ok], cols[ok], sums[ok], k))
+                first = last
+        rows, cols, sims = (np.concatenate(part) for part in zip(*found))
+        return pa.table({"entity": mine[rows], "neighbor": theirs[cols], "sim": sims})
 
     return run
 
 
-def _hot_neighbours(
-    hot: DataFrame, chunks: DataFrame, n_chunks: int, pairs: DataFrame, k: int
-) -> DataFrame:
-    """The K best neighbours per (entity, chunk pair), on light and hot keys together."""
-    partner = F.explode(F.sequence(F.lit(0), F.lit(n_chunks - 1)))
-    routed = (
-        hot.join(chunks, "e")
-        .select("e", F.col("key").alias("f"), "x", "chunk", partner.alias("other"))
-        .select(
-            F.least("chunk", "other").alias("chunk_a"),
-            F.greatest("chunk", "other").alias("chunk_b"),
-            F.when(F.col("chunk") <= F.col("other"), 0).otherwise(1).alias("side"),
-            "e",
-            "f",
-            "x",
-        )
-    )
-    # A light pair goes to its own cell with the smaller chunk's entity first.
-    swapped = F.col("chunk_a") > F.col("chunk_b")
-    light = pairs.select(
-        F.least("chunk_a", "chunk_b").alias("chunk_a"),
-        F.greatest("chunk_a", "chunk_b").alias("chunk_b"),
-        F.lit(2).alias("side"),
-        F.when(swapped, F.col("b")).otherwise(F.col("a")).alias("e"),
-        F.when(swapped, F.col("a")).otherwise(F.col("b")).alias("f"),
-        F.col("sim").alias("x"),
-    )
-    return routed.unionByName(light).groupBy("chunk_a", "chunk_b").applyInArrow(_cell_neighbours(k), NEIGHBOURS)
+def _packed(rows: DataFrame, by: list[str], name: str) -> DataFrame:
+    """Holders per group as one list; the groups are cut so that lists stay short."""
+    return rows.groupBy(*by).agg(F.collect_list(F.struct("e", "x")).alias(name))
 
 
-def _neighbours(unit: DataFrame, k: int, hot_degree: int, chunk_entities: int, chunk_weights: int) -> DataFrame:
+def _neighbours(
+    unit: DataFrame, k: int, chunk_entities: int, task_holders: int, list_holders: int, heavy_keys: int
+) -> DataFrame:
     """Ranked neighbours (entity, neighbor, sim, rank) of pinned unit rows."""
-    hot_keys = unit.groupBy("f").agg(F.count("*").alias("degree")).where(F.col("degree") > hot_degree).select("f")
-    if hot_keys.isEmpty():
-        found = _mirror(_light_pairs(unit, []))
-    else:
-        hot_keys = pin(hot_keys.withColumn("key", F.monotonically_increasing_id()))
-        hot = unit.join(hot_keys, "f")
-        chunks, n_chunks = _with_chunks(hot, chunk_entities, chunk_weights)
-        light = unit.join(hot_keys, "f", "left_anti").join(chunks, "e", "left")
-        pairs = pin(_light_pairs(light, ["chunk"]))
-        both = F.col("chunk_a").isNotNull() & F.col("chunk_b").isNotNull()
-        # Pairs of which one side has no hot key are complete as they are.
-        found = _hot_neighbours(hot, chunks, n_chunks, pairs.where(both), k).unionByName(_mirror(pairs.where(~both)))
-    return top_n(found.where("sim > 0"), "entity", "sim", "neighbor", k)
+    held = unit.groupBy("e").agg(F.count("*").alias("held"))
+    size = held.agg(
+        F.count("*").alias("n"), F.coalesce(F.sum("held"), F.lit(0)).alias("weights"), F.max("held").alias("most")
+    ).first()
+    if not size["n"]:
+        return unit.sparkSession.createDataFrame([], NEIGHBOURS + ", rank int")
+    parallel = unit.sparkSession.sparkContext.defaultParallelism
+    n_chunks = max(
+        -(-size["n"] // chunk_entities),
+        -(-size["weights"] // CHUNK_WEIGHTS),
+        min(parallel, -(-size["n"] // SMALLEST_CHUNK)),
+    )
+    degrees = unit.groupBy("f").agg(F.count("*").alias("degree"))
+    reach = degrees.agg(
+        F.sum(F.least("degree", F.lit(n_chunks)) * F.col("degree")).alias("holders"), F.max("degree").alias("most")
+    ).first()
+    n_parts = max(1, -(-reach["holders"] // n_chunks // task_holders))
+
+    normal, found = unit, []
+    if size["most"] > heavy_keys:
+        heavy = pin(held.where(F.col("held") > heavy_keys).select("e"))
+        normal = unit.join(heavy, "e", "left_anti")
+        own = unit.join(heavy, "e").select("f", F.col("e").alias("entity"), F.col("x").alias("own"))
+        # Summed on the map side first: an entity's partners, not its products, are shuffled.
+        found.append(
+            own.join(unit, "f")
+            .where(F.col("entity") != F.col("e"))
+            .groupBy("entity", F.col("e").alias("neighbor"))
+            .agg(F.sum(F.col("own") * F.col("x")).alias("sim"))
+            .where("sim > 0")
+        )
+
+    place = lambda n, seed: F.pmod(F.xxhash64("e", F.lit(seed)), F.lit(n)).cast("int")
+    holders = unit.withColumns({"part": place(n_parts, 1), "cut": F.lit(0)})
+    if reach["most"] > list_holders * n_parts:
+        # A hot key's list is cut further, by the number of its holders.
+        hot = degrees.where(F.col("degree") > list_holders * n_parts)
+        cuts = F.ceil(F.col("degree") / F.lit(float(list_holders * n_parts)))
+        holders = (
+            holders.join(hot, "f", "left")
+            .withColumn("cut", F.pmod(F.xxhash64("e", F.lit(2)), F.coalesce(cuts, F.lit(1))).cast("int"))
+            .drop("degree")
+        )
+    left = _packed(normal.withColumn("chunk", place(n_chunks, 0)), ["f", "chunk"], "l")
+    right = _packed(holders, ["f", "part", "cut"], "r")
+    cells = left.join(right, "f").select("chunk", "part", "l", "r")
+    found.append(cells.groupBy("chunk", "part").applyInArrow(_cell_neighbours(k), NEIGHBOURS))
+    merged = found[0] if len(found) == 1 else found[0].unionByName(found[1])
+    return top_n(merged, "entity", "sim", "neighbor", k)
 
 
 def _collapsed(unit: DataFrame, k: int) -> tuple[DataFrame, DataFrame]:
@@ -290,20 +294,20 @@ def top_k_cosine(
     key: str,
     weight: str,
     k: int = 10,
-    collapse: bool = False,
-    hot_degree: int = HOT_DEGREE,
+    collapse: bool = True,
     chunk_entities: int = CHUNK_ENTITIES,
-    chunk_weights: int = CHUNK_WEIGHTS,
+    task_holders: int = TASK_HOLDERS,
+    list_holders: int = LIST_HOLDERS,
+    heavy_keys: int = HEAVY_KEYS,
 ) -> DataFrame:
     """(entity, neighbor, sim, rank): the ``k`` most similar other entities, sim > 0.
 
-    Exact, ties by the smaller id. Set ``collapse`` where equal rows are common, as in
-    binary models and topic sets.
+    Exact, ties by the smaller id. Pairs of ``rows`` must be unique.
     """
     unit = pin(unit_rows(rows, entity, key, weight))
+    limits = (chunk_entities, task_holders, list_holders, heavy_keys)
     if not collapse:
-        return _neighbours(unit, k, hot_degree, chunk_entities, chunk_weights)
+        return _neighbours(unit, k, *limits)
     members, groups = _collapsed(unit, k)
     distinct = pin(unit.join(groups, F.col("e") == F.col("rep"), "left_semi"))
-    between = _neighbours(distinct, k, hot_degree, chunk_entities, chunk_weights)
-    return _expand(members, groups, between, k)
+    return _expand(members, groups, _neighbours(distinct, k, *limits), k)

@@ -211,6 +211,11 @@ def _(t):
     return recs(ItemCF(inter(t), binary_model=True).fit().recommend(n=5))
 
 
+@query("j5_item_cf_neighbors_big", with_ctes(f"{BIG} unit_i_big nb_i_big", NB + "nb_i_big"))
+def _(t):
+    return pairs(ItemCF(inter_big(t)).fit(0.1, 1.0).neighbors)
+
+
 @query("j5_item_cf_recommend_big", with_ctes(f"{BIG} unit_i_big nb_i_big rec_i_big", RECS + "rec_i_big"))
 def _(t):
     return recs(ItemCF(inter_big(t)).fit(0.1, 1.0).recommend(n=5))
@@ -281,6 +286,20 @@ def _(t):
     return model.recommend(who, n=60).select("user_id", "article_id", "rank")
 
 
+@query(
+    "j7_hybrid_recommend_big",
+    with_ctes(f"{BIG} unit_u_big nb_u_big", HYBRID.replace("rank <= 60", "rank <= 5").replace("FROM inter ", "FROM inter_big ")).replace(
+        "\nSELECT user_id, article_id, CAST(rank",
+        ",\nown AS (" + oracle.top(oracle.user_cf_scores("u_big", "s_big")) + "),\n"
+        "who AS (SELECT DISTINCT user_id FROM inter_big)\n"
+        "SELECT user_id, article_id, CAST(rank",
+        1,
+    ),
+)
+def _(t):
+    return PopularityUserCF(inter_big(t)).fit(0.1, 1.0).recommend(n=5).select("user_id", "article_id", "rank")
+
+
 # --- content models ----------------------------------------------------------------
 
 
