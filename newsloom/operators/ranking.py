@@ -69,10 +69,10 @@ def rank_within(
     sized = df.join(counts, group)
     cool = sized.where(F.col(size) <= hot_rows).withColumn(rank, F.row_number().over(window))
     placed = global_rank(
-        sized.where(F.col(size) > hot_rows), [F.col(group).asc(), *[F.col(c).asc() for c in order]], "_place"
+        sized.where(F.col(size) > hot_rows), [F.col(group).asc(), *[F.col(c).asc() for c in order]], "_overall"
     )
-    firsts = placed.groupBy(group).agg(F.min("_place").alias("_first"))
-    hot = placed.join(firsts, group).withColumn(rank, (F.col("_place") - F.col("_first") + 1).cast("int"))
+    firsts = placed.groupBy(group).agg(F.min("_overall").alias("_first"))
+    hot = placed.join(firsts, group).withColumn(rank, (F.col("_overall") - F.col("_first") + 1).cast("int"))
     return cool.unionByName(hot.select(cool.columns))
 
 
