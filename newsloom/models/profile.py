@@ -41,6 +41,8 @@ class WeightedProfiles:
         self.profiles: DataFrame | None = None
 
     def fit(self) -> "WeightedProfiles":
+        # The split's window feeds the profiles and the exclusions, so it is run once.
+        self.train = pin(self.train)
         rated = self.train.where("score IS NOT NULL").select("user_id", "article_id", "score")
         totals = rated.groupBy("user_id").agg(F.sum("score").alias("total"))
         # A weighted mean of zeros does not exist: these users are reported, not ranked.

@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 from newsloom.functions import best_first
 from newsloom.models.base import check_fitted, distinct_users
 from newsloom.models.user_cf import scored_interactions
-from newsloom.operators.ranking import top_n
+from newsloom.operators.ranking import rank_within, top_n
 from newsloom.operators.similarity import top_k_cosine
 from newsloom.session import pin
 
@@ -44,9 +44,7 @@ class TopicCF:
         read = self.scored
         mine = read if users is None else read.join(distinct_users(users), "user_id", "left_semi")
         mine = mine.withColumn("liking", F.coalesce("interaction_score", F.lit(0.0)))
-        steps = mine.withColumn(
-            "step", F.row_number().over(W.partitionBy("user_id").orderBy(*best_first("liking", "article_id")))
-        )
+        steps = rank_within(mine, "user_id", best_first("liking", "article_id"), "step", "_read")
         near = self.neighbors.select(F.col("entity").alias("article_id"), F.col("neighbor").alias("candidate"), "sim")
         offers = steps.join(near, "article_id").select(
             "user_id", F.col("candidate").alias("article_id"), "step", (F.col("liking") * F.col("sim")).alias("part")

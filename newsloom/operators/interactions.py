@@ -15,6 +15,7 @@ from newsloom.operators.clean import (
     drop_missing_keys,
 )
 from newsloom.operators.reshape import distinct_labels, explode_labels, explode_parallel, wide_flags
+from newsloom.session import pin
 
 # Fixed weights of the interaction score.
 ENGAGEMENT_SHARE = 0.8
@@ -61,15 +62,18 @@ def collaborative_interactions(
 def interaction_scores(behaviors: DataFrame, articles: DataFrame) -> DataFrame:
     """(user_id, article_id, impression_time, score): engagement and article freshness.
 
-    Both parts are min-max scaled over their whole table; the extremes are scalar
-    subqueries. The score is null where the scroll is never known, the article is not
+    Both parts are min-max scaled over their whole table. The rolled-up pairs are
+    pinned, so that finding their extremes does not read the log again; the extremes
+    are scalar subqueries. The score is null where the scroll is never known, the article is not
     listed, or a range is empty.
     """
-    pairs = roll_up_times(drop_missing_keys(behaviors, ["article_id", "user_id"])).select(
-        "user_id",
-        "article_id",
-        "impression_time",
-        log_read_score(F.col("read_time"), F.col("scroll_percentage")).alias("engagement"),
+    pairs = pin(
+        roll_up_times(drop_missing_keys(behaviors, ["article_id", "user_id"])).select(
+            "user_id",
+            "article_id",
+            "impression_time",
+            log_read_score(F.col("read_time"), F.col("scroll_percentage")).alias("engagement"),
+        )
     )
     ages = articles.select("article_id", epoch_micros(F.col("published_time")).alias("age"))
     low_e, high_e = pairs.agg(F.min("engagement")).scalar(), pairs.agg(F.max("engagement")).scalar()

@@ -50,12 +50,12 @@ def global_rank(df: DataFrame, order: list[Column], rank: str = "position") -> D
 def rank_within(
     df: DataFrame,
     group: str,
-    order: list[str],
+    order: list[str | Column],
     rank: str = "position",
     size: str = "group_rows",
     hot_rows: int = HOT_GROUP_ROWS,
 ) -> DataFrame:
-    """Position and group size of each row, ascending by ``order`` inside ``group``.
+    """Position and group size of each row, in ``order`` inside ``group``.
 
     Groups up to ``hot_rows`` go through a window. Rows of larger groups are sorted
     across tasks by (group, order); their position is the global one less the first of
@@ -69,7 +69,7 @@ def rank_within(
     sized = df.join(counts, group)
     cool = sized.where(F.col(size) <= hot_rows).withColumn(rank, F.row_number().over(window))
     placed = global_rank(
-        sized.where(F.col(size) > hot_rows), [F.col(group).asc(), *[F.col(c).asc() for c in order]], "_overall"
+        sized.where(F.col(size) > hot_rows), [F.col(group).asc(), *order], "_overall"
     )
     firsts = placed.groupBy(group).agg(F.min("_overall").alias("_first"))
     hot = placed.join(firsts, group).withColumn(rank, (F.col("_overall") - F.col("_first") + 1).cast("int"))
@@ -138,9 +138,9 @@ def best_unseen(users: DataFrame, ranked_items: DataFrame, seen: DataFrame, n: i
     and the rows produced are ``n`` per user, not users x items.
     """
     places = seen.join(ranked_items.select("article_id", "position"), "article_id").select("user_id", "position")
-    by_place = W.partitionBy("user_id").orderBy("position")
     gaps = (
-        places.withColumn("gap", F.col("position") - F.row_number().over(by_place))
+        rank_within(places, "user_id", ["position"], "_nth", "_seen")
+        .withColumn("gap", F.col("position") - F.col("_nth"))
         .where(F.col("gap") < n)
         .groupBy("user_id", "gap")
         .agg(F.count("*").alias("blocked"))

@@ -28,8 +28,8 @@ from newsloom.operators.ranking import top_n
 from newsloom.session import pin
 
 # Bounds of one chunk: entities and stored weights.
-CHUNK_ENTITIES = 4096
-CHUNK_WEIGHTS = 1_000_000
+CHUNK_ENTITIES = 32_768
+CHUNK_WEIGHTS = 4_000_000
 # Holders that one task reads beside its chunk, and the longest list of a key's holders.
 TASK_HOLDERS = 4_000_000
 LIST_HOLDERS = 8192
