@@ -15,9 +15,14 @@ HASH_KEY_RANGE = 2**31
 HASH_RANGE = 2**32
 
 
+def rank_key(score: Column) -> Column:
+    """What scores are ranked by: whole steps of 10 ** -RANK_DIGITS, in plain double arithmetic."""
+    return F.rint(score.cast("double") * F.lit(10.0**RANK_DIGITS))
+
+
 def best_first(score: str, *ids: str) -> list[Column]:
     """Sort order 'highest score first, missing scores last, then smallest id'."""
-    return [F.round(F.col(score), RANK_DIGITS).desc_nulls_last(), *[F.col(i).asc() for i in ids]]
+    return [rank_key(F.col(score)).desc_nulls_last(), *[F.col(i).asc() for i in ids]]
 
 
 def unit_hash(key: Column) -> Column:

@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from newsloom.models.base import check_fitted, distinct_users
 from newsloom.operators.interactions import weighted_interactions
-from newsloom.operators.ranking import top_n
+from newsloom.operators.ranking import scores_of_unread, top_n
 from newsloom.operators.similarity import require_unique_pairs, top_k_cosine
 from newsloom.session import pin
 
@@ -68,7 +68,7 @@ class UserCF:
             total = F.count("*").cast("double")
         else:
             total = F.coalesce(F.sum("interaction_score"), F.lit(0.0))
-        scores = near.join(theirs, "neighbor").groupBy("user_id", "article_id").agg(total.alias("score"))
-        if not allow_read_articles:
-            scores = scores.join(self.scored.select("user_id", "article_id"), ["user_id", "article_id"], "left_anti")
+        read = None if allow_read_articles else self.scored.select("user_id", "article_id")
+        offers = near.join(theirs, "neighbor").select("user_id", "article_id", "interaction_score")
+        scores = scores_of_unread(offers, total, read)
         return top_n(scores, "user_id", "score", "article_id", n)

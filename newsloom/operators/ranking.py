@@ -159,3 +159,21 @@ def best_unseen(users: DataFrame, ranked_items: DataFrame, seen: DataFrame, n: i
         .select("user_id", F.col("turn").alias("rank"), (F.col("turn") + skipped).alias("position"))
     )
     return turns.join(ranked_items, "position").drop("position")
+
+
+def scores_of_unread(offers: DataFrame, total: Column, read: DataFrame | None) -> DataFrame:
+    """(user_id, article_id, score): ``total`` over each pair's offers, without pairs in ``read``.
+
+    The read pairs go through the same aggregation as marked rows, which saves the
+    shuffle and sort of an anti join over all scored pairs.
+    """
+    keys = ["user_id", "article_id"]
+    if read is None:
+        return offers.groupBy(*keys).agg(total.alias("score"))
+    marked = offers.unionByName(read.select(*keys, F.lit(1).alias("_read")), allowMissingColumns=True)
+    return (
+        marked.groupBy(*keys)
+        .agg(total.alias("score"), F.max("_read").alias("_read"))
+        .where(F.col("_read").isNull())
+        .drop("_read")
+    )

@@ -243,26 +243,29 @@ def _neighbours(
     return top_n(merged, "entity", "sim", "neighbor", k)
 
 
-def _collapsed(unit: DataFrame, k: int) -> tuple[DataFrame, DataFrame]:
-    """(members, groups) of entities whose unit rows are equal.
+def _collapsed(unit: DataFrame, k: int) -> tuple[DataFrame, DataFrame] | None:
+    """(members, groups) of entities whose unit rows are equal; None if no two are.
 
     ``members(e, rep)`` names each entity's representative, the smallest id of its
     group; ``groups(rep, ids)`` holds the k + 1 smallest ids, which is all that a top-k
     with ties by id can use. Rows are told apart by two 64-bit fingerprints and a count.
     """
-    prints = unit.groupBy("e").agg(
-        F.count("*").alias("c"),
-        F.bit_xor(F.xxhash64("f", "x")).alias("h1"),
-        F.bit_xor(F.xxhash64("f", "x", F.lit(1))).alias("h2"),
+    prints = pin(
+        unit.groupBy("e").agg(
+            F.count("*").alias("c"),
+            F.bit_xor(F.xxhash64("f", "x")).alias("h1"),
+            F.bit_xor(F.xxhash64("f", "x", F.lit(1))).alias("h2"),
+        )
     )
-    prints = pin(prints)
-    same = W.partitionBy("c", "h1", "h2").orderBy("e")
+    same = ["c", "h1", "h2"]
+    reps = pin(prints.groupBy(*same).agg(F.min("e").alias("rep"), F.count("*").alias("copies")))
+    if reps.where("copies > 1").isEmpty():
+        return None
     # WindowGroupLimit trims each group in the map tasks, so a hot group stays small.
-    firsts = prints.withColumn("nth", F.row_number().over(same)).where(F.col("nth") <= k + 1)
-    groups = firsts.groupBy("c", "h1", "h2").agg(F.min("e").alias("rep"), F.sort_array(F.collect_list("e")).alias("ids"))
-    groups = pin(groups)
-    members = prints.join(groups.select("c", "h1", "h2", "rep"), ["c", "h1", "h2"]).select("e", "rep")
-    return members, groups.select("rep", "ids")
+    order = W.partitionBy(*same).orderBy("e")
+    firsts = prints.withColumn("nth", F.row_number().over(order)).where(F.col("nth") <= k + 1)
+    groups = firsts.groupBy(*same).agg(F.min("e").alias("rep"), F.sort_array(F.collect_list("e")).alias("ids"))
+    return prints.join(reps, same).select("e", "rep"), pin(groups.select("rep", "ids"))
 
 
 def _expand(members: DataFrame, groups: DataFrame, between: DataFrame, k: int) -> DataFrame:
@@ -306,8 +309,9 @@ def top_k_cosine(
     """
     unit = pin(unit_rows(rows, entity, key, weight))
     limits = (chunk_entities, task_holders, list_holders, heavy_keys)
-    if not collapse:
+    copies = _collapsed(unit, k) if collapse else None
+    if copies is None:
         return _neighbours(unit, k, *limits)
-    members, groups = _collapsed(unit, k)
+    members, groups = copies
     distinct = pin(unit.join(groups, F.col("e") == F.col("rep"), "left_semi"))
     return _expand(members, groups, _neighbours(distinct, k, *limits), k)
