@@ -11,6 +11,7 @@ from newsloom.operators import metrics, splits
 from newsloom.plans.given_tables import GivenTables
 from newsloom.plans.registry import scratch
 from newsloom.session import pin
+from newsloom.sources.csv_tables import write_csv
 from newsloom.sources.metric_log import RANKING_METRICS
 from newsloom.streaming.click_counts import ClickCounts
 from newsloom.streaming.last_rows import last_rows, run_to_table, shard_buffers
@@ -25,6 +26,32 @@ def as_metric_rows(evaluation: DataFrame, model: str) -> DataFrame:
     return evaluation.select(F.lit(model).alias("model"), F.inline(entries))
 
 
+def recommend_for(model, users: DataFrame | None, k: int, sample: int | None = None, seed: int = 42) -> DataFrame:
+    """The model's lists for ``users``, or for a fixed sample of them."""
+    if users is not None and sample is not None:
+        users = splits.sample_users(users, sample, seed)
+    return model.recommend(users, n=k)
+
+
+def evaluate_model(model, test: DataFrame, k: int = 5, users: DataFrame | None = None) -> DataFrame:
+    """Average precision, recall and false-positive rate of a fitted model's lists."""
+    return metrics.evaluate(recommend_for(model, test if users is None else users, k), test, k, users)
+
+
+def model_diversity(
+    model, catalogue: DataFrame, users: DataFrame, k: int = 5, user_sample: int | None = None, seed: int = 42
+) -> DataFrame:
+    """Share of the catalogue that a fitted model recommends to the users, or to a sample."""
+    return metrics.aggregate_diversity(recommend_for(model, users, k, user_sample, seed), catalogue, k)
+
+
+def model_gini(
+    model, catalogue: DataFrame, users: DataFrame, k: int = 5, user_sample: int | None = None, seed: int = 42
+) -> DataFrame:
+    """Concentration of a fitted model's recommendations over the catalogue."""
+    return metrics.gini(recommend_for(model, users, k, user_sample, seed), catalogue, k)
+
+
 def compare_splits(
     behaviors: DataFrame, fit: Callable[[DataFrame], object], k: int = 5, test_ratio: float = 0.30
 ) -> DataFrame:
@@ -32,8 +59,7 @@ def compare_splits(
     found = []
     for name, split in (("random", splits.random_split), ("time", splits.time_split)):
         train, test = split(behaviors, test_ratio=test_ratio)
-        recommended = fit(train).recommend(test, n=k)
-        found.append(metrics.evaluate(recommended, test, k).withColumn("split", F.lit(name)))
+        found.append(evaluate_model(fit(train), test, k).withColumn("split", F.lit(name)))
     return found[0].unionByName(found[1])
 
 
@@ -87,3 +113,26 @@ def stream_click_counts(t: GivenTables) -> DataFrame:
     counts = ClickCounts(t.spark, f"{folder}/pairs")
     counts.follow(event_stream(t), f"{folder}/checkpoint").awaitTermination()
     return counts.counts(t.users, t.articles)
+
+
+def daily_run_logs(t: GivenTables, folder: str) -> None:
+    """One CSV run log per kind of event, a row per day, named as its model and method.
+
+    Kinds and days are few whatever the number of events, so a file is small.
+    """
+    day = F.to_date("ts")
+    daily = pin(
+        t.table("events")
+        .groupBy("event_type", day.alias("day"))
+        .agg(F.round(F.sum("value"), 2).alias("duration"), F.count("*").alias("emissions"), F.max("value").alias("energy_consumed"))
+    )
+    jvm = t.spark._jvm
+    target = jvm.org.apache.hadoop.fs.Path(folder)
+    files = target.getFileSystem(t.spark._jsc.hadoopConfiguration())
+    for kind in [r[0] for r in daily.select("event_type").distinct().collect()]:
+        # Views lack the energy column, as older logs may.
+        rows = daily.where(F.col("event_type") == kind).drop("event_type")
+        rows = rows.drop("energy_consumed") if kind == "view" else rows
+        write_csv(rows, f"{folder}/_{kind}", one_file=True)
+        for status in files.globStatus(jvm.org.apache.hadoop.fs.Path(f"{folder}/_{kind}/part-*.csv")):
+            files.rename(status.getPath(), jvm.org.apache.hadoop.fs.Path(f"{folder}/event_{kind}_fit_emission.csv"))

@@ -415,6 +415,48 @@ def _(t):
     return _ranking(metrics.evaluate_ranking(model.recommend(n=5), known(t), users=model.user_biases))
 
 
+HASH_CF = "behaviors known hash_train hash_test"
+
+
+@query(
+    "k7_item_cf_metrics",
+    with_ctes(HASH_CF, "CF").replace(
+        "\nCF",
+        ",\ng AS (" + CF_TRAIN.format("hash_train") + "),\ng_s AS (SELECT user_id, article_id, max_scroll * 0.1::DOUBLE + total_readtime AS v FROM g),\n"
+        f"unit_g AS ({oracle.unit('g_s', 'article_id', 'user_id')}),\nnb_g AS ({oracle.neighbours('unit_g')}),\n"
+        f"rec_g AS ({oracle.top(oracle.item_cf_scores('g', 'g_s'))})\n" + ranking_evaluated("rec_g", "hash_test", users="g"),
+    ),
+)
+def _(t):
+    log = known_with_reading(t)
+    train, test = splits.random_split(log, 0.3)
+    rolled = interactions.roll_up(train)
+    found = ItemCF(rolled).fit(0.1, 1.0).recommend(n=5)
+    return _ranking(metrics.evaluate_ranking(found, test, 5, users=rolled))
+
+
+def known_with_reading(t: GivenTables) -> DataFrame:
+    return t.behaviors.where("article_id IS NOT NULL").select(
+        "impression_id", "user_id", "article_id", "read_time", "scroll_percentage"
+    )
+
+
+@query(
+    "k7_profile_metrics",
+    with_ctes(f"{PROFILE} rec_profile user_test", ranking_evaluated("rec_profile", "user_test")),
+)
+def _(t):
+    model = WeightedProfiles(scored(t), t.vectors).fit()
+    return _ranking(metrics.evaluate_ranking(model.recommend(model.test, n=5), model.test))
+
+
+@query("k7_click_model_metrics")
+def _(t):
+    train, test = splits.random_split(known(t), 0.3)
+    model = ClickModel(train, t.users, t.articles, t.vectors).fit()
+    return _ranking(metrics.evaluate_ranking(model.recommend(test, n=5), test, skip_empty=True))
+
+
 @query(
     "k7_sampled_metrics",
     _with_rec("behaviors known hash_train hash_test", popular_recs("hash_train"),
@@ -454,6 +496,25 @@ def _(t):
     return found.select("items", "recommendations", rounded("gini", "gini"))
 
 
+@query(
+    "k8_sampled_diversity",
+    with_ctes(f"{INTER} unit_i nb_i rec_i", f"""
+SELECT count(DISTINCT article_id) AS recommended, (SELECT count(*) FROM embeddings) AS catalogue,
+  round(count(DISTINCT article_id) / CAST((SELECT count(*) FROM embeddings) AS DOUBLE), 6) AS diversity
+FROM rec_i WHERE user_id IN (SELECT user_id FROM (SELECT DISTINCT user_id FROM events) u
+  ORDER BY {oracle.hash_of('(user_id + 42)')}, user_id LIMIT 20)"""),
+)
+def _(t):
+    found = experiments.model_diversity(ItemCF(inter(t)).fit(), t.articles, t.users, 5, user_sample=20)
+    return found.select("recommended", "catalogue", rounded("diversity", "diversity"))
+
+
+@query("k9_popular_gini", _with_rec("behaviors known", popular_recs("known"), GINI.format(rec="rec")))
+def _(t):
+    found = experiments.model_gini(MostPopular(known(t)).fit(), t.articles, t.users, 5)
+    return found.select("items", "recommendations", rounded("gini", "gini"))
+
+
 @query(
     "k10_overlap",
     _with_rec("behaviors known hash_train hash_test", popular_recs("hash_train"), """
@@ -548,3 +609,19 @@ FROM articles a LEFT JOIN known k USING (article_id) GROUP BY a.article_id"""),
 )
 def _(t):
     return experiments.stream_click_counts(t)
+
+
+@query(
+    "a7_coverage_and_gini_log",
+    with_ctes(f"{INTER} unit_i nb_i rec_i", """
+SELECT 'item cf' AS model, 'aggregate_diversity' AS metric,
+  round(count(DISTINCT article_id) / CAST((SELECT count(*) FROM embeddings) AS DOUBLE), 6) AS value FROM rec_i
+UNION ALL SELECT 'item cf', 'gini_coefficient', gini FROM (""" + GINI.format(rec="rec_i") + ") g"),
+)
+def _(t):
+    found = ItemCF(inter(t)).fit().recommend(n=5)
+    log = MetricLog(t.spark, scratch(t.spark, "metrics"))
+    log.append_coverage("item cf", metrics.aggregate_diversity(found, t.articles).first()["diversity"])
+    log.append_gini("item cf", metrics.gini(found, t.articles).first()["gini"])
+    return log.read().select("model", "metric", rounded("value", "value"))
+

@@ -2,13 +2,13 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from newsloom.functions import (
     cosine,
     dot,
     epoch_micros,
+    file_label,
     l2_norm,
     l2_normalise,
     log_read_score,
@@ -20,11 +20,12 @@ from newsloom.functions import (
 from newsloom.models.base import known_pairs
 from newsloom.models.popularity import most_read, popularity
 from newsloom.models.profile import mean_vectors
-from newsloom.operators import clean, explore, interactions, reshape, splits
+from newsloom.operators import clean, explore, interactions, splits
+from newsloom.plans import experiments
 from newsloom.plans.given_tables import GivenTables
 from newsloom.plans.oracle import SCORED, hash_of, popular, with_ctes
 from newsloom.plans.registry import query, rounded, scratch
-from newsloom.sources import write_csv, write_parquet
+from newsloom.sources import merge_run_logs, write_csv, write_parquet
 
 
 def known(t: GivenTables):
@@ -52,17 +53,14 @@ def _(t):
 
 
 NULL_TOTALS = with_ctes(
-    "behaviors articles inter",
+    "behaviors known articles inter",
     """
 SELECT 'behaviors' AS dataset, CAST(sum((article_id IS NULL)::INT + (scroll_percentage IS NULL)::INT + (age IS NULL)::INT
   + (read_time IS NULL)::INT + (user_id IS NULL)::INT + (impression_time IS NULL)::INT) AS BIGINT) AS nulls FROM behaviors
 UNION ALL SELECT 'articles', CAST(sum((category IS NULL)::INT + (published_time IS NULL)::INT) AS BIGINT) FROM articles
 UNION ALL SELECT 'vectors', CAST(sum((embedding IS NULL)::INT) AS BIGINT) FROM embeddings
-UNION ALL SELECT 'interactions', CAST(sum((max_scroll IS NULL)::INT + (total_readtime IS NULL)::INT) AS BIGINT) FROM inter""".replace(
-        "FROM inter", "FROM inter"
-    ),
+UNION ALL SELECT 'interactions', CAST(sum((max_scroll IS NULL)::INT + (total_readtime IS NULL)::INT) AS BIGINT) FROM inter""",
 )
-NULL_TOTALS = NULL_TOTALS.replace("inter AS (", "known AS (SELECT * FROM behaviors WHERE article_id IS NOT NULL),\ninter AS (")
 
 
 def null_totals(t):
@@ -88,6 +86,38 @@ def _(t):
     return t.spark.read.schema("dataset string, nulls long").option("header", True).csv(path)
 
 
+@query(
+    "a5_merge_run_logs",
+    """
+SELECT 'event_' || event_type AS model, 'fit' AS method, round(sum(value), 2) AS duration, CAST(count(*) AS DOUBLE) AS emissions,
+  CAST(NULL AS DOUBLE) AS emissions_rate, CASE WHEN event_type <> 'view' THEN max(value) END AS energy_consumed
+FROM events GROUP BY event_type, CAST(ts AS DATE)""",
+)
+def _(t):
+    folder = scratch(t.spark, "run-logs")
+    experiments.daily_run_logs(t, folder)
+    return merge_run_logs(t.spark, folder)
+
+
+@query(
+    "g11_file_labels",
+    """
+SELECT event_id, CASE WHEN event_id % 3 = 0 THEN 'unknown_model' ELSE event_type || '_k' || user_id END AS model,
+  CASE WHEN event_id % 3 = 0 THEN 'unknown_method' WHEN event_id % 3 = 1 THEN 'fit' ELSE 'recommend' END AS method
+FROM events""",
+)
+def _(t):
+    stem = F.concat_ws("_", "event_type", F.concat(F.lit("k"), F.col("user_id").cast("string")))
+    third = F.col("event_id") % 3
+    name = (
+        F.when(third == 0, F.concat("event_type", F.lit(".csv")))
+        .when(third == 1, F.concat(stem, F.lit("_fit_emission.csv")))
+        .otherwise(F.concat(stem, F.lit("_recommend.csv")))
+    )
+    model, method = file_label(name)
+    return t.table("events").select("event_id", model.alias("model"), method.alias("method"))
+
+
 # --- cleaning ----------------------------------------------------------------------
 
 
@@ -143,9 +173,8 @@ def _(t):
     "b10_membership",
     with_ctes("behaviors known", """
 SELECT user_id, count(DISTINCT article_id) AS read_listed,
-  (SELECT count(*) FROM articles_all a WHERE a.article_id NOT IN (SELECT article_id FROM known k WHERE k.user_id = u.user_id)) AS unread
-FROM known u WHERE article_id IN (SELECT article_id FROM articles_all) GROUP BY user_id""".replace(
-        "articles_all", "(SELECT vec_id AS article_id FROM embeddings)")),
+  (SELECT count(*) FROM embeddings) - count(DISTINCT article_id) AS unread
+FROM known u WHERE article_id IN (SELECT vec_id FROM embeddings) GROUP BY user_id"""),
 )
 def _(t):
     pairs = known_pairs(t.behaviors).join(t.articles.select("article_id"), "article_id", "left_semi")
@@ -613,7 +642,7 @@ def _(t):
 
 @query(
     "l4_click_histogram",
-    with_ctes("behaviors known articles", """, """[:0] + """
+    with_ctes("behaviors known articles", """
 SELECT r.bin, round(lo + r.bin * w, 6) AS low, round(lo + (r.bin + 1) * w, 6) AS high, count(c.clicks) AS articles
 FROM (SELECT CAST(i AS INTEGER) AS bin FROM range(20) g(i)) r
 CROSS JOIN (SELECT min(clicks)::DOUBLE AS lo, (max(clicks) - min(clicks))::DOUBLE / 20 AS w
