@@ -7,6 +7,8 @@ from functools import reduce
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from newsloom.session import pin
+
 
 def schema_table(df: DataFrame) -> DataFrame:
     """(column, dtype) of the table; as long as the schema, not as the data."""
@@ -50,10 +52,10 @@ def explore(df: DataFrame, rows: int = 5) -> dict[str, DataFrame]:
 def data_sparsity(behaviors: DataFrame) -> DataFrame:
     """One row (interactions, users, items, sparsity) over distinct user-article pairs.
 
-    The pairs are made distinct once; users and items are then counted from them as
-    grouped rows, so no task holds a distinct set.
+    The log is read once: the distinct pairs are pinned, and users and items are counted
+    from them as grouped rows, so no task holds a distinct set.
     """
-    pairs = behaviors.select("user_id", "article_id").distinct()
+    pairs = pin(behaviors.select("user_id", "article_id").distinct())
     n = pairs.agg(F.count("*")).scalar()
     users = pairs.select("user_id").dropna().distinct().agg(F.count("*")).scalar()
     items = pairs.select("article_id").dropna().distinct().agg(F.count("*")).scalar()

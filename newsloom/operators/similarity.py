@@ -38,14 +38,15 @@ HEAVY_KEYS = 1_000_000
 # Below this a chunk is not split further for the sake of parallel tasks.
 SMALLEST_CHUNK = 64
 
-# Inside a task: products expanded at a time, the cells of a result that cost as much as
-# sorting one product, the size of a dense result, the multiply-adds of a dense product
-# that cost as much as one expanded product, and the keys in one dense slab.
+# Inside a task: products expanded at a time, cells of a result that cost as much as
+# sorting one product, multiply-adds of a dense column that cost as much as one expanded
+# product, cells of a slice of the result, and cells of the dense columns.
 PRODUCT_BATCH = 1_000_000
 SPARSE_GAIN = 16
-DENSE_CELLS = 16_000_000
 DENSE_GAIN = 100
-DENSE_KEYS = 1024
+SLICE_CELLS = 4_000_000
+DENSE_CELLS = 32_000_000
+
 
 NEIGHBOURS = "entity long, neighbor long, sim double"
 
@@ -96,15 +97,16 @@ def _best_entries(rows: np.ndarray, cols: np.ndarray, vals: np.ndarray, k: int):
 
 def best_per_row(scores: np.ndarray, k: int, allowed: np.ndarray | None = None) -> tuple[np.ndarray, np.ndarray]:
     """(row, column) of the ``k`` best scores of each row of a matrix; equal scores by column."""
-    ranked = -np.round(scores, RANK_DIGITS)
     if allowed is not None:
-        ranked[~allowed] = np.inf
-    if scores.shape[1] > k:
-        limit = np.partition(ranked, k - 1, axis=1)[:, k - 1 : k]
-        rows, cols = np.nonzero((ranked <= limit) & np.isfinite(ranked))
-    else:
-        rows, cols = np.nonzero(np.isfinite(ranked))
-    rows, cols, _ = _best_entries(rows, cols, -ranked[rows, cols], k)
+        scores = np.where(allowed, scores, -np.inf)
+    width = scores.shape[1] // k
+    keep = scores > -np.inf
+    if width >= 2:
+        # The same bound as in _contenders, on runs of equal width.
+        runs = scores[:, : width * k].reshape(len(scores), k, width).max(axis=2)
+        keep &= scores >= (runs.min(axis=1) - 2 * 10.0**-RANK_DIGITS)[:, None]
+    rows, cols = np.nonzero(keep)
+    rows, cols, _ = _best_entries(rows, cols, scores[rows, cols], k)
     return rows, cols
 
 
@@ -115,25 +117,12 @@ def _lists(column: pa.ChunkedArray):
     return lists.value_lengths().to_numpy(), flat.field("e").to_numpy(), flat.field("x").to_numpy()
 
 
-def _dense_product(left, right, n_keys: int, shape: tuple[int, int]) -> np.ndarray:
-    """Product of two blocks of (row, key, weight) through dense slabs of keys."""
-    out = np.zeros(shape)
-    for begin in range(0, n_keys, DENSE_KEYS):
-        slabs = []
-        for (row, key, weight), height in zip((left, right), shape):
-            here = (key >= begin) & (key < begin + DENSE_KEYS)
-            slab = np.zeros((height, min(DENSE_KEYS, n_keys - begin)))
-            slab[row[here], key[here] - begin] = weight[here]
-            slabs.append(slab)
-        out += slabs[0] @ slabs[1].T
-    return out
-
-
 def _cell_neighbours(k: int):
     """The task of one (chunk, part of the holders).
 
     Each input row is a key with its holders in the chunk (``l``) and in the part
-    (``r``).
+    (``r``). Entities of the chunk are worked off in slices. Keys that many of both
+    sides hold are multiplied as dense columns; the others product by product.
     """
 
     def run(table: pa.Table) -> pa.Table:
@@ -141,42 +130,64 @@ def _cell_neighbours(k: int):
         n_right, right_ids, right_x = _lists(table["r"])
         mine, a = np.unique(left_ids, return_inverse=True)
         theirs, b = np.unique(right_ids, return_inverse=True)
-        key = np.arange(table.num_rows)
-        left_key, right_key = np.repeat(key, n_left), np.repeat(key, n_right)
-        fan = n_right[left_key]
-        cells = len(mine) * len(theirs)
-        found = []
-        if cells <= DENSE_CELLS and cells * len(key) <= DENSE_GAIN * int(fan.sum()):
-            sims = _dense_product((a, left_key, left_x), (b, right_key, right_x), len(key), (len(mine), len(theirs)))
-            rows, cols = best_per_row(sims, k, (sims > 0) & (mine[:, None] != theirs[None, :]))
-            found.append((rows, cols, sims[rows, cols]))
-        else:
-            by_entity = np.argsort(a, kind="stable")
-            a, left_x, left_key, fan = a[by_entity], left_x[by_entity], left_key[by_entity], fan[by_entity]
-            starts = np.cumsum(n_right) - n_right
-            ends = np.cumsum(np.bincount(a, weights=fan, minlength=len(mine)).astype(np.int64))
-            first = 0
-            while first < len(mine):
-                done = ends[first - 1] if first else 0
-                last = max(first + 1, int(np.searchsorted(ends, done + PRODUCT_BATCH, side="right")))
-                lo, hi = np.searchsorted(a, [first, last])
-                f = fan[lo:hi]
-                offset = np.arange(int(f.sum())) - np.repeat(np.cumsum(f) - f, f)
-                at = np.repeat(starts[left_key[lo:hi]], f) + offset
-                cell = np.repeat((a[lo:hi] - first).astype(np.int64) * len(theirs), f) + b[at]
-                product = np.repeat(left_x[lo:hi], f) * right_x[at]
-                size = (last - first) * len(theirs)
-                if size <= SPARSE_GAIN * len(cell):
-                    sums = np.bincount(cell, weights=product, minlength=size)
-                    cell = np.flatnonzero(sums > 0)
-                    sums = sums[cell]
-                else:
-                    cell, place = np.unique(cell, return_inverse=True)
-                    sums = np.bincount(place, weights=product, minlength=len(cell))
-                rows, cols = cell // len(theirs) + first, cell % len(theirs)
-                ok = (sums > 0) & (mine[rows] != theirs[cols])
+        width = len(theirs)
+        # Where an entity of the chunk is itself among the holders, or width if it is not.
+        own = np.searchsorted(theirs, mine)
+        own[own == width] = 0
+        own = np.where(theirs[own] == mine, own, width)
+        left_key = np.repeat(np.arange(table.num_rows), n_left)
+        right_key = np.repeat(np.arange(table.num_rows), n_right)
+
+        # The keys with the most products become dense columns, as far as those fit.
+        products = n_left.astype(np.int64) * n_right
+        dense_keys = np.zeros(table.num_rows, dtype=bool)
+        dense_keys[np.argsort(-products, kind="stable")[: DENSE_CELLS // width]] = True
+        dense_keys &= products * DENSE_GAIN >= len(mine) * width
+        column = np.cumsum(dense_keys) - 1
+        n_dense = int(dense_keys.sum())
+        slab = np.zeros((n_dense, width))
+        right_dense = dense_keys[right_key]
+        slab[column[right_key[right_dense]], b[right_dense]] = right_x[right_dense]
+
+        by_entity = np.argsort(a, kind="stable")
+        a, left_x, left_key = a[by_entity], left_x[by_entity], left_key[by_entity]
+        starts = np.cumsum(n_right) - n_right
+        is_dense = dense_keys[left_key]
+        fan = np.where(is_dense, 0, n_right[left_key])
+        ends = np.cumsum(np.bincount(a, weights=fan, minlength=len(mine)).astype(np.int64))
+        found, first = [], 0
+        while first < len(mine):
+            done = ends[first - 1] if first else 0
+            last = max(first + 1, int(np.searchsorted(ends, done + PRODUCT_BATCH, side="right")))
+            if n_dense:
+                last = min(last, first + max(1, SLICE_CELLS // width))
+            lo, hi = np.searchsorted(a, [first, last])
+            rows_here = last - first
+            f, hot = fan[lo:hi], is_dense[lo:hi]
+            offset = np.arange(int(f.sum())) - np.repeat(np.cumsum(f) - f, f)
+            at = np.repeat(starts[left_key[lo:hi]], f) + offset
+            cell = np.repeat((a[lo:hi] - first).astype(np.int64) * width, f) + b[at]
+            product = np.repeat(left_x[lo:hi], f) * right_x[at]
+            if n_dense or rows_here * width <= SPARSE_GAIN * len(cell):
+                sums = np.zeros(rows_here * width)
+                if len(cell):
+                    sums = np.bincount(cell, weights=product, minlength=len(sums))
+                sums = sums.reshape(rows_here, width)
+                if n_dense:
+                    left = np.zeros((rows_here, n_dense))
+                    left[a[lo:hi][hot] - first, column[left_key[lo:hi][hot]]] = left_x[lo:hi][hot]
+                    sums += left @ slab
+                inside = own[first:last] < width
+                sums[np.flatnonzero(inside), own[first:last][inside]] = 0.0
+                rows, cols = best_per_row(sums, k, sums > 0)
+                found.append((rows + first, cols, sums[rows, cols]))
+            else:
+                cell, place = np.unique(cell, return_inverse=True)
+                sums = np.bincount(place, weights=product, minlength=len(cell))
+                rows, cols = cell // width + first, cell % width
+                ok = (sums > 0) & (cols != own[rows])
                 found.append(_best_entries(rows[ok], cols[ok], sums[ok], k))
-                first = last
+            first = last
         rows, cols, sims = (np.concatenate(part) for part in zip(*found))
         return pa.table({"entity": mine[rows], "neighbor": theirs[cols], "sim": sims})
 
