@@ -42,7 +42,7 @@ class UserItemBias:
             F.coalesce(F.avg(F.when(is_rated, F.col("rating") - mean - F.col("user_bias"))), F.lit(0.0)).alias("item_bias")
         )
         # The order of the items is the same for every user, so it is made once.
-        self.item_biases = pin(global_rank(item_biases, best_first("item_bias", "article_id")))
+        self.item_biases = global_rank(item_biases, best_first("item_bias", "article_id"))
         return self
 
     def recommend(self, users: DataFrame | None = None, n: int = 5) -> DataFrame:

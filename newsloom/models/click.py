@@ -73,7 +73,7 @@ class ClickModel:
         scored = self.pipeline.transform(self.features.join(listed, "article_id", "left_semi")).select(
             "article_id", F.get(vector_to_array("probability"), F.lit(1)).alias("prediction")
         )
-        self.ranked = pin(global_rank(scored, best_first("prediction", "article_id")))
+        self.ranked = global_rank(scored, best_first("prediction", "article_id"))
         return self
 
     def recommend(self, users: DataFrame | None = None, n: int = 5) -> DataFrame:

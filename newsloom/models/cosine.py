@@ -47,8 +47,11 @@ class CosineProfiles:
 
     def fit(self, top_k: int | None = None) -> "CosineProfiles":
         """Profiles of all train users; with ``top_k`` also their first ``top_k`` items."""
-        read = self.train.select("user_id", F.col("article_id").cast("long").alias("article_id"))
-        self.profiles = pin(mean_vectors(read.join(self.items, "article_id"), "user_id", "vec"))
+        # Repeats become a weight before the vectors are joined.
+        read = self.train.groupBy("user_id", F.col("article_id").cast("long").alias("article_id")).agg(
+            F.count("*").cast("double").alias("times")
+        )
+        self.profiles = pin(mean_vectors(read.join(self.items, "article_id"), "user_id", "vec", "times"))
         if top_k is not None:
             self.rankings = pin(self._rank(self.user_vectors(self.train), top_k))
             self.ranked_depth = top_k

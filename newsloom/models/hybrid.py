@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from newsloom.models.base import distinct_users, ordered_list, unroll
-from newsloom.models.popularity import most_read
+from newsloom.models.popularity import most_read, popularity
 from newsloom.models.user_cf import UserCF
 
 # Length of the list that fills up short recommendations.
@@ -25,7 +25,7 @@ class PopularityUserCF(UserCF):
         """
         own = super().recommend(users, n, allow_read_articles)
         lists = own.groupBy("user_id").agg(F.sort_array(F.collect_list(F.struct("rank", "article_id", "score"))).alias("own"))
-        popular = most_read(self.interactions, POPULAR_LIST).select(
+        popular = most_read(popularity(self.interactions), POPULAR_LIST).select(
             "position", F.col("article_id").cast("long").alias("article_id"), (-F.col("position")).cast("double").alias("score")
         )
         fill = ordered_list(popular, "position", "article_id", "score")

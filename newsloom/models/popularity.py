@@ -7,6 +7,7 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from newsloom.models.base import check_fitted, distinct_users, ordered_list, unroll
+from newsloom.session import pin
 
 
 def popularity(behaviors: DataFrame) -> DataFrame:
@@ -14,12 +15,12 @@ def popularity(behaviors: DataFrame) -> DataFrame:
     return behaviors.where("article_id IS NOT NULL").groupBy("article_id").agg(F.count("*").alias("count"))
 
 
-def most_read(behaviors: DataFrame, n: int) -> DataFrame:
-    """(article_id, count, position) of the ``n`` most read articles, ties by id.
+def most_read(counts: DataFrame, n: int) -> DataFrame:
+    """(article_id, count, position) of the ``n`` largest counts, ties by id.
 
     The limit runs as a bounded top-k in every task; the window sees its n rows only.
     """
-    top = popularity(behaviors).orderBy(F.col("count").desc(), F.col("article_id").asc()).limit(n)
+    top = counts.orderBy(F.col("count").desc(), F.col("article_id").asc()).limit(n)
     order = W.orderBy(F.col("count").desc(), F.col("article_id").asc())
     return top.withColumn("position", F.row_number().over(order))
 
@@ -30,13 +31,13 @@ class MostPopular:
         self.counts: DataFrame | None = None
 
     def fit(self) -> "MostPopular":
-        self.counts = popularity(self.behaviors)
+        self.counts = pin(popularity(self.behaviors))
         return self
 
     def recommend(self, users: DataFrame | None = None, n: int = 5) -> DataFrame:
         """Articles already read are not left out."""
         check_fitted(self, "counts")
-        top = most_read(self.behaviors, n).withColumn("score", F.col("count").cast("double"))
+        top = most_read(self.counts, n).withColumn("score", F.col("count").cast("double"))
         listed = ordered_list(top, "position", "article_id", "score")
         who = distinct_users(self.behaviors if users is None else users)
         return unroll(who, "user_id", listed, n)

@@ -7,6 +7,7 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from newsloom.models.base import check_fitted, distinct_users, ordered_list, unroll
+from newsloom.session import pin
 
 BUFFER_COLUMNS = ["impression_id", "impression_time", "user_id", "article_id"]
 
@@ -31,7 +32,8 @@ class RingBuffer:
         keys = ["impression_time", "impression_id"]
         order = [F.col(c).asc() if self.keep == "oldest" else F.col(c).desc() for c in keys]
         rows = self.behaviors.select(BUFFER_COLUMNS).orderBy(*order).limit(self.size)
-        self.buffer = rows.withColumn("slot", F.row_number().over(W.orderBy(*order)))
+        # ``size`` rows, kept apart from the log so that reading them does not scan it again.
+        self.buffer = pin(rows.withColumn("slot", F.row_number().over(W.orderBy(*order))))
         return self
 
     def add_behaviors(self, rows: DataFrame) -> "RingBuffer":

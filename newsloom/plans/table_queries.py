@@ -259,13 +259,13 @@ def _(t):
 
 def _interactions(source):
     return source.select(
-        "article_id", "user_id", rounded(F.ln("total_readtime"), "log_readtime"), rounded("max_scroll", "max_scroll")
+        "article_id", "user_id", rounded(F.log1p("total_readtime"), "log_readtime"), rounded("max_scroll", "max_scroll")
     )
 
 
 @query(
     "d1_cf_interactions",
-    with_ctes("behaviors known inter", "SELECT article_id, user_id, round(ln(total_readtime), 6) AS log_readtime, "
+    with_ctes("behaviors known inter", "SELECT article_id, user_id, round(ln(1 + total_readtime), 6) AS log_readtime, "
               "round(max_scroll, 6) AS max_scroll FROM inter"),
 )
 def _(t):
@@ -274,7 +274,7 @@ def _(t):
 
 @query(
     "d1_cf_interactions_sum",
-    with_ctes("behaviors known", "SELECT article_id, user_id, round(ln(sum(read_time)), 6) AS log_readtime, "
+    with_ctes("behaviors known", "SELECT article_id, user_id, round(ln(1 + sum(read_time)), 6) AS log_readtime, "
               "round(max(scroll_percentage), 6) AS max_scroll FROM known GROUP BY article_id, user_id"),
 )
 def _(t):
@@ -283,7 +283,7 @@ def _(t):
 
 @query(
     "d1_cf_interactions_big",
-    with_ctes("big inter_big", "SELECT article_id, user_id, round(ln(total_readtime), 6) AS log_readtime, "
+    with_ctes("big inter_big", "SELECT article_id, user_id, round(ln(1 + total_readtime), 6) AS log_readtime, "
               "round(max_scroll, 6) AS max_scroll FROM inter_big"),
 )
 def _(t):
@@ -455,7 +455,7 @@ def _(t):
 
 @query("f3_global_top_k", with_ctes("big", f"SELECT article_id, c AS count, rank AS position FROM ({popular('big', 100)}) p"))
 def _(t):
-    return most_read(t.big_behaviors, 100)
+    return most_read(popularity(t.big_behaviors), 100)
 
 
 @query("f8_schema", "SELECT column_name AS \"column\" FROM (DESCRIBE SELECT * FROM events)")

@@ -2,11 +2,13 @@
 
 from __future__ import annotations
 
+import csv
 from functools import reduce
+from urllib.parse import unquote
 
-from pyspark.errors import AnalysisException
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from newsloom.functions import file_label
 
@@ -27,6 +29,26 @@ def _csv_paths(spark: SparkSession, folder: str, pattern: str) -> list[str]:
     return sorted(f.getPath().toString() for f in (found or []) if f.isFile())
 
 
+def _headers(spark: SparkSession, paths: list[str]) -> list[tuple[str, str]]:
+    """(path, first line) of each file that has a line, in one job for all of them."""
+    if not paths:
+        return []
+    lines = spark.read.option("ignoreCorruptFiles", True).text(paths)
+    first = (
+        lines.select(
+            F.col("_metadata.file_path").alias("path"),
+            F.col("_metadata.file_block_start").alias("begin"),
+            F.monotonically_increasing_id().alias("at"),
+            "value",
+        )
+        .where("begin = 0")
+        .groupBy("path")
+        .agg(F.min_by("value", "at").alias("line"))
+        .orderBy("path")
+    )
+    return [(unquote(row["path"]), row["line"]) for row in first.collect() if row["line"]]
+
+
 def merge_run_logs(
     spark: SparkSession, folder: str, columns: list[str] | None = None, pattern: str = "*.csv"
 ) -> DataFrame | None:
@@ -38,18 +60,14 @@ def merge_run_logs(
     """
     wanted = columns or RUN_LOG_COLUMNS
     by_header: dict[tuple[str, ...], list[str]] = {}
-    for path in _csv_paths(spark, folder, pattern):
-        try:
-            header = tuple(spark.read.option("header", True).csv(path).columns)
-        except AnalysisException:
-            continue
-        if header:
-            by_header.setdefault(header, []).append(path)
+    for path, line in _headers(spark, _csv_paths(spark, folder, pattern)):
+        by_header.setdefault(tuple(next(csv.reader([line]))), []).append(path)
     if not by_header:
         return None
 
     def group(header: tuple[str, ...], paths: list[str]) -> DataFrame:
-        rows = spark.read.option("header", True).option("ignoreCorruptFiles", True).csv(paths)
+        schema = T.StructType([T.StructField(c, T.StringType()) for c in header])
+        rows = spark.read.schema(schema).option("header", True).option("ignoreCorruptFiles", True).csv(paths)
         model, method = file_label(F.col("_metadata.file_name"))
         kept = [F.expr(f"try_cast(`{c}` AS double)").alias(c) for c in wanted if c in header]
         return rows.select(model.alias("model"), method.alias("method"), *kept)
