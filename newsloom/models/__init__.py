@@ -1,6 +1,6 @@
 """Recommenders: fit on tables, then rank items for all users in one plan."""
 
-from newsloom.models.base import Recommender
+from newsloom.models.base import Recommender, users_frame
 from newsloom.models.bias import UserItemBias
 from newsloom.models.click import ClickModel
 from newsloom.models.cosine import CosineProfiles
@@ -24,4 +24,5 @@ __all__ = [
     "UserCF",
     "UserItemBias",
     "WeightedProfiles",
+    "users_frame",
 ]

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from typing import Protocol, runtime_checkable
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 
@@ -22,6 +22,11 @@ def check_fitted(model: object, attribute: str) -> None:
         raise ValueError("fit the model before asking it for scores")
 
 
+def users_frame(spark: SparkSession, *ids: int) -> DataFrame:
+    """A ``users`` argument for a few users by id."""
+    return spark.createDataFrame([(int(i),) for i in ids], "user_id long")
+
+
 def distinct_users(users: DataFrame) -> DataFrame:
     return users.select(F.col("user_id").cast("long").alias("user_id")).where("user_id IS NOT NULL").distinct()
 

@@ -14,6 +14,8 @@ HOT_GROUP_ROWS = 1_000_000
 # Buckets of one round of the distributed search, and the rows it may leave to the last sort.
 SEARCH_BUCKETS = 1024
 SEARCH_TAIL_ROWS = 100_000
+# Rows of a common ranking that are broadcast.
+HEAD_ROWS = 10_000
 
 
 def top_n(df: DataFrame, group: str, score: str, item: str, n: int, rank: str = "rank") -> DataFrame:
@@ -127,7 +129,9 @@ def nth_smallest(
     return last_row[0], last_row[1]
 
 
-def best_unseen(users: DataFrame, ranked_items: DataFrame, seen: DataFrame, n: int) -> DataFrame:
+def best_unseen(
+    users: DataFrame, ranked_items: DataFrame, seen: DataFrame, n: int, head_rows: int = HEAD_ROWS
+) -> DataFrame:
     """For each user the first ``n`` items of one common ranking that the user has not seen.
 
     ``users(user_id)``, ``ranked_items(article_id, position, ...)`` with positions
@@ -158,7 +162,12 @@ def best_unseen(users: DataFrame, ranked_items: DataFrame, seen: DataFrame, n: i
         .withColumn("turn", F.explode(F.sequence(F.lit(1), F.lit(n))))
         .select("user_id", F.col("turn").alias("rank"), (F.col("turn") + skipped).alias("position"))
     )
-    return turns.join(ranked_items, "position").drop("position")
+    # Nearly all places wanted are at the head of the ranking, where every user asks for the
+    # same few: that head has a fixed size and is broadcast, so no hot place is shuffled.
+    head = ranked_items.where(F.col("position") <= head_rows)
+    near = turns.where(F.col("position") <= head_rows).join(F.broadcast(head), "position")
+    far = turns.where(F.col("position") > head_rows).join(ranked_items, "position")
+    return near.unionByName(far).drop("position")
 
 
 def scores_of_unread(offers: DataFrame, total: Column, read: DataFrame | None) -> DataFrame:

@@ -32,7 +32,7 @@ CHUNK_ENTITIES = 32_768
 CHUNK_WEIGHTS = 4_000_000
 # Holders that one task reads beside its chunk, and the longest list of a key's holders.
 TASK_HOLDERS = 4_000_000
-LIST_HOLDERS = 8192
+LIST_HOLDERS = 65_536
 # Entities with more keys than this are summed by the plain join.
 HEAVY_KEYS = 1_000_000
 # Below this a chunk is not split further for the sake of parallel tasks.

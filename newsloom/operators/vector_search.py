@@ -15,8 +15,9 @@ from pyspark.sql import functions as F
 from newsloom.operators.ranking import top_n
 from newsloom.operators.similarity import best_per_row
 
-# Vectors in one chunk at most; and the scores a task holds at a time.
+# Vectors, and stored numbers, in one chunk at most; and the scores a task holds at a time.
 CHUNK_VECTORS = 65_536
+CHUNK_NUMBERS = 8_000_000
 SCORE_BLOCK = 4_000_000
 # Below this a chunk of users is not split further for the sake of parallel tasks.
 SMALLEST_CHUNK = 256
@@ -82,6 +83,8 @@ def best_by_dot(
     if not n_users or not n_items:
         empty = spark.createDataFrame([], FOUND)
         return empty.withColumn("rank", F.lit(1))
+    width = items.select(F.size("vec").alias("width")).first()["width"]
+    chunk_vectors = max(1, min(chunk_vectors, CHUNK_NUMBERS // max(width, 1)))
     spread = -(-n_users // spark.sparkContext.defaultParallelism)
     per_chunk = min(chunk_vectors, max(spread, SMALLEST_CHUNK))
     user_chunks, item_chunks = -(-n_users // per_chunk), -(-n_items // chunk_vectors)

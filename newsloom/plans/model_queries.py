@@ -540,8 +540,9 @@ def _(t):
     return rows.select("split", rounded("precision", "precision"), rounded("recall", "recall"), rounded("fpr", "fpr"), "users")
 
 
-def _grid_oracle() -> str:
-    """Four item-CF variants on one random split of the interactions."""
+def _grid_oracle(side: str) -> str:
+    """Four variants of item-CF, or of user-CF, on one random split of the interactions."""
+    ids = ("article_id", "user_id") if side == "item" else ("user_id", "article_id")
     h = oracle.hash_of("(user_id * 1000 + article_id)")
     ctes = f"""{with_ctes('behaviors known inter', 'X')[:-2]},
 tr AS (SELECT * FROM inter WHERE {h} >= 0.2::DOUBLE),
@@ -550,27 +551,36 @@ g_s AS (SELECT user_id, article_id, max_scroll + total_readtime AS v FROM tr),
 g_s_bin AS (SELECT user_id, article_id, 1.0::DOUBLE AS v FROM tr)"""
     parts = []
     for kind, source, name in (("g_w", "g_s", "weighted"), ("g_b", "g_s_bin", "binary")):
-        ctes += f",\nunit_{kind} AS ({oracle.unit(source, 'article_id', 'user_id')})"
+        ctes += f",\nunit_{kind} AS ({oracle.unit(source, *ids)})"
         ctes += f",\nnb_{kind} AS ({oracle.neighbours(f'unit_{kind}')})"
         for allowed in (False, True):
             rec = f"rec_{kind}_{int(allowed)}"
-            ctes += f",\n{rec} AS ({oracle.top(oracle.item_cf_scores(kind, source, allow_read=allowed))})"
+            if side == "item":
+                scores = oracle.item_cf_scores(kind, source, allow_read=allowed)
+            else:
+                scores = oracle.user_cf_scores(kind, source, binary=name == "binary", allow_read=allowed)
+            ctes += f",\n{rec} AS ({oracle.top(scores)})"
             parts.append(
                 f"SELECT '{name}' AS model, {str(allowed).lower()} AS read_allowed, * FROM ({ranking_evaluated(rec, 'te', users='tr')}) x"
             )
     return ctes + "\n" + "\nUNION ALL ".join(parts)
 
 
-@query("k12_grid", _grid_oracle())
-def _(t):
+def _grid(t: GivenTables, model: type) -> DataFrame:
     rows = inter(t).withColumn("row_key", F.col("user_id") * 1000 + F.col("article_id"))
     train, test = splits.random_split(rows, 0.2, key="row_key")
-    grid = experiments.variant_grid(train, test, ItemCF)
-    return grid.select("model", "read_allowed", *_ranking_columns())
+    measures = [rounded(c, c) for c in ("precision_at_k", "map_at_k", "ndcg_at_k")]
+    return experiments.variant_grid(train, test, model).select("model", "read_allowed", *measures, "users")
+
 
+@query("k12_grid", _grid_oracle("item"))
+def _(t):
+    return _grid(t, ItemCF)
 
-def _ranking_columns():
-    return [rounded(c, c) for c in ("precision_at_k", "map_at_k", "ndcg_at_k")] + ["users"]
+
+@query("k12_grid_user_cf", _grid_oracle("user"))
+def _(t):
+    return _grid(t, UserCF)
 
 
 @query(

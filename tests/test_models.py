@@ -16,15 +16,12 @@ from newsloom.models import (
     UserItemBias,
     WeightedProfiles,
 )
+from newsloom.models import users_frame as users_of
 from newsloom.operators.interactions import binary_matrix, click_counts
 from newsloom.operators.vector_search import best_by_dot
 from newsloom.plans.given_tables import GivenTables
 
 
-def users_of(spark, *ids):
-    return spark.createDataFrame([(i,) for i in ids], "user_id long")
-
-
 def pairs(spark, rows):
     return spark.createDataFrame(rows, "user_id long, article_id long, total_readtime double, max_scroll double")
 

@@ -102,7 +102,8 @@ def test_sample_users(spark):
     assert splits.sample_users(users, 500).count() == 100
 
 
-def test_best_unseen_equals_cross_join(spark):
+@pytest.mark.parametrize("head_rows", [10_000, 2, 0])
+def test_best_unseen_equals_cross_join(spark, head_rows):
     users = [(u,) for u in range(6)]
     items = [(100 + p, p) for p in range(1, 21)]
     seen = [(1, 101), (1, 102), (1, 104), (2, 120), (3, 103)] + [(4, 100 + p) for p in range(1, 18)]
@@ -112,6 +113,7 @@ def test_best_unseen_equals_cross_join(spark):
         spark.createDataFrame(items, "article_id long, position long"),
         spark.createDataFrame(seen, "user_id long, article_id long"),
         4,
+        head_rows,
     ).collect()
     for (u,) in users:
         free = [a for a, _ in items if (u, a) not in seen][:4]
