@@ -30,7 +30,7 @@ def _keep_newest(size: int):
             # Trimmed batch by batch: memory is bounded by one Arrow batch and the buffer.
             both = pd.concat([held, batch[KEPT]], ignore_index=True) if len(held) else batch[KEPT]
             newest = both.sort_values(["impression_time", "impression_id"], ascending=False)
-            held = newest.drop_duplicates(["impression_id"]).head(size).reset_index(drop=True)
+            held = newest.head(size).reset_index(drop=True)
         version += 1
         articles = [None if pd.isna(a) else int(a) for a in held["article_id"]]
         times = [pd.Timestamp(t).to_pydatetime() for t in held["impression_time"]]

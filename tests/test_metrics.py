@@ -13,7 +13,7 @@ def recs(spark, rows):
     return spark.createDataFrame(rows, "user_id long, article_id long, rank int")
 
 
-def test_pairs(spark, rows=None):
+def test_ranking_by_hand(spark):
     found = recs(spark, [(1, a, i + 1) for i, a in enumerate("abcde".encode())])
     test = spark.createDataFrame([(1, ord(c)) for c in "bbez"] + [(2, ord("a"))], "user_id long, article_id long")
     r = {x["user_id"]: x for x in metrics.user_metrics(found, test, 5).collect()}

@@ -261,7 +261,6 @@ def test_cosine_profiles(spark, make_log):
 
 def test_click_model_equals_fit_on_all_pairs(spark):
     from pyspark.ml.classification import LogisticRegression
-    from pyspark.ml.feature import PCA
     from pyspark.ml.functions import array_to_vector
 
     from newsloom.models.click import PENALTY
