@@ -15,14 +15,11 @@ import pyarrow as pa
 import public_tokenizers
 
 from newsloom.llm.texts import ASCII_SPACE, buffer_of, distinct_segments, spaces, spread
-from newsloom.llm.workers import kept
+from newsloom.llm.workers import Memo, kept
 
 DEFAULT_TOKENIZER = "byte_bpe_50k.json"
 # Bytes of distinct segments that go to the library as one string.
 RUN_BYTES = 3_072
-# Segments, and ids of one, that a worker remembers from batch to batch (some 80 MB).
-MEMO_SEGMENTS = 400_000
-MEMO_IDS = 32
 
 
 def tokenizer_path(name: str = DEFAULT_TOKENIZER) -> str:
@@ -37,7 +34,7 @@ class ByteIds:
         from tokenizers import Tokenizer
 
         self.library = Tokenizer.from_file(path)
-        self.memo: dict[str, bytes] = {}
+        self.memo = Memo()
         vocabulary = self.library.get_vocab(with_added_tokens=True)
         added = {token.content for token in self.library.get_added_tokens_decoder().values()}
         self.sizes = np.zeros(max(vocabulary.values()) + 1, np.int64)
@@ -79,26 +76,13 @@ class ByteIds:
                 out[place] = whole[start:end]
         return out
 
-    def _distinct(self, segments: pa.Array) -> tuple[np.ndarray, np.ndarray]:
-        """(ids of all segments, number of ids of each)."""
-        texts = segments.to_pylist()
-        found = list(map(self.memo.get, texts))
-        new = [i for i, x in enumerate(found) if x is None]
-        if new:
-            for i, x in zip(new, self._new(segments.take(pa.array(new)))):
-                found[i] = x
-                if len(self.memo) < MEMO_SEGMENTS and len(x) <= MEMO_IDS * 4:
-                    self.memo[texts[i]] = x
-        counts = np.fromiter(map(len, found), np.int64, len(found)) // 4
-        return np.frombuffer(b"".join(found), np.uint32), counts
-
     def encode(self, texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
         """(all ids, n + 1 offsets of the rows); a null text is empty."""
         data, offsets = buffer_of(texts)
         if not len(data):
             return np.zeros(0, np.uint32), offsets
         segments, places, firsts = distinct_segments(data, offsets, ASCII_SPACE, True)
-        flat, counts = self._distinct(segments)
+        flat, counts = self.memo.ids(segments, self._new)
         begin = np.cumsum(counts) - counts
         lengths = counts[places]
         reached = np.concatenate([[0], np.cumsum(lengths)])

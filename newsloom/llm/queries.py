@@ -4,7 +4,11 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
+from newsloom.llm.language import learn, predict_languages
 from newsloom.llm.packing import pack_documents
+from newsloom.llm.piece_codec import piece_codes
+from newsloom.llm.quality_lines import judge_documents
+from newsloom.llm.token_counts import count_tokens
 from newsloom.llm.token_files import read_token_files, write_token_files
 from newsloom.plans.registry import scratch
 
@@ -23,7 +27,28 @@ def op4_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pack_documents(table(spark, sf_dir, "documents"))
 
 
+def op1_quality_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return judge_documents(table(spark, sf_dir, "documents"), with_text=False)
+
+
+def op3_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return count_tokens(table(spark, sf_dir, "documents"))
+
+
+def op8_language(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents")
+    return predict_languages(docs, learn(docs))
+
+
+def op9_piece_codec(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return piece_codes(table(spark, sf_dir, "documents"))
+
+
 QUERIES = {
+    "op1_quality_lines": op1_quality_lines,
+    "op3_token_counts": op3_token_counts,
+    "op8_language": op8_language,
+    "op9_piece_codec": op9_piece_codec,
     "op2_token_files": op2_token_files,
     "op4_best_fit_packing": op4_best_fit_packing,
 }

@@ -6,6 +6,7 @@ import sys
 from collections.abc import Callable, Iterator
 from types import ModuleType
 
+import numpy as np
 import pyarrow as pa
 
 
@@ -38,3 +39,30 @@ def slices(batches: Iterator[pa.RecordBatch], column: str, most_bytes: int) -> I
                 yield from slices(iter([part.slice(0, middle), part.slice(middle)]), column, most_bytes)
             else:
                 yield part
+
+
+# Segments, and ids of one, that a worker remembers from batch to batch (some 80 MB).
+MEMO_SEGMENTS = 400_000
+MEMO_IDS = 32
+
+
+class Memo:
+    """Ids of segments met before. It saves work only: what it doesn't hold is made again."""
+
+    def __init__(self):
+        self.held: dict[str, bytes] = {}
+
+    def ids(
+        self, segments: pa.Array, make: Callable[[pa.Array], list[bytes]]
+    ) -> tuple[np.ndarray, np.ndarray]:
+        """(ids of all segments as unsigned 32-bit numbers, number of ids of each)."""
+        texts = segments.to_pylist()
+        found = list(map(self.held.get, texts))
+        new = [i for i, x in enumerate(found) if x is None]
+        if new:
+            for i, x in zip(new, make(segments.take(pa.array(new)))):
+                found[i] = x
+                if len(self.held) < MEMO_SEGMENTS and len(x) <= MEMO_IDS * 4:
+                    self.held[texts[i]] = x
+        counts = np.fromiter(map(len, found), np.int64, len(found)) // 4
+        return np.frombuffer(b"".join(found), np.uint32), counts
