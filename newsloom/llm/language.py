@@ -35,7 +35,7 @@ MIN_MATCH, SEARCH_LOG = 3, 5
 NO_LETTERS = r"[\W\d_]+"
 # Bytes of an empty text's frame.
 FRAME_BYTES = 9
-SLICE_BYTES = 8 << 20
+SLICE_BYTES = 2 << 20
 
 
 def remainder(doc_id: str = "doc_id") -> Column:

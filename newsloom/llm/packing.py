@@ -27,7 +27,7 @@ from newsloom.session import pin
 
 CAPACITY = 2048
 # Bytes of text that are encoded at once.
-SLICE_BYTES = 8 << 20
+SLICE_BYTES = 4 << 20
 
 PIECE_SCHEMA = "doc_id long, piece int, start long, length long, ids_crc32 long, part int, number long"
 

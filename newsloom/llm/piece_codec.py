@@ -25,7 +25,7 @@ from newsloom.llm.token_counts import Transducer, with_first_space
 from newsloom.llm.workers import Memo, kept, slices
 
 # Bytes of text that are encoded at once, and characters of one suffix array.
-SLICE_BYTES = 8 << 20
+SLICE_BYTES = 2 << 20
 INDEX_CHARS = 1 << 19
 # A longer word is encoded by the transducer's walk: the fronts would be as many as its characters.
 LONG_WORD = 512

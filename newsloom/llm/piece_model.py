@@ -83,6 +83,8 @@ class PieceModel:
         self.pair_keys = np.array(sorted(pairs), np.int64)
         self.pair_ranks = np.array([pairs[k] for k in self.pair_keys.tolist()], np.int64)
         self.pairs = pairs
+        # The same as lists, for one pair at a time.
+        self.rank_of, self.left_of, self.right_of = self.rank.tolist(), self.left.tolist(), self.right.tolist()
         self.known = np.full(SLOTS, -1, np.int64)
         self.known_result = np.zeros(SLOTS, bool)
         # Ids of a unit: its own, or bytes for a unit without one.
@@ -139,19 +141,19 @@ class PieceModel:
         Goes back through the merges on both sides of the border, the later one first;
         a merge across it must not have come before one that took its parts away.
         """
-        rank, pairs, size = self.rank, self.pairs, self.size
+        rank, pairs, size = self.rank_of, self.pairs, self.size
         end_a = end_b = 1 << 60
         while True:
             across = pairs.get(a * size + b)
             if across is not None and across < end_a and across <= end_b:
                 return False
-            rank_a, rank_b = rank.item(a), rank.item(b)
-            if rank_a < 0 and rank_b < 0:
-                return True
+            rank_a, rank_b = rank[a], rank[b]
             if rank_a > rank_b:
-                end_a, a = rank_a, self.right.item(a)
+                end_a, a = rank_a, self.right_of[a]
+            elif rank_b >= 0:
+                end_b, b = rank_b, self.left_of[b]
             else:
-                end_b, b = rank_b, self.left.item(b)
+                return True
 
     def all_apart(self, a: np.ndarray, b: np.ndarray) -> np.ndarray:
         """``apart`` of many pairs; pairs met before are remembered in a table of fixed size."""

@@ -50,7 +50,7 @@ MAX_REPEAT_PERCENT = 30
 MAX_LOST_PERCENT = 60
 WINDOW = 8
 # Bytes of text that are judged at once.
-SLICE_BYTES = 8 << 20
+SLICE_BYTES = 2 << 20
 
 MEASURES = ("n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "n_lines", "n_bad_lines", "n_lost_words")
 

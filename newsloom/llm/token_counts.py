@@ -31,10 +31,12 @@ from newsloom.llm.texts import BLANK, buffer_of, distinct_segments
 from newsloom.llm.workers import Memo, kept, slices
 
 # Bytes of text that are counted at once; longer texts are cut into chunks of so many characters.
-SLICE_BYTES = 16 << 20
+SLICE_BYTES = 8 << 20
 CHUNK_CHARS = 1 << 20
-# States that a worker keeps; beyond, it starts over.
-MOST_STATES = 400_000
+# States that a worker keeps; transitions out of further ones are compiled each time.
+MOST_STATES = 100_000
+# Words whose counts a worker remembers.
+MEMO_WORDS = 150_000
 BREAK = re.compile(r"(?<=[^ ]) ")
 
 
@@ -54,19 +56,15 @@ class Transducer:
                     self.unit.append(-1)
                 node = self.children[node][c]
             self.unit[node] = unit
-        self._forget()
+        self.numbers: dict[tuple, int] = {}
+        self.places: list[tuple] = []
+        self.moves: list[dict[str, tuple[int, int]]] = []
+        self.start, self.first_count = self._step(self._state(((0, -1, 0),)), SPACE)
 
     @classmethod
     def of(cls, path: str) -> Transducer:
         return kept(("transducer", path), lambda: cls(PieceModel.of(path)))
 
-    def _forget(self) -> None:
-        self.numbers: dict[tuple, int] = {}
-        self.places: list[tuple] = []
-        self.moves: list[dict[str, tuple[int, int]]] = []
-        first = self._state(((0, -1, 0),))
-        self.start, self.first_count = self._step(first, SPACE)
-
     def _state(self, places: tuple) -> int:
         number = self.numbers.setdefault(places, len(self.places))
         if number == len(self.places):
@@ -74,36 +72,49 @@ class Transducer:
             self.moves.append({})
         return number
 
-    def _step(self, state: int, char: str) -> tuple[int, int]:
-        """Compile the transition: (next state, change of the count)."""
-        model, running, found = self.model, [], None
-        for node, last, behind in self.places[state]:
-            child = self.children[node].get(char)
+    def _next(self, places: tuple, char: str) -> tuple[tuple, int]:
+        """(places of the next state, change of the count)."""
+        children, units, apart, running, found = self.children, self.unit, self.model.apart, [], None
+        for node, last, behind in places:
+            child = children[node].get(char)
             if child is None:
                 continue
-            unit = self.unit[child]
-            if found is None and unit >= 0 and (last < 0 or model.apart(last, unit)):
-                found = unit, behind + len(model.unit_ids[unit])
-            if self.children[child]:
+            unit = units[child]
+            if found is None and unit >= 0 and (last < 0 or apart(last, unit)):
+                found = unit, behind + len(self.model.unit_ids[unit])
+            if children[child]:
                 running.append((child, last, behind))
         # A character that is no unit ends every piece and stands as its bytes.
         unit, change = found or (-1, len(char.encode()))
-        places = tuple((node, last, behind - change) for node, last, behind in running)
-        move = self._state((*places, (0, unit, 0))), change
-        self.moves[state][char] = move
+        return (*[(node, last, behind - change) for node, last, behind in running], (0, unit, 0)), change
+
+    def _step(self, state: int, char: str) -> tuple[int, int]:
+        """Compile a transition and keep it: (next state, change of the count)."""
+        places, change = self._next(self.places[state], char)
+        move = self.moves[state][char] = self._state(places), change
         return move
 
     def count(self, word: str) -> int:
         """Tokens of a space and ``word``, which has no space."""
-        if len(self.places) > MOST_STATES:
-            self._forget()
         state, total, moves = self.start, self.first_count, self.moves
-        for char in word:
-            move = moves[state].get(char) or self._step(state, char)
+        for at, char in enumerate(word):
+            move = moves[state].get(char)
+            if move is None:
+                if len(self.places) >= MOST_STATES:
+                    return total + self._rest(self.places[state], word[at:])
+                move = self._step(state, char)
             state = move[0]
             total += move[1]
         return total
 
+    def _rest(self, places: tuple, text: str) -> int:
+        """Change of the count over ``text`` by transitions that aren't kept."""
+        total = 0
+        for char in text:
+            places, change = self._next(places, char)
+            total += change
+        return total
+
     def segment(self, segment: str) -> int:
         """Tokens of some spaces and a word; the last space belongs to the word."""
         word = segment.lstrip(" ")
@@ -252,7 +263,7 @@ def count_tokens(
 
     def rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         machine = Transducer.of(model)
-        memo = kept(("piece counts", model), Memo)
+        memo = kept(("piece counts", model), lambda: Memo(MEMO_WORDS))
         for batch in slices(batches, "text", SLICE_BYTES):
             texts = batch.column("text")
             n_bytes = pc.fill_null(pc.binary_length(texts), 0).cast(pa.int64())

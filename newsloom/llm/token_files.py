@@ -35,8 +35,8 @@ from newsloom.llm.workers import slices
 
 MAGIC = b"NLTOKEN1"
 HEAD = "<8sBQqQ"
-# Bytes of text that are encoded at once, and that go into one shard at most (more only for one document).
-SHARD_BYTES = 8 << 20
+# Bytes of text that are encoded at once and go into one shard, more only for a single document.
+SHARD_BYTES = 4 << 20
 
 SHARD_SCHEMA = "partition int, shard int, n_docs long, n_ids long, blob binary"
 ROW_SCHEMA = "partition int, shard int, doc_id long, local_start long, n_tokens long, ids_crc32 long"

@@ -41,16 +41,17 @@ def slices(batches: Iterator[pa.RecordBatch], column: str, most_bytes: int) -> I
                 yield part
 
 
-# Segments, and ids of one, that a worker remembers from batch to batch (some 80 MB).
-MEMO_SEGMENTS = 400_000
+# Segments, and ids of one, that a worker remembers from batch to batch (some 60 MB).
+MEMO_SEGMENTS = 300_000
 MEMO_IDS = 32
 
 
 class Memo:
     """Ids of segments met before. It saves work only: what it doesn't hold is made again."""
 
-    def __init__(self):
+    def __init__(self, most: int = MEMO_SEGMENTS):
         self.held: dict[str, bytes] = {}
+        self.most = most
 
     def ids(
         self, segments: pa.Array, make: Callable[[pa.Array], list[bytes]]
@@ -62,7 +63,7 @@ class Memo:
         if new:
             for i, x in zip(new, make(segments.take(pa.array(new)))):
                 found[i] = x
-                if len(self.held) < MEMO_SEGMENTS and len(x) <= MEMO_IDS * 4:
+                if len(self.held) < self.most and len(x) <= MEMO_IDS * 4:
                     self.held[texts[i]] = x
         counts = np.fromiter(map(len, found), np.int64, len(found)) // 4
         return np.frombuffer(b"".join(found), np.uint32), counts
