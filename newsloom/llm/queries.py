@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
+from newsloom.llm.jaccard_join import near_duplicate_components
 from newsloom.llm.language import learn, predict_languages
 from newsloom.llm.packing import pack_documents
 from newsloom.llm.piece_codec import piece_codes
@@ -35,6 +36,10 @@ def op3_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return count_tokens(table(spark, sf_dir, "documents"))
 
 
+def op5_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return near_duplicate_components(table(spark, sf_dir, "documents"))
+
+
 def op8_language(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents")
     return predict_languages(docs, learn(docs))
@@ -47,6 +52,7 @@ def op9_piece_codec(spark: SparkSession, sf_dir: str) -> DataFrame:
 QUERIES = {
     "op1_quality_lines": op1_quality_lines,
     "op3_token_counts": op3_token_counts,
+    "op5_jaccard_join": op5_jaccard_join,
     "op8_language": op8_language,
     "op9_piece_codec": op9_piece_codec,
     "op2_token_files": op2_token_files,
