@@ -457,3 +457,14 @@ def near_duplicate_components(docs: DataFrame, *, doc_id: str = "doc_id", text:
         F.col("n").alias("n_shingles"),
         F.when(own, F.col("component_id")).otherwise(F.col("doc_id")).alias("component_id"),
     )
+
+
+def keep_one_of_each(docs: DataFrame, *, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
+    """The rows of ``docs``, with all columns, that name their component.
+
+    Rows without words or without an id stay; of rows that share the id that names a component
+    all stay, as nothing tells them apart.
+    """
+    found = near_duplicate_components(docs, doc_id=doc_id, text=text)
+    goes = found.where(F.col("component_id") != F.col("doc_id")).select(F.col("doc_id").alias(doc_id)).distinct()
+    return docs.join(goes, doc_id, "left_anti").select(*[docs[c] for c in docs.columns])

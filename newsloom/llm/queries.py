@@ -3,14 +3,25 @@
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
+from newsloom.llm.html_text import extract_main_text
+from newsloom.llm.importance import resample
 from newsloom.llm.jaccard_join import near_duplicate_components
 from newsloom.llm.language import learn, predict_languages
 from newsloom.llm.packing import pack_documents
 from newsloom.llm.piece_codec import piece_codes
-from newsloom.llm.quality_lines import judge_documents
+from newsloom.llm.quality_lines import (
+    BOILERPLATE,
+    MAX_LOST_PERCENT,
+    MAX_REPEAT_PERCENT,
+    MIN_WORDS,
+    WINDOW,
+    judge_documents,
+)
 from newsloom.llm.token_counts import count_tokens
 from newsloom.llm.token_files import read_token_files, write_token_files
+from newsloom.llm.top_k import top_inner_products
 from newsloom.plans.registry import scratch
 
 
@@ -40,6 +51,14 @@ def op5_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     return near_duplicate_components(table(spark, sf_dir, "documents"))
 
 
+def op6_html_text(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return extract_main_text(table(spark, sf_dir, "pages"))
+
+
+def op7_importance(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return resample(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
+
+
 def op8_language(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents")
     return predict_languages(docs, learn(docs))
@@ -49,13 +68,91 @@ def op9_piece_codec(spark: SparkSession, sf_dir: str) -> DataFrame:
     return piece_codes(table(spark, sf_dir, "documents"))
 
 
+def op10_top_k(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return top_inner_products(table(spark, sf_dir, "embeddings"), F.col("vec_id") % 100 == 0)
+
+
 QUERIES = {
     "op1_quality_lines": op1_quality_lines,
     "op3_token_counts": op3_token_counts,
     "op5_jaccard_join": op5_jaccard_join,
+    "op6_html_text": op6_html_text,
+    "op7_importance": op7_importance,
     "op8_language": op8_language,
     "op9_piece_codec": op9_piece_codec,
+    "op10_top_k": op10_top_k,
     "op2_token_files": op2_token_files,
     "op4_best_fit_packing": op4_best_fit_packing,
 }
-ORACLES: dict[str, str] = {}
+
+# Words, lines and 8-word windows of a text; the rules of quality_lines in the same order.
+OP1_SQL = f"""
+WITH docs AS (SELECT doc_id, coalesce(text, '') AS text FROM documents),
+words AS (
+  SELECT doc_id, list_filter(regexp_split_to_array(text, '[ \\t-\\r]+'), lambda w: w <> '') AS w FROM docs
+),
+lines AS (
+  SELECT doc_id, place, line,
+    list_filter(regexp_split_to_array(line, '[ \\t-\\r]+'), lambda w: w <> '') AS w
+  FROM (SELECT doc_id, unnest(string_split(text, chr(10))) AS line, generate_subscripts(string_split(text, chr(10)), 1) AS place FROM docs)
+),
+judged AS (
+  SELECT doc_id, len(w) AS n,
+    row_number() OVER (PARTITION BY doc_id, line ORDER BY place) > 1 AS dup,
+    (bars >= 2 AND 5 * bars >= len(w)) OR (len(w) >= 10 AND sentence = 0) OR (shouts >= 4 AND 2 * shouts > len(w))
+      OR 2 * symbols > len(w) OR (len(w) >= 10 AND 2 * again > len(w))
+      OR regexp_matches(line, '(?i){"|".join(BOILERPLATE)}') AS bad
+  FROM (
+    SELECT *,
+      length(line) - length(replace(line, '|', '')) AS bars,
+      length(line) - length(regexp_replace(line, '[!?]', '', 'g')) AS shouts,
+      length(line) - length(regexp_replace(line, '[.!?;:]', '', 'g')) AS sentence,
+      length(line) - length(regexp_replace(line, '[#*$%&|<>]', '', 'g')) AS symbols,
+      len(list_filter(list_zip(w[2:], w[:-2]), lambda x: x[1] = x[2])) AS again
+    FROM lines WHERE len(w) > 0
+  )
+),
+per_line AS (
+  SELECT doc_id, count(*) AS n_lines, count(*) FILTER (dup) AS n_dup_lines, count(*) FILTER (bad) AS n_bad_lines,
+    coalesce(sum(n) FILTER (bad), 0) AS n_lost_words
+  FROM judged GROUP BY doc_id
+),
+windows AS (
+  SELECT doc_id, i, count(*) OVER (PARTITION BY doc_id, array_to_string(w[i:i+{WINDOW - 1}], ' ')) AS times
+  FROM (SELECT doc_id, w, unnest(range(1, len(w) - {WINDOW - 2})) AS i FROM words)
+),
+covered AS (
+  SELECT doc_id, count(DISTINCT place) AS n_repeat_words
+  FROM (SELECT doc_id, unnest(range(i, i + {WINDOW})) AS place FROM windows WHERE times > 1) GROUP BY doc_id
+),
+counted AS (
+  SELECT docs.doc_id, CAST(len(w) AS BIGINT) AS n_words,
+    CAST(length(array_to_string(w, '')) AS BIGINT) AS word_chars,
+    CAST(length(text) - length(regexp_replace(text, '[#*$%&|<>]', '', 'g')) AS BIGINT) AS n_symbols,
+    CAST(coalesce(n_dup_lines, 0) AS BIGINT) AS n_dup_lines,
+    CAST(coalesce(n_repeat_words, 0) AS BIGINT) AS n_repeat_words,
+    CAST(coalesce(n_lines, 0) AS BIGINT) AS n_lines,
+    CAST(coalesce(n_bad_lines, 0) AS BIGINT) AS n_bad_lines,
+    CAST(coalesce(n_lost_words, 0) AS BIGINT) AS n_lost_words
+  FROM docs JOIN words USING (doc_id) LEFT JOIN per_line USING (doc_id) LEFT JOIN covered USING (doc_id)
+)
+SELECT *, n_words < {MIN_WORDS} OR 100 * n_repeat_words > {MAX_REPEAT_PERCENT} * n_words AS base_failed,
+  NOT (n_words < {MIN_WORDS} OR 100 * n_repeat_words > {MAX_REPEAT_PERCENT} * n_words)
+    AND 100 * n_lost_words <= {MAX_LOST_PERCENT} * n_words AS kept
+FROM counted
+"""
+
+OP10_SQL = """
+WITH v AS (
+  SELECT vec_id, list_transform(embedding, lambda x: floor(1024 * CAST(x AS DOUBLE))) AS e FROM embeddings
+  WHERE embedding IS NOT NULL AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0
+),
+scored AS (
+  SELECT q.vec_id AS query_id, c.vec_id, CAST(list_dot_product(q.e, c.e) AS BIGINT) AS score
+  FROM v AS q JOIN v AS c ON q.vec_id <> c.vec_id WHERE q.vec_id % 100 = 0
+)
+SELECT query_id, CAST(row_number() OVER (PARTITION BY query_id ORDER BY score DESC, vec_id) AS INTEGER) AS rank, vec_id, score
+FROM scored QUALIFY rank <= 10
+"""
+
+ORACLES: dict[str, str] = {"op1_quality_lines": OP1_SQL, "op10_top_k": OP10_SQL}
