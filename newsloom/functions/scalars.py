@@ -26,8 +26,8 @@ def best_first(score: str, *ids: str) -> list[Column]:
 
 
 def unit_hash(key: Column) -> Column:
-    """A fixed pseudo-random number in [0, 1) of a non-negative whole key."""
-    scrambled = (key.cast("long") % F.lit(HASH_KEY_RANGE)) * F.lit(HASH_MULTIPLIER)
+    """A fixed pseudo-random number in [0, 1) of a whole key; null for a null key."""
+    scrambled = F.pmod(key.cast("long"), F.lit(HASH_KEY_RANGE)) * F.lit(HASH_MULTIPLIER)
     return (scrambled % F.lit(HASH_RANGE)).cast("double") / F.lit(float(HASH_RANGE))
 
 

@@ -45,6 +45,10 @@ class UserItemBias:
         self.item_biases = global_rank(item_biases, best_first("item_bias", "article_id"))
         return self
 
+    def scorable(self, users: DataFrame) -> DataFrame:
+        """Those of the users that have a bias."""
+        return users.join(self.user_biases, "user_id", "left_semi")
+
     def recommend(self, users: DataFrame | None = None, n: int = 5) -> DataFrame:
         """Unrated items by predicted score; a user unknown to the model gets no rows."""
         check_fitted(self, "cells")

@@ -41,7 +41,7 @@ class CosineProfiles:
         self.train = train
         self.items = article_embeddings(articles, embeddings).select(
             "article_id", l2_normalise(F.col("vec")).alias("vec")
-        )
+        ).where("vec IS NOT NULL")
         self.profiles: DataFrame | None = None
         self.rankings: DataFrame | None = None
 

@@ -51,6 +51,10 @@ class WeightedProfiles:
         self.profiles = pin(mean_vectors(usable, "user_id", "vec", "score"))
         return self
 
+    def scorable(self, users: DataFrame) -> DataFrame:
+        """The users without those whose train scores sum to zero."""
+        return users.join(self.errors, "user_id", "left_anti")
+
     def default_profile(self) -> DataFrame:
         """(vec): the mean of all vectors, for users without train rows."""
         return mean_vectors(self.vectors.withColumn("all", F.lit(1)), "all", "vec").select("vec")

@@ -37,8 +37,20 @@ class RingBuffer:
         return self
 
     def add_behaviors(self, rows: DataFrame) -> "RingBuffer":
-        """The model with new rows in its log; a newest-first buffer moves on at once."""
-        return RingBuffer(self.behaviors.unionByName(rows.select(self.behaviors.columns)), self.size, self.keep).fit()
+        """The model after appending new rows, oldest first: each evicts the slot appended first.
+
+        Only the buffer and the new rows are read; the log gets the rows when it is next used.
+        """
+        check_fitted(self, "buffer")
+        times = ["impression_time", "impression_id"]
+        new = rows.select(BUFFER_COLUMNS).orderBy(*[F.col(c).desc() for c in times]).limit(self.size)
+        new = new.withColumn("slot", F.row_number().over(W.orderBy(*[F.col(c).desc() for c in times])))
+        moved = new.withColumn("_old", F.lit(0)).unionByName(self.buffer.withColumn("_old", F.lit(1)))
+        # At most two buffers of rows go through this window.
+        moved = moved.withColumn("slot", F.row_number().over(W.orderBy("_old", "slot"))).drop("_old")
+        model = RingBuffer(self.behaviors.unionByName(rows.select(self.behaviors.columns)), self.size, self.keep)
+        model.buffer = pin(moved.where(F.col("slot") <= self.size))
+        return model
 
     def contents(self) -> DataFrame:
         check_fitted(self, "buffer")

@@ -3,7 +3,6 @@
 from __future__ import annotations
 
 from pyspark.sql import DataFrame
-from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from newsloom.functions import epoch_micros, log_read_score, min_max, unit_hash, weighted_score
@@ -14,6 +13,7 @@ from newsloom.operators.clean import (
     clean_train_and_validation,
     drop_missing_keys,
 )
+from newsloom.operators.ranking import best_unseen, global_rank
 from newsloom.operators.reshape import distinct_labels, explode_labels, explode_parallel, wide_flags
 from newsloom.session import pin
 
@@ -140,8 +140,10 @@ def binary_matrix(
     pair. Clicks are folded into a map per (user, block) and meet the block there, so
     the unrolled rows are never shuffled. No model here reads this table: the click
     model works on ``click_counts``. With ``negatives_per_user`` only that many
-    unclicked articles are kept per user, by the smallest hash of the pair.
+    unclicked articles are drawn per user, and the product is never built.
     """
+    if negatives_per_user is not None:
+        return _with_drawn_negatives(behaviors, users, articles, negatives_per_user)
     grid, blocks, n_blocks = _grid(users, articles)
     block = _block(n_blocks)
     # A user's clicks inside one block: at most the block's ids, whatever the log holds.
@@ -167,15 +169,39 @@ def binary_matrix(
         )
         .drop("_copy")
     )
-    if negatives_per_user is None:
-        return matrix
-    chance = unit_hash(F.pmod(F.xxhash64("user_id", "article_id"), F.lit(2**31)))
-    order = W.partitionBy("user_id", "clicked").orderBy(chance, "article_id")
-    return (
-        matrix.withColumn("_nth", F.row_number().over(order))
-        .where((F.col("clicked") == 1) | (F.col("_nth") <= negatives_per_user))
-        .drop("_nth")
+    return matrix
+
+
+def _with_drawn_negatives(behaviors: DataFrame, users: DataFrame, articles: DataFrame, n: int) -> DataFrame:
+    """Clicked pairs, and for each user ``n`` unclicked articles (all, if there are fewer).
+
+    The catalogue is a circle in the order of its ids; a user starts at a place that hashes
+    the id and takes the first ``n`` articles that the user has not clicked. By the
+    positions clicked, that is what ``best_unseen`` finds without walking the circle: the
+    part from the start to the end of the circle, and then, if that has too few, the rest.
+    """
+    listed = articles.select("article_id").distinct()
+    who = users.select("user_id").distinct()
+    ranked = pin(global_rank(listed, [F.col("article_id").asc()]))
+    size = ranked.count()
+    clicked = clicked_pairs(behaviors).join(listed, "article_id", "left_semi")
+    rows = clicked.join(who, "user_id", "left_semi").select("user_id", "article_id", F.lit(1).alias("clicked"))
+    if not size or n <= 0:
+        return rows
+    start = F.floor(unit_hash(F.col("user_id")) * F.lit(size)).cast("long")
+    # A user's own numbering of the circle: 1 at the start.
+    own = F.pmod(F.col("position") - 1 - F.col("start"), F.lit(size)) + 1
+    starts = who.withColumn("start", start)
+    places = rows.select("user_id", "article_id").distinct().join(ranked, "article_id")
+    taken = places.join(starts, "user_id").select("user_id", own.alias("position"))
+    # Numbers of the circle as items: a row per place, of which only the first ones are used.
+    numbers = ranked.select("position", F.col("position").alias("article_id"))
+    free = best_unseen(who, numbers, taken.select("user_id", F.col("position").alias("article_id")), n)
+    found = free.join(starts, "user_id").select(
+        "user_id", (F.pmod(F.col("article_id") - 1 + F.col("start"), F.lit(size)) + 1).alias("position")
     )
+    drawn = found.join(ranked, "position").select("user_id", "article_id", F.lit(0).alias("clicked"))
+    return rows.unionByName(drawn)
 
 
 def click_counts(behaviors: DataFrame, users: DataFrame, articles: DataFrame) -> DataFrame:
@@ -213,7 +239,7 @@ def history_interactions(history: DataFrame) -> DataFrame:
     )
 
 
-# Fixed text columns that the topic table leaves out.
+# Fixed columns that the topic table leaves out.
 ARTICLE_TEXT = [
     "title",
     "subtitle",
@@ -225,6 +251,11 @@ ARTICLE_TEXT = [
     "article_type",
     "category_str",
     "sentiment_label",
+    "last_modified_time",
+    "published_time",
+    "total_inviews",
+    "total_pageviews",
+    "total_read_time",
 ]
 
 
@@ -233,13 +264,16 @@ def article_topics(articles: DataFrame) -> DataFrame:
     return explode_labels(articles, "article_id", "topics", "topic")
 
 
-def topic_features(articles: DataFrame, topics: DataFrame | None = None, values: list | None = None) -> DataFrame:
-    """Articles without their text, premium as 0/1, and a 0/1 column per topic.
+def topic_features(
+    articles: DataFrame, topics: DataFrame | None = None, values: list | None = None, most: int = 5000
+) -> DataFrame:
+    """Articles without their text, times and totals, premium as 0/1, and a 0/1 column per topic.
 
-    ``topics`` is the long form; it is taken from the articles' own list if not given.
+    ``topics`` is the long form; it is taken from the articles' own list if not given. Without
+    ``values`` the topics are listed first; more than ``most`` raise, as they are columns here.
     """
     long = topics if topics is not None else article_topics(articles)
-    labels = values if values is not None else distinct_labels(long, "topic")
+    labels = values if values is not None else distinct_labels(long, "topic", most)
     flags = wide_flags(long, "article_id", "topic", labels, "topic_")
     unused = [c for c in [*ARTICLE_TEXT, "topics", "subcategory"] if c in articles.columns]
     base = articles.drop(*unused)

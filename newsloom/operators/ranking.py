@@ -61,21 +61,24 @@ def rank_within(
 
     Groups up to ``hot_rows`` go through a window. Rows of larger groups are sorted
     across tasks by (group, order); their position is the global one less the first of
-    the group.
+    the group. Rows without a group are a group of their own on both ways, which return
+    the same columns.
     """
-    counts = df.groupBy(group).agg(F.count("*").alias(size))
+    counts = df.groupBy(F.col(group).alias("_group")).agg(F.count("*").alias(size))
     window = W.partitionBy(group).orderBy(*order)
     if counts.where(F.col(size) > hot_rows).isEmpty():
         whole = W.partitionBy(group)
         return df.withColumns({rank: F.row_number().over(window), size: F.count("*").over(whole)})
-    sized = df.join(counts, group)
+    sized = df.join(counts, F.col(group).eqNullSafe(F.col("_group"))).drop("_group")
     cool = sized.where(F.col(size) <= hot_rows).withColumn(rank, F.row_number().over(window))
     placed = global_rank(
         sized.where(F.col(size) > hot_rows), [F.col(group).asc(), *order], "_overall"
     )
-    firsts = placed.groupBy(group).agg(F.min("_overall").alias("_first"))
-    hot = placed.join(firsts, group).withColumn(rank, (F.col("_overall") - F.col("_first") + 1).cast("int"))
-    return cool.unionByName(hot.select(cool.columns))
+    firsts = placed.groupBy(F.col(group).alias("_group")).agg(F.min("_overall").alias("_first"))
+    hot = placed.join(firsts, F.col(group).eqNullSafe(F.col("_group")))
+    hot = hot.withColumn(rank, (F.col("_overall") - F.col("_first") + 1).cast("int"))
+    shown = [*df.columns, rank, size]
+    return cool.select(shown).unionByName(hot.select(shown))
 
 
 def _narrow(df: DataFrame, value: Column, target: int, tail_rows: int) -> tuple[int, int, int]:

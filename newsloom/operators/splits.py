@@ -15,9 +15,9 @@ def random_split(
     """(train, test): each row falls by a hash of its key.
 
     A function of the row alone, so a recomputed partition gives the same split and
-    the parts are disjoint and complete; no shuffle.
+    the parts are disjoint and complete; no shuffle. Rows without a key are train rows.
     """
-    is_test = unit_hash(F.col(key) + F.lit(seed)) < F.lit(float(test_ratio))
+    is_test = F.coalesce(unit_hash(F.col(key) + F.lit(seed)) < F.lit(float(test_ratio)), F.lit(False))
     return df.where(~is_test), df.where(is_test)
 
 
@@ -34,14 +34,25 @@ def time_split(
 ) -> tuple[DataFrame, DataFrame]:
     """(train, test): the oldest share of rows by (time, id) is the test part.
 
-    Only the boundary row is searched for; both parts are then plain filters.
+    Only the boundary row is searched for; both parts are then plain filters. A missing time
+    is older than any other, and so is a missing id among rows of one time; rows that have neither
+    can't be told apart and fall together.
     """
-    n_test = int(df.count() * test_ratio)
+    rows, timed, least = df.agg(F.count("*"), F.count(time_field), F.min(id_field)).first()
+    n_test = int(rows * test_ratio)
     if n_test == 0:
         return df, df.where(F.lit(False))
-    time, item = nth_smallest(df.select(time_field, id_field), time_field, id_field, n_test)
-    boundary = F.lit(time).cast(dict(df.dtypes)[time_field])
-    is_test = (F.col(time_field) < boundary) | ((F.col(time_field) == boundary) & (F.col(id_field) <= F.lit(item)))
+    time, item = F.col(time_field), F.coalesce(F.col(id_field), F.lit((0 if least is None else least) - 1))
+    kind = dict(df.dtypes)[time_field]
+    if n_test > rows - timed:
+        keys = df.where(time.isNotNull()).select(time.alias("_time"), item.alias("_id"))
+        edge, last = nth_smallest(keys, "_time", "_id", n_test - (rows - timed))
+        boundary = F.lit(edge).cast(kind)
+        is_test = time.isNull() | (time < boundary) | ((time == boundary) & (item <= F.lit(last)))
+    else:
+        keys = df.where(time.isNull()).select(F.lit("1970-01-01").cast(kind).alias("_time"), item.alias("_id"))
+        _, last = nth_smallest(keys, "_time", "_id", n_test)
+        is_test = time.isNull() & (item <= F.lit(last))
     return df.where(~is_test), df.where(is_test)
 
 

@@ -34,8 +34,15 @@ def recommend_for(model, users: DataFrame | None, k: int, sample: int | None = N
 
 
 def evaluate_model(model, test: DataFrame, k: int = 5, users: DataFrame | None = None) -> DataFrame:
-    """Average precision, recall and false-positive rate of a fitted model's lists."""
-    return metrics.evaluate(recommend_for(model, test if users is None else users, k), test, k, users)
+    """Average precision, recall and false-positive rate of a fitted model's lists.
+
+    Without ``users`` the test users that the model can score are asked: for others it has
+    no list to judge.
+    """
+    if users is None:
+        users = test.select("user_id").distinct()
+        users = model.scorable(users) if hasattr(model, "scorable") else users
+    return metrics.evaluate(recommend_for(model, users, k), test, k, users)
 
 
 def model_diversity(

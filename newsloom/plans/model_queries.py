@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import numpy as np
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -17,12 +18,14 @@ from newsloom.models import (
     UserItemBias,
     WeightedProfiles,
 )
+from newsloom.models.click import PENALTY
 from newsloom.operators import interactions, metrics, splits
 from newsloom.operators.clean import reduce_behaviors
 from newsloom.plans import experiments, oracle
 from newsloom.plans.given_tables import GivenTables
 from newsloom.plans.oracle import BIAS, PROFILE, SCORED, evaluated, popular, popular_recs, ranking_evaluated, with_ctes
 from newsloom.plans.registry import query, rounded, scratch
+from newsloom.session import pin
 from newsloom.sources import MetricLog
 
 RECS = "SELECT user_id, article_id, round(score, 6) AS score, rank FROM "
@@ -117,6 +120,48 @@ def _(t):
     return RingBuffer(rows, 10, keep="newest").fit().add_behaviors(later).most_recent(10).select("impression_id", "article_id")
 
 
+# New rows from the whole log, a month on or a year back, enter in time order and evict what came first.
+APPENDED = """
+SELECT impression_id, article_id, CAST(row_number() OVER (ORDER BY old, place) AS INTEGER) AS slot FROM (
+  SELECT impression_id + 1000000000 AS impression_id, article_id, 0 AS old,
+    row_number() OVER (ORDER BY impression_time DESC, impression_id DESC) AS place FROM known WHERE {picked}
+  UNION ALL SELECT impression_id, article_id, 1 AS old, row_number() OVER (ORDER BY impression_time {order}, impression_id {order}) AS place FROM known
+  QUALIFY place <= 10) q
+QUALIFY slot <= 10"""
+
+
+def appended(t, keep: str, picked: str, shift: str):
+    rows = known(t)
+    new = rows.where(picked).select(
+        (F.col("impression_id") + 1000000000).alias("impression_id"),
+        "article_id",
+        F.expr(f"impression_time {shift}").alias("impression_time"),
+        "user_id",
+    )
+    return RingBuffer(rows, 10, keep=keep).fit().add_behaviors(new).contents().select("impression_id", "article_id", "slot")
+
+
+@query("j2_ring_buffer_add_oldest", with_ctes("behaviors known", APPENDED.format(order="", picked="true")))
+def _(t):
+    return appended(t, "oldest", "true", "+ INTERVAL 30 DAY")
+
+
+@query("j2_ring_buffer_add_newest", with_ctes("behaviors known", APPENDED.format(order="DESC", picked="true")))
+def _(t):
+    return appended(t, "newest", "true", "+ INTERVAL 30 DAY")
+
+
+@query(
+    "j2_ring_buffer_add_late",
+    with_ctes("behaviors known", APPENDED.format(
+        order="", picked="impression_id = (SELECT max(impression_id) FROM known)")),
+)
+def _(t):
+    # One row from before all others still takes the last slot.
+    newest = known(t).agg(F.max("impression_id")).first()[0]
+    return appended(t, "oldest", f"impression_id = {newest}", "- INTERVAL 10 YEAR")
+
+
 # --- bias --------------------------------------------------------------------------
 
 
@@ -258,16 +303,22 @@ def _(t):
 
 
 HYBRID = f"""
-SELECT user_id, article_id, CAST(rank AS INTEGER) AS rank FROM (
-  SELECT user_id, article_id, row_number() OVER (PARTITION BY user_id ORDER BY source, place) AS rank FROM (
-    SELECT user_id, article_id, 0 AS source, rank AS place FROM own
+SELECT user_id, article_id, CAST(rank AS INTEGER) AS rank, CASE WHEN score > 0 THEN round(ln(1 + score), 6) ELSE score END AS score FROM (
+  SELECT user_id, article_id, score, row_number() OVER (PARTITION BY user_id ORDER BY source, place) AS rank FROM (
+    SELECT user_id, article_id, 0 AS source, rank AS place, CAST(score AS DOUBLE) AS score FROM own
     UNION ALL
-    SELECT u.user_id, p.article_id, 1, p.rank
+    SELECT u.user_id, p.article_id, 1, p.rank, CAST(-p.rank AS DOUBLE)
     FROM who u CROSS JOIN ({popular('inter', 100)}) p
     WHERE NOT EXISTS (SELECT 1 FROM own o WHERE o.user_id = u.user_id AND o.article_id = p.article_id)) c) r
 WHERE rank <= 60"""
 
 
+def hybrid_recs(df: DataFrame) -> DataFrame:
+    """Collaborative scores on a log scale; those of popular articles are minus their rank."""
+    score = F.when(F.col("score") > 0, F.log1p("score")).otherwise(F.col("score"))
+    return df.select("user_id", "article_id", "rank", rounded(score, "score"))
+
+
 @query(
     "j7_hybrid_recommend",
     with_ctes(f"{INTER} unit_u nb_u", HYBRID).replace(
@@ -283,7 +334,7 @@ def _(t):
     everyone = inter(t).select("user_id")
     who = everyone.union(everyone.select(F.col("user_id") + 1000000))
     # Lists of 60 are longer than what the neighbours offer, so the fill is reached.
-    return model.recommend(who, n=60).select("user_id", "article_id", "rank")
+    return hybrid_recs(model.recommend(who, n=60))
 
 
 @query(
@@ -297,7 +348,7 @@ def _(t):
     ),
 )
 def _(t):
-    return PopularityUserCF(inter_big(t)).fit(0.1, 1.0).recommend(n=5).select("user_id", "article_id", "rank")
+    return hybrid_recs(PopularityUserCF(inter_big(t)).fit(0.1, 1.0).recommend(n=5))
 
 
 # --- content models ----------------------------------------------------------------
@@ -333,6 +384,76 @@ def _(t):
     return recs(model.recommend(n=5))
 
 
+COMPONENTS = 20
+
+
+@query(
+    "j10_click_model_checks",
+    with_ctes("behaviors known articles", f"""
+SELECT 'components' AS what, CAST({COMPONENTS} AS BIGINT) AS n, true AS holds
+UNION ALL SELECT 'coefficients', {COMPONENTS} + 1, true
+UNION ALL SELECT 'pairs', (SELECT count(*) FROM known JOIN articles USING (article_id))
+  + (SELECT count(DISTINCT user_id) FROM events) * (SELECT count(*) FROM articles)
+  - (SELECT count(*) FROM (SELECT DISTINCT user_id, article_id FROM known JOIN articles USING (article_id)) p), true
+UNION ALL SELECT 'recommended', CAST(sum(least(5, (SELECT count(*) FROM articles) - coalesce(seen, 0))) AS BIGINT), true
+FROM (SELECT DISTINCT user_id FROM events) u LEFT JOIN (SELECT user_id, count(DISTINCT article_id) AS seen
+  FROM known JOIN articles USING (article_id) GROUP BY user_id) s USING (user_id)"""),
+)
+def _(t):
+    """What determines the fit: eigenvectors, a vanishing gradient, the weights, and the order of the lists."""
+    model = ClickModel(t.behaviors, t.users, t.articles, t.vectors, n_components=COMPONENTS).fit(max_iter=500)
+    counts = interactions.click_counts(t.behaviors, t.users, t.articles).join(model.features, "article_id")
+    # The covariance once more, in SQL: (i, j, sum of weighted products), less the means.
+    weight = (F.col("positives") + F.col("negatives")).cast("double")
+    cells = counts.select(weight.alias("w"), F.posexplode("features").alias("i", "x"), "features").select(
+        "w", "i", "x", F.posexplode("features").alias("j", "y")
+    )
+    sums = cells.groupBy("i", "j").agg(
+        F.sum(F.col("w") * F.col("x") * F.col("y")).alias("xy"), F.sum(F.col("w") * F.col("x")).alias("xs"),
+        F.sum(F.col("w") * F.col("y")).alias("ys"), F.sum("w").alias("ws"),
+    ).toPandas().sort_values(["i", "j"])
+    total = float(sums["ws"].iloc[0])
+    d = model.components.shape[0]
+    shape = lambda c: sums[c].to_numpy().reshape(d, d) / total
+    covariance = shape("xy") - shape("xs") * shape("ys")
+    v = model.components
+    values = np.einsum("ij,ij->j", v, covariance @ v)
+    largest = np.sort(np.linalg.eigvalsh(covariance))[::-1][:COMPONENTS]
+    fits = (
+        np.abs(covariance @ v - v * values).max() < 1e-6
+        and np.abs(v.T @ v - np.eye(COMPONENTS)).max() < 1e-6
+        and np.abs(values - largest).max() < 1e-6
+    )
+    # The gradient of the penalised mean loss at the coefficients, from the weighted examples.
+    beta, bias = model.classifier.coefficients.toArray(), float(model.classifier.intercept)
+    score = F.aggregate(
+        F.zip_with("features", F.array(*[F.lit(float(b)) for b in beta]), lambda x, b: x * b), F.lit(bias), lambda a, x: a + x
+    )
+    slope = F.col("weight") * (1 / (1 + F.exp(-score)) - F.col("label"))
+    parts = model.examples.select(slope.alias("g"), "weight", "features")
+    steps = parts.select("g", F.posexplode("features").alias("i", "x")).groupBy("i").agg(F.sum(F.col("g") * F.col("x")).alias("s"))
+    sums_w = parts.agg(F.sum("weight"), F.sum("g")).first()
+    gradient = steps.orderBy("i").toPandas()["s"].to_numpy() / sums_w[0] + PENALTY * beta
+    flat = np.abs(gradient).max() < 1e-4 and abs(sums_w[1] / sums_w[0]) < 1e-4
+
+    lists = pin(model.recommend(n=5))
+    clicked = known(t).select("user_id", "article_id").distinct()
+    ranked = model.ranked.select("article_id", "prediction", "position")
+    wrong_order = ranked.alias("a").join(ranked.alias("b"), F.col("a.position") + 1 == F.col("b.position")).where(
+        F.col("a.prediction") < F.col("b.prediction") - 1e-9
+    )
+    in_order = wrong_order.isEmpty() and lists.join(clicked, ["user_id", "article_id"], "left_semi").isEmpty()
+    return t.spark.createDataFrame(
+        [
+            ("components", int(v.shape[1]), bool(fits)),
+            ("coefficients", len(beta) + 1, bool(flat)),
+            ("pairs", int(round(sums_w[0])), bool(abs(total - sums_w[0]) < 1e-6 * total)),
+            ("recommended", lists.count(), bool(in_order)),
+        ],
+        "what string, n long, holds boolean",
+    )
+
+
 # --- metrics -----------------------------------------------------------------------
 
 TIME_PARTS = "behaviors known by_time time_train time_test"
@@ -406,13 +527,52 @@ def _(t):
     return _ranking(metrics.evaluate_ranking(model.recommend(test, n=5), test)).select("map_at_k", "users")
 
 
+SPLIT_SCORES = (
+    "SELECT user_id, article_id, score FROM scored s WHERE user_id % 10 <> 3 AND EXISTS (SELECT 1 FROM hash_train h "
+    "WHERE h.user_id = s.user_id AND h.article_id = s.article_id)"
+)
+
+
+def bias_on_split(body: str) -> str:
+    """``body`` after the bias model of the train part without a tenth of the users."""
+    cells = oracle.CTES["cells"].replace("FROM scored", f"FROM ({SPLIT_SCORES}) q")
+    ctes = with_ctes(f"{SCORED} hash_train hash_test", "SELECT 1")
+    rest = "".join(f",\n{n} AS ({oracle.CTES[n]})" for n in ("mu", "b_u", "b_i", "rec_bias"))
+    return ctes.replace("\nSELECT 1", f",\ncells AS ({cells}){rest}\n{body}")
+
+
+def bias_of_split(t) -> tuple[UserItemBias, DataFrame]:
+    train, test = splits.random_split(known(t), 0.3)
+    pairs = train.select("user_id", "article_id").distinct()
+    return UserItemBias(scored(t).where("user_id % 10 <> 3").join(pairs, ["user_id", "article_id"], "left_semi")).fit(), test
+
+
 @query(
     "k7_bias_metrics",
-    with_ctes(f"{BIAS} rec_bias", ranking_evaluated("rec_bias", "known", users="b_u")),
+    bias_on_split(ranking_evaluated("rec_bias", "hash_test", users="b_u")),
 )
 def _(t):
-    model = UserItemBias(scored(t)).fit()
-    return _ranking(metrics.evaluate_ranking(model.recommend(n=5), known(t), users=model.user_biases))
+    model, test = bias_of_split(t)
+    return _ranking(metrics.evaluate_ranking(model.recommend(n=5), test, users=model.user_biases))
+
+
+# A tenth of the users is unknown to the model: it isn't asked for them.
+@query("k6_bias_evaluate", bias_on_split(evaluated("rec_bias", "hash_test", users="b_u")))
+def _(t):
+    model, test = bias_of_split(t)
+    return _evaluation(experiments.evaluate_model(model, test, 5))
+
+
+@query(
+    "k6_profile_evaluate",
+    with_ctes(f"{PROFILE} rec_profile user_test", "SELECT 1").replace(
+        "\nSELECT 1", ",\nscorable AS (SELECT user_id FROM user_train GROUP BY user_id HAVING coalesce(sum(score), 1) <> 0)\n"
+        + evaluated("rec_profile", "user_test", users="scorable"),
+    ),
+)
+def _(t):
+    model = WeightedProfiles(scored(t), t.vectors).fit()
+    return _evaluation(experiments.evaluate_model(model, model.test, 5))
 
 
 HASH_CF = "behaviors known hash_train hash_test"

@@ -184,11 +184,11 @@ def _(t):
 
 @query(
     "b15_prefixed_topics",
-    "SELECT vec_id AS article_id, max((t = 1)::INT) AS topic_1, max((t = 2)::INT) AS topic_2, max((t = 12)::INT) AS topic_12 "
+    "SELECT vec_id AS article_id, " + ", ".join(f"max((t = {v})::INT) AS topic_{v}" for v in range(17)) + " "
     "FROM (SELECT vec_id, label AS t FROM embeddings UNION ALL SELECT vec_id, 10 + vec_id % 7 FROM embeddings) GROUP BY vec_id",
 )
 def _(t):
-    wide = t.topics.groupBy("article_id").pivot("topic", [1, 2, 12]).agg(F.first(F.lit(1))).na.fill(0)
+    wide = t.topics.groupBy("article_id").pivot("topic", list(range(17))).agg(F.first(F.lit(1))).na.fill(0)
     return clean.prefix_columns(wide, "topic_", ["article_id"])
 
 
@@ -233,14 +233,17 @@ def _(t):
 @query(
     "c5_articles_with_vectors",
     with_ctes("articles", """
-SELECT article_id, CAST(category AS DOUBLE) AS category, CAST(premium AS DOUBLE) AS premium, len(embedding) AS width
-FROM articles JOIN embeddings ON vec_id = article_id"""),
+SELECT article_id, CAST(category AS DOUBLE) AS category, CAST(premium AS DOUBLE) AS premium,
+  CAST(epoch_us(published_time) AS DOUBLE) AS published_time, d, round(x, 6) AS x
+FROM (SELECT a.*, unnest(embedding)::DOUBLE AS x, generate_subscripts(embedding, 1)::INT AS d
+      FROM articles a JOIN embeddings ON vec_id = article_id) q"""),
 )
 def _(t):
     from newsloom.models.cosine import article_embeddings
 
     items = article_embeddings(t.articles, t.vectors)
-    return items.select("article_id", "category", "premium", F.size("vec").cast("long").alias("width"))
+    dims = items.select("article_id", "category", "premium", "published_time", F.posexplode("vec").alias("d", "x"))
+    return dims.withColumns({"d": F.col("d") + 1, "x": rounded("x", "x")})
 
 
 @query(
@@ -326,15 +329,20 @@ def _(t):
 @query(
     "d11_history_wide",
     with_ctes("behaviors known", """
-SELECT user_id, round(coalesce(sum(read_time) FILTER (WHERE article_id = 1), 0), 6) AS article_1,
-  round(coalesce(sum(read_time) FILTER (WHERE article_id = 2), 0), 6) AS article_2,
-  round(coalesce(sum(read_time) FILTER (WHERE article_id = 3), 0), 6) AS article_3
-FROM known GROUP BY user_id"""),
+SELECT u.user_id, a.article_id, round(coalesce(s.score, 0), 6) AS score
+FROM (SELECT DISTINCT user_id FROM known) u CROSS JOIN (SELECT DISTINCT article_id FROM known) a
+LEFT JOIN (SELECT user_id, article_id, sum(read_time) AS score FROM known GROUP BY ALL) s
+  ON s.user_id = u.user_id AND s.article_id = a.article_id"""),
 )
 def _(t):
     long = interactions.history_interactions(t.history)
-    wide = long.groupBy("user_id").pivot("article_id", [1, 2, 3]).agg(F.sum("score")).na.fill(0.0)
-    return wide.select("user_id", *[rounded(str(i), f"article_{i}") for i in (1, 2, 3)])
+    wide = long.groupBy("user_id").pivot("article_id").agg(F.sum("score")).na.fill(0.0)
+    # Back to rows, to compare every column of the wide form.
+    articles = [c for c in wide.columns if c != "user_id"]
+    cells = F.inline(F.array(*[F.struct(F.lit(int(c)).alias("article_id"), F.col(c).alias("score")) for c in articles]))
+    return wide.select("user_id", cells).select(
+        "user_id", F.col("article_id").cast("long").alias("article_id"), rounded("score", "score")
+    )
 
 
 @query(
@@ -365,18 +373,20 @@ def _(t):
     )
 
 
+DESCRIBED = ["impression_id", "user_id", "article_id", "read_time", "scroll_percentage", "age"]
+
+
 @query(
     "d18_describe",
     with_ctes("behaviors", """
-SELECT 'count' AS summary, CAST(count(read_time) AS DOUBLE) AS read_time, CAST(count(scroll_percentage) AS DOUBLE) AS scroll_percentage FROM behaviors
-UNION ALL SELECT 'mean', round(avg(read_time), 6), round(avg(scroll_percentage), 6) FROM behaviors
-UNION ALL SELECT 'stddev', round(stddev_samp(read_time), 6), round(stddev_samp(scroll_percentage), 6) FROM behaviors
-UNION ALL SELECT 'min', min(read_time), min(scroll_percentage) FROM behaviors
-UNION ALL SELECT 'max', max(read_time), max(scroll_percentage) FROM behaviors"""),
+""" + "\nUNION ALL ".join(
+        f"SELECT '{name}' AS summary, " + ", ".join(f"round(CAST({sql}({c}) AS DOUBLE), 6) AS {c}" for c in DESCRIBED) + " FROM behaviors"
+        for name, sql in (("count", "count"), ("mean", "avg"), ("stddev", "stddev_samp"), ("min", "min"), ("max", "max"))
+    )),
 )
 def _(t):
-    described = t.behaviors.select("read_time", "scroll_percentage").summary("count", "mean", "stddev", "min", "max")
-    return described.select("summary", rounded("read_time", "read_time"), rounded("scroll_percentage", "scroll_percentage"))
+    described = t.behaviors.select(DESCRIBED).summary("count", "mean", "stddev", "min", "max")
+    return described.select("summary", *[rounded(c, c) for c in DESCRIBED])
 
 
 @query(
@@ -435,6 +445,57 @@ def _(t):
     return rows(train, True).unionByName(rows(test, False))
 
 
+MISSING = "CASE WHEN impression_id % {} = 0 THEN NULL ELSE {} END"
+
+
+def with_missing(t, column: str, every: int):
+    """Raw behaviors in which each ``every``-th impression lacks ``column``."""
+    lacking = F.when(F.col("impression_id") % every != 0, F.col(column))
+    return t.behaviors.withColumns({"row": F.col("impression_id"), column: lacking})
+
+
+def both_parts(train, test, *columns: str):
+    part = lambda df, name: df.select(*columns, F.lit(name).alias("part"))
+    return part(train, "train").unionByName(part(test, "test"))
+
+
+@query(
+    "e1_random_split_nulls",
+    with_ctes("behaviors", f"""
+SELECT impression_id AS "row", user_id, CASE WHEN impression_id % 7 <> 0 AND {hash_of('impression_id')} < 0.3::DOUBLE
+  THEN 'test' ELSE 'train' END AS part FROM behaviors"""),
+)
+def _(t):
+    return both_parts(*splits.random_split(with_missing(t, "impression_id", 7), 0.3), "row", "user_id")
+
+
+@query(
+    "e2_time_split_nulls",
+    with_ctes("behaviors", f"""
+SELECT impression_id AS "row", user_id, CASE WHEN nth <= CAST(floor(n * 0.3::DOUBLE) AS BIGINT) THEN 'test' ELSE 'train' END AS part
+FROM (SELECT *, row_number() OVER (ORDER BY {MISSING.format(11, 'impression_time')} NULLS FIRST, impression_id) AS nth,
+        count(*) OVER () AS n FROM behaviors) q"""),
+)
+def _(t):
+    return both_parts(*splits.time_split(with_missing(t, "impression_time", 11), test_ratio=0.3), "row", "user_id")
+
+
+@query(
+    "e4_user_time_split_hot",
+    with_ctes("behaviors", f"""
+SELECT impression_id, coalesce(who, -1) AS user_id,
+  nth <= CASE WHEN n < 2 THEN n ELSE least(CAST(floor(n * 0.8::DOUBLE) AS BIGINT), n - 1) END AS in_train
+FROM (SELECT *, row_number() OVER (PARTITION BY who ORDER BY impression_time, impression_id) AS nth, count(*) OVER (PARTITION BY who) AS n
+      FROM (SELECT *, {MISSING.format(5, 'user_id')} AS who FROM behaviors) b) q"""),
+)
+def _(t):
+    # Nearly every group is hot, the one without a user among them.
+    train, test = splits.user_time_split(with_missing(t, "user_id", 5), 0.8, id_column="impression_id", hot_rows=2)
+    user = F.coalesce("user_id", F.lit(-1)).alias("user_id")
+    rows = lambda df, flag: df.select("impression_id", user, F.lit(flag).alias("in_train"))
+    return rows(train, True).unionByName(rows(test, False))
+
+
 @query("e5_current_article", with_ctes("behaviors known current", "SELECT user_id, current FROM current"))
 def _(t):
     from newsloom.models import RingBuffer
@@ -458,9 +519,15 @@ def _(t):
     return most_read(popularity(t.big_behaviors), 100)
 
 
-@query("f8_schema", "SELECT column_name AS \"column\" FROM (DESCRIBE SELECT * FROM events)")
+@query(
+    "f8_schema",
+    """
+SELECT column_name AS "column", CASE column_type WHEN 'BIGINT' THEN 'bigint' WHEN 'DOUBLE' THEN 'double' WHEN 'VARCHAR' THEN 'string'
+  WHEN 'TIMESTAMP' THEN 'timestamp_ntz' WHEN 'INTEGER' THEN 'int' ELSE lower(column_type) END AS dtype
+FROM (DESCRIBE SELECT * FROM events)""",
+)
 def _(t):
-    return explore.schema_table(t.table("events")).select("column")
+    return explore.schema_table(t.table("events"))
 
 
 @query(
@@ -551,6 +618,23 @@ def _(t):
     return interactions.binary_matrix(t.behaviors, t.users, t.articles)
 
 
+@query(
+    "h2_negatives",
+    with_ctes("behaviors known articles", f"""
+SELECT user_id, article_id, 1 AS clicked FROM known WHERE article_id IN (SELECT article_id FROM articles)
+UNION ALL
+SELECT user_id, article_id, 0 FROM (
+  SELECT u.user_id, a.article_id, row_number() OVER (PARTITION BY u.user_id
+    ORDER BY (a.place - CAST(floor({hash_of('u.user_id')} * a.n) AS BIGINT) + a.n) % a.n) AS nth
+  FROM (SELECT DISTINCT user_id FROM events) u
+  CROSS JOIN (SELECT article_id, row_number() OVER (ORDER BY article_id) - 1 AS place, count(*) OVER () AS n FROM articles) a
+  WHERE NOT EXISTS (SELECT 1 FROM known k WHERE k.user_id = u.user_id AND k.article_id = a.article_id)) q
+WHERE nth <= 5"""),
+)
+def _(t):
+    return interactions.binary_matrix(t.behaviors, t.users, t.articles, negatives_per_user=5)
+
+
 @query(
     "h2_click_counts",
     with_ctes("behaviors known articles", """

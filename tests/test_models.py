@@ -271,16 +271,24 @@ def test_click_model_equals_fit_on_all_pairs(spark):
     behaviors = spark.createDataFrame(log, "user_id long, article_id long")
     users, listed = users_of(spark, *range(20)), spark.createDataFrame([(a,) for a, _ in items], "article_id long")
     vecs = vectors(spark, items)
-    model = ClickModel(behaviors, users, listed, vecs, n_components=5).fit()
-    literal = binary_matrix(behaviors, users, listed).join(vecs, "article_id").select(
-        F.col("clicked").cast("double").alias("label"), array_to_vector(F.col("document_vector").cast("array<double>")).alias("v")
-    )
-    reduced = model.pipeline.stages[0].setInputCol("v").setOutputCol("r").transform(literal)
+    model = ClickModel(behaviors, users, listed, vecs, n_components=3).fit()
+    # An independent fit on every pair: components of the expanded rows, then the regression.
+    literal = binary_matrix(behaviors, users, listed).join(vecs, "article_id").toPandas()
+    x = np.array(literal["document_vector"].tolist(), float)
+    _, axes = np.linalg.eigh(np.cov(x.T, bias=True))
+    axes = axes[:, ::-1][:, :3]
+    assert model.components @ model.components.T == pytest.approx(axes @ axes.T, abs=1e-6)
+    reduced = spark.createDataFrame(
+        [(float(c), v.tolist(), int(a)) for c, v, a in zip(literal["clicked"], (x - x.mean(axis=0)) @ axes, literal["article_id"])],
+        "label double, v array<double>, article_id long",
+    ).withColumn("r", array_to_vector("v"))
     expected = LogisticRegression(featuresCol="r", labelCol="label", regParam=PENALTY, standardization=False).fit(reduced)
-    assert model.pipeline.stages[1].coefficients.toArray() == pytest.approx(expected.coefficients.toArray(), abs=1e-4)
+    wanted = {r["article_id"]: r["probability"][1] for r in expected.transform(reduced).collect()}
+    for row in model.ranked.collect():
+        assert row["prediction"] == pytest.approx(wanted[row["article_id"]], abs=1e-4)
     got = model.recommend(n=5)
     clicked = {(u, a) for u, a in log}
     assert not [r for r in got.collect() if (r["user_id"], r["article_id"]) in clicked]
     assert got.groupBy("user_id").count().where("count <> 5").isEmpty()
-    again = ClickModel(behaviors, users, listed, vecs, n_components=5).fit(counts=click_counts(behaviors, users, listed))
+    again = ClickModel(behaviors, users, listed, vecs, n_components=3).fit(counts=click_counts(behaviors, users, listed))
     assert lists(again.recommend(n=5)) == lists(got)
