@@ -12,11 +12,43 @@ from newsloom.plans.given_tables import GivenTables
 from newsloom.plans.registry import scratch
 from newsloom.session import pin
 from newsloom.sources.csv_tables import write_csv
+from newsloom.sources.dataset import ARTICLES_FILE, TRAIN_FILE, VALIDATION_FILE, VECTORS_FILE, Dataset
 from newsloom.sources.metric_log import RANKING_METRICS
+from newsloom.sources.schemas import ARTICLES, BEHAVIORS, DOCUMENT_VECTOR
 from newsloom.streaming.click_counts import ClickCounts
 from newsloom.streaming.last_rows import last_rows, run_to_table, shard_buffers
 
 
+def standard_set(t: GivenTables) -> Dataset:
+    """The given tables written as the standard set, with all its columns, and loaded again."""
+    folder = scratch(t.spark, "standard-set")
+
+    def full(df: DataFrame, schema, **more) -> DataFrame:
+        """``df`` with the columns of ``schema``: its own, those of ``more``, null otherwise."""
+        have = {c: F.col(c) for c in df.columns} | more
+        return df.select(*[have.get(f.name, F.lit(None)).cast(f.dataType).alias(f.name) for f in schema.fields])
+
+    number = F.col("article_id").cast("string")
+    articles = full(
+        t.articles.join(t.topic_lists.select("article_id", "topics"), "article_id"),
+        ARTICLES,
+        title=F.concat(F.lit("title "), number),
+        body=F.concat(F.lit("body "), number),
+        last_modified_time=F.col("published_time"),
+        total_inviews=F.col("article_id") * 2,
+        sentiment_score=F.col("article_id") / 8,
+    )
+    parts = {
+        ARTICLES_FILE: articles,
+        VECTORS_FILE: full(t.vectors, DOCUMENT_VECTOR),
+        TRAIN_FILE: full(t.train, BEHAVIORS, device_type=F.lit(1), session_id=F.col("impression_id") * 3),
+        VALIDATION_FILE: full(t.validation, BEHAVIORS, device_type=F.lit(2), session_id=F.col("impression_id") * 3),
+    }
+    for name, df in parts.items():
+        df.write.parquet(f"{folder}/{name}")
+    return Dataset.load(t.spark, folder)
+
+
 def as_metric_rows(evaluation: DataFrame, model: str) -> DataFrame:
     """(model, metric, value) rows of an ``evaluate`` result."""
     entries = F.array(
@@ -99,11 +131,19 @@ def variant_grid(
     return out
 
 
+# Files, and so micro-batches, that the events are streamed in.
+STREAM_FILES = 3
+
+
 def event_stream(t: GivenTables) -> DataFrame:
-    """The events as a file stream, read as behaviors without home-page rows."""
-    schema = t.table("events").schema
-    # Streams want a pattern rather than one file's name.
-    rows = t.spark.readStream.schema(schema).option("maxFilesPerTrigger", 1).parquet(f"{t.root}/events*.parquet")
+    """The events as a file stream, read as behaviors without home-page rows.
+
+    The table is written in several files first, so that there are several micro-batches.
+    """
+    events = t.table("events")
+    folder = scratch(t.spark, "stream-events")
+    events.repartitionByRange(STREAM_FILES, "event_id").write.parquet(folder)
+    rows = t.spark.readStream.schema(events.schema).option("maxFilesPerTrigger", 1).parquet(folder)
     return t.as_behaviors(rows).where("article_id IS NOT NULL")
 
 

@@ -454,6 +454,31 @@ def _(t):
     )
 
 
+@query("j9_precomputed_ranking", with_ctes("behaviors known dims norms cos_profiles cos_norms rec_cos", RECS + "rec_cos WHERE rank <= 3"))
+def _(t):
+    # The ranking is made at the fit, five deep; recommending only cuts it.
+    return recs(CosineProfiles(known(t), t.articles, t.vectors).fit(top_k=5).recommend(n=3))
+
+
+@query(
+    "j2_buffer_reads",
+    with_ctes("behaviors known buffer", """
+SELECT 'slot 3' AS what, impression_id AS value FROM buffer WHERE slot = 3
+UNION ALL SELECT 'length', count(*) FROM buffer
+UNION ALL SELECT 'cleared', 0
+UNION ALL SELECT 'popular', article_id FROM (SELECT article_id FROM buffer GROUP BY article_id ORDER BY count(*) DESC, article_id LIMIT 1) p"""),
+)
+def _(t):
+    model = RingBuffer(known(t), 10).fit()
+    row = lambda df, what, column: df.select(F.lit(what).alias("what"), F.col(column).alias("value"))
+    return (
+        row(model.slot(3), "slot 3", "impression_id")
+        .unionByName(row(model.length(), "length", "length"))
+        .unionByName(row(model.cleared().length(), "cleared", "length"))
+        .unionByName(row(model.most_popular(1), "popular", "article_id"))
+    )
+
+
 # --- metrics -----------------------------------------------------------------------
 
 TIME_PARTS = "behaviors known by_time time_train time_test"

@@ -200,6 +200,67 @@ def _(t):
     return interactions.clicked_pairs(t.behaviors).where("clicked = 1").groupBy("user_id").agg(F.count("*").alias("clicks"))
 
 
+def standard(t):
+    return clean.clean_standard_set(experiments.standard_set(t))
+
+
+@query(
+    "a2_standard_articles",
+    with_ctes("articles", """
+SELECT CAST(article_id AS INTEGER) AS article_id, 'title ' || article_id AS title, published_time AS last_modified_time, premium, published_time,
+  CAST(category AS INTEGER) AS category, round(article_id / 8, 6) AS sentiment_score,
+  CASE WHEN article_id % 10 = 0 THEN 0 ELSE 2 END AS n_topics FROM articles"""),
+)
+def _(t):
+    found, _vectors, _behaviors = standard(t)
+    return found.select(
+        "article_id",
+        F.concat(F.lit("title "), F.col("article_id").cast("string")).alias("title"),
+        "last_modified_time",
+        "premium",
+        "published_time",
+        "category",
+        rounded("sentiment_score", "sentiment_score"),
+        (F.size("topics") if "topics" in found.columns else F.lit(-1)).alias("n_topics"),
+    )
+
+
+@query(
+    "a2_standard_vectors",
+    "SELECT CAST(vec_id AS INTEGER) AS article_id, d, round(x, 6) AS x FROM (SELECT vec_id, unnest(embedding)::DOUBLE AS x, "
+    "generate_subscripts(embedding, 1)::INT AS d FROM embeddings) q",
+)
+def _(t):
+    _articles, vectors, _behaviors = standard(t)
+    dims = vectors.select("article_id", F.posexplode("document_vector").alias("d", "x"))
+    return dims.select("article_id", (F.col("d") + 1).alias("d"), rounded("x", "x"))
+
+
+@query(
+    "b3_standard_set_behaviors",
+    with_ctes("behaviors known", """
+SELECT impression_id, CAST(article_id AS INTEGER) AS article_id, impression_time, round(CAST(read_time AS FLOAT)::DOUBLE, 2) AS read_time,
+  CASE WHEN impression_id % 5 = 0 THEN 2 ELSE 1 END AS device_type, user_id FROM known"""),
+)
+def _(t):
+    _articles, _vectors, rows = standard(t)
+    return rows.select(
+        "impression_id", "article_id", "impression_time", F.round(F.col("read_time").cast("double"), 2).alias("read_time"),
+        F.col("device_type").cast("int").alias("device_type"), "user_id",
+    )
+
+
+@query(
+    "g12_prefix_columns",
+    "SELECT vec_id AS article_id, " + ", ".join(f"max((t = {v})::INT) AS topic_{v}" for v in range(17)) + " "
+    "FROM (SELECT vec_id, label AS t FROM embeddings UNION ALL SELECT vec_id, 10 + vec_id % 7 FROM embeddings) GROUP BY vec_id",
+)
+def _(t):
+    # The one-hot columns are found again by their prefix among others.
+    wide = interactions.topic_features(t.articles.withColumn("views", F.lit(1)), t.topics, values=list(range(17)))
+    return wide.select("article_id", *clean.columns_starting(wide, "topic_"))
+
+
 # --- joins -------------------------------------------------------------------------
 
 
@@ -678,6 +739,22 @@ def _(t):
     return interactions.topic_features(t.topic_lists, values=TOPIC_VALUES)
 
 
+@query(
+    "h6_topic_full_articles",
+    with_ctes("articles", "SELECT CAST(article_id AS INTEGER) AS article_id, premium::INT AS premium, CAST(category AS INTEGER) AS category, "
+    "round(article_id / 8, 6) AS sentiment_score, (article_id % 10 = 0)::INT AS topic_null, "
+    + ", ".join(
+        f"(article_id % 10 <> 0 AND (category = {v} OR 10 + article_id % 7 = {v}))::INT AS topic_{v}" for v in range(17)
+    )
+    + " FROM articles"),
+)
+def _(t):
+    # All columns of the full article schema that aren't features are left out.
+    values = [None, *[str(v) for v in range(17)]]
+    found = interactions.topic_features(experiments.standard_set(t).articles, values=values)
+    return found.withColumn("sentiment_score", F.round(F.col("sentiment_score").cast("double"), 6))
+
+
 # --- exploration -------------------------------------------------------------------
 
 

@@ -80,12 +80,14 @@ def last_rows(updates: DataFrame, size: int = 10) -> DataFrame:
 def run_to_table(updates: DataFrame, path: str, checkpoint: str) -> None:
     """Write all that is available now to ``path`` and stop.
 
-    The file sink appends only, so each micro-batch's updates go through foreachBatch;
-    a batch has its own folder, which a retried batch overwrites rather than repeats.
+    The file sink appends only, so each micro-batch's updates go through foreachBatch. A
+    shard has its own folder, which its next update replaces: the table stays at
+    shards x size rows however long the stream runs, and a retried batch writes the same.
     """
 
     def store(batch: DataFrame, batch_id: int) -> None:
-        batch.write.mode("overwrite").parquet(f"{path}/batch={batch_id}")
+        writer = batch.write.mode("overwrite").option("partitionOverwriteMode", "dynamic")
+        writer.partitionBy("shard").parquet(path)
 
     query = (
         updates.writeStream.outputMode("update")
