@@ -2,13 +2,9 @@
 
 from __future__ import annotations
 
-import csv
-from functools import reduce
-from urllib.parse import unquote
-
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Window as W
 from pyspark.sql import functions as F
-from pyspark.sql import types as T
 
 from newsloom.functions import file_label
 
@@ -21,32 +17,14 @@ def write_csv(df: DataFrame, path: str, mode: str = "overwrite", one_file: bool
     (df.coalesce(1) if one_file else df).write.mode(mode).option("header", True).csv(path)
 
 
-def _csv_paths(spark: SparkSession, folder: str, pattern: str) -> list[str]:
-    """Names of the files matching ``pattern``, from the file listing alone."""
-    jvm = spark._jvm
-    path = jvm.org.apache.hadoop.fs.Path(f"{folder.rstrip('/')}/{pattern}")
-    found = path.getFileSystem(spark._jsc.hadoopConfiguration()).globStatus(path)
-    return sorted(f.getPath().toString() for f in (found or []) if f.isFile())
+# A comma outside of double quotes.
+COMMA = ',(?=(?:[^"]*"[^"]*")*[^"]*$)'
 
 
-def _headers(spark: SparkSession, paths: list[str]) -> list[tuple[str, str]]:
-    """(path, first line) of each file that has a line, in one job for all of them."""
-    if not paths:
-        return []
-    lines = spark.read.option("ignoreCorruptFiles", True).text(paths)
-    first = (
-        lines.select(
-            F.col("_metadata.file_path").alias("path"),
-            F.col("_metadata.file_block_start").alias("begin"),
-            F.monotonically_increasing_id().alias("at"),
-            "value",
-        )
-        .where("begin = 0")
-        .groupBy("path")
-        .agg(F.min_by("value", "at").alias("line"))
-        .orderBy("path")
-    )
-    return [(unquote(row["path"]), row["line"]) for row in first.collect() if row["line"]]
+def _cells(line: Column) -> Column:
+    """The cells of a CSV line, without their quotes."""
+    plain = lambda x: F.regexp_replace(F.regexp_replace(x, '^"(.*)"$', "$1"), '""', '"')
+    return F.transform(F.split(line, COMMA, -1), plain)
 
 
 def merge_run_logs(
@@ -54,27 +32,34 @@ def merge_run_logs(
 ) -> DataFrame | None:
     """Stack CSV run logs, with model and method taken from each file's name.
 
-    Files are read together when their headers agree, one scan per distinct header.
-    A column that a file lacks is null; a file that cannot be read is skipped. Returns
-    None when the folder holds no such file.
+    All files are read in one scan; each line meets the first line of its file, whatever
+    headers there are, and nothing about single files reaches the driver. A column that a
+    file lacks is null; a file that cannot be read is skipped. Returns None when the
+    folder holds no such line.
     """
     wanted = columns or RUN_LOG_COLUMNS
-    by_header: dict[tuple[str, ...], list[str]] = {}
-    for path, line in _headers(spark, _csv_paths(spark, folder, pattern)):
-        by_header.setdefault(tuple(next(csv.reader([line]))), []).append(path)
-    if not by_header:
+    lines = (
+        spark.read.option("ignoreCorruptFiles", True)
+        .option("pathGlobFilter", pattern)
+        .text(folder)
+        .where("trim(value) <> ''")
+        .select(
+            F.col("_metadata.file_path").alias("path"),
+            F.col("_metadata.file_name").alias("file"),
+            F.struct(F.col("_metadata.file_block_start"), F.monotonically_increasing_id()).alias("at"),
+            "value",
+        )
+    )
+    if lines.isEmpty():
         return None
-
-    def group(header: tuple[str, ...], paths: list[str]) -> DataFrame:
-        schema = T.StructType([T.StructField(c, T.StringType()) for c in header])
-        rows = spark.read.schema(schema).option("header", True).option("ignoreCorruptFiles", True).csv(paths)
-        model, method = file_label(F.col("_metadata.file_name"))
-        kept = [F.expr(f"try_cast(`{c}` AS double)").alias(c) for c in wanted if c in header]
-        return rows.select(model.alias("model"), method.alias("method"), *kept)
-
-    parts = [group(header, paths) for header, paths in sorted(by_header.items())]
-    merged = reduce(lambda a, b: a.unionByName(b, allowMissingColumns=True), parts)
-    for c in wanted:
-        if c not in merged.columns:
-            merged = merged.withColumn(c, F.lit(None).cast("double"))
-    return merged.select("model", "method", *wanted)
+    # A run log is one run's rows: a file's lines fit a task.
+    in_file = W.partitionBy("path").orderBy("at")
+    rows = (
+        lines.withColumns({"nth": F.row_number().over(in_file), "first": F.first("value").over(in_file)})
+        .where("nth > 1")
+        .withColumns({"names": _cells(F.col("first")), "cells": _cells(F.col("value"))})
+    )
+    model, method = file_label(F.col("file"))
+    cell = lambda c: F.get("cells", (F.array_position("names", c) - 1).cast("int"))
+    kept = [cell(c).try_cast("double").alias(c) for c in wanted]
+    return rows.select(model.alias("model"), method.alias("method"), *kept)
