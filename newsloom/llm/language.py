@@ -28,6 +28,7 @@ UNKNOWN = "und"
 # Labelled rows a language is learned from at most, and bytes of its dictionary.
 TRAIN_ROWS = 300
 DICTIONARY_BYTES = 1 << 14
+SALTS = 16
 BLOCK_BYTES = 512
 MIN_MARGIN = 0.005
 # Matches from three bytes on, found by binary tree: languages differ in short pieces.
@@ -69,7 +70,10 @@ def learn(
     keyed = labelled.select(
         F.col(lang).alias("lang"), F.col(doc_id).alias("doc_id"), F.xxhash64(F.col(doc_id)).cast("double").alias("key")
     )
-    chosen = [row["doc_id"] for row in top_n(keyed, "lang", "key", "doc_id", rows).select("doc_id").distinct().collect()]
+    # First within salted parts of a language, so that the last step sees a fixed number of rows of each.
+    salted = keyed.withColumn("part", F.concat_ws("/", "lang", F.pmod(F.xxhash64("doc_id", F.lit(1)), F.lit(SALTS))))
+    few = top_n(salted, "part", "key", "doc_id", rows).drop("rank")
+    chosen = [row["doc_id"] for row in top_n(few, "lang", "key", "doc_id", rows).select("doc_id").distinct().collect()]
     found: dict[str, list[bytes]] = {}
     picked = labelled.where(F.col(doc_id).isin(chosen)).select(
         F.col(lang).alias("lang"), F.col(doc_id).alias("doc_id"), F.substring(text, 1, dictionary_bytes).alias("text")
