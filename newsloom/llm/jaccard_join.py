@@ -43,7 +43,7 @@ EXTRA = 10
 SLICE_BYTES = 4 << 20
 # Shingles that one task sorts at once, and that one block of a cell holds.
 BUCKET_KEYS = 1_000_000
-BLOCK_SHINGLES = 500_000
+BLOCK_SHINGLES = 100_000
 # A shingle of so many points in one slice is ordered behind all others, without counting.
 HOT_IN_SLICE = 32
 HOT = 2**31 - 1
