@@ -7,7 +7,6 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from newsloom.models.base import check_fitted, distinct_users, ordered_list, unroll
-from newsloom.session import pin
 
 
 def popularity(behaviors: DataFrame) -> DataFrame:
@@ -31,7 +30,8 @@ class MostPopular:
         self.counts: DataFrame | None = None
 
     def fit(self) -> "MostPopular":
-        self.counts = pin(popularity(self.behaviors))
+        """Nothing is run: a recommendation reads the counts once, as one partial aggregate."""
+        self.counts = popularity(self.behaviors)
         return self
 
     def recommend(self, users: DataFrame | None = None, n: int = 5) -> DataFrame:

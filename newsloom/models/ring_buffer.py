@@ -7,11 +7,15 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from newsloom.models.base import check_fitted, distinct_users, ordered_list, unroll
-from newsloom.session import pin
 
 BUFFER_COLUMNS = ["impression_id", "impression_time", "user_id", "article_id"]
 
 
+def by_value(rows: DataFrame) -> DataFrame:
+    """A buffer's few rows kept apart from the log, so that reading them does not scan it again."""
+    return rows.sparkSession.createDataFrame(rows.collect(), rows.schema)
+
+
 class RingBuffer:
     """``keep='oldest'`` holds the n oldest rows, ``'newest'`` the n newest.
 
@@ -32,8 +36,7 @@ class RingBuffer:
         keys = ["impression_time", "impression_id"]
         order = [F.col(c).asc() if self.keep == "oldest" else F.col(c).desc() for c in keys]
         rows = self.behaviors.select(BUFFER_COLUMNS).orderBy(*order).limit(self.size)
-        # ``size`` rows, kept apart from the log so that reading them does not scan it again.
-        self.buffer = pin(rows.withColumn("slot", F.row_number().over(W.orderBy(*order))))
+        self.buffer = by_value(rows.withColumn("slot", F.row_number().over(W.orderBy(*order))))
         return self
 
     def add_behaviors(self, rows: DataFrame) -> "RingBuffer":
@@ -49,7 +52,7 @@ class RingBuffer:
         # At most two buffers of rows go through this window.
         moved = moved.withColumn("slot", F.row_number().over(W.orderBy("_old", "slot"))).drop("_old")
         model = RingBuffer(self.behaviors.unionByName(rows.select(self.behaviors.columns)), self.size, self.keep)
-        model.buffer = pin(moved.where(F.col("slot") <= self.size))
+        model.buffer = by_value(moved.where(F.col("slot") <= self.size))
         return model
 
     def contents(self) -> DataFrame:
