@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
@@ -14,6 +16,8 @@ HOT_GROUP_ROWS = 1_000_000
 # Buckets of one round of the distributed search, and the rows it may leave to the last sort.
 SEARCH_BUCKETS = 1024
 SEARCH_TAIL_ROWS = 100_000
+# Two days.
+CLOCK_MICROS = 2 * 86_400_000_000
 # Rows of a common ranking that are broadcast.
 HEAD_ROWS = 10_000
 
@@ -81,11 +85,18 @@ def rank_within(
     return cool.select(shown).unionByName(hot.select(shown))
 
 
-def _narrow(df: DataFrame, value: Column, target: int, tail_rows: int) -> tuple[int, int, int]:
+def _narrow(
+    df: DataFrame,
+    value: Column,
+    target: int,
+    tail_rows: int,
+    near: Callable[[int, int], Column] = lambda low, high: F.lit(True),
+) -> tuple[int, int, int]:
     """A value range [low, high] that holds the ``target``-th smallest whole number.
 
     Returns the range and the rank of the target inside it. Each round is one scan
-    with a filter and an aggregate of at most SEARCH_BUCKETS rows.
+    with a filter and an aggregate of at most SEARCH_BUCKETS rows. ``near`` is a filter on
+    the raw column that holds for a range at least, for the scan to skip what is far off.
     """
     bounds = df.agg(F.min(value).alias("low"), F.max(value).alias("high"), F.count("*").alias("rows")).first()
     low, high, rows = int(bounds["low"]), int(bounds["high"]), bounds["rows"]
@@ -94,7 +105,7 @@ def _narrow(df: DataFrame, value: Column, target: int, tail_rows: int) -> tuple[
         bucket = F.expr(f"CAST((_v - {low}L) DIV {width}L AS int)")
         histogram = (
             df.withColumn("_v", value.cast("long"))
-            .where(F.col("_v").between(low, high))
+            .where(near(low, high) & F.col("_v").between(low, high))
             .groupBy(bucket.alias("b"))
             .agg(F.count("*").alias("rows"))
             .orderBy("b")
@@ -117,9 +128,15 @@ def nth_smallest(
     The range of times, then of ids, is narrowed by histograms until few rows are
     left; only those are sorted. The driver sees bucket counts and one row.
     """
-    micros = epoch_micros(F.col(time))
-    low, high, left = _narrow(df, micros, target, tail_rows)
-    within = df.where(micros.between(low, high))
+    micros, kind = epoch_micros(F.col(time)), dict(df.dtypes)[time]
+
+    def near(low: int, high: int) -> Column:
+        # Wider by more than any shift of a clock, since a time without zone is read in the session's.
+        first, last = (F.timestamp_micros(F.lit(x)).cast(kind) for x in (low - CLOCK_MICROS, high + CLOCK_MICROS))
+        return F.col(time).between(first, last)
+
+    low, high, left = _narrow(df, micros, target, tail_rows, near)
+    within = df.where(near(low, high) & micros.between(low, high))
     if low == high:
         # One instant: ids break the tie.
         first, last, left = _narrow(within, F.col(item), left, tail_rows)
