@@ -122,5 +122,53 @@ def test_best_unseen_equals_cross_join(spark, head_rows):
         assert [r["rank"] for r in mine] == list(range(1, len(free) + 1))
 
 
-def test_datetime_helper():
-    assert at(61) == datetime(2024, 1, 1, 0, 1, 1)
+@pytest.fixture(scope="module")
+def gaps(spark):
+    """Fifty rows, some without a time, an id or a user; some keys are negative."""
+    rows = []
+    for i in range(50):
+        time = None if i % 9 == 0 else at(i * 7 % 20)
+        rows.append((i, None if i % 6 == 5 else i - 25, time, None if i % 4 == 0 else i % 3))
+    return spark.createDataFrame(rows, "row long, impression_id long, impression_time timestamp_ntz, user_id long").repartition(3)
+
+
+def rows_of(df):
+    return sorted(r["row"] for r in df.collect())
+
+
+def test_random_split_is_complete(gaps):
+    train, test = splits.random_split(gaps, 0.4)
+    assert sorted(rows_of(train) + rows_of(test)) == list(range(50))
+    keyless = set(rows_of(gaps.where("impression_id IS NULL")))
+    assert keyless <= set(rows_of(train))
+    negative = set(rows_of(gaps.where("impression_id < 0")))
+    assert negative & set(rows_of(train)) and negative & set(rows_of(test))
+
+
+@pytest.mark.parametrize("ratio", [0.04, 0.1, 0.3, 0.5, 0.9, 1.0])
+def test_time_split_is_complete(gaps, ratio):
+    train, test = splits.time_split(gaps, test_ratio=ratio)
+    assert sorted(rows_of(train) + rows_of(test)) == list(range(50))
+    oldest = sorted(
+        gaps.collect(),
+        key=lambda r: (
+            r["impression_time"] is not None,
+            r["impression_time"] or datetime.min,
+            r["impression_id"] is not None,
+            r["impression_id"] or 0,
+        ),
+    )
+    n = int(50 * ratio)
+    cut = oldest[n - 1]
+    same = {r["row"] for r in oldest if (r["impression_time"], r["impression_id"]) == (cut["impression_time"], cut["impression_id"])}
+    # Rows without either can't be told apart; they fall together.
+    assert set(rows_of(test)) == {r["row"] for r in oldest[:n]} | same
+
+
+@pytest.mark.parametrize("hot_rows", [1_000_000, 3])
+def test_user_time_split_is_complete(gaps, hot_rows):
+    train, test = splits.user_time_split(gaps, 0.5, id_column="row", hot_rows=hot_rows)
+    assert train.columns == test.columns == gaps.columns
+    assert sorted(rows_of(train) + rows_of(test)) == list(range(50))
+    nobody = rows_of(gaps.where("user_id IS NULL"))
+    assert len(set(nobody) & set(rows_of(train))) == len(nobody) // 2
