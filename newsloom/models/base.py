@@ -31,12 +31,6 @@ def distinct_users(users: DataFrame) -> DataFrame:
     return users.select(F.col("user_id").cast("long").alias("user_id")).where("user_id IS NOT NULL").distinct()
 
 
-def known_pairs(df: DataFrame) -> DataFrame:
-    """Distinct (user_id, article_id) of rows that name both."""
-    pairs = df.select(F.col("user_id").cast("long").alias("user_id"), F.col("article_id").cast("long").alias("article_id"))
-    return pairs.dropna().distinct()
-
-
 def ordered_list(ranked: DataFrame, *columns: str) -> Column:
     """The rows of a short ranked table as one array, in the order of ``columns[0]``.
 

@@ -18,7 +18,8 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from newsloom.functions import best_first
-from newsloom.models.base import check_fitted, distinct_users, known_pairs
+from newsloom.models.base import check_fitted, distinct_users
+from newsloom.operators.clean import known_pairs
 from newsloom.operators.interactions import click_counts
 from newsloom.operators.ranking import best_unseen, global_rank
 from newsloom.session import pin

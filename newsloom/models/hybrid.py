@@ -32,11 +32,12 @@ class PopularityUserCF(UserCF):
         top_n = max(POPULAR_LIST, 2 * n) if top_n is None else top_n
         own = super().recommend(users, n, allow_read_articles)
         lists = own.groupBy("user_id").agg(F.sort_array(F.collect_list(F.struct("rank", "article_id", "score"))).alias("own"))
-        popular = most_read(popularity(self.interactions), top_n).select(
+        popular = most_read(popularity(self.scored), top_n).select(
             "position", F.col("article_id").cast("long").alias("article_id"), (-F.col("position")).cast("double").alias("score")
         )
         fill = ordered_list(popular, "position", "article_id", "score")
-        who = distinct_users(self.interactions if users is None else users)
+        # The pinned scores have the rows of the interactions.
+        who = distinct_users(self.scored if users is None else users)
         listed = who.join(lists, "user_id", "left").withColumn("popular", fill)
         pair = lambda x: F.struct(x["article_id"].alias("article_id"), x["score"].alias("score"))
         # Both arrays are short: n entries and top_n entries.

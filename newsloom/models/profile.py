@@ -8,7 +8,8 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from newsloom.functions import cosine, l2_norm, l2_normalise
-from newsloom.models.base import check_fitted, distinct_users, known_pairs
+from newsloom.models.base import check_fitted, distinct_users
+from newsloom.operators.clean import known_pairs
 from newsloom.operators.splits import user_time_split
 from newsloom.operators.vector_search import best_by_dot
 from newsloom.session import pin

@@ -51,6 +51,8 @@ class TopicCF:
         )
         if not allow_read_articles:
             offers = offers.join(read.select("user_id", "article_id"), ["user_id", "article_id"], "left_anti")
+        # The stops and the scores both read the offers.
+        offers = pin(offers)
         new_by_step = (
             offers.groupBy("user_id", "article_id")
             .agg(F.min("step").alias("step"))

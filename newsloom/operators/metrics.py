@@ -9,7 +9,7 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from newsloom.functions import rank_discount
-from newsloom.models.base import known_pairs
+from newsloom.operators.clean import known_pairs
 from newsloom.operators.splits import sample_users
 
 

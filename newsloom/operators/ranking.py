@@ -185,6 +185,10 @@ def best_unseen(
     # Nearly all places wanted are at the head of the ranking, where every user asks for the
     # same few: that head has a fixed size and is broadcast, so no hot place is shuffled.
     head = ranked_items.where(F.col("position") <= head_rows)
+    if ranked_items.where(F.col("position") > head_rows).isEmpty():
+        return turns.join(F.broadcast(head), "position").drop("position")
+    # Two joins read the turns, which are n rows per user: they are made once.
+    turns = pin(turns)
     near = turns.where(F.col("position") <= head_rows).join(F.broadcast(head), "position")
     far = turns.where(F.col("position") > head_rows).join(ranked_items, "position")
     return near.unionByName(far).drop("position")

@@ -17,7 +17,6 @@ from newsloom.functions import (
     truncated_share,
     unit_hash,
 )
-from newsloom.models.base import known_pairs
 from newsloom.models.popularity import most_read, popularity
 from newsloom.models.profile import mean_vectors
 from newsloom.operators import clean, explore, interactions, splits
@@ -177,7 +176,7 @@ SELECT user_id, count(DISTINCT article_id) AS read_listed,
 FROM known u WHERE article_id IN (SELECT vec_id FROM embeddings) GROUP BY user_id"""),
 )
 def _(t):
-    pairs = known_pairs(t.behaviors).join(t.articles.select("article_id"), "article_id", "left_semi")
+    pairs = clean.known_pairs(t.behaviors).join(t.articles.select("article_id"), "article_id", "left_semi")
     listed = t.articles.agg(F.count("*")).scalar()
     return pairs.groupBy("user_id").agg(F.count("*").alias("read_listed")).withColumn("unread", listed - F.col("read_listed"))
 
@@ -455,7 +454,7 @@ def _(t):
     with_ctes("behaviors known", "SELECT user_id, count(DISTINCT article_id) AS items, CAST(sum(DISTINCT article_id) AS BIGINT) AS id_sum FROM known GROUP BY user_id"),
 )
 def _(t):
-    return known_pairs(t.behaviors).groupBy("user_id").agg(F.count("*").alias("items"), F.sum("article_id").alias("id_sum"))
+    return clean.known_pairs(t.behaviors).groupBy("user_id").agg(F.count("*").alias("items"), F.sum("article_id").alias("id_sum"))
 
 
 # --- splits and samples ------------------------------------------------------------
