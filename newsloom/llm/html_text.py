@@ -37,6 +37,8 @@ ASIDE_WORDS = frozenset(
     "subscribe subscription signup login comment comments respond reply replies disqus discussion search "
     "complementary contentinfo skip".split()
 )
+# Beginnings of further such words.
+ASIDE_STARTS = ("advert", "breadcrumb", "comment", "cookie", "newsletter", "sidebar", "sponsor")
 # Words beside which one of those describes a layout: has-sidebar, page-with-ads.
 LAYOUT_WORDS = frozenset("has no with without page layout site content body theme".split())
 # Those that also turn an article into something else.
@@ -86,6 +88,10 @@ def _marks(rest: str) -> list[set[str]]:
     return [set(re.split(r"[^a-z]+", re.sub(r"([a-z])([A-Z])", r"\1 \2", x).lower())) for x in found.split()]
 
 
+def _is_aside(words: set[str]) -> bool:
+    return bool(ASIDE_WORDS & words) or any(x.startswith(ASIDE_STARTS) for x in words)
+
+
 def _place(base: str, name: str, rest: str, sign: int) -> str:
     """Where an element is, by where its parent is: in the article, aside of it, or neither."""
     if base == "aside" or name in ASIDE or (name == "header" and base != "article"):
@@ -102,7 +108,7 @@ def _place(base: str, name: str, rest: str, sign: int) -> str:
         if any(words & x for x in marks):
             return "aside"
         return "article" if article else base
-    if any(ASIDE_WORDS & x and not LAYOUT_WORDS & x for x in marks):
+    if any(_is_aside(x) and not LAYOUT_WORDS & x for x in marks):
         return "aside"
     if sign == 2 and name in ("div", "section") and any(ARTICLE_WORDS & x for x in marks):
         return "article"
@@ -141,8 +147,11 @@ def _clean(parts: list[str]) -> str:
     return " ".join(text.split())
 
 
-def blocks_of(page: str) -> list[Block]:
-    """The non-empty blocks of a page with the label of the first pass."""
+def blocks_of(page: str, sign: int) -> list[Block]:
+    """The non-empty blocks of a page with the label of the first pass.
+
+    ``sign`` says what holds the article: 0 article elements, 1 the main element, 2 neither.
+    """
     blocks: list[Block] = []
     parts: list[str] = []
     links: list[str] = []
@@ -152,8 +161,6 @@ def blocks_of(page: str) -> list[Block]:
     stack: list[tuple[str, str]] = []
     place = ""
     in_head = False
-    sign = next((i for i, x in enumerate(ARTICLE_SIGNS) if x.search(page)), 2)
-
     def close() -> None:
         nonlocal links
         if parts:
@@ -248,7 +255,11 @@ def main_text(page: str | None) -> str:
     """The main text of a page, a line per block; empty if there is none."""
     if not page:
         return ""
-    blocks = blocks_of(page)
+    # Article elements may hold comments only; then the next sign decides.
+    for sign in (*(i for i, x in enumerate(ARTICLE_SIGNS) if x.search(page)), 2):
+        blocks = blocks_of(page, sign)
+        if any(b.place == "article" and b.label == "good" for b in blocks):
+            break
     return "\n".join(b.text for b, label in zip(blocks, settle(blocks)) if label == "good")
 
 

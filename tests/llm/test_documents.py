@@ -189,6 +189,8 @@ def test_main_text():
     ]
     page = f"<div><a href=1>Home</a> <a href=2>News</a></div><h2>Head</h2><p>{LONG}</p><p>Short.</p><p>{LONG}</p><div>Copyright</div>"
     assert main_text(page).split("\n") == ["Head", LONG, "Short.", LONG]
+    page = f"<div id=main><h1>Head</h1><p>{LONG}</p></div><ol class=commentlist><li><article class=comment><p>{LONG}</p></article></ol>"
+    assert main_text(page).split("\n") == ["Head", LONG]
     for odd in (None, "", "<", "<p", "<article>", "<script>x", "<!-- x", "<div class='a", "<p>&#xfffffff;</p>"):
         assert main_text(odd) == ""
     assert main_text("<article>" + "<p>word</p>" * 20000).count("word") == 20000
