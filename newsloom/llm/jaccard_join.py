@@ -40,9 +40,9 @@ from newsloom.session import pin
 PERCENT = 80
 # The first window is wider than it must be by this share of the set; a linked point shares as much.
 EXTRA = 10
-SLICE_BYTES = 4 << 20
+SLICE_BYTES = 2 << 20
 # Shingles that one task sorts at once, and that one block of a cell holds.
-BUCKET_KEYS = 1_000_000
+BUCKET_KEYS = 500_000
 BLOCK_SHINGLES = 100_000
 # A shingle of so many points in one slice is ordered behind all others, without counting.
 HOT_IN_SLICE = 32
