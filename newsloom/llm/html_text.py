@@ -1,10 +1,15 @@
 """Main text of web pages by two passes over their blocks.
 
-A page is cut into blocks at block-level tags. The first pass labels a block by itself:
-bad inside navigation, forms, adverts, notices or comments, and where links are dense;
-good inside the article; elsewhere by length and by its share of stop words, where short
-ones stay open. The second pass gives open blocks the label of their nearest decided
-neighbours: good between good ones, else bad.
+A page is cut into blocks at block-level tags. The first pass labels each block of a page
+by itself: bad inside navigation, forms, adverts, notices or comments, and where links are
+dense; else by length and by its share of stop words, where short ones stay open. The second
+pass gives open blocks the label of their nearest decided neighbours: good between good
+ones, else bad.
+
+Article elements are a feature of the second pass, and only where the first pass bears them
+out: one that holds a good block, or any if the page has no good block at all. There, blocks
+that aren't good are open unless links are dense, and its edges are good neighbours. So
+teasers in article elements win nothing against a text elsewhere on the page.
 """
 
 from __future__ import annotations
@@ -67,7 +72,7 @@ STOP_WORDS = frozenset(
     ).split()
 )
 MAX_LINK_SHARE = 0.2
-# Inside the article a block is only bad if it is little else than links.
+# Inside an article running text may have more links, but not be little else.
 MAX_ARTICLE_LINK_SHARE = 0.9
 SHORT_CHARS, LONG_CHARS = 70, 200
 STOP_LOW, STOP_HIGH = 0.30, 0.32
@@ -116,29 +121,39 @@ def _place(base: str, name: str, rest: str, sign: int) -> str:
 
 
 class Block:
-    __slots__ = ("text", "link_chars", "place", "heading", "label")
+    __slots__ = ("text", "link_chars", "place", "article", "heading", "label")
 
-    def __init__(self, text: str, link_chars: int, place: str, heading: bool):
-        self.text, self.link_chars, self.place, self.heading = text, link_chars, place, heading
+    def __init__(self, text: str, link_chars: int, place: str, article: int, heading: bool):
+        self.text, self.link_chars, self.place, self.article, self.heading = text, link_chars, place, article, heading
         self.label = self.decide()
 
+    def link_share(self) -> float:
+        return self.link_chars / len(self.text)
+
+    def stop_share(self) -> float:
+        words = WORDS.findall(self.text.lower())
+        return sum(w in STOP_WORDS for w in words) / max(1, len(words))
+
     def decide(self) -> str:
         """The first pass: good, bad, near or short."""
-        links = self.link_chars / len(self.text)
-        if self.place == "aside":
-            return "bad"
-        if self.place == "article":
-            return "bad" if links > MAX_ARTICLE_LINK_SHARE else "good"
-        if links > MAX_LINK_SHARE:
+        if self.place == "aside" or self.link_share() > MAX_LINK_SHARE:
             return "bad"
         if len(self.text) < SHORT_CHARS:
             return "bad" if self.link_chars else "short"
-        words = WORDS.findall(self.text.lower())
-        stops = sum(w in STOP_WORDS for w in words) / max(1, len(words))
+        stops = self.stop_share()
         if stops >= STOP_HIGH:
             return "good" if len(self.text) > LONG_CHARS else "near"
         return "near" if stops >= STOP_LOW else "bad"
 
+    def in_article(self) -> str:
+        """The label inside an article that is borne out: good, bad or near."""
+        if self.label == "good" or self.place == "aside":
+            return self.label
+        links = self.link_share()
+        if links > MAX_ARTICLE_LINK_SHARE or (links > MAX_LINK_SHARE and self.stop_share() < STOP_LOW):
+            return "bad"
+        return "near"
+
 
 def _clean(parts: list[str]) -> str:
     text = "".join(parts)
@@ -157,16 +172,17 @@ def blocks_of(page: str, sign: int) -> list[Block]:
     links: list[str] = []
     in_link = breaks = 0
     heading = False
-    # Open elements that are no inline ones, each with the place it makes.
-    stack: list[tuple[str, str]] = []
+    # Open elements that are no inline ones, each with the place it makes and the article it is in.
+    stack: list[tuple[str, str, int]] = []
     place = ""
+    article = articles = 0
     in_head = False
     def close() -> None:
         nonlocal links
         if parts:
             text = _clean(parts)
             if text:
-                blocks.append(Block(text, len(_clean(links)) if links else 0, place, heading))
+                blocks.append(Block(text, len(_clean(links)) if links else 0, place, article, heading))
             parts.clear()
         links = []
 
@@ -208,29 +224,38 @@ def blocks_of(page: str, sign: int) -> list[Block]:
                 if stack[depth][0] == name:
                     del stack[depth:]
                     break
-            place = stack[-1][1] if stack else ""
+            place, article = stack[-1][1:] if stack else ("", 0)
             continue
         # A paragraph ends where the next block begins, with or without its end tag.
         if stack and (stack[-1][0] == "p" or (stack[-1][0] == name and name in ("li", "dt", "dd", "option", "tr", "td"))):
             stack.pop()
-        place = _place(stack[-1][1] if stack else "", name, token["rest"], sign)
-        stack.append((name, place))
+        base, article = stack[-1][1:] if stack else ("", 0)
+        place = _place(base, name, token["rest"], sign)
+        if place == "article" and not article:
+            articles += 1
+            article = articles
+        stack.append((name, place, article))
     close()
     return blocks
 
 
-def _inherit(labels: list[str], open_label: str, decided: tuple[str, ...]) -> list[str]:
-    """Each open block's nearest decided neighbours: good between good ones, else bad."""
-    before, last = [], "bad"
-    for label in labels:
-        before.append(last)
-        last = label if label in decided else last
-    after, last = [], "bad"
-    for label in reversed(labels):
-        after.append(last)
-        last = label if label in decided else last
-    after.reverse()
-    sides = list(zip(before, after))
+def _inherit(labels: list[str], articles: list[int], open_label: str, decided: tuple[str, ...]) -> list[str]:
+    """Each open block's nearest decided neighbours: good between good ones, else bad.
+
+    The edges of an article are good, those of the page bad. "" is no neighbour.
+    """
+
+    def nearest(order: range) -> list[str]:
+        found, last, article = [""] * len(labels), "bad", 0
+        for i in order:
+            if articles[i] != article:
+                article = articles[i]
+                last = "good" if article else last
+            found[i] = last
+            last = labels[i] if labels[i] in decided else last
+        return found
+
+    sides = list(zip(nearest(range(len(labels))), nearest(range(len(labels) - 1, -1, -1))))
     if open_label == "near":
         return ["bad" if x == "near" and y == ("bad", "bad") else "good" if x == "near" else x for x, y in zip(labels, sides)]
     return [
@@ -238,28 +263,42 @@ def _inherit(labels: list[str], open_label: str, decided: tuple[str, ...]) -> li
     ]
 
 
+def borne_out(blocks: list[Block]) -> set[int]:
+    """The articles that hold a good block; all of them if the page has none."""
+    good = [b for b in blocks if b.label == "good"]
+    return {b.article for b in good or blocks if b.article}
+
+
 def settle(blocks: list[Block]) -> list[str]:
     """The second pass: final labels, good or bad."""
-    labels = [b.label for b in blocks]
-    if any(b.place == "article" for b in blocks):
-        # With an article, what is open outside of it is not part of it.
-        return ["good" if x == "good" and b.place == "article" else "bad" for x, b in zip(labels, blocks)]
+    trusted = borne_out(blocks)
+    articles = [b.article if b.article in trusted else 0 for b in blocks]
+    labels = [b.in_article() if a else b.label for a, b in zip(articles, blocks)]
+    # What is put into an article's text from aside says nothing of the blocks beside it.
+    labels = ["" if a and b.place == "aside" else x for x, a, b in zip(labels, articles, blocks)]
     # A heading belongs to the text below it.
     for i in range(len(blocks) - 2, -1, -1):
         if labels[i] == "short" and blocks[i].heading and labels[i + 1] in ("good", "near"):
             labels[i] = "near"
-    return _inherit(_inherit(labels, "short", ("good", "near", "bad")), "near", ("good", "bad"))
+    labels = _inherit(labels, articles, "short", ("good", "near", "bad"))
+    return _inherit(labels, articles, "near", ("good", "bad"))
 
 
 def main_text(page: str | None) -> str:
     """The main text of a page, a line per block; empty if there is none."""
     if not page:
         return ""
-    # Article elements may hold comments only; then the next sign decides.
+    # Article elements may hold comments or teasers only; then the next sign may do better.
+    first: list[Block] | None = None
     for sign in (*(i for i, x in enumerate(ARTICLE_SIGNS) if x.search(page)), 2):
         blocks = blocks_of(page, sign)
-        if any(b.place == "article" and b.label == "good" for b in blocks):
+        inside = [b for b in blocks if b.place == "article"]
+        if any(b.label == "good" for b in inside):
             break
+        if first is None and any(b.link_share() <= MAX_ARTICLE_LINK_SHARE for b in inside):
+            first = blocks
+    else:
+        blocks = first or blocks
     return "\n".join(b.text for b, label in zip(blocks, settle(blocks)) if label == "good")
 
 

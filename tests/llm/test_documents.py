@@ -196,6 +196,22 @@ def test_main_text():
     assert main_text("<article>" + "<p>word</p>" * 20000).count("word") == 20000
 
 
+TEASER = '<article class="card"><h3><a href=x>A headline of some other page</a></h3><p>What it is about, in one line.</p></article>'
+
+
+def test_main_text_beside_teaser_articles():
+    page = f"<body>{TEASER * 2}<div><h1>Head</h1><p>{LONG}</p><p>Short.</p><p>{LONG}</p></div>{TEASER * 3}</body>"
+    assert main_text(page).split("\n") == ["Head", LONG, "Short.", LONG]
+    assert main_text(f"<article><h1>Head</h1><p>{LONG}</p><p>Short.</p></article>{TEASER * 3}").split("\n") == ["Head", LONG, "Short."]
+
+
+def test_rules_hold_inside_an_article():
+    links = "<p>" + "<a href=x>Other headline without stops</a> by Jane Doe " * 4 + "</p>"
+    page = f"<div><p>{LONG}</p></div><article><p>{LONG}</p>{links}<p>Code.</p><p><a href=x>More</a></p><p>Between.</p><p><a href=y>Next</a></p></article>"
+    assert main_text(page).split("\n") == [LONG, LONG]
+    assert main_text(f"<article><p>{LONG}</p><p>Code.</p><p>End.</p></article>").split("\n") == [LONG, "Code.", "End."]
+
+
 def test_pages(spark):
     pages = spark.createDataFrame([(1, "u", PAGE, 3), (1, None, None, 4), (None, "v", "", 5)], "page_id long, url string, html string, n_chars int")
     found = sorted((str(r["page_id"]), r["url"] or "", r["n_chars"], len(r["text"])) for r in extract_main_text(pages).collect())
