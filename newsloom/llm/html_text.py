@@ -55,7 +55,7 @@ ARTICLE_SIGNS = (
 )
 ARTICLE_WORDS = frozenset("article story post entry articlebody maincontent main content".split())
 IN_HEAD = frozenset("head meta link base".split())
-HIDDEN = re.compile(r"(?:^|\s)hidden(?:\s|=|$)|display\s*:\s*none", re.IGNORECASE)
+NOT_SHOWN = re.compile(r"(?:^|[;\s])display\s*:\s*none\b", re.IGNORECASE)
 # Frequent words of four languages.
 STOP_WORDS = frozenset(
     (
@@ -83,13 +83,21 @@ TOKEN = re.compile(
     r"|<[!?/][^>]*>|<(?P<odd>[a-zA-Z][^>]*>)?",
     re.DOTALL | re.IGNORECASE,
 )
-MARKS = re.compile(r"\b(?:class|id|role)\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s\"'>]+))", re.IGNORECASE)
+ATTRIBUTE = re.compile(r"([^\s\"'<>/=]+)(?:\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s\"'>]+)))?")
 WORDS = re.compile(r"[^\W\d_]+")
 
 
-def _marks(rest: str) -> list[set[str]]:
+def _attributes(rest: str) -> dict[str, str]:
+    """An element's attributes by name in small letters; of repeated ones the first counts."""
+    found: dict[str, str] = {}
+    for name, a, b, c in ATTRIBUTE.findall(rest):
+        found.setdefault(name.lower(), html.unescape(a or b or c))
+    return found
+
+
+def _marks(attributes: dict[str, str]) -> list[set[str]]:
     """The words of each name in an element's class, id and role."""
-    found = " ".join(a or b or c for a, b, c in MARKS.findall(rest))
+    found = " ".join(attributes[x] for x in ("class", "id", "role") if x in attributes)
     return [set(re.split(r"[^a-z]+", re.sub(r"([a-z])([A-Z])", r"\1 \2", x).lower())) for x in found.split()]
 
 
@@ -101,12 +109,10 @@ def _place(base: str, name: str, rest: str, sign: int) -> str:
     """Where an element is, by where its parent is: in the article, aside of it, or neither."""
     if base == "aside" or name in ASIDE or (name == "header" and base != "article"):
         return "aside"
-    if not rest:
-        marks = []
-    else:
-        marks = _marks(rest) if "=" in rest else []
-        if HIDDEN.search(rest):
-            return "aside"
+    attributes = _attributes(rest) if rest else {}
+    if "hidden" in attributes or NOT_SHOWN.search(attributes.get("style", "")):
+        return "aside"
+    marks = _marks(attributes) if attributes else []
     article = (sign == 0 and name == "article") or (sign == 1 and (name == "main" or {"main"} in marks))
     if article or name in ("html", "body", "article", "main"):
         words = NO_ARTICLE_WORDS if name in ("article", "main") else frozenset()

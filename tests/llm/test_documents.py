@@ -212,6 +212,16 @@ def test_rules_hold_inside_an_article():
     assert main_text(f"<article><p>{LONG}</p><p>Code.</p><p>End.</p></article>").split("\n") == [LONG, "Code.", "End."]
 
 
+@pytest.mark.parametrize("shown", ['data-title="the hidden cost"', "title='a hidden gem'", 'data-x="display: none"', 'data-class="ad"', "style='color:red'"])
+def test_attribute_values_hide_nothing(shown):
+    assert main_text(f"<article><section {shown}><p {shown}>{LONG}</p></section></article>") == LONG
+
+
+@pytest.mark.parametrize("hidden", ["hidden", 'HIDDEN=""', "class=x hidden", 'style="color:red;Display : none"', "style=display:none"])
+def test_hidden_elements(hidden):
+    assert main_text(f"<article><p>{LONG}</p><section {hidden}><p>{LONG} Not shown.</p></section></article>") == LONG
+
+
 def test_pages(spark):
     pages = spark.createDataFrame([(1, "u", PAGE, 3), (1, None, None, 4), (None, "v", "", 5)], "page_id long, url string, html string, n_chars int")
     found = sorted((str(r["page_id"]), r["url"] or "", r["n_chars"], len(r["text"])) for r in extract_main_text(pages).collect())
