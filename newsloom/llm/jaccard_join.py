@@ -16,7 +16,10 @@ The distance 1 - |x & y| / |x | y| is a metric. Texts link at a distance of at m
 4. All points met by one pivot are its cell; each possible link lies in a cell. Where
    the cell isn't one component yet, the points outside its main component are compared
    with those of the cell whose distance from the pivot differs by at most 0.2, in
-   blocks of bounded size (``leftovers``).
+   blocks of bounded size (``leftovers``). That is enough for components.
+5. For the number of links of each document all points of a cell are compared with those
+   in their window, block by block (``link_counts``). A pair that lies in several cells is
+   counted in the first of them.
 
 Nothing is capped or sampled, and no pair is made a row unless one side is a pivot.
 """
@@ -24,6 +27,7 @@ Nothing is capped or sampled, and no pair is made a row unless one side is a piv
 from __future__ import annotations
 
 from collections.abc import Iterator
+from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
@@ -44,6 +48,8 @@ SLICE_BYTES = 4 << 20
 # Shingles that one task sorts at once, and that one block of a cell holds.
 BUCKET_KEYS = 1_000_000
 BLOCK_SHINGLES = 100_000
+# Numbers in one matrix of a block's sets.
+MATRIX_CELLS = 1 << 21
 # A shingle of so many points in one slice is ordered behind all others, without counting.
 HOT_IN_SLICE = 32
 HOT = 2**31 - 1
@@ -402,14 +408,94 @@ def leftovers(cells: DataFrame, sets: DataFrame) -> DataFrame:
     return held.unionByName(asked).groupBy(*here).applyInArrow(compare, "a long, b long").distinct()
 
 
-def near_duplicate_components(docs: DataFrame, *, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
-    """(doc_id, n_shingles, component_id) of each row.
-
-    ``component_id`` is the smallest doc_id that links reach. Defined results: a text
-    without words, or null, has 0 shingles and is its own component; a row with a null
-    doc_id gets its number of shingles, links with nothing and has a null component;
-    rows that share a doc_id are points of their own texts; other columns are not read.
+def _common(left: list[np.ndarray], right: list[np.ndarray]) -> Iterator[tuple[int, np.ndarray]]:
+    """(first row, common elements of each left set from there on with each right set), a band of left sets at a time."""
+    names = np.intersect1d(np.concatenate(left), np.concatenate(right))
+
+    def matrix(sets: list[np.ndarray], columns: np.ndarray) -> np.ndarray:
+        out = np.zeros((len(sets), len(columns)), np.float32)
+        row, keys = np.repeat(np.arange(len(sets)), [len(x) for x in sets]), np.concatenate(sets)
+        at = np.minimum(np.searchsorted(columns, keys), len(columns) - 1)
+        on = columns[at] == keys
+        out[row[on], at[on]] = 1
+        return out
+
+    rows = max(1, min(len(left), MATRIX_CELLS // (2 * max(1, len(right)))))
+    width = max(1, MATRIX_CELLS // max(rows, len(right)))
+    for at in range(0, len(left), rows):
+        band = left[at : at + rows]
+        # Sums of ones stay exact in 32 bits up to 2**24 of them; a strip holds fewer.
+        common = np.zeros((len(band), len(right)), np.int64)
+        for start in range(0, len(names), width):
+            strip = names[start : start + width]
+            common += (matrix(band, strip) @ matrix(right, strip).T).astype(np.int64)
+        yield at, common
+
+
+def link_counts(cells: DataFrame, sets: DataFrame, copies: DataFrame) -> DataFrame:
+    """(point, links): the rows of other points that each point links to.
+
+    ``cells`` (pivot, point, distance), ``copies`` (point, copies). All points of a cell are
+    compared with those whose distance from the pivot differs by at most 0.2, in pairs of
+    blocks. A pair counts in the cell with the smallest pivot that both points have met.
     """
+    met = cells.select("pivot", "point", "distance")
+    # Both points of a pair carry the pivots they have met, to tell whether another cell has the pair first.
+    homes = met.groupBy("point").agg(F.collect_list("pivot").alias("pivots"))
+    # The windows are as wide as two bins; a third takes up what rounding does at their edges.
+    members = met.withColumn("bin", F.floor(F.col("distance") * 10).cast("int"))
+    members = members.join(sets.select("point", "n", "shingles"), "point")
+    bins = members.groupBy("pivot", "bin").agg(F.ceil(F.sum("n") / F.lit(BLOCK_SHINGLES)).cast("int").alias("slices"))
+    slice_of = F.pmod(F.xxhash64("point"), F.col("slices")).cast("int")
+    members = members.join(bins, ["pivot", "bin"]).withColumn("slice", slice_of)
+    others = bins.select("pivot", F.col("bin").alias("other_bin"), F.explode(F.sequence(F.lit(0), F.col("slices") - 1)).alias("other"))
+    mine, its = F.struct(F.col("bin"), F.col("slice")), F.struct(F.col("other_bin").alias("bin"), F.col("other").alias("slice"))
+    sent = members.join(others, "pivot").where(F.abs(F.col("bin") - F.col("other_bin")) <= 3)
+    sent = sent.select("pivot", F.least(mine, its).alias("low"), F.greatest(mine, its).alias("high"), "point", (mine <= its).alias("is_low"))
+    sent = sent.join(sets.select("point", "n", "shingles"), "point").join(copies, "point").join(homes, "point")
+
+    def compare(group: pa.Table) -> pa.Table:
+        low = np.array(group.column("is_low").to_pylist(), bool)
+        points, copies = (group.column(c).to_numpy() for c in ("point", "copies"))
+        pivot = group.column("pivot")[0].as_py()
+        each = [np.frombuffer(x, np.uint64) for x in group.column("shingles").to_pylist()]
+        n = np.array([len(x) for x in each], np.int64)
+        earlier = [np.array(sorted(y for y in x if y < pivot), np.int64) for x in group.column("pivots").to_pylist()]
+        same = group.column("low")[0] == group.column("high")[0]
+        a = np.flatnonzero(low)
+        b = a if same else np.flatnonzero(~low)
+        links = np.zeros(len(points), np.int64)
+        if len(a) and len(b):
+            pick = lambda of, at: [of[i] for i in at]
+            right, right_earlier = pick(each, b), pick(earlier, b)
+            for at, common in _common(pick(each, a), right):
+                rows = a[at : at + len(common)]
+                linked = 100 * common >= PERCENT * (n[rows][:, None] + n[b] - common)
+                linked &= points[rows][:, None] != points[b]
+                if linked.any():
+                    for start, shared in _common(pick(earlier, rows), right_earlier):
+                        linked[start : start + len(shared)] &= shared == 0
+                links[rows] += linked @ copies[b]
+                if not same:
+                    links[b] += copies[rows] @ linked
+        return pa.table({"point": pa.array(points), "links": pa.array(links)})
+
+    counted = sent.groupBy("pivot", "low", "high").applyInArrow(compare, "point long, links long")
+    return counted.groupBy("point").agg(F.sum("links").alias("links"))
+
+
+@dataclass(frozen=True)
+class Joined:
+    """``names`` (doc_id, n, point) of each row; ``sets`` and ``cells`` of the points that may link;
+    ``components`` (point, least, component, component_id) of all points."""
+
+    names: DataFrame
+    sets: DataFrame
+    cells: DataFrame
+    components: DataFrame
+
+
+def _join(docs: DataFrame, doc_id: str, text: str) -> Joined:
     chosen = _chosen(docs, doc_id, text)
     names = pin(point_names(chosen))
     points = names.where((F.col("n") > 0) & F.col("doc_id").isNotNull())
@@ -449,13 +535,45 @@ def near_duplicate_components(docs: DataFrame, *, doc_id: str = "doc_id", text:
     least = points.groupBy("point").agg(F.min("doc_id").alias("least"))
     named = least.join(labels, "point", "left").withColumn("component", F.coalesce("component", "point"))
     ids = named.groupBy("component").agg(F.min("least").alias("component_id"))
-    of_point = named.join(ids, "component").select("point", "component_id")
-    found = names.join(of_point, "point", "left")
+    return Joined(names, sets, cells, named.join(ids, "component").select("point", "least", "component", "component_id"))
+
+
+def _of_rows(joined: Joined) -> DataFrame:
+    found = joined.names.join(joined.components.select("point", "component_id"), "point", "left")
     own = (F.col("n") > 0) & F.col("doc_id").isNotNull()
-    return found.select(
-        "doc_id",
-        F.col("n").alias("n_shingles"),
-        F.when(own, F.col("component_id")).otherwise(F.col("doc_id")).alias("component_id"),
+    component = F.when(own, F.col("component_id")).otherwise(F.col("doc_id"))
+    return found.select("doc_id", F.col("n").alias("n_shingles"), component.alias("component_id"), "point")
+
+
+def near_duplicate_components(docs: DataFrame, *, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
+    """(doc_id, n_shingles, component_id) of each row.
+
+    ``component_id`` is the smallest doc_id that links reach. Defined results: a text
+    without words, or null, has 0 shingles and is its own component; a row with a null
+    doc_id gets its number of shingles, links with nothing and has a null component;
+    rows that share a doc_id are points of their own texts; other columns are not read.
+    """
+    return _of_rows(_join(docs, doc_id, text)).drop("point")
+
+
+def near_duplicate_links(docs: DataFrame, *, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
+    """(doc_id, n_shingles, component_id, n_links) of each row.
+
+    The first three as in ``near_duplicate_components``; ``n_links`` is the number of other
+    rows at a similarity of 0.8 or more, exact copies among them. A text without words and a
+    row with a null doc_id have none and count for none.
+    """
+    joined = _join(docs, doc_id, text)
+    points = joined.names.where((F.col("n") > 0) & F.col("doc_id").isNotNull())
+    copies = points.groupBy("point").agg(F.count("*").alias("copies"))
+    links = link_counts(joined.cells, joined.sets.dropDuplicates(["point"]), copies)
+    of_point = copies.join(links, "point", "left").select(
+        "point", (F.col("copies") - 1 + F.coalesce("links", F.lit(0))).alias("n_links")
+    )
+    own = (F.col("n_shingles") > 0) & F.col("doc_id").isNotNull()
+    n_links = F.when(own, F.coalesce("n_links", F.lit(0))).otherwise(F.lit(0)).cast("long")
+    return _of_rows(joined).join(of_point, "point", "left").select(
+        "doc_id", "n_shingles", "component_id", n_links.alias("n_links")
     )
 
 

@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from newsloom.llm.html_text import extract_main_text
 from newsloom.llm.importance import resample
-from newsloom.llm.jaccard_join import near_duplicate_components
+from newsloom.llm.jaccard_join import near_duplicate_components, near_duplicate_links
 from newsloom.llm.language import learn, predict_languages
 from newsloom.llm.packing import pack_documents
 from newsloom.llm.piece_codec import piece_codes
@@ -51,6 +51,10 @@ def op5_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     return near_duplicate_components(table(spark, sf_dir, "documents"))
 
 
+def op5_jaccard_links(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return near_duplicate_links(table(spark, sf_dir, "documents"))
+
+
 def op6_html_text(spark: SparkSession, sf_dir: str) -> DataFrame:
     return extract_main_text(table(spark, sf_dir, "pages"))
 
@@ -83,6 +87,7 @@ QUERIES = {
     "op10_top_k": op10_top_k,
     "op2_token_files": op2_token_files,
     "op4_best_fit_packing": op4_best_fit_packing,
+    "op5_jaccard_links": op5_jaccard_links,
 }
 
 # Words, lines and 8-word windows of a text; the rules of quality_lines in the same order.
@@ -182,4 +187,15 @@ SELECT documents.doc_id, coalesce(n, 0) AS n_shingles, component_id
 FROM documents LEFT JOIN sizes USING (doc_id) JOIN (SELECT a AS doc_id, min(b) AS component_id FROM reach GROUP BY a) USING (doc_id)
 """
 
-ORACLES: dict[str, str] = {"op1_quality_lines": OP1_SQL, "op5_jaccard_join": OP5_SQL, "op10_top_k": OP10_SQL}
+# The same, with the links that each document has itself.
+OP5_LINKS_SQL = OP5_SQL.replace(
+    "component_id\nFROM documents",
+    "component_id, (SELECT count(*) FROM links WHERE links.a = documents.doc_id) AS n_links\nFROM documents",
+)
+
+ORACLES: dict[str, str] = {
+    "op1_quality_lines": OP1_SQL,
+    "op5_jaccard_join": OP5_SQL,
+    "op5_jaccard_links": OP5_LINKS_SQL,
+    "op10_top_k": OP10_SQL,
+}

@@ -68,6 +68,13 @@ def components(rows):
     return {doc_id: (len(sets[i]), least[find(i)]) for i, (doc_id, _) in enumerate(rows)}
 
 
+def links(rows):
+    """{doc_id: number of other rows at a similarity of 0.8 or more} of (doc_id, text) rows with distinct ids."""
+    sets = {doc_id: shingles(text) for doc_id, text in rows}
+    close = lambda a, b: a and b and 100 * len(a & b) >= 80 * len(a | b)
+    return {i: sum(bool(close(a, b)) for j, b in sets.items() if i != j) for i, a in sets.items()}
+
+
 def top_k(rows, k):
     """[(query_id, rank, vec_id, score)] of (vec_id, whole numbers) rows."""
     out = []

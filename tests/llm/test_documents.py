@@ -8,7 +8,7 @@ from newsloom.llm import jaccard_join
 from newsloom.llm.components import connected_components
 from newsloom.llm.html_text import extract_main_text, main_text
 from newsloom.llm.importance import features, log_ratios, resample
-from newsloom.llm.jaccard_join import keep_one_of_each, leftovers, full_sets, near_duplicate_components
+from newsloom.llm.jaccard_join import keep_one_of_each, leftovers, full_sets, near_duplicate_components, near_duplicate_links
 from newsloom.llm.language import UNKNOWN, Compressor, keep_known, learn, predict_languages
 from newsloom.llm.quality_lines import BOILERPLATE, MEASURES, judge_documents, keep_clean, measure, verdicts
 from newsloom.llm.shingles import shingle_sets
@@ -107,6 +107,25 @@ def test_components_of_near_copies(spark, seed, monkeypatch):
     assert found == brute.components(rows)
 
 
+@pytest.mark.parametrize("seed, block, matrix", [(1, 300, 1000), (2, 100_000, 1 << 21), (3, 2000, 64)])
+def test_links_of_near_copies(spark, seed, block, matrix, monkeypatch):
+    monkeypatch.setattr(jaccard_join, "BLOCK_SHINGLES", block)
+    monkeypatch.setattr(jaccard_join, "MATRIX_CELLS", matrix)
+    rows = list(enumerate(copies(seed)))
+    docs = spark.createDataFrame(rows, "doc_id long, text string").repartition(4)
+    found = {r["doc_id"]: r for r in near_duplicate_links(docs).collect()}
+    assert {i: r["n_links"] for i, r in found.items()} == brute.links(rows)
+    assert {i: (r["n_shingles"], r["component_id"]) for i, r in found.items()} == brute.components(rows)
+
+
+def test_links_of_odd_rows(spark):
+    rows = [(None, "a b c d e f"), (None, None), (4, "a b c d e f"), (3, "A B C D E F"), (3, "other words are in this text"), (8, "")]
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    found = sorted((str(r["doc_id"]), r["n_shingles"], r["n_links"]) for r in near_duplicate_links(docs).collect())
+    assert found == sorted([("None", 2, 0), ("None", 0, 0), ("4", 2, 1), ("3", 2, 1), ("3", 2, 0), ("8", 0, 0)])
+    assert near_duplicate_links(docs.limit(0)).count() == 0
+
+
 def test_components_of_odd_rows(spark):
     rows = [(None, "a b c d e f"), (None, None), (4, "a b c d e f"), (3, "A B C D E F"), (3, "other words are in this text"), (8, "")]
     docs = spark.createDataFrame(rows, "doc_id long, text string")
