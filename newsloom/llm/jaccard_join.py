@@ -33,6 +33,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import LongType, StructField, StructType
 
 from newsloom.llm.components import connected_components
 from newsloom.llm.shingles import mixed, shingle_sets
@@ -578,11 +579,37 @@ def near_duplicate_links(docs: DataFrame, *, doc_id: str = "doc_id", text: str =
 
 
 def keep_one_of_each(docs: DataFrame, *, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
-    """The rows of ``docs``, with all columns, that name their component.
+    """One row of each component, with all columns: of its smallest doc_id.
 
-    Rows without words or without an id stay; of rows that share the id that names a component
-    all stay, as nothing tells them apart.
+    It is decided for each row, not for an id: of rows that share the id that names a component,
+    one stays, with the smallest point and then the smallest hash of its columns. Rows
+    without words or without an id stay.
     """
-    found = near_duplicate_components(docs, doc_id=doc_id, text=text)
-    goes = found.where(F.col("component_id") != F.col("doc_id")).select(F.col("doc_id").alias(doc_id)).distinct()
-    return docs.join(goes, doc_id, "left_anti").select(*[docs[c] for c in docs.columns])
+    joined = _join(docs, doc_id, text)
+    own = joined.names.where((F.col("n") > 0) & F.col("doc_id").isNotNull()).select("doc_id", "point").distinct()
+    own = own.join(joined.components.select("point", "component"), "point")
+    stays = own.groupBy("component").agg(F.min(F.struct("doc_id", "point")).alias("stays"))
+    goes = own.join(stays, "component").where(F.struct("doc_id", "point") != F.col("stays")).select("doc_id", "point")
+    # An id that is a single row's decides by itself; the texts of the others are looked at again.
+    many = joined.names.where(F.col("doc_id").isNotNull()).groupBy("doc_id").agg(F.count("*").alias("rows"))
+    many = pin(many.where(F.col("rows") > 1).select("doc_id"))
+    named = lambda ids: ids.select(F.col("doc_id").alias("_id")).distinct()
+    id_of = F.col(doc_id).cast("long")
+    left = docs.join(named(goes.select("doc_id").unionByName(many)), id_of == F.col("_id"), "left_anti")
+
+    def rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in slices(batches, text, SLICE_BYTES):
+            hashes, offsets = shingle_sets(batch.column(text))
+            columns = [*batch.columns, pa.array(fingerprints(hashes, offsets)), pa.array(np.diff(offsets))]
+            yield pa.RecordBatch.from_arrays(columns, [*batch.schema.names, "_point", "_n"])
+
+    schema = StructType([*docs.schema.fields, StructField("_point", LongType()), StructField("_n", LongType())])
+    again = docs.join(named(many), id_of == F.col("_id"), "left_semi").mapInArrow(rows, schema)
+    gone = goes.select(F.col("doc_id").alias("_id"), F.col("point").alias("_gone"))
+    again = again.join(gone, (id_of == F.col("_id")) & (F.col("_point") == F.col("_gone")), "left_anti")
+    # Only a map can't be hashed.
+    hashed = [f.name for f in docs.schema.fields if "map<" not in f.dataType.simpleString()]
+    whole = F.struct(*[F.col(c) for c in docs.columns]).alias("row")
+    full = again.where("_n > 0").select(id_of.alias("_id"), "_point", whole, F.xxhash64(*hashed).alias("_hash"))
+    one = full.groupBy("_id", "_point").agg(F.min_by("row", "_hash").alias("row")).select("row.*")
+    return left.unionByName(again.where("_n = 0").select(docs.columns)).unionByName(one)

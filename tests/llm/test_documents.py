@@ -137,6 +137,18 @@ def test_components_of_odd_rows(spark):
     assert sorted(str(r["doc_id"]) for r in kept.collect()) == ["3", "3", "8", "None", "None"]
 
 
+def test_one_row_of_each_component_stays(spark):
+    one, two, three = "a b c d e f", "other words are in this text", " ".join(f"w{i}" for i in range(60))
+    near = three + " more"
+    rows = [(3, one, 1), (5, one, 2), (5, two, 3), (6, two, 4), (7, "", 5), (7, "", 6), (8, three, 7), (8, three, 7), (8, near, 8)]
+    docs = spark.createDataFrame([(str(i), t, x) for i, t, x in rows], "name string, body string, x int").repartition(3)
+    kept = keep_one_of_each(docs.withColumn("name", docs["name"].cast("int")), doc_id="name", text="body")
+    assert kept.columns == docs.columns
+    found = sorted(tuple(r) for r in kept.collect())
+    assert found[:4] == [(3, one, 1), (5, two, 3), (7, "", 5), (7, "", 6)]
+    assert len(found) == 5 and found[4] in rows[6:]
+
+
 def test_leftovers_find_links_that_the_pivot_misses(spark):
     words = [f"w{i}" for i in range(124)]
     texts = {1: words, 2: ["x"] * 11 + words[11:], 3: ["x"] * 22 + words[22:], 4: ["x"] * 33 + words[33:]}
