@@ -14,6 +14,17 @@ POPULAR_LIST = 100
 
 
 class PopularityUserCF(UserCF):
+    def __init__(
+        self,
+        interactions: DataFrame,
+        binary_model: bool = False,
+        check_keys: bool = False,
+        counts: DataFrame | None = None,
+    ):
+        """``counts`` (article_id, count) stand in for the interactions' own (``PopularityState``)."""
+        super().__init__(interactions, binary_model, check_keys)
+        self.counts = counts
+
     def recommend(
         self,
         users: DataFrame | None = None,
@@ -32,7 +43,8 @@ class PopularityUserCF(UserCF):
         top_n = max(POPULAR_LIST, 2 * n) if top_n is None else top_n
         own = super().recommend(users, n, allow_read_articles)
         lists = own.groupBy("user_id").agg(F.sort_array(F.collect_list(F.struct("rank", "article_id", "score"))).alias("own"))
-        popular = most_read(popularity(self.scored), top_n).select(
+        counts = popularity(self.scored) if self.counts is None else self.counts
+        popular = most_read(counts, top_n).select(
             "position", F.col("article_id").cast("long").alias("article_id"), (-F.col("position")).cast("double").alias("score")
         )
         fill = ordered_list(popular, "position", "article_id", "score")

@@ -25,13 +25,16 @@ def most_read(counts: DataFrame, n: int) -> DataFrame:
 
 
 class MostPopular:
-    def __init__(self, behaviors: DataFrame):
+    """``counts`` (article_id, count) stand in for the log if they are kept elsewhere (``PopularityState``)."""
+
+    def __init__(self, behaviors: DataFrame, counts: DataFrame | None = None):
         self.behaviors = behaviors
+        self.kept_counts = counts
         self.counts: DataFrame | None = None
 
     def fit(self) -> "MostPopular":
         """Nothing is run: a recommendation reads the counts once, as one partial aggregate."""
-        self.counts = popularity(self.behaviors)
+        self.counts = popularity(self.behaviors) if self.kept_counts is None else self.kept_counts
         return self
 
     def recommend(self, users: DataFrame | None = None, n: int = 5) -> DataFrame:

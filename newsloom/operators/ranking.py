@@ -2,19 +2,23 @@
 
 from __future__ import annotations
 
-from collections.abc import Callable
+from collections.abc import Iterator
 
-from pyspark.sql import Column, DataFrame
+import numpy as np
+import pyarrow as pa
+from pyspark.sql import Column, DataFrame, Row
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
+from pyspark.sql.types import BooleanType, DoubleType, LongType, StructField, StructType
 
 from newsloom.functions import best_first, epoch_micros
 from newsloom.session import pin
 
 # A group larger than this is ranked across tasks instead of inside one window.
 HOT_GROUP_ROWS = 1_000_000
-# Buckets of one round of the distributed search, and the rows it may leave to the last sort.
-SEARCH_BUCKETS = 1024
+# Size of the sketch of times, more than the share of rows its quantiles are off by, and the rows that one task may sort.
+SKETCH_SIZE = 4096
+SKETCH_ERROR = 0.002
 SEARCH_TAIL_ROWS = 100_000
 # Two days.
 CLOCK_MICROS = 2 * 86_400_000_000
@@ -53,6 +57,13 @@ def global_rank(df: DataFrame, order: list[Column], rank: str = "position") -> D
     )
 
 
+def large_groups(df: DataFrame, group: str, hot_rows: int = HOT_GROUP_ROWS) -> DataFrame | None:
+    """(_named) of the groups with more than ``hot_rows`` rows; None if there are none."""
+    counts = df.groupBy(F.col(group).alias("_named")).agg(F.count("*").alias("_rows"))
+    large = pin(counts.where(F.col("_rows") > hot_rows).select("_named"))
+    return None if large.isEmpty() else large
+
+
 def rank_within(
     df: DataFrame,
     group: str,
@@ -60,17 +71,20 @@ def rank_within(
     rank: str = "position",
     size: str = "group_rows",
     hot_rows: int = HOT_GROUP_ROWS,
+    any_large: bool | None = None,
 ) -> DataFrame:
     """Position and group size of each row, in ``order`` inside ``group``.
 
     Groups up to ``hot_rows`` go through a window. Rows of larger groups are sorted
     across tasks by (group, order); their position is the global one less the first of
     the group. Rows without a group are a group of their own on both ways, which return
-    the same columns.
+    the same columns. ``any_large`` tells whether there are larger groups, if that is known.
     """
     counts = df.groupBy(F.col(group).alias("_group")).agg(F.count("*").alias(size))
     window = W.partitionBy(group).orderBy(*order)
-    if counts.where(F.col(size) > hot_rows).isEmpty():
+    if any_large is None:
+        any_large = not counts.where(F.col(size) > hot_rows).isEmpty()
+    if not any_large:
         whole = W.partitionBy(group)
         return df.withColumns({rank: F.row_number().over(window), size: F.count("*").over(whole)})
     sized = df.join(counts, F.col(group).eqNullSafe(F.col("_group"))).drop("_group")
@@ -85,68 +99,132 @@ def rank_within(
     return cool.select(shown).unionByName(hot.select(shown))
 
 
-def _narrow(
-    df: DataFrame,
-    value: Column,
-    target: int,
-    tail_rows: int,
-    near: Callable[[int, int], Column] = lambda low, high: F.lit(True),
-) -> tuple[int, int, int]:
-    """A value range [low, high] that holds the ``target``-th smallest whole number.
-
-    Returns the range and the rank of the target inside it. Each round is one scan
-    with a filter and an aggregate of at most SEARCH_BUCKETS rows. ``near`` is a filter on
-    the raw column that holds for a range at least, for the scan to skip what is far off.
+def _restarting_sums(values: np.ndarray, starts: np.ndarray, carried: float | int) -> np.ndarray:
+    """Running sums that begin again at each start; what comes before the first start goes on from ``carried``."""
+    sums = np.cumsum(values)
+    before = np.zeros(len(values), values.dtype)
+    if len(starts):
+        before[starts] = np.diff(np.append(0, (sums - values)[starts]))
+        before = np.cumsum(before)
+    out = sums - before
+    out[: starts[0] if len(starts) else len(out)] += carried
+    return out
+
+
+def prefix_sums(df: DataFrame, order: list[Column], value: str, total: str, group: str | None = None) -> DataFrame:
+    """``df`` with ``total``, the sum of ``value`` over the rows of the same group up to this one in ``order``.
+
+    Rows are sorted across tasks by (group, order); each task sums up its stretch of the sorted rows as
+    they stream by, starting anew with each group. What a stretch lacks is what its first group has at the
+    end of the stretches before it, which follows from one row for each partition. No task sees more than its
+    partition, however many rows a group has. A null value counts 0; rows without a group are a group.
+    """
+    whole = dict(df.dtypes)[value] in ("tinyint", "smallint", "int", "bigint")
+    kind = LongType() if whole else DoubleType()
+    by = F.lit(0) if group is None else F.col(group)
+    added = df.select("*", F.coalesce(F.col(value), F.lit(0)).cast(kind).alias("_value"), by.alias("_group"))
+    placed = added.orderBy(F.col("_group").asc(), *order).withColumn("_part", F.spark_partition_id())
+
+    def sums(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        last, carried, rows, leading = None, 0, 0, True
+        for batch in batches:
+            if not batch.num_rows:
+                continue
+            groups = batch.column("_group")
+            codes = groups.dictionary_encode(null_encoding="encode").indices.to_numpy()
+            starts = np.flatnonzero(codes[1:] != codes[:-1]) + 1
+            if last is not None and last != (groups[0].as_py(),):
+                starts = np.append(0, starts)
+            found = _restarting_sums(batch.column("_value").to_numpy(), starts, carried)
+            last, carried = (groups[len(groups) - 1].as_py(),), found[-1]
+            at = rows + np.arange(len(found))
+            first = np.full(len(found), leading)
+            if len(starts):
+                first[starts[0] :] = leading = False
+            rows += len(found)
+            more = [pa.array(found), pa.array(at), pa.array(first)]
+            yield pa.RecordBatch.from_arrays([*batch.columns, *more], [*batch.schema.names, "_sum", "_at", "_first"])
+
+    new = [StructField("_sum", kind), StructField("_at", LongType()), StructField("_first", BooleanType())]
+    summed = pin(placed.mapInArrow(sums, StructType([*placed.schema.fields, *new])))
+    ends = summed.groupBy("_part").agg(
+        F.min_by("_group", "_at").alias("lead"), F.max_by("_group", "_at").alias("trail"), F.max_by("_sum", "_at").alias("own")
+    )
+    # A group's stretches follow each other: before a leading group come those that the group is the last of.
+    asks = F.struct(F.col("lead").alias("g"), F.lit(0).alias("kind"), F.lit(0).cast(kind).alias("own"))
+    gives = F.struct(F.col("trail").alias("g"), F.lit(1).alias("kind"), "own")
+    edges = ends.select(F.col("_part").alias("_of"), F.explode(F.array(asks, gives)).alias("x")).select("_of", "x.*")
+    before = W.partitionBy("g").orderBy("_of", "kind").rowsBetween(W.unboundedPreceding, -1)
+    offsets = edges.withColumn("_before", F.sum("own").over(before)).where("kind = 0 AND _before IS NOT NULL")
+    # One row per shuffle partition: bounded by the partition count, not by the data.
+    found = summed.join(F.broadcast(offsets.select("_of", "_before")), F.col("_part") == F.col("_of"), "left")
+    carried = F.when(F.col("_first"), F.coalesce("_before", F.lit(0))).otherwise(F.lit(0)).cast(kind)
+    return found.withColumn(total, F.col("_sum") + carried).select(*df.columns, total)
+
+
+def running_total(
+    df: DataFrame, group: str, order: list[Column], value: str, total: str, large: DataFrame | None
+) -> DataFrame:
+    """``prefix_sums`` for the groups in ``large`` (see ``large_groups``), a window for the others."""
+    window = W.partitionBy(group).orderBy(*order).rowsBetween(W.unboundedPreceding, 0)
+    in_window = F.sum(F.coalesce(F.col(value), F.lit(0))).over(window)
+    if large is None:
+        return df.withColumn(total, in_window)
+    same = F.col(group).eqNullSafe(F.col("_named"))
+    cool = df.join(large, same, "left_anti").withColumn(total, in_window)
+    hot = prefix_sums(df.join(large, same, "left_semi"), order, value, total, group)
+    return cool.unionByName(hot)
+
+
+def time_stats(time: Column) -> list[Column]:
+    """Aggregates of one scan that ``nth_smallest`` needs: rows, extremes and a mergeable quantile sketch of the times."""
+    micros = epoch_micros(time)
+    return [
+        F.count(micros).alias("timed"),
+        F.min(micros).alias("low"),
+        F.max(micros).alias("high"),
+        F.kll_sketch_agg_bigint(micros, F.lit(SKETCH_SIZE)).alias("sketch"),
+    ]
+
+
+def rows_between(df: DataFrame, time: str, low: int, high: int) -> DataFrame:
+    """The rows whose time is from ``low`` to ``high`` microseconds.
+
+    The scan gets a filter on the raw column, to skip what is far off. It is wider by more than any shift of
+    a clock, since a time without zone is read in the session's.
     """
-    bounds = df.agg(F.min(value).alias("low"), F.max(value).alias("high"), F.count("*").alias("rows")).first()
-    low, high, rows = int(bounds["low"]), int(bounds["high"]), bounds["rows"]
-    while low < high and rows > tail_rows:
-        width = -(-(high - low + 1) // SEARCH_BUCKETS)
-        bucket = F.expr(f"CAST((_v - {low}L) DIV {width}L AS int)")
-        histogram = (
-            df.withColumn("_v", value.cast("long"))
-            .where(near(low, high) & F.col("_v").between(low, high))
-            .groupBy(bucket.alias("b"))
-            .agg(F.count("*").alias("rows"))
-            .orderBy("b")
-            .collect()
-        )
-        for part in histogram:
-            if target <= part["rows"]:
-                low, high = low + part["b"] * width, min(high, low + (part["b"] + 1) * width - 1)
-                rows = part["rows"]
-                break
-            target -= part["rows"]
-    return low, high, target
+    kind = dict(df.dtypes)[time]
+    first, last = (F.timestamp_micros(F.lit(x)).cast(kind) for x in (low - CLOCK_MICROS, high + CLOCK_MICROS))
+    return df.where(F.col(time).between(first, last) & epoch_micros(F.col(time)).between(low, high))
 
 
 def nth_smallest(
-    df: DataFrame, time: str, item: str, target: int, tail_rows: int = SEARCH_TAIL_ROWS
+    df: DataFrame, time: str, item: str, target: int, tail_rows: int = SEARCH_TAIL_ROWS, stats: Row | None = None
 ) -> tuple[object, int]:
-    """(time, id) of the ``target``-th row in ascending (time, id) order.
+    """(time, id) of the ``target``-th row in ascending (time, id) order, in three scans whatever the data.
 
-    The range of times, then of ids, is narrowed by histograms until few rows are
-    left; only those are sorted. The driver sees bucket counts and one row.
+    The first makes a quantile sketch (``stats`` if the caller has it), which brackets the row's time. The
+    second counts the rows before and inside the bracket, the third keeps those inside, and the scan
+    skips what lies beyond. They are sorted across tasks, if they are more than ``tail_rows``. A sketch
+    errs with a small chance; the counts tell, and then the bracket is the whole range.
     """
-    micros, kind = epoch_micros(F.col(time)), dict(df.dtypes)[time]
-
-    def near(low: int, high: int) -> Column:
-        # Wider by more than any shift of a clock, since a time without zone is read in the session's.
-        first, last = (F.timestamp_micros(F.lit(x)).cast(kind) for x in (low - CLOCK_MICROS, high + CLOCK_MICROS))
-        return F.col(time).between(first, last)
-
-    low, high, left = _narrow(df, micros, target, tail_rows, near)
-    within = df.where(near(low, high) & micros.between(low, high))
-    if low == high:
-        # One instant: ids break the tie.
-        first, last, left = _narrow(within, F.col(item), left, tail_rows)
-        within = within.where(F.col(item).between(first, last))
-        if first == last:
-            row = within.select(time, item).first()
-            return row[0], row[1]
-    tail = within.select(time, item).orderBy(time, item).limit(left)
-    last_row = tail.orderBy(F.col(time).desc(), F.col(item).desc()).first()
-    return last_row[0], last_row[1]
+    stats = df.agg(*time_stats(F.col(time))).first() if stats is None else stats
+    low, high = stats["low"], stats["high"]
+    micros = epoch_micros(F.col(time))
+    if low < high:
+        share = [min(max(target / stats["timed"] + x, 0.0), 1.0) for x in (-SKETCH_ERROR, SKETCH_ERROR)]
+        at = F.kll_sketch_get_quantile_bigint(F.lit(bytes(stats["sketch"])), F.array(*map(F.lit, share)))
+        low, high = df.sparkSession.range(1).select(at).first()[0]
+    early = rows_between(df, time, stats["low"], high)
+    before, inside = early.agg(F.count_if(micros < low), F.count_if(micros >= low)).first()
+    if not before < target <= before + inside:
+        low, high, before, inside = stats["low"], stats["high"], 0, stats["timed"]
+    tail = pin(rows_between(df, time, low, high).select(time, item))
+    if inside > tail_rows:
+        row = global_rank(tail, [F.col(time), F.col(item)], "_nth").where(F.col("_nth") == target - before).first()
+        return row[time], row[item]
+    last = tail.orderBy(time, item).limit(target - before).orderBy(F.col(time).desc(), F.col(item).desc()).first()
+    return last[0], last[1]
 
 
 def best_unseen(

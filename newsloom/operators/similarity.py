@@ -4,19 +4,24 @@ Rows are (entity, key, weight): users by article, articles by user, or articles
 topic. A key held by d entities links d * d pairs, so pairs are never rows of a table:
 
 * copies: entities with the same normalised row are searched once (``collapse``);
-* entities are hashed into chunks. The holders of a key are packed per chunk, and one
-  equi-join on the key brings a chunk together with all holders of its keys. One task
-  multiplies a chunk with a part of the holders and keeps K rows per entity;
-* the holders are cut into as many parts as keep a task's input bounded, and a hot
-  key's holders into lists of bounded length;
-* an entity with so many keys that its own row does not fit a task is summed by a
-  plain join and aggregation instead.
-
-Nothing is left out: every pair that shares a key is weighed exactly once.
+* entities are sorted by their heaviest key and cut into blocks of bounded size, so that like ones
+  are near each other. The holders of a key are packed per block. A cell is a pair of blocks: one task
+  multiplies each pair of its entities once, for both of them, and keeps K rows per entity;
+* first each block meets itself, above the diagonal only. That gives every entity a K-th score.
+  Then the pairs of blocks follow, with these scores: from a key's largest weight in the other block and
+  from partial norms comes a bound for each entity, and one whose bound is below its K-th score asks for
+  nothing there. Only pairs of which one side asks are multiplied, and of these only sums that
+  reach one of the two scores are kept; the scores rise as a task goes on;
+* an entity with so many keys that its own row does not fit a task is a block of its own. A cell
+  holds only those of its keys that the other block has, which are bounded by that block's size.
+
+Nothing is left out: every pair that shares a key is weighed, or excluded by its bound.
 """
 
 from __future__ import annotations
 
+import math
+
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
@@ -24,19 +29,20 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from newsloom.functions import RANK_DIGITS
-from newsloom.operators.ranking import top_n
+from newsloom.operators.ranking import global_rank, prefix_sums, top_n
 from newsloom.session import pin
 
-# Bounds of one chunk: entities and stored weights.
+# Bounds of one block: entities and stored weights. A task reads two blocks.
 CHUNK_ENTITIES = 32_768
 CHUNK_WEIGHTS = 4_000_000
-# Holders that one task reads beside its chunk, and the longest list of a key's holders.
 TASK_HOLDERS = 4_000_000
 LIST_HOLDERS = 65_536
-# Entities with more keys than this are summed by the plain join.
+# Entities with more keys than this are blocks of their own.
 HEAVY_KEYS = 1_000_000
-# Below this a chunk is not split further for the sake of parallel tasks.
+# Below this a block is not split further for the sake of parallel tasks.
 SMALLEST_CHUNK = 64
+# Up to so many blocks a list goes to all of them; beyond, to those that hold its key.
+FEW_BLOCKS = 64
 
 # Inside a task: products expanded at a time, cells of a result that cost as much as
 # sorting one product, multiply-adds of a dense column that cost as much as one expanded
@@ -110,148 +116,262 @@ def best_per_row(scores: np.ndarray, k: int, allowed: np.ndarray | None = None)
     return rows, cols
 
 
-def _lists(column: pa.ChunkedArray):
-    """(length of each list, entity and weight of each element)."""
-    lists = pa.concat_arrays(column.chunks)
-    flat = lists.flatten()
-    return lists.value_lengths().to_numpy(), flat.field("e").to_numpy(), flat.field("x").to_numpy()
+# Values equal after rounding must stay together.
+MARGIN = 2 * 10.0**-RANK_DIGITS
+
+
+class _Entries:
+    """One block's weights in a cell: key number, place of the entity in ``ids``, weight."""
+
+    def __init__(self, ids: np.ndarray, key: np.ndarray, at: np.ndarray, x: np.ndarray):
+        self.ids, self.key, self.at, self.x = ids, key, at, x
+
+    def take(self, chosen: np.ndarray) -> _Entries:
+        return _Entries(self.ids, self.key[chosen], self.at[chosen], self.x[chosen])
 
+    def largest(self, n_keys: int) -> np.ndarray:
+        """The largest absolute weight of each key."""
+        out = np.zeros(n_keys)
+        order = np.argsort(self.key, kind="stable")
+        starts = np.flatnonzero(np.append(True, np.diff(self.key[order]) != 0)) if len(order) else order
+        if len(order):
+            out[self.key[order][starts]] = np.maximum.reduceat(np.abs(self.x[order]), starts)
+        return out
 
-def _cell_neighbours(k: int):
-    """The task of one (chunk, part of the holders).
+    def norms(self) -> np.ndarray:
+        return np.sqrt(np.bincount(self.at, self.x * self.x, minlength=len(self.ids)))
 
-    Each input row is a key with its holders in the chunk (``l``) and in the part
-    (``r``). Entities of the chunk are worked off in slices. Keys that many of both
-    sides hold are multiplied as dense columns; the others product by product.
+    def bounds(self, other: _Entries, n_keys: int) -> np.ndarray:
+        """What an entity's similarity to any of the other block can be at most."""
+        sums = np.bincount(self.at, np.abs(self.x) * other.largest(n_keys)[self.key], minlength=len(self.ids))
+        return np.minimum(sums, self.norms() * other.norms().max(initial=0.0)) * (1 + 1e-12)
+
+
+def _multiplied(left: _Entries, right: _Entries, n_keys: int, floors: tuple, triangle: bool, tally: list | None):
+    """(place left, place right, similarity) of pairs that reach the floor of one side, slice by slice of the left.
+
+    Entities are worked off in slices. Keys that many of both sides hold are multiplied as dense
+    columns; the others product by product. In a ``triangle`` both sides are the same block and
+    each pair is made once.
+    """
+    height, width = len(left.ids), len(right.ids)
+    order = np.lexsort((right.at, right.key))
+    b, b_key, b_x = right.at[order], right.key[order], right.x[order]
+    order = np.argsort(left.at, kind="stable")
+    a, a_key, a_x = left.at[order], left.key[order], left.x[order]
+    begin = np.searchsorted(b_key, np.arange(n_keys + 1))
+    n_right, n_left = np.diff(begin), np.bincount(a_key, minlength=n_keys)
+
+    # The keys with the most products become dense columns, as far as those fit.
+    products = n_left.astype(np.int64) * n_right
+    dense = np.zeros(n_keys, dtype=bool)
+    dense[np.argsort(-products, kind="stable")[: DENSE_CELLS // max(width, 1)]] = True
+    dense &= (products * DENSE_GAIN >= height * width) & (products > 0)
+    column = np.cumsum(dense) - 1
+    n_dense = int(dense.sum())
+    slab = np.zeros((n_dense, width))
+    in_slab = dense[b_key]
+    slab[column[b_key[in_slab]], b[in_slab]] = b_x[in_slab]
+
+    first_of, end_of = begin[a_key], begin[a_key + 1]
+    if triangle:
+        # Holders behind the entity itself: the pairs before it were made from the other side.
+        first_of = np.searchsorted(b_key.astype(np.int64) * width + b, a_key.astype(np.int64) * width + a, side="right")
+    is_dense = dense[a_key]
+    fan = np.where(is_dense, 0, end_of - first_of)
+    if tally is not None:
+        tally.append(int(fan.sum()) + int(products[dense].sum()))
+    ends = np.cumsum(np.bincount(a, weights=fan, minlength=height).astype(np.int64))
+    low, high = floors
+    first = 0
+    while first < height:
+        done = ends[first - 1] if first else 0
+        last = max(first + 1, int(np.searchsorted(ends, done + PRODUCT_BATCH, side="right")))
+        if n_dense:
+            last = min(last, first + max(1, SLICE_CELLS // width))
+        lo, hi = np.searchsorted(a, [first, last])
+        rows_here = last - first
+        f, hot = fan[lo:hi], is_dense[lo:hi]
+        offset = np.arange(int(f.sum())) - np.repeat(np.cumsum(f) - f, f)
+        at = np.repeat(first_of[lo:hi], f) + offset
+        cell = np.repeat((a[lo:hi] - first).astype(np.int64) * width, f) + b[at]
+        product = np.repeat(a_x[lo:hi], f) * b_x[at]
+        if n_dense or rows_here * width <= SPARSE_GAIN * len(cell):
+            sums = np.zeros(rows_here * width)
+            if len(cell):
+                sums = np.bincount(cell, weights=product, minlength=len(sums))
+            if n_dense:
+                rows = np.zeros((rows_here, n_dense))
+                rows[a[lo:hi][hot] - first, column[a_key[lo:hi][hot]]] = a_x[lo:hi][hot]
+                whole = rows @ slab
+                if triangle:
+                    whole *= np.arange(width) > np.arange(first, last)[:, None]
+                sums += whole.ravel()
+            found = np.flatnonzero(sums > 0)
+            sums = sums[found]
+        else:
+            found, place = np.unique(cell, return_inverse=True)
+            sums = np.bincount(place, weights=product, minlength=len(found))
+        rows, cols = found // max(width, 1) + first, found % max(width, 1)
+        ok = (sums > 0) & (sums >= np.minimum(low[rows], high[cols]) - MARGIN)
+        yield rows[ok], cols[ok], sums[ok]
+        first = last
+
+
+def _cell_neighbours(k: int, tally: list | None = None):
+    """The task of one pair of blocks.
+
+    An input row is a key with its holders in the block of its ``side``; rows without a key hold
+    the K-th scores that the block's entities have so far.
     """
 
+    def entries(table: pa.Table, keys: np.ndarray) -> _Entries:
+        lists = table["l"].combine_chunks()
+        n = lists.value_lengths().to_numpy()
+        flat = lists.flatten()
+        ids, at = np.unique(flat.field("e").to_numpy(), return_inverse=True)
+        return _Entries(ids, np.repeat(keys, n), at, flat.field("x").to_numpy())
+
+    def floors_of(table: pa.Table, ids: np.ndarray) -> np.ndarray:
+        out = np.zeros(len(ids))
+        flat = table["l"].combine_chunks().flatten()
+        known, score = flat.field("e").to_numpy(), flat.field("x").to_numpy()
+        if len(known) and len(ids):
+            at = np.minimum(np.searchsorted(ids, known), len(ids) - 1)
+            here = ids[at] == known
+            out[at[here]] = score[here]
+        return out
+
     def run(table: pa.Table) -> pa.Table:
-        n_left, left_ids, left_x = _lists(table["l"])
-        n_right, right_ids, right_x = _lists(table["r"])
-        mine, a = np.unique(left_ids, return_inverse=True)
-        theirs, b = np.unique(right_ids, return_inverse=True)
-        width = len(theirs)
-        # Where an entity of the chunk is itself among the holders, or width if it is not.
-        own = np.searchsorted(theirs, mine)
-        own[own == width] = 0
-        own = np.where(theirs[own] == mine, own, width)
-        left_key = np.repeat(np.arange(table.num_rows), n_left)
-        right_key = np.repeat(np.arange(table.num_rows), n_right)
-
-        # The keys with the most products become dense columns, as far as those fit.
-        products = n_left.astype(np.int64) * n_right
-        dense_keys = np.zeros(table.num_rows, dtype=bool)
-        dense_keys[np.argsort(-products, kind="stable")[: DENSE_CELLS // width]] = True
-        dense_keys &= products * DENSE_GAIN >= len(mine) * width
-        column = np.cumsum(dense_keys) - 1
-        n_dense = int(dense_keys.sum())
-        slab = np.zeros((n_dense, width))
-        right_dense = dense_keys[right_key]
-        slab[column[right_key[right_dense]], b[right_dense]] = right_x[right_dense]
-
-        by_entity = np.argsort(a, kind="stable")
-        a, left_x, left_key = a[by_entity], left_x[by_entity], left_key[by_entity]
-        starts = np.cumsum(n_right) - n_right
-        is_dense = dense_keys[left_key]
-        fan = np.where(is_dense, 0, n_right[left_key])
-        ends = np.cumsum(np.bincount(a, weights=fan, minlength=len(mine)).astype(np.int64))
-        found, first = [], 0
-        while first < len(mine):
-            done = ends[first - 1] if first else 0
-            last = max(first + 1, int(np.searchsorted(ends, done + PRODUCT_BATCH, side="right")))
-            if n_dense:
-                last = min(last, first + max(1, SLICE_CELLS // width))
-            lo, hi = np.searchsorted(a, [first, last])
-            rows_here = last - first
-            f, hot = fan[lo:hi], is_dense[lo:hi]
-            offset = np.arange(int(f.sum())) - np.repeat(np.cumsum(f) - f, f)
-            at = np.repeat(starts[left_key[lo:hi]], f) + offset
-            cell = np.repeat((a[lo:hi] - first).astype(np.int64) * width, f) + b[at]
-            product = np.repeat(left_x[lo:hi], f) * right_x[at]
-            if n_dense or rows_here * width <= SPARSE_GAIN * len(cell):
-                sums = np.zeros(rows_here * width)
-                if len(cell):
-                    sums = np.bincount(cell, weights=product, minlength=len(sums))
-                sums = sums.reshape(rows_here, width)
-                if n_dense:
-                    left = np.zeros((rows_here, n_dense))
-                    left[a[lo:hi][hot] - first, column[left_key[lo:hi][hot]]] = left_x[lo:hi][hot]
-                    sums += left @ slab
-                inside = own[first:last] < width
-                sums[np.flatnonzero(inside), own[first:last][inside]] = 0.0
-                rows, cols = best_per_row(sums, k, sums > 0)
-                found.append((rows + first, cols, sums[rows, cols]))
-            else:
-                cell, place = np.unique(cell, return_inverse=True)
-                sums = np.bincount(place, weights=product, minlength=len(cell))
-                rows, cols = cell // width + first, cell % width
-                ok = (sums > 0) & (cols != own[rows])
-                found.append(_best_entries(rows[ok], cols[ok], sums[ok], k))
-            first = last
-        rows, cols, sims = (np.concatenate(part) for part in zip(*found))
-        return pa.table({"entity": mine[rows], "neighbor": theirs[cols], "sim": sims})
+        found: list[tuple[np.ndarray, np.ndarray, np.ndarray]] = []
+        side = table["side"].to_numpy()
+        keys = table["f"].combine_chunks().dictionary_encode().indices.fill_null(-1).to_numpy()
+        n_keys = int(keys.max(initial=-1)) + 1
+        part = lambda chosen: table.filter(pa.array(chosen))
+        triangle = table["lo"][0] == table["hi"][0]
+
+        def multiply(left: _Entries, right: _Entries, low: np.ndarray, high: np.ndarray) -> None:
+            best = [np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros(0)]
+            for rows, cols, sums in _multiplied(left, right, n_keys, (low, high), triangle, tally):
+                mine = sums >= low[rows] - MARGIN
+                r, c, v = _best_entries(rows[mine], cols[mine], sums[mine], k)
+                found.append((left.ids[r], right.ids[c], v))
+                theirs = sums >= high[cols] - MARGIN
+                new = [np.concatenate(x) for x in zip(best, (cols[theirs], rows[theirs], sums[theirs]))]
+                order = np.argsort(new[0], kind="stable")
+                best = list(_best_entries(*(x[order] for x in new), k))
+                # A column with k sums has a floor of its own from here on.
+                full = np.flatnonzero(np.append(best[0][1:] != best[0][:-1], True)) if len(best[0]) else np.zeros(0, np.int64)
+                counts = np.bincount(best[0], minlength=len(high))
+                full = full[counts[best[0][full]] >= k]
+                high[best[0][full]] = np.maximum(high[best[0][full]], best[2][full])
+            found.append((right.ids[best[0]], left.ids[best[1]], best[2]))
+
+        if triangle:
+            whole = entries(table, keys)
+            multiply(whole, whole, np.zeros(len(whole.ids)), np.zeros(len(whole.ids)))
+        else:
+            shared = np.zeros(n_keys + 1, np.int64)
+            for s in (0, 1):
+                shared[np.unique(keys[(side == s) & (keys >= 0)])] += 1
+            on = (keys >= 0) & (shared[keys] == 2)
+            both = [entries(part(on & (side == s)), keys[on & (side == s)]) for s in (0, 1)]
+            floors = [floors_of(part((keys < 0) & (side == s)), x.ids) for s, x in enumerate(both)]
+            left, right = both
+            asks = [x.bounds(y, n_keys) >= z - MARGIN for x, y, z in ((left, right, floors[0]), (right, left, floors[1]))]
+            asking = asks[0][left.at]
+            if asking.any():
+                multiply(left.take(asking), right, floors[0], floors[1].copy())
+            theirs = asks[1][right.at]
+            if not asking.all() and theirs.any():
+                multiply(left.take(~asking), right.take(theirs), floors[0], floors[1].copy())
+        entity, neighbor, sim = (np.concatenate(x) for x in zip(*found)) if found else (np.zeros(0, np.int64),) * 2 + (np.zeros(0),)
+        return pa.table({"entity": entity, "neighbor": neighbor, "sim": sim})
 
     return run
 
 
-def _packed(rows: DataFrame, by: list[str], name: str) -> DataFrame:
-    """Holders per group as one list; the groups are cut so that lists stay short."""
-    return rows.groupBy(*by).agg(F.collect_list(F.struct("e", "x")).alias(name))
+def _placed(held: DataFrame, n: int, weights: int, n_blocks: int) -> tuple[DataFrame, int]:
+    """(e, block) of the entities of ``held`` (e, held, main), and the number of blocks.
+
+    Entities with the same heaviest key follow each other. A block ends where its share of the entities or of
+    the weights is used up.
+    """
+    if n_blocks == 1:
+        return held.select("e", F.lit(0).cast("long").alias("block")), 1
+    cost = F.col("held") * F.lit(n_blocks / weights) + F.lit(n_blocks / n)
+    costed = held.withColumn("cost", cost)
+    reached = prefix_sums(costed, [F.col("main"), F.col("e")], "cost", "reached")
+    # Entities and weights use up two shares, so there are twice as many steps as blocks.
+    block = F.floor((F.col("reached") - F.col("cost") / 2) / 2).cast("long")
+    placed = pin(reached.select("e", F.least(block, F.lit(n_blocks - 1)).alias("block")))
+    return placed, n_blocks
 
 
 def _neighbours(
     unit: DataFrame, k: int, chunk_entities: int, task_holders: int, list_holders: int, heavy_keys: int
 ) -> DataFrame:
     """Ranked neighbours (entity, neighbor, sim, rank) of pinned unit rows."""
-    held = unit.groupBy("e").agg(F.count("*").alias("held"))
+    spark = unit.sparkSession
+    main = F.max_by("f", F.struct(F.abs("x"), "f"))
+    held = pin(unit.groupBy("e").agg(F.count("*").alias("held"), main.alias("main")))
+    is_heavy = F.col("held") > heavy_keys
     size = held.agg(
-        F.count("*").alias("n"), F.coalesce(F.sum("held"), F.lit(0)).alias("weights"), F.max("held").alias("most")
+        F.count_if(~is_heavy).alias("n"),
+        F.coalesce(F.sum(F.when(~is_heavy, F.col("held"))), F.lit(0)).alias("weights"),
+        F.count_if(is_heavy).alias("heavy"),
     ).first()
-    if not size["n"]:
-        return unit.sparkSession.createDataFrame([], NEIGHBOURS + ", rank int")
-    parallel = unit.sparkSession.sparkContext.defaultParallelism
-    n_chunks = max(
-        -(-size["n"] // chunk_entities),
-        -(-size["weights"] // CHUNK_WEIGHTS),
-        min(parallel, -(-size["n"] // SMALLEST_CHUNK)),
+    if not size["n"] + size["heavy"]:
+        return spark.createDataFrame([], NEIGHBOURS + ", rank int")
+    cells = spark.sparkContext.defaultParallelism
+    n_blocks = max(
+        1,
+        # A block may be larger than its share by one entity, and have half its share of the one in the other.
+        -(-2 * size["n"] // min(chunk_entities, list_holders)) if size["n"] > min(chunk_entities, list_holders) else 1,
+        -(-2 * size["weights"] // min(CHUNK_WEIGHTS, task_holders)) if size["weights"] > min(CHUNK_WEIGHTS, task_holders) else 1,
+        min(math.isqrt(2 * cells), -(-size["n"] // SMALLEST_CHUNK)),
     )
-    degrees = unit.groupBy("f").agg(F.count("*").alias("degree"))
-    reach = degrees.agg(
-        F.sum(F.least("degree", F.lit(n_chunks)) * F.col("degree")).alias("holders"), F.max("degree").alias("most")
-    ).first()
-    n_parts = max(1, -(-reach["holders"] // n_chunks // task_holders))
-
-    normal, found = unit, []
-    if size["most"] > heavy_keys:
-        heavy = pin(held.where(F.col("held") > heavy_keys).select("e"))
-        normal = unit.join(heavy, "e", "left_anti")
-        own = unit.join(heavy, "e").select("f", F.col("e").alias("entity"), F.col("x").alias("own"))
-        # Summed on the map side first: an entity's partners, not its products, are shuffled.
-        found.append(
-            own.join(unit, "f")
-            .where(F.col("entity") != F.col("e"))
-            .groupBy("entity", F.col("e").alias("neighbor"))
-            .agg(F.sum(F.col("own") * F.col("x")).alias("sim"))
-            .where("sim > 0")
-        )
-
-    place = lambda n, seed: F.pmod(F.xxhash64("e", F.lit(seed)), F.lit(n)).cast("int")
-    holders = unit.withColumns({"part": place(n_parts, 1), "cut": F.lit(0)})
-    if reach["most"] > list_holders * n_parts:
-        # A hot key's list is cut further, by the number of its holders.
-        hot = degrees.where(F.col("degree") > list_holders * n_parts)
-        cuts = F.ceil(F.col("degree") / F.lit(float(list_holders * n_parts)))
-        holders = (
-            holders.join(hot, "f", "left")
-            .withColumn("cut", F.pmod(F.xxhash64("e", F.lit(2)), F.coalesce(cuts, F.lit(1))).cast("int"))
-            .drop("degree")
-        )
-    left = _packed(normal.withColumn("chunk", place(n_chunks, 0)), ["f", "chunk"], "l")
-    right = _packed(holders, ["f", "part", "cut"], "r")
-    cells = left.join(right, "f").select("chunk", "part", "l", "r")
-    found.append(cells.groupBy("chunk", "part").applyInArrow(_cell_neighbours(k), NEIGHBOURS))
-    merged = found[0] if len(found) == 1 else found[0].unionByName(found[1])
-    return top_n(merged, "entity", "sim", "neighbor", k)
+    placed, n_blocks = _placed(held.where(~is_heavy), max(size["n"], 1), max(size["weights"], 1), n_blocks)
+    n_all = n_blocks + size["heavy"]
+    if size["heavy"]:
+        ranked = global_rank(held.where(is_heavy).select("e"), [F.col("e")], "place")
+        placed = pin(placed.unionByName(ranked.select("e", (F.col("place") + n_blocks - 1).alias("block"))))
+
+    entries = unit.join(placed, "e")
+    lists = entries.groupBy("f", "block").agg(F.collect_list(F.struct("e", "x")).alias("l"))
+    lists = lists if n_all == 1 else pin(lists)
+    own = lists.where(F.col("block") < n_blocks)
+    own = own.select(F.col("block").alias("lo"), F.col("block").alias("hi"), F.lit(0).alias("side"), "f", "l")
+    first = top_n(own.groupBy("lo", "hi").applyInArrow(_cell_neighbours(k), NEIGHBOURS), "entity", "sim", "neighbor", k)
+    if n_all == 1:
+        return first
+
+    first = pin(first)
+    scores = first.where(F.col("rank") == k).join(placed, F.col("entity") == F.col("e"))
+    scores = scores.groupBy("block").agg(F.collect_list(F.struct("e", F.col("sim").alias("x"))).alias("l"))
+    scores = scores.select(F.lit(None).cast(dict(unit.dtypes)["f"]).alias("f"), "block", "l")
+    every = F.sequence(F.lit(0).cast("long"), F.lit(n_all - 1).cast("long"))
+    if n_all <= FEW_BLOCKS:
+        sent = lists.unionByName(scores).withColumn("others", every)
+    else:
+        holders = lists.groupBy("f").agg(F.collect_set("block").alias("others"))
+        sent = lists.join(holders, "f").unionByName(scores.withColumn("others", every))
+    sent = sent.select("f", "block", "l", F.explode("others").alias("other")).where(F.col("block") != F.col("other"))
+    sent = sent.select(
+        F.least("block", "other").alias("lo"),
+        F.greatest("block", "other").alias("hi"),
+        (F.col("block") > F.col("other")).cast("int").alias("side"),
+        "f",
+        "l",
+    ).where(F.col("lo") < n_blocks)
+    found = sent.groupBy("lo", "hi").applyInArrow(_cell_neighbours(k), NEIGHBOURS).unionByName(first.drop("rank"))
+    if size["heavy"] > 1:
+        # Two heavy rows may share more keys than fit a task: few pairs, summed on the map side first.
+        heavy = entries.where(F.col("block") >= n_blocks)
+        one = heavy.select("f", F.col("e").alias("entity"), F.col("x").alias("own"))
+        both = one.join(heavy, "f").where(F.col("entity") != F.col("e")).groupBy("entity", F.col("e").alias("neighbor"))
+        found = found.unionByName(both.agg(F.sum(F.col("own") * F.col("x")).alias("sim")).where("sim > 0"))
+    return top_n(found, "entity", "sim", "neighbor", k)
 
 
 def _collapsed(unit: DataFrame, k: int) -> tuple[DataFrame, DataFrame] | None:

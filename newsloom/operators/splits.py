@@ -6,7 +6,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from newsloom.functions import truncated_share, unit_hash
-from newsloom.operators.ranking import HOT_GROUP_ROWS, nth_smallest, rank_within
+from newsloom.operators.ranking import HOT_GROUP_ROWS, nth_smallest, rank_within, time_stats
 
 
 def random_split(
@@ -38,7 +38,8 @@ def time_split(
     is older than any other, and so is a missing id among rows of one time; rows that have neither
     can't be told apart and fall together.
     """
-    rows, timed, least = df.agg(F.count("*"), F.count(time_field), F.min(id_field)).first()
+    stats = df.agg(F.count("*").alias("rows"), F.min(id_field).alias("least"), *time_stats(F.col(time_field))).first()
+    rows, timed, least = stats["rows"], stats["timed"], stats["least"]
     n_test = int(rows * test_ratio)
     if n_test == 0:
         return df, df.where(F.lit(False))
@@ -46,7 +47,7 @@ def time_split(
     kind = dict(df.dtypes)[time_field]
     if n_test > rows - timed:
         keys = df.where(time.isNotNull()).select(time.alias("_time"), item.alias("_id"))
-        edge, last = nth_smallest(keys, "_time", "_id", n_test - (rows - timed))
+        edge, last = nth_smallest(keys, "_time", "_id", n_test - (rows - timed), stats=stats)
         boundary = F.lit(edge).cast(kind)
         is_test = time.isNull() | (time < boundary) | ((time == boundary) & (item <= F.lit(last)))
     else:

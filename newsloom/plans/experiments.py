@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import uuid
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame
@@ -14,9 +15,11 @@ from newsloom.session import pin
 from newsloom.sources.csv_tables import write_csv
 from newsloom.sources.dataset import ARTICLES_FILE, TRAIN_FILE, VALIDATION_FILE, VECTORS_FILE, Dataset
 from newsloom.sources.metric_log import RANKING_METRICS
+from newsloom.sources.parquet import write_bucketed
 from newsloom.sources.schemas import ARTICLES, BEHAVIORS, DOCUMENT_VECTOR
 from newsloom.streaming.click_counts import ClickCounts
-from newsloom.streaming.last_rows import last_rows, run_to_table, shard_buffers
+from newsloom.streaming.last_rows import current_buffers, last_rows, run_to_versions, shard_buffers
+from newsloom.streaming.popularity_state import PopularityState
 
 
 def standard_set(t: GivenTables) -> Dataset:
@@ -150,8 +153,8 @@ def event_stream(t: GivenTables) -> DataFrame:
 def stream_last_rows(t: GivenTables, size: int) -> DataFrame:
     """Run the buffer stream over what is there, then read the newest rows."""
     folder = scratch(t.spark, "stream-buffer")
-    run_to_table(shard_buffers(event_stream(t), size), f"{folder}/updates", f"{folder}/checkpoint")
-    return last_rows(t.spark.read.parquet(f"{folder}/updates"), size)
+    run_to_versions(shard_buffers(event_stream(t), size), f"{folder}/versions", f"{folder}/checkpoint")
+    return last_rows(current_buffers(t.spark, f"{folder}/versions"), size)
 
 
 def stream_click_counts(t: GivenTables) -> DataFrame:
@@ -162,6 +165,36 @@ def stream_click_counts(t: GivenTables) -> DataFrame:
     return counts.counts(t.users, t.articles)
 
 
+def loaded_counts(t: GivenTables, rows: DataFrame, key: str) -> DataFrame:
+    """(article_id, count) kept up over three loads of ``rows``: a first part, the rest with wrong articles, a correction."""
+    state = PopularityState(t.spark, scratch(t.spark, "popularity"), fanout=2)
+    late, spoilt = F.col(key) % 5 == 0, F.col(key) % 10 == 0
+    wrong = rows.where(spoilt).withColumn("article_id", F.col("article_id") + 1)
+    state.add(rows.where(~late), 0)
+    state.add(rows.where(late & ~spoilt).unionByName(wrong), 1)
+    state.correct(wrong, rows.where(spoilt), 2)
+    return state.counts()
+
+
+# Buckets of the stored user-item table.
+BUCKETS = 16
+
+
+def bucketed_reads(t: GivenTables, rows: DataFrame) -> DataFrame:
+    """(user_id, article_id, score, share): read time per pair and its share of the user's, from a table bucketed by user.
+
+    Both groupings and the join are on the bucket column, so none of them shuffles.
+    """
+    name = f"newsloom_reads_{uuid.uuid4().hex}"
+    reads = rows.select("user_id", "article_id", F.coalesce("read_time", F.lit(0.0)).alias("read_time"))
+    stored = write_bucketed(reads, name, scratch(t.spark, "bucketed"), "user_id", BUCKETS)
+    pairs = stored.groupBy("user_id", "article_id").agg(F.sum("read_time").alias("score"))
+    users = stored.groupBy("user_id").agg(F.sum("read_time").alias("total"))
+    return pairs.join(users.hint("merge"), "user_id").select(
+        "user_id", "article_id", "score", F.try_divide("score", "total").alias("share")
+    )
+
+
 def daily_run_logs(t: GivenTables, folder: str) -> None:
     """One CSV run log per kind of event, a row per day, named as its model and method.
 

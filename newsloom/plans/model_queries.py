@@ -24,7 +24,7 @@ from newsloom.operators.clean import reduce_behaviors
 from newsloom.plans import experiments, oracle
 from newsloom.plans.given_tables import GivenTables
 from newsloom.plans.oracle import BIAS, PROFILE, SCORED, evaluated, popular, popular_recs, ranking_evaluated, with_ctes
-from newsloom.plans.registry import query, rounded, scratch
+from newsloom.plans.registry import ORACLES, query, rounded, scratch
 from newsloom.session import pin
 from newsloom.sources import MetricLog
 
@@ -72,6 +72,13 @@ def most_popular(t):
     return MostPopular(known(t)).fit().recommend(n=5)
 
 
+@query("j1_most_popular_from_loads", with_ctes("behaviors known", popular_recs("known")))
+def _(t):
+    # The counts come from loads and a correction, not from the log.
+    counts = experiments.loaded_counts(t, known(t), "impression_id")
+    return MostPopular(known(t), counts).fit().recommend(n=5)
+
+
 RING = "behaviors known buffer current"
 
 
@@ -329,14 +336,23 @@ def hybrid_recs(df: DataFrame) -> DataFrame:
         1,
     ),
 )
-def _(t):
-    model = PopularityUserCF(inter(t)).fit()
+def hybrid_with_fill(t):
+    return long_hybrid(t, None)
+
+
+def long_hybrid(t, counts):
+    model = PopularityUserCF(inter(t), counts=counts).fit()
     everyone = inter(t).select("user_id")
     who = everyone.union(everyone.select(F.col("user_id") + 1000000))
     # Lists of 60 are longer than what the neighbours offer, so the fill is reached.
     return hybrid_recs(model.recommend(who, n=60))
 
 
+@query("j7_hybrid_from_loads", ORACLES["j7_hybrid_recommend"])
+def _(t):
+    return long_hybrid(t, experiments.loaded_counts(t, inter(t).select("user_id", "article_id"), "user_id"))
+
+
 @query(
     "j7_hybrid_recommend_big",
     with_ctes(f"{BIG} unit_u_big nb_u_big", HYBRID.replace("rank <= 60", "rank <= 5").replace("FROM inter ", "FROM inter_big ")).replace(

@@ -20,6 +20,7 @@ from newsloom.functions import (
 from newsloom.models.popularity import most_read, popularity
 from newsloom.models.profile import mean_vectors
 from newsloom.operators import clean, explore, interactions, splits
+from newsloom.operators.ranking import global_rank
 from newsloom.plans import experiments
 from newsloom.plans.given_tables import GivenTables
 from newsloom.plans.oracle import SCORED, hash_of, popular, with_ctes
@@ -51,6 +52,19 @@ def _(t):
     return stored.select("user_id", "article_id", rounded("score", "score"))
 
 
+@query(
+    "a3_bucketed_user_items",
+    with_ctes("behaviors known", """
+SELECT user_id, article_id, round(sum(coalesce(read_time, 0)), 6) AS score,
+  round(sum(coalesce(read_time, 0)) / nullif(sum(sum(coalesce(read_time, 0))) OVER (PARTITION BY user_id), 0), 6) AS share
+FROM known GROUP BY user_id, article_id"""),
+)
+def _(t):
+    reads = t.behaviors.where("article_id IS NOT NULL")
+    found = experiments.bucketed_reads(t, reads)
+    return found.select("user_id", "article_id", rounded("score", "score"), rounded("share", "share"))
+
+
 NULL_TOTALS = with_ctes(
     "behaviors known articles inter",
     """
@@ -249,6 +263,17 @@ def _(t):
     )
 
 
+@query(
+    "b3_standard_articles_in_order",
+    with_ctes("articles", "SELECT published_time, row_number() OVER (ORDER BY published_time DESC NULLS FIRST) AS position FROM articles"),
+)
+def _(t):
+    articles, _vectors, _rows = standard(t)
+    # The place of a row in the sorted table; equal times may change places, so the id is left out.
+    placed = articles.select("published_time", F.monotonically_increasing_id().alias("at"))
+    return global_rank(placed, [F.col("at").asc()], "position").select("published_time", "position")
+
+
 @query(
     "g12_prefix_columns",
     "SELECT vec_id AS article_id, " + ", ".join(f"max((t = {v})::INT) AS topic_{v}" for v in range(17)) + " "

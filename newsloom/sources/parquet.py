@@ -31,7 +31,13 @@ def write_parquet(
     return read_parquet(df.sparkSession, path)
 
 
-def write_bucketed(df: DataFrame, table: str, key: str, buckets: int, mode: str = "overwrite") -> DataFrame:
-    """Save as a table bucketed and sorted by ``key``: later joins on it need no shuffle."""
-    df.write.mode(mode).bucketBy(buckets, key).sortBy(key).format("parquet").saveAsTable(table)
+def write_bucketed(df: DataFrame, table: str, path: str, key: str, buckets: int) -> DataFrame:
+    """Save as a table at ``path``, bucketed and sorted by ``key``.
+
+    Groups and joins on ``key``, and on ``key`` with more columns, need no exchange of a table with the same
+    number of buckets. Rows are dealt by the key first, so that each bucket is one file.
+    """
+    dealt = df.repartition(buckets, key)
+    writer = dealt.write.mode("overwrite").format("parquet").option("path", path)
+    writer.bucketBy(buckets, key).sortBy(key).saveAsTable(table)
     return df.sparkSession.table(table)

@@ -1,8 +1,8 @@
 """Per-article click statistics of a stream, from which the click model is refitted.
 
 The model needs, per article, how often it was clicked and by how many different users.
-Each micro-batch adds its rows per (user, article) to its own folder; the statistics
-are one aggregation over them.
+Each micro-batch adds its rows per (user, article) to a store of few merged runs; the
+statistics are one aggregation over them.
 """
 
 from __future__ import annotations
@@ -11,17 +11,19 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from newsloom.operators.interactions import clicked_pairs
+from newsloom.streaming.manifest import MergedRuns
 
 
 class ClickCounts:
-    def __init__(self, spark: SparkSession, path: str):
+    """``path`` belongs to one stream: its batch numbers tell what has been added."""
+
+    def __init__(self, spark: SparkSession, path: str, fanout: int = 4):
         self.spark = spark
-        self.path = path
+        self.runs = MergedRuns(spark, path, {"user_id": "long", "article_id": "long"}, ["rows"], fanout)
 
     def add_batch(self, behaviors: DataFrame, batch_id: int) -> None:
-        """Fold one micro-batch; a retried batch overwrites its own folder."""
-        folded = clicked_pairs(behaviors).groupBy("user_id", "article_id").agg(F.count("*").alias("rows"))
-        folded.write.mode("overwrite").parquet(f"{self.path}/batch={batch_id}")
+        """Fold one micro-batch in; a retried batch counts once."""
+        self.runs.add(clicked_pairs(behaviors).select("user_id", "article_id", F.lit(1).alias("rows")), batch_id)
 
     def follow(self, behaviors: DataFrame, checkpoint: str):
         """Start the stream over what is available now; returns the query."""
@@ -34,12 +36,12 @@ class ClickCounts:
 
     def compact(self, path: str) -> "ClickCounts":
         """All batches folded into one under a new path."""
-        self._pairs().write.mode("overwrite").parquet(f"{path}/batch=0")
-        return ClickCounts(self.spark, path)
+        found = ClickCounts(self.spark, path, self.runs.fanout)
+        found.runs.add(self.runs.rows(), 0)
+        return found
 
     def _pairs(self) -> DataFrame:
-        stored = self.spark.read.parquet(self.path)
-        return stored.groupBy("user_id", "article_id").agg(F.sum("rows").alias("rows"))
+        return self.runs.rows()
 
     def counts(self, users: DataFrame, articles: DataFrame) -> DataFrame:
         """(article_id, positives, negatives), as ``click_counts`` gives for the whole log."""

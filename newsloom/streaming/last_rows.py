@@ -10,10 +10,12 @@ from __future__ import annotations
 from collections.abc import Iterator
 
 import pandas as pd
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
+from newsloom.streaming.manifest import Manifest
+
 SHARDS = 16
 BUFFER = "shard int, version long, impression_time timestamp, impression_id long, user_id long, article_id long"
 STATE = "version long, times array<timestamp>, impressions array<long>, users array<long>, articles array<long>"
@@ -97,3 +99,43 @@ def run_to_table(updates: DataFrame, path: str, checkpoint: str) -> None:
         .start()
     )
     query.awaitTermination()
+
+
+def run_to_versions(updates: DataFrame, path: str, checkpoint: str) -> None:
+    """Write all that is available now to ``path``, a whole version for each micro-batch, and stop.
+
+    A version holds the newest buffer of every shard, shards x size rows: those of the batch, and the last
+    version's for shards that it doesn't update. It counts when its manifest is there, so a reader
+    (``current_buffers``) never meets half of a batch. A batch that was committed is not written
+    again, one that wasn't writes the same folder anew.
+    """
+    store = Manifest(updates.sparkSession, path)
+
+    def commit(batch: DataFrame, batch_id: int) -> None:
+        last = store.latest()
+        if last and batch_id <= last["version"]:
+            return
+        # The update is read twice; the state must not be asked twice.
+        batch = batch.persist()
+        folders = last["folders"] if last else []
+        kept = store.read(folders, BUFFER).join(batch.select("shard").distinct(), "shard", "left_anti")
+        folder = f"buffers/{batch_id}"
+        kept.select(batch.columns).unionByName(batch).write.mode("overwrite").parquet(f"{store.path}/{folder}")
+        store.commit(batch_id, [folder], folders)
+        batch.unpersist()
+
+    query = (
+        updates.writeStream.outputMode("update")
+        .option("checkpointLocation", checkpoint)
+        .trigger(availableNow=True)
+        .foreachBatch(commit)
+        .start()
+    )
+    query.awaitTermination()
+
+
+def current_buffers(spark: SparkSession, path: str) -> DataFrame:
+    """The shards' buffers of the newest committed version."""
+    store = Manifest(spark, path)
+    last = store.latest()
+    return store.read(last["folders"] if last else [], BUFFER)

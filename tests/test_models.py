@@ -18,7 +18,9 @@ from newsloom.models import (
 )
 from newsloom.models import users_frame as users_of
 from newsloom.operators.interactions import binary_matrix, click_counts
+from newsloom.operators import vector_search
 from newsloom.operators.vector_search import best_by_dot
+from newsloom.plans import model_queries
 from newsloom.plans.given_tables import GivenTables
 
 
@@ -167,7 +169,10 @@ def test_topic_cf_equals_the_walk(spark, n, allow_read):
     near = {}
     for r in model.neighbors.orderBy("entity", "rank").collect():
         near.setdefault(r["entity"], []).append((r["neighbor"], r["sim"]))
-    assert lists(model.recommend(n=n, allow_read_articles=allow_read)) == topic_walk(rows, near, n, allow_read)
+    expected = topic_walk(rows, near, n, allow_read)
+    assert lists(model.recommend(n=n, allow_read_articles=allow_read)) == expected
+    # Users with many articles are ranked and summed across tasks; the walk is the same.
+    assert lists(model.recommend(n=n, allow_read_articles=allow_read, hot_rows=3)) == expected
 
 
 def test_topic_cf_stops_early(spark):
@@ -223,6 +228,51 @@ def test_vector_search_equals_dense_product(spark, chunk):
     assert lists(got) == dense_top(users, items, 6, seen)
 
 
+@pytest.mark.parametrize("equal_lengths", [True, False])
+def test_vector_search_makes_few_cells_of_clustered_vectors(spark, equal_lengths, monkeypatch):
+    rng = np.random.default_rng(8)
+    centres = 3 * rng.normal(size=(12, 6))
+
+    def near(n):
+        rows = centres[rng.integers(0, 12, n)] + 0.05 * rng.normal(size=(n, 6))
+        return rows / np.linalg.norm(rows, axis=1, keepdims=True) if equal_lengths else rows
+
+    users = [(u, v.tolist()) for u, v in enumerate(near(600))]
+    items = [(1000 + a, v.tolist()) for a, v in enumerate(near(480))]
+    seen = {(u, 1000 + int(a)) for u in range(0, 600, 50) for a in rng.integers(0, 480, 30)}
+    counted = []
+    whole = vector_search.needed_cells
+    monkeypatch.setattr(vector_search, "SMALLEST_CHUNK", 25)
+    monkeypatch.setattr(
+        vector_search, "needed_cells", lambda b, x: counted.append((whole(b, x).count(), b.count())) or whole(b, x)
+    )
+    got = best_by_dot(
+        spark.createDataFrame(users, "user_id long, vec array<double>"),
+        spark.createDataFrame(items, "article_id long, vec array<double>"),
+        5,
+        exclude=spark.createDataFrame(sorted(seen), "user_id long, article_id long"),
+        chunk_vectors=20,
+    )
+    assert lists(got) == dense_top(users, items, 5, seen)
+    cells, pairs = counted[0]
+    assert pairs >= 24 * 24 and cells < pairs / 2
+
+
+def test_vector_search_on_vectors_without_any_order(spark):
+    # Equal lengths, spread all around: the bounds exclude nothing, and must not.
+    rng = np.random.default_rng(2)
+    round_about = lambda n: (lambda x: x / np.linalg.norm(x, axis=1, keepdims=True))(rng.normal(size=(n, 12)))
+    users = [(u, v.tolist()) for u, v in enumerate(round_about(60))]
+    items = [(1000 + a, v.tolist()) for a, v in enumerate(round_about(90))] + [(2000 + a, [0.0] * 12) for a in range(9)]
+    got = best_by_dot(
+        spark.createDataFrame(users, "user_id long, vec array<double>"),
+        spark.createDataFrame(items, "article_id long, vec array<double>"),
+        95,
+        chunk_vectors=11,
+    )
+    assert lists(got) == dense_top(users, items, 95)
+
+
 def test_vector_search_without_items(spark):
     users = spark.createDataFrame([(1, [1.0])], "user_id long, vec array<double>")
     none = spark.createDataFrame([], "article_id long, vec array<double>")
@@ -292,3 +342,44 @@ def test_click_model_equals_fit_on_all_pairs(spark):
     assert got.groupBy("user_id").count().where("count <> 5").isEmpty()
     again = ClickModel(behaviors, users, listed, vecs, n_components=3).fit(counts=click_counts(behaviors, users, listed))
     assert lists(again.recommend(n=5)) == lists(got)
+
+
+# --- the protocol ---------------------------------------------------------------------
+
+
+def test_all_models_keep_the_protocol(spark, sf_dir):
+    """Each of the ten: fit returns the model, lists have the same columns, at most n rows a user, ranks from 1; an unknown user doesn't fail."""
+    t = GivenTables(spark, sf_dir)
+    log = model_queries.known(t)
+    rows, scores = model_queries.inter(t), model_queries.scored(t)
+    models = [
+        MostPopular(log),
+        RingBuffer(log, 10),
+        UserItemBias(scores),
+        UserCF(rows),
+        ItemCF(rows),
+        TopicCF(rows, t.topics),
+        PopularityUserCF(rows),
+        WeightedProfiles(scores, t.vectors),
+        CosineProfiles(log, t.articles, t.vectors),
+        ClickModel(t.behaviors, t.users, t.articles, t.vectors),
+    ]
+    one = log.select("user_id").first()[0]
+    for model in models:
+        assert isinstance(model, Recommender)
+        with pytest.raises(ValueError):
+            model.recommend(n=3)
+        assert model.fit() is model
+        found = model.recommend(n=3)
+        assert set(found.columns) == {"user_id", "article_id", "score", "rank"}, type(model)
+        for user, ranks in ranks_of(found).items():
+            assert ranks == list(range(1, len(ranks) + 1)) and len(ranks) <= 3 and user is not None
+        few = ranks_of(model.recommend(users_of(spark, one, 10**9), n=3))
+        assert set(few) <= {one, 10**9} and one in few
+
+
+def ranks_of(found):
+    out = {}
+    for r in found.collect():
+        out.setdefault(r["user_id"], []).append(r["rank"])
+    return {user: sorted(ranks) for user, ranks in out.items()}

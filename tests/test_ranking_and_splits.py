@@ -1,11 +1,22 @@
+import random
 from datetime import datetime
 
 import pytest
 from conftest import at
 from pyspark.sql import functions as F
 
-from newsloom.operators import splits
-from newsloom.operators.ranking import best_unseen, global_rank, nth_smallest, rank_within, top_n
+from newsloom.operators import ranking, splits
+from newsloom.operators.ranking import (
+    best_unseen,
+    global_rank,
+    large_groups,
+    nth_smallest,
+    prefix_sums,
+    rank_within,
+    rows_between,
+    running_total,
+    top_n,
+)
 
 
 def test_global_rank_equals_sort(spark):
@@ -54,6 +65,57 @@ def test_nth_smallest_with_one_hot_instant(spark, tail):
         assert nth_smallest(df, "t", "i", target, tail) == ordered[target - 1]
 
 
+@pytest.mark.parametrize("size, error", [(8, 0.0), (8, 0.002), (4096, 0.002)])
+def test_nth_smallest_when_the_sketch_is_off(spark, size, error, monkeypatch):
+    monkeypatch.setattr(ranking, "SKETCH_SIZE", size)
+    monkeypatch.setattr(ranking, "SKETCH_ERROR", error)
+    pick = random.Random(4)
+    rows = [(at(pick.randint(0, 3000)), i) for i in range(4000)] + [(at(1500), 10_000 + i) for i in range(900)]
+    df = spark.createDataFrame(rows, "t timestamp_ntz, i long").repartition(5)
+    ordered = sorted(rows)
+    for target, tail in ((1, 5), (1234, 5), (2500, 100_000), (4900, 5)):
+        assert nth_smallest(df, "t", "i", target, tail) == ordered[target - 1]
+
+
+def test_time_search_filters_the_scan(spark, sf_dir):
+    for name, time in (("events", "ts"), ("orders", "o_orderdate")):
+        df = spark.read.parquet(f"{sf_dir}/{name}.parquet")
+        plan = rows_between(df, time, 10**15, 10**15 + 10**6)._jdf.queryExecution().toString()
+        pushed = plan[plan.index("PushedFilters") :]
+        assert f"GreaterThanOrEqual({time}" in pushed and "LessThanOrEqual(" in pushed
+
+
+@pytest.mark.parametrize("partitions", [1, 3, 8])
+def test_prefix_sums(spark, partitions):
+    pick = random.Random(partitions)
+    rows = [(pick.choice([None, 1, 1, 1, 1, 2, 5]), i, pick.choice([None, 1, 2, 7]), "x") for i in range(500)]
+    rows += [(9, i, 3, "y") for i in range(3)] + [(1, 1000 + i, 1, "z") for i in range(700)]
+    pick.shuffle(rows)
+    df = spark.createDataFrame(rows, "g long, o long, v int, other string").repartition(partitions)
+    expected = {}
+    for whole in (False, True):
+        total = {}
+        for g, o, v, x in sorted(rows, key=lambda r: ((r[0] is not None, r[0] or 0) if not whole else 0, r[1], r[3])):
+            total[whole or g] = total.get(whole or g, 0) + (v or 0)
+            expected[(whole, g, o, x)] = total[whole or g]
+    got = prefix_sums(df, [F.col("o").asc(), F.col("other").asc()], "v", "sum", "g")
+    assert got.columns == ["g", "o", "v", "other", "sum"]
+    assert {(False, r["g"], r["o"], r["other"]): r["sum"] for r in got.collect()} == {k: v for k, v in expected.items() if not k[0]}
+    got = prefix_sums(df, [F.col("o").asc(), F.col("other").asc()], "v", "sum")
+    assert {(True, r["g"], r["o"], r["other"]): r["sum"] for r in got.collect()} == {k: v for k, v in expected.items() if k[0]}
+    large = large_groups(df, "g", 400)
+    assert {r[0] for r in large.collect()} == {1} and large_groups(df, "g", 10_000) is None
+    both = running_total(df, "g", [F.col("o").asc(), F.col("other").asc()], "v", "sum", large)
+    assert {(False, r["g"], r["o"], r["other"]): r["sum"] for r in both.collect()} == {k: v for k, v in expected.items() if not k[0]}
+    assert prefix_sums(df.limit(0), [F.col("o")], "v", "sum", "g").count() == 0
+
+
+def test_prefix_sums_of_doubles(spark):
+    df = spark.range(1, 1001).select("id", (F.col("id") / 4).alias("v")).repartition(6)
+    rows = {r["id"]: r["t"] for r in prefix_sums(df, [F.col("id")], "v", "t").collect()}
+    assert rows == {i: i * (i + 1) / 8 for i in range(1, 1001)}
+
+
 def test_time_split(spark, make_log):
     rows = [(i, 1, i, s, 1.0, 1.0) for i, s in enumerate([9, 8, 7, 3, 3, 5, 4, 6, 2, 1])]
     train, test = splits.time_split(make_log(rows), test_ratio=0.3)

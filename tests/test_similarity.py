@@ -1,9 +1,11 @@
 """Neighbour search against a dense product, under every size bound."""
 
 import numpy as np
+import pyarrow as pa
 import pytest
 
-from newsloom.operators.similarity import require_unique_pairs, top_k_cosine
+from newsloom.operators import similarity
+from newsloom.operators.similarity import _cell_neighbours, require_unique_pairs, top_k_cosine
 
 
 def brute_force(rows, k):
@@ -68,6 +70,91 @@ def test_equals_dense_product(spark, skewed_rows, bounds):
     assert got == brute_force(skewed_rows, 5)
 
 
+@pytest.mark.parametrize("few", [1, 64])
+@pytest.mark.parametrize("heavy", [5, 10**6])
+def test_lists_go_to_all_blocks_or_to_the_holders(spark, skewed_rows, few, heavy, monkeypatch):
+    monkeypatch.setattr(similarity, "FEW_BLOCKS", few)
+    bounds = {"collapse": False, "chunk_entities": 12, "heavy_keys": heavy}
+    got = found(top_k_cosine(frame(spark, skewed_rows), "entity", "key", "weight", 5, **bounds))
+    assert got == brute_force(skewed_rows, 5)
+
+
+def cell_table(parts):
+    """A cell's input from (side, rows, floors) with (entity, key, weight) rows."""
+    out = []
+    for side, rows, floors in parts:
+        for key in sorted({f for _, f, _ in rows}):
+            out.append((side, key, [{"e": e, "x": x} for e, f, x in rows if f == key]))
+        if floors:
+            out.append((side, None, [{"e": e, "x": x} for e, x in floors]))
+    side, key, held = zip(*out)
+    ends = [int(len(parts) > 1)] * len(out)
+    kind = pa.list_(pa.struct([("e", pa.int64()), ("x", pa.float64())]))
+    return pa.table({"lo": [0] * len(out), "hi": ends, "side": side, "f": pa.array(key, pa.int64()), "l": pa.array(held, kind)})
+
+
+def unit(rows):
+    norms = {}
+    for e, _, w in rows:
+        norms[e] = norms.get(e, 0.0) + w * w
+    return [(e, f, w / norms[e] ** 0.5) for e, f, w in rows]
+
+
+def test_pairs_are_multiplied_once_and_only_if_one_side_asks(monkeypatch):
+    monkeypatch.setattr(similarity, "DENSE_GAIN", 0)
+    rng = np.random.default_rng(3)
+    # Two groups with their own keys, and one key that all hold with a small weight.
+    rows = []
+    for e in range(80):
+        group = e // 40
+        rows += [(e, 100 * group + int(f), float(rng.integers(3, 9))) for f in rng.choice(20, 8, replace=False)] + [(e, 999, 0.5)]
+    rows = unit(rows)
+    blocks = [[r for r in rows if r[0] // 40 == g] for g in (0, 1)]
+    made, floors = [], []
+    for block in blocks:
+        tally = []
+        out = _cell_neighbours(5, tally)(cell_table([(0, block, [])]))
+        degrees = np.unique([f for _, f, _ in block], return_counts=True)[1]
+        made.append((sum(tally), int((degrees * (degrees - 1) // 2).sum())))
+        best = {}
+        for e, s in zip(out["entity"].to_pylist(), out["sim"].to_pylist()):
+            best.setdefault(e, []).append(s)
+        floors.append([(e, sorted(s)[-5]) for e, s in best.items() if len(s) >= 5])
+    assert all(a == b for a, b in made)
+    tally = []
+    out = _cell_neighbours(5, tally)(cell_table([(0, blocks[0], floors[0]), (1, blocks[1], floors[1])]))
+    # The one common key can't reach what the groups have inside.
+    assert sum(tally) == 0 and out.num_rows == 0
+    # An entity without a score yet asks, and nobody else is multiplied with the other block.
+    lazy = [x for x in floors[0] if x[0] != 7]
+    out = _cell_neighbours(5, tally)(cell_table([(0, blocks[0], lazy), (1, blocks[1], floors[1])]))
+    assert 0 < sum(tally) <= 40 and set(out["entity"].to_pylist()) == {7}
+
+
+@pytest.mark.parametrize("dense_gain", [0, 100])
+def test_cells_against_a_dense_product(dense_gain, monkeypatch):
+    monkeypatch.setattr(similarity, "DENSE_GAIN", dense_gain)
+    monkeypatch.setattr(similarity, "PRODUCT_BATCH", 500)
+    rng = np.random.default_rng(9)
+    rows = unit([(e, int(f), float(rng.integers(-2, 9) or 1)) for e in range(60) for f in rng.choice(30, rng.integers(1, 12), replace=False)])
+    m = np.zeros((60, 30))
+    for e, f, x in rows:
+        m[e, f] = x
+    sims = m @ m.T
+    np.fill_diagonal(sims, 0)
+    left, right = [r for r in rows if r[0] < 25], [r for r in rows if r[0] >= 25]
+    for parts, inside in (([(0, rows, [])], sims), ([(0, left, []), (1, right, [])], sims * (np.arange(60)[:, None] < 25) * (np.arange(60) >= 25))):
+        inside = np.maximum(inside, inside.T)
+        out = _cell_neighbours(4)(cell_table(parts))
+        got = {}
+        for e, o, s in zip(*(out[c].to_pylist() for c in ("entity", "neighbor", "sim"))):
+            assert abs(inside[e, o] - s) < 1e-12
+            got.setdefault(e, set()).add(round(s, 9))
+        for e in range(60):
+            best = [round(x, 9) for x in sorted(inside[e], reverse=True)[:4] if x > 1e-12]
+            assert set(best) <= got.get(e, set())
+
+
 def test_twins_and_zero_rows(spark):
     rows = [(1, 10, 2.0), (1, 11, 1.0), (2, 10, 4.0), (2, 11, 2.0), (3, 10, 0.0), (4, 12, 1.0)]
     got = found(top_k_cosine(frame(spark, rows), "entity", "key", "weight", 10))
