@@ -20,13 +20,15 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from newsloom.llm.veb_tree import Block, fold, steps_of
-from newsloom.operators.ranking import global_rank
+from newsloom.operators.ranking import global_rank, prefix_sums
 from newsloom.session import pin
 
 # Levels of a block.
 BLOCK_LEVELS = 12
 FIELDS = ("doc_id", "source", "lang", "n_chars", "text")
-BLOCKS = "key string, block long, rows long, n int, height int, root string, nodes binary"
+BLOCKS = "key string, block long, n int, height int, root string, nodes binary"
+PATHS = "key string, block long, path binary, subroot string, top string"
+ALL_KEYS = "all"
 
 
 def field(value: Column) -> Column:
@@ -44,32 +46,23 @@ def key_of(value: Column) -> Column:
     return F.coalesce(F.concat(F.lit("="), value.cast("string")), F.lit("-"))
 
 
-def ranked_leaves(rows: DataFrame, order: list[Column]) -> DataFrame:
-    """``rows`` with ``idx``, the place in their ``key`` from 0, and ``rows``, the key's size."""
-    # Equal rows stay apart by their place in the input, so that a large group of them is sorted in many tasks.
-    placed = global_rank(pin(rows.withColumn("_at", F.monotonically_increasing_id())), [F.col("key"), *order, F.col("_at")], "_position")
-    sizes = placed.groupBy("key").agg(F.min("_position").alias("_first"), F.count("*").alias("rows"))
-    return placed.join(sizes, "key").withColumn("idx", F.col("_position") - F.col("_first")).drop("_position", "_first", "_at")
-
-
-def _height(rows: int, low: int, levels: int) -> int:
-    """Levels of the tree of ``rows`` leaves that lie in the tier that begins ``low`` levels up."""
-    return min(max((rows - 1).bit_length() - low, 0), levels)
+def _height(block: int, n: int, levels: int) -> int:
+    """Levels above the ``n`` nodes of a block: all, unless it is the only one of its key."""
+    return levels if block else (n - 1).bit_length()
 
 
-def _tier(nodes: DataFrame, low: int, levels: int) -> DataFrame:
-    """The blocks over (key, idx, digest, rows); ``rows`` counts the leaves of the whole tree."""
+def _tier(nodes: DataFrame, levels: int) -> DataFrame:
+    """The blocks over (key, idx, digest)."""
 
     def build(table: pa.Table) -> pa.Table:
         order = np.argsort(table["idx"].to_numpy(), kind="stable")
-        rows = table["rows"][0].as_py()
+        number = table["block"][0].as_py()
         leaves = np.array(table["digest"].to_pylist(), "S64")[order]
-        block = Block.build(leaves, _height(rows, low, levels))
+        block = Block.build(leaves, _height(number, len(leaves), levels))
         return pa.table(
             {
                 "key": [table["key"][0].as_py()],
-                "block": [table["block"][0].as_py()],
-                "rows": [rows],
+                "block": [number],
                 "n": pa.array([block.n], pa.int32()),
                 "height": pa.array([block.height], pa.int32()),
                 "root": [block.root.decode()],
@@ -77,53 +70,53 @@ def _tier(nodes: DataFrame, low: int, levels: int) -> DataFrame:
             }
         )
 
-    cut = nodes.select("key", "idx", "digest", "rows", F.shiftright("idx", levels).alias("block"))
+    cut = nodes.select("key", "idx", "digest", F.shiftright("idx", levels).alias("block"))
     return cut.groupBy("key", "block").applyInArrow(build, BLOCKS)
 
 
 def tiers(nodes: DataFrame, levels: int = BLOCK_LEVELS) -> list[DataFrame]:
-    """The tiers of blocks over (key, idx, digest, rows), from the leaves up; in the last each key has one block."""
-    most = nodes.agg(F.max("rows")).first()[0] or 0
-    found, low = [], 0
+    """The tiers of blocks over (key, idx, digest), from the leaves up; in the last each key has one block."""
+    found = []
     while True:
-        found.append(pin(_tier(nodes, low, levels)))
-        low += levels
-        if most <= 1 << low:
+        found.append(pin(_tier(nodes, levels)))
+        if not found[-1].agg(F.max("block")).first()[0]:
             return found
-        nodes = found[-1].select("key", F.col("block").alias("idx"), F.col("root").alias("digest"), "rows")
+        nodes = found[-1].select("key", F.col("block").alias("idx"), F.col("root").alias("digest"))
 
 
-def _lowered(blocks: DataFrame) -> DataFrame:
-    """(key, block, path): the path of each block of the tier below, from (..., path) of this one."""
+def _lowered(blocks: DataFrame, levels: int) -> DataFrame:
+    """(key, block, path, subroot, root) of each block of the tier below, from rows of this one with a path of their own."""
 
     def down(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for row in batch.to_pylist():
                 own = Block.unpacked(row["nodes"], row["n"], row["height"])
                 children = np.arange(own.n)
-                paths = [x + row["path"] for x in own.paths(children)]
-                # The lowest of these indices is the block's number times its width.
-                first = row["block"] << row["levels"]
                 yield pa.RecordBatch.from_arrays(
-                    [pa.array([row["key"]] * own.n, pa.string()), pa.array(first + children), pa.array(paths, pa.binary())],
-                    ["key", "block", "path"],
+                    [
+                        pa.array([row["key"]] * own.n, pa.string()),
+                        pa.array((row["block"] << levels) + children),
+                        pa.array([x + row["path"] for x in own.paths(children)], pa.binary()),
+                        pa.array([row["subroot"]] * own.n, pa.string()),
+                        pa.array([row["top"]] * own.n, pa.string()),
+                    ],
+                    ["key", "block", "path", "subroot", "top"],
                 )
 
-    return blocks.mapInArrow(down, "key string, block long, path binary")
+    return blocks.mapInArrow(down, PATHS)
 
 
-def paths_of_blocks(found: list[DataFrame], top: DataFrame, levels: int = BLOCK_LEVELS) -> DataFrame:
-    """(key, block, path) of the lowest tier's blocks, from ``top`` (key, path) of the last tier's."""
-    above = top.select("key", F.lit(0).cast("long").alias("block"), "path")
+def paths_of_blocks(found: list[DataFrame], top: DataFrame, levels: int) -> DataFrame:
+    """Rows of PATHS for the lowest tier's blocks, from those of the last tier's."""
     for tier in reversed(found[1:]):
-        above = _lowered(tier.join(above, ["key", "block"]).withColumn("levels", F.lit(levels)))
-    return above
+        top = _lowered(tier.join(top, ["key", "block"]), levels)
+    return top
 
 
 @dataclass(frozen=True)
 class Manifest:
-    """``leaves`` (key, idx, rows, doc_id, leaf, altered), ``tiers`` of blocks of each key, ``key_tiers`` of the keys' roots, ``keys``
-    (key, subroot, idx, rows) in the order of the key, and the number of levels of a block."""
+    """``leaves`` (key, idx, doc_id, leaf, altered), ``tiers`` of blocks of each key, ``key_tiers`` of the keys' roots, ``keys``
+    (key, subroot, idx) in the order of the key, and the number of levels of a block."""
 
     leaves: DataFrame
     tiers: list[DataFrame]
@@ -137,9 +130,6 @@ class Manifest:
         return self.key_tiers[-1].select(F.col("root"))
 
 
-ALL_KEYS = "all"
-
-
 def build_manifest(
     docs: DataFrame,
     *,
@@ -162,27 +152,27 @@ def build_manifest(
     plain = [F.col(names[f]) for f in FIELDS]
     changed = [altered if f == "n_chars" and altered is not None else F.col(names[f]) for f in FIELDS]
     leaf = leaf_digest(plain)
-    rows = docs.select(
-        key_of(F.col(lang)).alias("key"),
-        F.col(doc_id).cast("long").alias("doc_id"),
-        F.unhex(leaf).alias("leaf"),
-        F.unhex(leaf if altered is None else leaf_digest(changed)).alias("altered"),
-    )
-    leaves = pin(ranked_leaves(rows, [F.col("doc_id").asc_nulls_first(), F.col("leaf")]))
-    found = tiers(leaves.select("key", "idx", "rows", F.lower(F.hex("leaf")).alias("digest")), levels)
-    ends = found[-1].select("key", F.col("root").alias("subroot"))
-    keys = pin(_numbered_keys(ends))
-    key_tiers = tiers(
-        keys.select(F.lit(ALL_KEYS).alias("key"), "idx", F.col("subroot").alias("digest"), "rows"), levels
+    rows = pin(
+        docs.select(
+            key_of(F.col(lang)).alias("key"),
+            F.col(doc_id).cast("long").alias("doc_id"),
+            F.unhex(leaf).alias("leaf"),
+            F.unhex(leaf if altered is None else leaf_digest(changed)).alias("altered"),
+            # Equal rows stay apart by their place in the input, so that a large group of them is sorted in many tasks.
+            F.monotonically_increasing_id().alias("at"),
+            F.lit(1).alias("one"),
+        )
     )
+    order = [F.col("doc_id").asc_nulls_first(), F.col("leaf").asc(), F.col("at").asc()]
+    counted = prefix_sums(rows, order, "one", "nth", "key")
+    leaves = pin(counted.select("key", (F.col("nth") - 1).alias("idx"), "doc_id", "leaf", "altered"))
+    found = tiers(leaves.select("key", "idx", F.lower(F.hex("leaf")).alias("digest")), levels)
+    ranked = global_rank(found[-1].select("key", F.col("root").alias("subroot")), [F.col("key").asc()], "nth")
+    keys = pin(ranked.select("key", "subroot", (F.col("nth") - 1).alias("idx")))
+    key_tiers = tiers(keys.select(F.lit(ALL_KEYS).alias("key"), "idx", F.col("subroot").alias("digest")), levels)
     return Manifest(leaves, found, key_tiers, keys, levels)
 
 
-def _numbered_keys(ends: DataFrame) -> DataFrame:
-    ranked = ranked_leaves(ends.select(F.lit(ALL_KEYS).alias("key"), F.col("key").alias("name"), "subroot"), [F.col("name")])
-    return ranked.select(F.col("name").alias("key"), "subroot", "idx", "rows")
-
-
 def proofs(manifest: Manifest) -> DataFrame:
     """(doc_id, leaf, subroot, root, path, proof, folded_root) of each leaf.
 
@@ -191,22 +181,18 @@ def proofs(manifest: Manifest) -> DataFrame:
     leaf gives with this path.
     """
     levels = manifest.levels
-    # The path of each key's root: in its block of the keys' tree, and on from there.
-    top = manifest.root.select(F.lit(ALL_KEYS).alias("key"), F.lit(b"").cast("binary").alias("path"))
-    lowest = paths_of_blocks(manifest.key_tiers, top, levels)
-    last = manifest.key_tiers[0].join(lowest, ["key", "block"]).withColumn("levels", F.lit(levels))
-    of_key = _lowered(last).select(F.col("block").alias("idx"), "path")
-    keyed = manifest.keys.join(of_key, "idx").select("key", "subroot", "path")
-    below = paths_of_blocks(manifest.tiers, keyed, levels)
-    blocks = (
-        manifest.tiers[0]
-        .join(below, ["key", "block"])
-        .join(manifest.keys.select("key", "subroot"), "key")
-        .select("key", "block", "n", "height", "nodes", "path", "subroot", manifest.root.scalar().alias("root"))
-    )
+    # From the one root down to the keys' roots, and from these to the blocks of leaves.
+    last = manifest.key_tiers[-1]
+    top = last.select("key", "block", F.lit(b"").cast("binary").alias("path"), F.lit("").alias("subroot"), F.col("root").alias("top"))
+    lowest = manifest.key_tiers[0].join(paths_of_blocks(manifest.key_tiers, top, levels), ["key", "block"])
+    of_key = _lowered(lowest, levels).select(F.col("block").alias("idx"), "path", "top")
+    starts = manifest.keys.join(of_key, "idx").select("key", F.lit(0).cast("long").alias("block"), "path", "subroot", "top")
+    paths = paths_of_blocks(manifest.tiers, starts, levels)
+    # A block's nodes and its path meet in its own task.
+    own = manifest.tiers[0].select("key", "block", "n", "height", "nodes").unionByName(paths, allowMissingColumns=True)
 
     def prove(leaves: pa.Table, own: pa.Table) -> pa.Table:
-        row = own.to_pylist()[0]
+        row = {k: v for x in own.to_pylist() for k, v in x.items() if v is not None}
         block = Block.unpacked(row["nodes"], row["n"], row["height"])
         paths = block.paths(leaves["idx"].to_numpy() - (row["block"] << levels))
         above = steps_of(row["path"])
@@ -222,7 +208,7 @@ def proofs(manifest: Manifest) -> DataFrame:
                 "doc_id": leaves["doc_id"],
                 "leaf": [x.hex() for x in leaves["leaf"].to_pylist()],
                 "subroot": [row["subroot"]] * rows,
-                "root": [row["root"]] * rows,
+                "root": [row["top"]] * rows,
                 "path": whole,
                 "proof": proof,
                 "folded_root": folded,
@@ -232,7 +218,7 @@ def proofs(manifest: Manifest) -> DataFrame:
     cut = manifest.leaves.select("key", "idx", "doc_id", "leaf", "altered", F.shiftright("idx", levels).alias("block"))
     return (
         cut.groupBy("key", "block")
-        .cogroup(blocks.groupBy("key", "block"))
+        .cogroup(own.groupBy("key", "block"))
         .applyInArrow(
             prove,
             "doc_id long, leaf string, subroot string, root string, path string, proof string, folded_root string",
