@@ -21,10 +21,11 @@ from newsloom.models.popularity import most_read, popularity
 from newsloom.models.profile import mean_vectors
 from newsloom.operators import clean, explore, interactions, splits
 from newsloom.operators.ranking import global_rank
+from newsloom.operators.reader_bitmaps import ReaderBitmaps, number_users
 from newsloom.plans import experiments
 from newsloom.plans.given_tables import GivenTables
 from newsloom.plans.oracle import SCORED, hash_of, popular, with_ctes
-from newsloom.plans.registry import query, rounded, scratch
+from newsloom.plans.registry import ORACLES, query, rounded, scratch
 from newsloom.sources import merge_run_logs, write_csv, write_parquet
 
 
@@ -731,6 +732,30 @@ def _(t):
     return interactions.click_counts(t.behaviors, t.users, t.articles)
 
 
+@query("h2_bitmap_click_counts", ORACLES["h2_click_counts"])
+def _(t):
+    # Two loads, merged bit by bit: a user who read an article in both is one reader.
+    places = number_users(t.users)
+    loads = [ReaderBitmaps.of(part, places) for part in (t.train, t.validation)]
+    return loads[0].merged(loads[1]).click_counts(t.articles)
+
+
+@query(
+    "c12_common_readers",
+    with_ctes("behaviors known articles", """
+SELECT a.article_id AS "first", b.article_id AS "second",
+  (SELECT count(*) FROM (SELECT DISTINCT user_id FROM known k WHERE k.article_id = a.article_id
+     INTERSECT SELECT DISTINCT user_id FROM known l WHERE l.article_id = b.article_id) s) AS readers
+FROM articles a JOIN articles b ON b.article_id = a.article_id + 1 OR b.article_id = a.article_id"""),
+)
+def _(t):
+    # Each article with itself and with the next one.
+    first = t.articles.select(F.col("article_id").alias("first"))
+    second = t.articles.select(F.col("article_id").alias("second"))
+    pairs = first.select("first", F.explode(F.array(F.col("first"), F.col("first") + 1)).alias("second")).join(second, "second")
+    return ReaderBitmaps.of(t.behaviors, number_users(t.users)).common_readers(pairs)
+
+
 @query(
     "h4_weighted_scores",
     with_ctes("behaviors known inter", "SELECT user_id, article_id, round(ln(1 + max_scroll * 0.1::DOUBLE + total_readtime), 6) AS log_score FROM inter"),
@@ -817,6 +842,12 @@ def _(t):
     return explore.data_sparsity(t.big_behaviors).select("interactions", "users", "items", rounded("sparsity", "sparsity"))
 
 
+@query("l2_sparsity_bitmaps_big", ORACLES["l2_sparsity_big"])
+def _(t):
+    found = ReaderBitmaps.of(t.big_behaviors, number_users(t.big_behaviors)).sparsity()
+    return found.select("interactions", "users", "items", rounded("sparsity", "sparsity"))
+
+
 @query(
     "l3_clicks",
     with_ctes("behaviors known articles", "SELECT article_id, count(user_id) AS clicks FROM known JOIN articles USING (article_id) GROUP BY article_id"),

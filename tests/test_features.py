@@ -150,3 +150,30 @@ def test_histogram(spark):
     assert (bins[0]["low"], bins[-1]["high"]) == (0.0, 10.0)
     flat = explore.click_histogram(spark.createDataFrame([(1, 4), (2, 4)], "article_id long, clicks long"), 10)
     assert sum(r["articles"] for r in flat.collect()) == 2
+
+
+def test_reader_bitmaps(spark):
+    """More users than a block holds, a load twice, articles without readers."""
+    from newsloom.operators.reader_bitmaps import ReaderBitmaps, number_users
+
+    rows = [(u, u % 5) for u in range(0, 70_000, 7)] + [(u, 9) for u in range(32_760, 32_776)] + [(3, 1), (None, 1), (5, None)]
+    log = spark.createDataFrame([(u, a) for u, a in rows], "user_id long, article_id long")
+    users = spark.range(70_000).select(F.col("id").alias("user_id"))
+    articles = spark.createDataFrame([(a,) for a in (0, 1, 2, 3, 4, 9, 77)], "article_id long")
+    places = number_users(users)
+    once = ReaderBitmaps.of(log, places)
+    both = once.merged(ReaderBitmaps.of(log.where("article_id > 1"), places))
+    assert once.click_counts(articles).exceptAll(interactions.click_counts(log, users, articles)).isEmpty()
+    read = {a: {u for u, b in rows if b == a and u is not None} for a in range(10)}
+    assert {r["article_id"]: r["readers"] for r in both.readers().collect()} == {a: len(x) for a, x in read.items() if x}
+    pairs = spark.createDataFrame([(0, 1), (9, 0), (9, 9), (1, 77), (1, 9)], "first long, second long")
+    assert {(r["first"], r["second"]): r["readers"] for r in both.common_readers(pairs).collect()} == {
+        (a, b): len(read.get(a, set()) & read.get(b, set())) for a, b in ((0, 1), (9, 0), (9, 9), (1, 77), (1, 9))
+    }
+    named = spark.createDataFrame([(7,), (32_767,), (32_768,), (69_993,), (10**9,)], "user_id long")
+    cells = {(r["user_id"], r["article_id"]): r["clicked"] for r in once.rows_of(named, articles).collect()}
+    assert cells == {(u, a): int(u in read.get(a, set())) for u in (7, 32_767, 32_768, 69_993) for a in (0, 1, 2, 3, 4, 9, 77)}
+    found = once.sparsity().first()
+    pairs_read = sum(len(x) for x in read.values())
+    n_users = len(set().union(*read.values()))
+    assert (found["interactions"], found["users"], found["items"]) == (pairs_read, n_users, 6)

@@ -23,8 +23,15 @@ def cell(value):
     return str(value)
 
 
+def whole(column):
+    """Whole numbers with nulls among them come as floats from one engine and as integers from the other."""
+    if pd.api.types.is_float_dtype(column) and (column.dropna() % 1 == 0).all():
+        return column.map(lambda x: "null" if pd.isna(x) else str(int(x)))
+    return column
+
+
 def rows_of(frame):
-    frame = frame[sorted(frame.columns)]
+    frame = frame[sorted(frame.columns)].apply(whole)
     return sorted(tuple(cell(v) for v in row) for row in frame.itertuples(index=False))
 
 
