@@ -21,6 +21,11 @@ The distance 1 - |x & y| / |x | y| is a metric. Texts link at a distance of at m
    in their window, block by block (``link_counts``). A pair that lies in several cells is
    counted in the first of them.
 
+What differs from the plain method: step 2 is prefix filtering. Around document pivots the outer regions
+would be the whole corpus, since the triangle inequality parts nothing where all distances are near 1, so no
+point is assigned to its nearest pivot there and regions are not split again. Documents are pivots, and
+windows on distances hold, inside the regions.
+
 Nothing is capped or sampled, and no pair is made a row unless one side is a pivot.
 """
 
@@ -49,6 +54,11 @@ SLICE_BYTES = 4 << 20
 # Shingles that one task sorts at once, and that one block of a cell holds.
 BUCKET_KEYS = 1_000_000
 BLOCK_SHINGLES = 100_000
+# Points that meet one copy of their pivot's set, and parts that a component's rows are named in.
+PIVOT_ROWS = 512
+COMPONENT_PARTS = 32
+# Ids that are broadcast at most (8 bytes each); more are joined by a shuffle.
+BROADCAST_IDS = 1_000_000
 # Numbers in one matrix of a block's sets.
 MATRIX_CELLS = 1 << 21
 # A shingle of so many points in one slice is ordered behind all others, without counting.
@@ -97,15 +107,16 @@ def point_names(docs: DataFrame) -> DataFrame:
 
 # Rows that carry keys of many points to the task of their bucket, packed. ``low`` are the lower halves of
 # the keys, ``points`` whose they are, the first ``n_counted`` to be counted and the others only
-# as witnesses. ``own_*`` travel along: what the sending task knows of its points already.
+# as witnesses. ``own_*`` travel along: what the sending task knows of its points already. They ride on one of
+# the slice's rows, drawn by its points, so that no bucket gets those of all slices.
 PACKED = "bucket int, n_counted int, low binary, points binary, own_points binary, own_n binary, own_counts binary, own_keys binary"
 
 
 def _packed(bucket, n_counted, low, points, own) -> pa.RecordBatch:
-    blank = [b""] * (len(bucket) - 1)
+    carrier = int(mixed(own[0][:1].astype(np.uint64))[0] % np.uint64(len(bucket))) if len(own[0]) else 0
     columns = [pa.array(bucket, pa.int32()), pa.array(n_counted, pa.int32())]
     columns += [pa.array(x, pa.binary()) for x in (low, points)]
-    columns += [pa.array([x.tobytes(), *blank], pa.binary()) for x in own]
+    columns += [pa.array([x.tobytes() if i == carrier else b"" for i in range(len(bucket))], pa.binary()) for x in own]
     names = [x.split()[0] for x in PACKED.split(", ")]
     return pa.RecordBatch.from_arrays(columns, names)
 
@@ -334,8 +345,14 @@ def distances(pairs: DataFrame, sets: DataFrame) -> DataFrame:
                 ["point", "pivot", "distance", "linked"],
             )
 
-    pivot_sets = sets.select(F.col("point").alias("pivot"), F.col("shingles").alias("pivot_shingles"))
-    both = pairs.join(sets.select("point", "shingles"), "point").join(pivot_sets, "pivot")
+    # A pivot's points meet it in parts of some PIVOT_ROWS, so that no task has all of a large region.
+    parts = pairs.groupBy("pivot").agg(F.ceil(F.count("*") / F.lit(PIVOT_ROWS)).cast("int").alias("parts"))
+    pivot_sets = sets.select(F.col("point").alias("pivot"), F.col("shingles").alias("pivot_shingles")).join(parts, "pivot")
+    pivot_sets = pivot_sets.withColumn("part", F.explode(F.sequence(F.lit(0), F.col("parts") - 1))).drop("parts")
+    dealt = pairs.join(parts, "pivot").select(
+        "point", "pivot", F.pmod(F.xxhash64("point"), F.col("parts")).cast("int").alias("part")
+    )
+    both = dealt.join(sets.select("point", "shingles"), "point").join(pivot_sets, ["pivot", "part"])
     return both.mapInArrow(rows, "point long, pivot long, distance double, linked boolean")
 
 
@@ -487,13 +504,31 @@ def link_counts(cells: DataFrame, sets: DataFrame, copies: DataFrame) -> DataFra
 
 @dataclass(frozen=True)
 class Joined:
-    """``names`` (doc_id, n, point) of each row; ``sets`` and ``cells`` of the points that may link;
-    ``components`` (point, least, component, component_id) of all points."""
+    """``names`` (doc_id, n, point) of each row; ``sets`` and ``cells`` of the points that may link, one row for each
+    set; ``components`` (point, component, component_id) of all points; ``many`` (doc_id), the ids of several rows, or
+    None if there are none."""
 
     names: DataFrame
     sets: DataFrame
     cells: DataFrame
     components: DataFrame
+    many: DataFrame | None
+
+
+def _one_set_each(chosen: DataFrame, left: DataFrame, points: DataFrame, many: DataFrame | None) -> DataFrame:
+    """The sets of the points of ``left`` (point, n), one row for each."""
+    if many is None:
+        # An id is one row's, so the ids of one row of each point give that point and no other.
+        ids = left.join(points.groupBy("point").agg(F.min("doc_id").alias("doc_id")), "point").select("doc_id")
+        return full_sets(chosen.join(ids, "doc_id", "left_semi"))
+    # A row whose id is its own is taken if the point has one; else those of one id are told apart by their points.
+    shared = points.join(many.withColumn("shared", F.lit(True)), "doc_id", "left")
+    shared = shared.select("point", F.struct(F.coalesce("shared", F.lit(False)).alias("shared"), "doc_id").alias("row"))
+    picked = pin(left.join(shared.groupBy("point").agg(F.min("row").alias("row")), "point").select("point", "row.*"))
+    alone = full_sets(chosen.join(picked.where(~F.col("shared")).select("doc_id"), "doc_id", "left_semi"))
+    held = picked.where("shared")
+    others = full_sets(chosen.join(held.select("doc_id").distinct(), "doc_id", "left_semi"))
+    return alone.unionByName(others.join(held.select("point"), "point", "left_semi").dropDuplicates(["point"]))
 
 
 def _join(docs: DataFrame, doc_id: str, text: str) -> Joined:
@@ -503,12 +538,14 @@ def _join(docs: DataFrame, doc_id: str, text: str) -> Joined:
     window = F.expr(f"n - ((n * {PERCENT} + 99) DIV 100) + 1 + n * {EXTRA} DIV 100")
     keys = names.agg(F.sum(window)).first()[0] or 0
     buckets = 1 + int(keys) // BUCKET_KEYS
+    many = names.where(F.col("doc_id").isNotNull()).groupBy("doc_id").agg(F.count("*").alias("rows"))
+    many = pin(many.where(F.col("rows") > 1).select("doc_id"))
+    many = None if many.isEmpty() else many
 
-    left = survivors(chosen.where(F.col("doc_id").isNotNull()), buckets)
-    left = pin(left.join(points.groupBy("point").agg(F.min("doc_id").alias("doc_id")), "point"))
+    left = pin(survivors(chosen.where(F.col("doc_id").isNotNull()), buckets))
     size = left.agg(F.sum("n")).first()[0] or 0
     # The survivors' texts are read once more; the other side of the join is ids.
-    sets = pin(full_sets(chosen.join(left.select("doc_id"), "doc_id", "left_semi")))
+    sets = pin(_one_set_each(chosen, left.select("point"), points, many))
     homes = pin(regions(sets, 1 + int(size) // BUCKET_KEYS))
 
     best = homes.groupBy("key").agg(
@@ -516,14 +553,14 @@ def _join(docs: DataFrame, doc_id: str, text: str) -> Joined:
     )
     pivots = best.where(F.col("rows") > 1).select("key", F.col("best.point").alias("pivot"))
     pairs = homes.join(pivots, "key").where(F.col("point") != F.col("pivot")).select("point", "pivot").distinct()
-    met = pin(distances(pairs, sets))
+    met = pin(distances(pin(pairs), sets))
 
     first = pin(connected_components(met.where("linked").select(F.col("point").alias("a"), F.col("pivot").alias("b"))))
     centres = met.select("pivot").distinct().select("pivot", F.col("pivot").alias("point"), F.lit(0.0).alias("distance"))
     cells = met.select("pivot", "point", "distance").unionByName(centres)
     cells = cells.join(first.withColumnRenamed("node", "point"), "point", "left")
     cells = pin(cells.withColumn("component", F.coalesce("component", "point")))
-    more = connected_components(leftovers(cells, sets))
+    more = pin(connected_components(leftovers(cells, sets)))
 
     # Components of points, then of the components of the first round.
     again = more.select(F.col("node").alias("component"), F.col("component").alias("last"))
@@ -531,12 +568,25 @@ def _join(docs: DataFrame, doc_id: str, text: str) -> Joined:
         F.col("node").alias("point"), F.coalesce("last", "component").alias("component")
     )
     alone = more.join(first, "node", "left_anti").select(F.col("node").alias("point"), "component")
-    labels = once.unionByName(alone)
+    labels = pin(once.unionByName(alone))
 
+    # Only points with a label share a component; its smallest id comes back to them in parts.
     least = points.groupBy("point").agg(F.min("doc_id").alias("least"))
-    named = least.join(labels, "point", "left").withColumn("component", F.coalesce("component", "point"))
-    ids = named.groupBy("component").agg(F.min("least").alias("component_id"))
-    return Joined(names, sets, cells, named.join(ids, "component").select("point", "least", "component", "component_id"))
+    labelled = pin(labels.join(least, "point"))
+    ids = labelled.groupBy("component").agg(F.min("least").alias("component_id"))
+    ids = ids.withColumn("part", F.explode(F.sequence(F.lit(0), F.lit(COMPONENT_PARTS - 1))))
+    part = F.pmod(F.xxhash64("point"), F.lit(COMPONENT_PARTS)).cast("int")
+    named = labelled.withColumn("part", part).join(ids, ["component", "part"]).select("point", "component", "component_id")
+    components = least.join(named, "point", "left").select(
+        "point", F.coalesce("component", "point").alias("component"), F.coalesce("component_id", "least").alias("component_id")
+    )
+    return Joined(names, sets, cells, pin(components), many)
+
+
+def _own_rows(joined: Joined) -> DataFrame:
+    """``names`` of the rows that can link, with their component."""
+    own = joined.names.where((F.col("n") > 0) & F.col("doc_id").isNotNull())
+    return own.join(joined.components, "point")
 
 
 def _of_rows(joined: Joined) -> DataFrame:
@@ -561,13 +611,13 @@ def near_duplicate_links(docs: DataFrame, *, doc_id: str = "doc_id", text: str =
     """(doc_id, n_shingles, component_id, n_links) of each row.
 
     The first three as in ``near_duplicate_components``; ``n_links`` is the number of other
-    rows at a similarity of 0.8 or more, exact copies among them. A text without words and a
-    row with a null doc_id have none and count for none.
+    rows at a similarity of 0.8 or more, exact copies and rows of the same id among them. A text
+    without words and a row with a null doc_id have none and count for none.
     """
     joined = _join(docs, doc_id, text)
     points = joined.names.where((F.col("n") > 0) & F.col("doc_id").isNotNull())
     copies = points.groupBy("point").agg(F.count("*").alias("copies"))
-    links = link_counts(joined.cells, joined.sets.dropDuplicates(["point"]), copies)
+    links = link_counts(joined.cells, joined.sets, copies)
     of_point = copies.join(links, "point", "left").select(
         "point", (F.col("copies") - 1 + F.coalesce("links", F.lit(0))).alias("n_links")
     )
@@ -578,38 +628,62 @@ def near_duplicate_links(docs: DataFrame, *, doc_id: str = "doc_id", text: str =
     )
 
 
+def _free_names(taken: list[str], *wanted: str) -> list[str]:
+    """Column names that a table doesn't have, whatever the case of its own."""
+    low = {c.lower() for c in taken}
+    out = []
+    for name in wanted:
+        while name.lower() in low:
+            name = "_" + name
+        low.add(name.lower())
+        out.append(name)
+    return out
+
+
+def _small(ids: DataFrame) -> DataFrame:
+    """Pinned ``ids``, to be broadcast if their number allows it."""
+    ids = pin(ids)
+    return F.broadcast(ids) if ids.count() <= BROADCAST_IDS else ids
+
+
 def keep_one_of_each(docs: DataFrame, *, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
     """One row of each component, with all columns: of its smallest doc_id.
 
     It is decided for each row, not for an id: of rows that share the id that names a component,
     one stays, with the smallest point and then the smallest hash of its columns. Rows
-    without words or without an id stay.
+    without words or without an id stay. Other columns may have any name.
     """
     joined = _join(docs, doc_id, text)
-    own = joined.names.where((F.col("n") > 0) & F.col("doc_id").isNotNull()).select("doc_id", "point").distinct()
-    own = own.join(joined.components.select("point", "component"), "point")
-    stays = own.groupBy("component").agg(F.min(F.struct("doc_id", "point")).alias("stays"))
-    goes = own.join(stays, "component").where(F.struct("doc_id", "point") != F.col("stays")).select("doc_id", "point")
-    # An id that is a single row's decides by itself; the texts of the others are looked at again.
-    many = joined.names.where(F.col("doc_id").isNotNull()).groupBy("doc_id").agg(F.count("*").alias("rows"))
-    many = pin(many.where(F.col("rows") > 1).select("doc_id"))
-    named = lambda ids: ids.select(F.col("doc_id").alias("_id")).distinct()
+    own = _own_rows(joined)
+    id_name, point_name, n_name, row_name, hash_name = _free_names(docs.columns, "id", "point", "n", "row", "hash")
     id_of = F.col(doc_id).cast("long")
-    left = docs.join(named(goes.select("doc_id").unionByName(many)), id_of == F.col("_id"), "left_anti")
 
+    # An id that is a single row's decides by itself, without a look at its text.
+    goes = own.where(F.col("doc_id") != F.col("component_id")).select(F.col("doc_id").alias(id_name))
+    many = joined.many
+    if many is None:
+        return docs.join(_small(goes), id_of == F.col(id_name), "left_anti")
+    many = many.select(F.col("doc_id").alias(id_name))
+    left = docs.join(_small(goes.unionByName(many).distinct()), id_of == F.col(id_name), "left_anti")
+
+    # The texts of the others are looked at again.
     def rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in slices(batches, text, SLICE_BYTES):
             hashes, offsets = shingle_sets(batch.column(text))
             columns = [*batch.columns, pa.array(fingerprints(hashes, offsets)), pa.array(np.diff(offsets))]
-            yield pa.RecordBatch.from_arrays(columns, [*batch.schema.names, "_point", "_n"])
+            yield pa.RecordBatch.from_arrays(columns, [*batch.schema.names, point_name, n_name])
 
-    schema = StructType([*docs.schema.fields, StructField("_point", LongType()), StructField("_n", LongType())])
-    again = docs.join(named(many), id_of == F.col("_id"), "left_semi").mapInArrow(rows, schema)
-    gone = goes.select(F.col("doc_id").alias("_id"), F.col("point").alias("_gone"))
-    again = again.join(gone, (id_of == F.col("_id")) & (F.col("_point") == F.col("_gone")), "left_anti")
+    schema = StructType([*docs.schema.fields, StructField(point_name, LongType()), StructField(n_name, LongType())])
+    again = docs.join(_small(many), id_of == F.col(id_name), "left_semi").mapInArrow(rows, schema)
+    named = own.where(F.col("doc_id") == F.col("component_id")).join(joined.many, "doc_id", "left_semi")
+    stays = named.groupBy("component", "doc_id").agg(F.min("point").alias("point"))
     # Only a map can't be hashed.
     hashed = [f.name for f in docs.schema.fields if "map<" not in f.dataType.simpleString()]
-    whole = F.struct(*[F.col(c) for c in docs.columns]).alias("row")
-    full = again.where("_n > 0").select(id_of.alias("_id"), "_point", whole, F.xxhash64(*hashed).alias("_hash"))
-    one = full.groupBy("_id", "_point").agg(F.min_by("row", "_hash").alias("row")).select("row.*")
-    return left.unionByName(again.where("_n = 0").select(docs.columns)).unionByName(one)
+    whole = F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias(row_name)
+    full = again.where(F.col(n_name) > 0).select(
+        id_of.alias("doc_id"), F.col(point_name).alias("point"), whole, F.xxhash64(*[F.col(f"`{c}`") for c in hashed]).alias(hash_name)
+    )
+    full = full.join(stays.select("doc_id", "point"), ["doc_id", "point"], "left_semi")
+    one = full.groupBy("doc_id", "point").agg(F.min_by(row_name, hash_name).alias(row_name)).select(f"{row_name}.*")
+    blank = again.where(F.col(n_name) == 0).select(*[F.col(f"`{c}`") for c in docs.columns])
+    return left.unionByName(blank).unionByName(one)
