@@ -16,6 +16,7 @@ LOWER = np.arange(256, dtype=np.uint8)
 LOWER[65:91] += 32
 BASE = 0x9E3779B97F4A7C15
 MASK = (1 << 64) - 1
+STRETCH_LETTERS = 1 << 18
 
 
 def mixed(x: np.ndarray) -> np.ndarray:
@@ -47,12 +48,22 @@ def word_hashes(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.n
     firsts = np.searchsorted(at, offsets)
     if not len(at):
         return np.zeros(0, np.uint64), firsts
-    dense = np.cumsum(~space) - 1
-    starts = dense[at]
-    letters = LOWER[data[~space]].astype(np.uint64) + np.uint64(1)
-    sizes = np.diff(np.append(starts, len(letters)))
-    inside = np.arange(len(letters)) - np.repeat(starts, sizes)
-    hashed = np.add.reduceat(letters * _powers(int(sizes.max()))[inside], starts)
+    # Where words start among the letters alone.
+    starts = at - np.cumsum(space, dtype=np.int32)[at]
+    letters = LOWER[data[~space]]
+    bounds = np.append(starts, len(letters))
+    sizes = np.diff(bounds)
+    powers = _powers(int(sizes.max()))
+    hashed = np.empty(len(at), np.uint64)
+    # Eight bytes a letter are held for a stretch of words at a time.
+    first = 0
+    while first < len(at):
+        last = max(first + 1, int(np.searchsorted(bounds, bounds[first] + STRETCH_LETTERS, "right")) - 1)
+        own = starts[first:last] - starts[first]
+        here = letters[bounds[first] : bounds[last]].astype(np.uint64) + np.uint64(1)
+        here *= powers[np.arange(len(here)) - np.repeat(own, sizes[first:last])]
+        hashed[first:last] = np.add.reduceat(here, own)
+        first = last
     return mixed(hashed + sizes.astype(np.uint64) * np.uint64(0xD6E8FEB86659FD93)), firsts
 
 

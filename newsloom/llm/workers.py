@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import ctypes
 import sys
 from collections.abc import Callable, Iterator
 from types import ModuleType
@@ -22,6 +23,14 @@ def kept(key: tuple, make: Callable[[], object]) -> object:
     return store[key]
 
 
+def give_back() -> None:
+    """Return memory that isn't used any more; a worker lives on, and its neighbours need it."""
+    pa.default_memory_pool().release_unused()
+    trim = getattr(ctypes.CDLL(None), "malloc_trim", None)
+    if trim:
+        trim(0)
+
+
 def slices(batches: Iterator[pa.RecordBatch], column: str, most_bytes: int) -> Iterator[pa.RecordBatch]:
     """The batches cut so that ``column`` has at most ``most_bytes`` in each, or one row."""
     for batch in batches:
@@ -36,9 +45,18 @@ def slices(batches: Iterator[pa.RecordBatch], column: str, most_bytes: int) -> I
             part = batch.slice(at, rows)
             if part.num_rows > 1 and part.column(column).nbytes > 2 * most_bytes:
                 middle = part.num_rows // 2
-                yield from slices(iter([part.slice(0, middle), part.slice(middle)]), column, most_bytes)
+                yield from _halves(part, middle, column, most_bytes)
             else:
                 yield part
+    give_back()
+
+
+def _halves(part: pa.RecordBatch, middle: int, column: str, most_bytes: int) -> Iterator[pa.RecordBatch]:
+    for half in (part.slice(0, middle), part.slice(middle)):
+        if half.num_rows > 1 and half.column(column).nbytes > most_bytes:
+            yield from _halves(half, half.num_rows // 2, column, most_bytes)
+        else:
+            yield half
 
 
 # Segments, and ids of one, that a worker remembers from batch to batch (some 60 MB).
