@@ -2,10 +2,12 @@
 
 Texts are normalised to words: A-Z in small letters, every other ASCII character but digits and
 letters parts words. The patterns are all windows of 10 consecutive words of the benchmark items,
-questions and answers alike; an item of fewer words is one window. The automaton's letters are word
-numbers, so a node is a word: a text becomes a sequence of word numbers, 0 for words that no
-item has, and is scanned once. The bytes of every word are kept beside its number, so a
-window found is a stretch of the original text.
+questions and answers alike; an item of fewer words is one window. A text becomes a sequence of word numbers, 0
+for words that no item has, and is scanned once. A number is spelt with two letters, its digits in a
+base near the root of the vocabulary's size: a state then has few transitions, which the automaton
+looks through one by one. First and second digits are different letters, so no match begins
+inside a word. The bytes of every word are kept beside its number, so a window found is
+a stretch of the original text.
 
 Items go to the workers in groups of ``GROUP_WORDS`` words. A usual benchmark is one group; a larger one is
 scanned for group by group, and the driver never holds more than one.
@@ -14,6 +16,7 @@ scanned for group by group, and the driver never holds more than one.
 from __future__ import annotations
 
 import hashlib
+import math
 from collections.abc import Iterator
 
 import ahocorasick
@@ -29,7 +32,7 @@ from newsloom.session import pin
 
 WINDOW = 10
 SLICE_BYTES = 4 << 20
-# Words of the items of one automaton (10 nodes a word at most), and of one piece of a long item.
+# Words of the items of one automaton (20 states a word at most), and of one piece of a long item.
 GROUP_WORDS = 100_000
 PIECE_WORDS = 1_000
 
@@ -70,19 +73,27 @@ class Automaton:
 
     def __init__(self, pieces: list[tuple[str | None, bytes]]):
         numbers: dict[bytes, int] = {}
-        holders: dict[str, set[str | None]] = {}
+        holders: dict[tuple[int, ...], set[str | None]] = {}
         for item, words in pieces:
-            # One character stands for a word; 0 is left for words that no item has.
-            spelt = "".join([chr(numbers.setdefault(w, len(numbers) + 1)) for w in words.split()])
-            for at in range(max(1, len(spelt) - WINDOW + 1)):
-                holders.setdefault(spelt[at : at + WINDOW], set()).add(item)
+            # 0 is left for words that no item has.
+            known = [numbers.setdefault(w, len(numbers) + 1) for w in words.split()]
+            for at in range(max(1, len(known) - WINDOW + 1)):
+                holders.setdefault(tuple(known[at : at + WINDOW]), set()).add(item)
+        self.base = math.isqrt(len(numbers)) + 1
         self.vocabulary = pa.array(list(numbers), pa.large_binary())
         self.items = [sorted(x for x in found if x is not None) for found in holders.values()]
         self.tree = ahocorasick.Automaton()
         for number, window in enumerate(holders):
-            self.tree.add_word(window, (number, len(window)))
+            self.tree.add_word(self.spelt(np.array(window)), (number, len(window)))
         self.tree.make_automaton()
 
+    def spelt(self, numbers: np.ndarray) -> str:
+        """Two letters for each word number."""
+        letters = np.empty(2 * len(numbers), "<u4")
+        letters[::2] = 1 + numbers // self.base
+        letters[1::2] = 2 + (len(self.vocabulary) // self.base) + numbers % self.base
+        return letters.tobytes().decode("utf-32-le")
+
     @classmethod
     def of(cls, pieces: list[tuple[str | None, bytes]], name: str) -> Automaton:
         return kept(("benchmark automaton", name), lambda: cls(pieces))
@@ -96,20 +107,20 @@ class Automaton:
         if not len(self.items) or not len(words.names):
             return n_words, ranges, items
         numbers = pc.index_in(words.names, self.vocabulary)
-        spelt = pc.fill_null(pc.add(numbers, 1), 0).to_numpy(zero_copy_only=False).astype("<u4")
-        letters = spelt.tobytes().decode("utf-32-le", "surrogatepass")
+        known = pc.fill_null(pc.add(numbers, 1), 0).to_numpy(zero_copy_only=False)
+        letters = self.spelt(known)
         characters = None
         bounds = words.firsts.tolist()
         # A text without a known word has no window.
-        known = np.flatnonzero(np.add.reduceat(np.append(spelt > 0, False), words.firsts[:-1]) * (n_words > 0))
-        for i in known.tolist():
+        some = np.flatnonzero(np.add.reduceat(np.append(known > 0, False), words.firsts[:-1]) * (n_words > 0))
+        for i in some.tolist():
             first, end = bounds[i], bounds[i + 1]
-            hits = list(self.tree.iter(letters[first:end]))
+            hits = [((e + 1) // 2, found) for e, found in self.tree.iter(letters[2 * first : 2 * end])]
             if not hits:
                 continue
             if characters is None:
                 characters = np.append(0, np.cumsum((words.data & 0xC0) != 0x80))
-            stretches = merged(np.array([(e + 1 - n, e + 1) for e, (_, n) in hits], np.int64))
+            stretches = merged(np.array([(e - n, e) for e, (_, n) in hits], np.int64))
             origin = characters[words.offsets[i]]
             begin = characters[words.starts[first + stretches[:, 0]]] - origin
             behind = characters[words.ends[first + stretches[:, 1] - 1]] - origin
