@@ -10,6 +10,9 @@ Article elements are a feature of the second pass, and only where the first pass
 out: one that holds a good block, or any if the page has no good block at all. There, blocks
 that aren't good are open unless links are dense, and its edges are good neighbours. So
 teasers in article elements win nothing against a text elsewhere on the page.
+
+Stop words of four languages are known. A page whose text holds next to none of them is judged by
+length and links alone.
 """
 
 from __future__ import annotations
@@ -44,8 +47,13 @@ ASIDE_WORDS = frozenset(
 )
 # Beginnings of further such words.
 ASIDE_STARTS = ("advert", "breadcrumb", "comment", "cookie", "newsletter", "sidebar", "sponsor")
-# Words beside which one of those describes a layout: has-sidebar, page-with-ads.
-LAYOUT_WORDS = frozenset("has no with without page layout site content body theme".split())
+# Words before which one of those describes a layout: has-sidebar, page-with-ads; and one that does so anywhere.
+LAYOUT_WORDS = frozenset("has no with without".split())
+LAYOUT = "layout"
+# Those that may as well name a box around the whole page; an article element in it is an article.
+BOX_WORDS = frozenset(
+    "banner notice notices alert popup modal overlay widget promo promotion share sharing social signup login search skip".split()
+)
 # Those that also turn an article into something else.
 NO_ARTICLE_WORDS = frozenset("ad advert comment comments reply replies related promo sponsored teaser".split())
 # What holds the article: the first of these that a page has.
@@ -76,17 +84,23 @@ MAX_LINK_SHARE = 0.2
 MAX_ARTICLE_LINK_SHARE = 0.9
 SHORT_CHARS, LONG_CHARS = 70, 200
 STOP_LOW, STOP_HIGH = 0.30, 0.32
+# Below this share in all its text a page is in another language.
+FOREIGN = 0.08
 
 TOKEN = re.compile(
-    rf"(?P<text>[^<]+)|<!--.*?(?:-->|\Z)|<(?P<silent>{SILENT})\b[^>]*(?<!/)>.*?(?:</(?P=silent)\s*>|\Z)"
+    rf"(?P<text>[^<]+)|<!--.*?(?:-->|\Z)|<(?P<silent>{SILENT})(?=[\s/>])[^>]*(?<!/)>.*?(?:</(?P=silent)\s*>|\Z)"
     r"|<(?P<end>/?)(?P<name>[a-zA-Z][^\s/>]*)(?P<rest>[^<>\"']*(?:(?:\"[^\"]*\"|'[^']*')[^<>\"']*)*)>"
     r"|<[!?/][^>]*>|<(?P<odd>[a-zA-Z][^>]*>)?",
     re.DOTALL | re.IGNORECASE,
 )
 ATTRIBUTE = re.compile(r"([^\s\"'<>/=]+)(?:\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s\"'>]+)))?")
+ATTRIBUTE_HIDES = re.compile("hidden|display", re.IGNORECASE)
 WORDS = re.compile(r"[^\W\d_]+")
 
 
+BOXES = re.compile("|".join(sorted(BOX_WORDS)), re.IGNORECASE)
+
+
 def _attributes(rest: str) -> dict[str, str]:
     """An element's attributes by name in small letters; of repeated ones the first counts."""
     found: dict[str, str] = {}
@@ -95,33 +109,52 @@ def _attributes(rest: str) -> dict[str, str]:
     return found
 
 
-def _marks(attributes: dict[str, str]) -> list[set[str]]:
+def _marks(attributes: dict[str, str]) -> list[list[str]]:
     """The words of each name in an element's class, id and role."""
     found = " ".join(attributes[x] for x in ("class", "id", "role") if x in attributes)
-    return [set(re.split(r"[^a-z]+", re.sub(r"([a-z])([A-Z])", r"\1 \2", x).lower())) for x in found.split()]
+    return [re.split(r"[^a-z]+", re.sub(r"([a-z])([A-Z])", r"\1 \2", x).lower()) for x in found.split()]
+
+
+def _aside_words(words: list[str]) -> list[str]:
+    """The words of a name that say that its element is not the article."""
+    if LAYOUT in words:
+        return []
+    found = []
+    for word in words:
+        if word in LAYOUT_WORDS:
+            break
+        if word in ASIDE_WORDS or word.startswith(ASIDE_STARTS):
+            found.append(word)
+    return found
+
 
+def _hidden(attributes: dict[str, str]) -> bool:
+    return "hidden" in attributes or bool(NOT_SHOWN.search(attributes.get("style", "")))
 
-def _is_aside(words: set[str]) -> bool:
-    return bool(ASIDE_WORDS & words) or any(x.startswith(ASIDE_STARTS) for x in words)
 
+def _place(base: str, name: str, rest: str, sign: int, boxes: bool) -> str:
+    """Where an element is, by where its parent is: in the article, aside of it, in a box, or neither.
 
-def _place(base: str, name: str, rest: str, sign: int) -> str:
-    """Where an element is, by where its parent is: in the article, aside of it, or neither."""
+    A box is aside, but for articles in it; without ``boxes`` it is like any other element.
+    """
     if base == "aside" or name in ASIDE or (name == "header" and base != "article"):
         return "aside"
     attributes = _attributes(rest) if rest else {}
-    if "hidden" in attributes or NOT_SHOWN.search(attributes.get("style", "")):
+    if _hidden(attributes):
         return "aside"
     marks = _marks(attributes) if attributes else []
-    article = (sign == 0 and name == "article") or (sign == 1 and (name == "main" or {"main"} in marks))
+    article = (sign == 0 and name == "article") or (sign == 1 and (name == "main" or ["main"] in marks))
     if article or name in ("html", "body", "article", "main"):
         words = NO_ARTICLE_WORDS if name in ("article", "main") else frozenset()
-        if any(words & x for x in marks):
+        if any(words.intersection(x) for x in marks):
             return "aside"
         return "article" if article else base
-    if any(_is_aside(x) and not LAYOUT_WORDS & x for x in marks):
+    words = [w for x in marks for w in _aside_words(x)]
+    if any(w not in BOX_WORDS for w in words):
         return "aside"
-    if sign == 2 and name in ("div", "section") and any(ARTICLE_WORDS & x for x in marks):
+    if words and boxes:
+        return "box"
+    if sign == 2 and base != "box" and name in ("div", "section") and any(ARTICLE_WORDS.intersection(x) for x in marks):
         return "article"
     return base
 
@@ -140,12 +173,17 @@ class Block:
         words = WORDS.findall(self.text.lower())
         return sum(w in STOP_WORDS for w in words) / max(1, len(words))
 
-    def decide(self) -> str:
-        """The first pass: good, bad, near or short."""
-        if self.place == "aside" or self.link_share() > MAX_LINK_SHARE:
+    def aside(self) -> bool:
+        return self.place in ("aside", "box")
+
+    def decide(self, known: bool = True) -> str:
+        """The first pass: good, bad, near or short; by length and links only where stop words aren't ``known``."""
+        if self.aside() or self.link_share() > MAX_LINK_SHARE:
             return "bad"
         if len(self.text) < SHORT_CHARS:
             return "bad" if self.link_chars else "short"
+        if not known:
+            return "good" if len(self.text) > LONG_CHARS else "near"
         stops = self.stop_share()
         if stops >= STOP_HIGH:
             return "good" if len(self.text) > LONG_CHARS else "near"
@@ -153,7 +191,7 @@ class Block:
 
     def in_article(self) -> str:
         """The label inside an article that is borne out: good, bad or near."""
-        if self.label == "good" or self.place == "aside":
+        if self.label == "good" or self.aside():
             return self.label
         links = self.link_share()
         if links > MAX_ARTICLE_LINK_SHARE or (links > MAX_LINK_SHARE and self.stop_share() < STOP_LOW):
@@ -168,7 +206,7 @@ def _clean(parts: list[str]) -> str:
     return " ".join(text.split())
 
 
-def blocks_of(page: str, sign: int) -> list[Block]:
+def blocks_of(page: str, sign: int, boxes: bool = True) -> list[Block]:
     """The non-empty blocks of a page with the label of the first pass.
 
     ``sign`` says what holds the article: 0 article elements, 1 the main element, 2 neither.
@@ -183,6 +221,10 @@ def blocks_of(page: str, sign: int) -> list[Block]:
     place = ""
     article = articles = 0
     in_head = False
+    # Open inline elements from the first one that isn't shown, and the number of others around them.
+    unseen: list[str] = []
+    around = 0
+
     def close() -> None:
         nonlocal links
         if parts:
@@ -195,7 +237,7 @@ def blocks_of(page: str, sign: int) -> list[Block]:
     for token in TOKEN.finditer(page):
         kind = token.lastgroup
         if kind == "text":
-            if not in_head:
+            if not in_head and not unseen:
                 parts.append(token["text"])
                 if in_link:
                     links.append(token["text"])
@@ -204,14 +246,23 @@ def blocks_of(page: str, sign: int) -> list[Block]:
             continue
         name = token["name"]
         if name is None:
-            if token[0] == "<" and not in_head:
+            if token[0] == "<" and not in_head and not unseen:
                 parts.append("<")
             continue
         name, end = name.lower(), bool(token["end"])
         if name in INLINE:
+            rest = token["rest"]
+            if unseen and end:
+                while name in unseen and unseen.pop() != name:
+                    pass
+            elif not end and name not in VOID and not rest.endswith("/"):
+                if unseen:
+                    unseen.append(name)
+                elif rest and ATTRIBUTE_HIDES.search(rest) and _hidden(_attributes(rest)):
+                    unseen, around = [name], len(stack)
             if name == "a":
                 in_link = 0 if end else 1
-            elif name == "br":
+            elif name == "br" and not unseen:
                 breaks += 1
                 parts.append(" ")
                 if breaks > 1:
@@ -230,21 +281,32 @@ def blocks_of(page: str, sign: int) -> list[Block]:
                 if stack[depth][0] == name:
                     del stack[depth:]
                     break
+            if len(stack) < around:
+                unseen = []
             place, article = stack[-1][1:] if stack else ("", 0)
             continue
         # A paragraph ends where the next block begins, with or without its end tag.
         if stack and (stack[-1][0] == "p" or (stack[-1][0] == name and name in ("li", "dt", "dd", "option", "tr", "td"))):
             stack.pop()
         base, article = stack[-1][1:] if stack else ("", 0)
-        place = _place(base, name, token["rest"], sign)
+        place = _place(base, name, token["rest"], sign, boxes)
         if place == "article" and not article:
             articles += 1
             article = articles
         stack.append((name, place, article))
     close()
+    if not in_known_language(blocks):
+        for block in blocks:
+            block.label = block.decide(known=False)
     return blocks
 
 
+def in_known_language(blocks: list[Block]) -> bool:
+    """Whether running text holds stop words at all; pages of other languages are judged without them."""
+    text = [b for b in blocks if not b.aside() and len(b.text) >= SHORT_CHARS and b.link_share() <= MAX_LINK_SHARE]
+    return not text or any(b.stop_share() >= FOREIGN for b in text)
+
+
 def _inherit(labels: list[str], articles: list[int], open_label: str, decided: tuple[str, ...]) -> list[str]:
     """Each open block's nearest decided neighbours: good between good ones, else bad.
 
@@ -281,7 +343,7 @@ def settle(blocks: list[Block]) -> list[str]:
     articles = [b.article if b.article in trusted else 0 for b in blocks]
     labels = [b.in_article() if a else b.label for a, b in zip(articles, blocks)]
     # What is put into an article's text from aside says nothing of the blocks beside it.
-    labels = ["" if a and b.place == "aside" else x for x, a, b in zip(labels, articles, blocks)]
+    labels = ["" if a and b.aside() else x for x, a, b in zip(labels, articles, blocks)]
     # A heading belongs to the text below it.
     for i in range(len(blocks) - 2, -1, -1):
         if labels[i] == "short" and blocks[i].heading and labels[i + 1] in ("good", "near"):
@@ -294,10 +356,16 @@ def main_text(page: str | None) -> str:
     """The main text of a page, a line per block; empty if there is none."""
     if not page:
         return ""
+    text = _text_of(page, True)
+    # What looks like a box may be around all there is.
+    return text or (_text_of(page, False) if BOXES.search(page) else "")
+
+
+def _text_of(page: str, boxes: bool) -> str:
     # Article elements may hold comments or teasers only; then the next sign may do better.
     first: list[Block] | None = None
     for sign in (*(i for i, x in enumerate(ARTICLE_SIGNS) if x.search(page)), 2):
-        blocks = blocks_of(page, sign)
+        blocks = blocks_of(page, sign, boxes)
         inside = [b for b in blocks if b.place == "article"]
         if any(b.label == "good" for b in inside):
             break
