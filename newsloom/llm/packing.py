@@ -2,10 +2,9 @@
 
 Documents become pieces of at most ``capacity`` tokens. What decides a packing is only
 how many pieces there are of each length, which is at most ``capacity`` numbers
-whatever the corpus. ``plan_sequences`` packs that histogram: it indexes the sums of
-single lengths, pairs and triples, takes the combinations that fill a sequence
-exactly, as often as the counts allow, and places what is left by best fit, longest
-first. Each pattern of the plan says how often a list of lengths is used; a piece
+whatever the corpus. ``plan_sequences`` packs that histogram: for each length, longest first,
+it looks up single lengths, pairs and triples that sum to its gap, takes these combinations
+as often as the counts allow, and places what is left by best fit, longest first. Each pattern of the plan says how often a list of lengths is used; a piece
 finds its sequence from its number among the pieces of its length.
 """
 
@@ -32,40 +31,74 @@ SLICE_BYTES = 4 << 20
 PIECE_SCHEMA = "doc_id long, piece int, start long, length long, ids_crc32 long, part int, number long"
 
 
-def plan_sequences(counts: dict[int, int], capacity: int = CAPACITY) -> list[tuple[int, list[int]]]:
-    """(times, lengths of the pieces in one sequence) for all pieces of the histogram ``counts``.
+class SumIndex:
+    """Sums of one, two and three of the lengths of which there are pieces left.
 
-    Every step uses up a length or an open gap, so the plan has a bounded number of
-    patterns however large the counts are. Each list is at most ``capacity`` in sum.
+    ``pairs[s]`` counts the pairs of lengths that sum to s. It is kept up to date as lengths are used up, so
+    a sum of three is a length and an entry of ``pairs``.
     """
-    left = np.zeros(capacity + 1, np.int64)
-    for length, count in counts.items():
-        left[length] += count
-    plan: list[tuple[int, list[int]]] = []
 
-    def take(lengths: list[int]) -> None:
+    def __init__(self, left: np.ndarray):
+        self.left = left
+        self.here = left > 0
+        self.pairs = np.zeros(2 * len(left), np.int64)
+        lengths = np.flatnonzero(self.here)
+        for i, x in enumerate(lengths.tolist()):
+            self.pairs[x + lengths[: i + 1]] += 1
+
+    def single(self, total: int) -> list[int] | None:
+        return [total] if self.here[total] else None
+
+    def pair(self, total: int) -> list[int] | None:
+        """The pair with the longest first length."""
+        if not self.pairs[total]:
+            return None
+        low = np.arange(1, total // 2 + 1)
+        found = int(low[self.here[low] & self.here[total - low]][0])
+        return [total - found, found]
+
+    def triple(self, total: int) -> list[int] | None:
+        first = np.flatnonzero(self.here[:total])
+        first = first[self.pairs[total - first] > 0]
+        return [int(first[-1]), *self.pair(total - int(first[-1]))] if len(first) else None
+
+    def take(self, lengths: list[int]) -> int:
+        """Use these lengths together as often as there are pieces; how often that was."""
         need: dict[int, int] = {}
         for x in lengths:
             need[x] = need.get(x, 0) + 1
-        times = min(int(left[x]) // k for x, k in need.items())
-        if times:
-            for x, k in need.items():
-                left[x] -= times * k
-            plan.append((times, lengths))
-
-    take([capacity])
-    for long in range(capacity - 1, 0, -1):
-        if not left[long]:
-            continue
-        gap = capacity - long
-        if gap <= long:
-            take([long, gap])
-        # Pairs of lengths that are there and sum to the gap, the longest first.
-        middle = np.arange(min(gap - 1, long), (gap - 1) // 2, -1)
-        for m in middle[(left[middle] > 0) & (left[gap - middle] > 0)].tolist():
-            if not left[long]:
-                break
-            take([long, m, gap - m])
+        times = min(int(self.left[x]) // k for x, k in need.items())
+        for x, k in need.items():
+            self.left[x] -= times * k
+            if not self.left[x] and self.here[x]:
+                self.pairs[x + np.flatnonzero(self.here)] -= 1
+                self.here[x] = False
+        return times
+
+
+# Orders in which gaps are filled: which sums are tried in each walk over the lengths.
+WALKS = (
+    (("single",), ("pair",), ("triple",)),
+    (("single", "pair", "triple"),),
+    (("single", "pair"),),
+)
+
+
+def _plan(left: np.ndarray, capacity: int, walks: tuple[tuple[str, ...], ...]) -> list[tuple[int, list[int]]]:
+    """A plan that fills gaps exactly in the order of ``walks``, and places the rest by best fit."""
+    plan: list[tuple[int, list[int]]] = []
+    index = SumIndex(left)
+    if left[capacity]:
+        plan.append((index.take([capacity]), [capacity]))
+    for kinds in walks:
+        for long in range(capacity - 1, 0, -1):
+            for kind in kinds:
+                while left[long]:
+                    fill = getattr(index, kind)(capacity - long)
+                    times = index.take([long, *fill]) if fill else 0
+                    if not times:
+                        break
+                    plan.append((times, [long, *fill]))
 
     # Open sequences by the room left in them: room -> [(times, lengths)].
     rooms: dict[int, list[tuple[int, list[int]]]] = {}
@@ -98,6 +131,31 @@ def plan_sequences(counts: dict[int, int], capacity: int = CAPACITY) -> list[tup
     return plan + [pattern for held in rooms.values() for pattern in held]
 
 
+def plan_sequences(counts: dict[int, int], capacity: int = CAPACITY) -> list[tuple[int, list[int]]]:
+    """(times, lengths of the pieces in one sequence) for all pieces of the histogram ``counts``.
+
+    Every step uses up a length or an open gap, so a plan has a bounded number of patterns however
+    large the counts are. Each list is at most ``capacity`` in sum. Which gaps are filled first matters,
+    so a plan is made for each order in ``WALKS``, and the one with the fewest sequences counts.
+    """
+    best: list[tuple[int, list[int]]] | None = None
+    least = -(-sum(length * count for length, count in counts.items()) // capacity)
+    for walks in WALKS:
+        left = np.zeros(capacity + 1, np.int64)
+        for length, count in counts.items():
+            left[length] += count
+        plan = _plan(left, capacity, walks)
+        if best is None or sequences_of(plan) < sequences_of(best):
+            best = plan
+        if sequences_of(best) == least:
+            break
+    return best
+
+
+def sequences_of(plan: list[tuple[int, list[int]]]) -> int:
+    return sum(times for times, _ in plan)
+
+
 class Places:
     """Where the n-th piece of a length goes, by a plan."""
 
