@@ -294,18 +294,16 @@ def _cell_neighbours(k: int, tally: list | None = None):
 def _placed(held: DataFrame, n: int, weights: int, n_blocks: int) -> tuple[DataFrame, int]:
     """(e, block) of the entities of ``held`` (e, held, main), and the number of blocks.
 
-    Entities with the same heaviest key follow each other. A block ends where its share of the entities or of
-    the weights is used up.
+    Entities with the same heaviest key follow each other. A block's entities and weights together use up two
+    shares, so it may hold twice its share of either, and no more.
     """
     if n_blocks == 1:
         return held.select("e", F.lit(0).cast("long").alias("block")), 1
     cost = F.col("held") * F.lit(n_blocks / weights) + F.lit(n_blocks / n)
     costed = held.withColumn("cost", cost)
     reached = prefix_sums(costed, [F.col("main"), F.col("e")], "cost", "reached")
-    # Entities and weights use up two shares, so there are twice as many steps as blocks.
     block = F.floor((F.col("reached") - F.col("cost") / 2) / 2).cast("long")
-    placed = pin(reached.select("e", F.least(block, F.lit(n_blocks - 1)).alias("block")))
-    return placed, n_blocks
+    return reached.select("e", F.least(block, F.lit(n_blocks - 1)).alias("block")), n_blocks
 
 
 def _neighbours(
@@ -314,7 +312,7 @@ def _neighbours(
     """Ranked neighbours (entity, neighbor, sim, rank) of pinned unit rows."""
     spark = unit.sparkSession
     main = F.max_by("f", F.struct(F.abs("x"), "f"))
-    held = pin(unit.groupBy("e").agg(F.count("*").alias("held"), main.alias("main")))
+    held = unit.groupBy("e").agg(F.count("*").alias("held"), main.alias("main"))
     is_heavy = F.col("held") > heavy_keys
     size = held.agg(
         F.count_if(~is_heavy).alias("n"),
