@@ -3,11 +3,12 @@
 Each line with a word is judged by itself; a line fails that
 
 * is navigation: two separators ``|`` or more, one for every five words at least;
-* has no punctuation: ten words or more without any of ``. ! ? ; :``, or is all shouting
-  marks: four ``!`` or ``?`` or more, for more than half of its words;
+* has no punctuation: ten words or more without any of ``. ! ? ; :`` or the like of other scripts
+  (``WIDE_MARKS``), or is all shouting marks: four ``!`` or ``?`` or more, for more than half of its words;
 * is noise: more symbols ``# * $ % & | < >`` than half of its words, or ten words or more of
   which over half repeat the word before;
-* is boilerplate: it holds one of ``BOILERPLATE``.
+* is boilerplate: it holds one of ``BOILERPLATE`` for every 20 words at least, so that a long line doesn't
+  fail by a phrase in passing.
 
 Failed lines are removed. A document goes if it fails the base rule (under 20 words, or
 over 30 % of its words in 8-word windows that occur twice or more) or loses more than
@@ -45,6 +46,10 @@ BOILERPLATE = (
     "sign up for our",
     "click here to",
 )
+# Words of a line for each phrase that makes it boilerplate.
+PHRASE_WORDS = 20
+# Marks that end or part sentences in other scripts.
+WIDE_MARKS = "。．｡！？；：…।؟؛۔።։"
 MIN_WORDS = 20
 MAX_REPEAT_PERCENT = 30
 MAX_LOST_PERCENT = 60
@@ -61,6 +66,7 @@ def _table(characters: bytes) -> np.ndarray:
     return table
 
 
+WIDE = re.compile("|".join(WIDE_MARKS).encode())
 SYMBOL, SENTENCE, SHOUT, BAR = _table(b"#*$%&|<>"), _table(b".!?;:"), _table(b"!?"), _table(b"|")
 
 
@@ -118,8 +124,13 @@ def measure(texts: pa.Array, with_text: bool = False) -> dict[str, np.ndarray |
     bars = _sums(BAR[data], bounds)
     shouts = _sums(SHOUT[data], bounds)
     sentence = _sums(SENTENCE[data], bounds)
+    whole = memoryview(np.ascontiguousarray(data))
+    # Only lines that would fail are searched for wide marks.
+    bare = (line_words >= 10) & (sentence == 0)
+    for at in np.flatnonzero(bare).tolist():
+        bare[at] = WIDE.search(whole, bounds[at], bounds[at + 1]) is None
     bad = (bars >= 2) & (5 * bars >= line_words)
-    bad |= (line_words >= 10) & (sentence == 0)
+    bad |= bare
     bad |= (shouts >= 4) & (2 * shouts > line_words)
     bad |= 2 * symbols > line_words
     if len(word_at):
@@ -127,9 +138,12 @@ def measure(texts: pa.Array, with_text: bool = False) -> dict[str, np.ndarray |
         again = (codes[1:] == codes[:-1]) & (line[1:] == line[:-1])
         bad |= (line_words >= 10) & (2 * np.bincount(line[1:], again, len(line_words)) > line_words)
     phrase = re.compile("|".join(re.escape(x) for x in BOILERPLATE).encode(), re.IGNORECASE)
-    hits = [m.start() for m in phrase.finditer(memoryview(np.ascontiguousarray(data)))]
-    if hits:
-        bad[np.searchsorted(bounds, hits, "right") - 1] = True
+    hits = np.array([m.span() for m in phrase.finditer(whole)], np.int64).reshape(-1, 2)
+    if len(hits):
+        line = np.searchsorted(bounds, hits[:, 0], "right") - 1
+        # What the end of one text and the start of the next make is no phrase.
+        phrases = np.bincount(line[hits[:, 1] <= bounds[line + 1]], minlength=len(line_words))
+        bad |= (phrases > 0) & (PHRASE_WORDS * phrases >= line_words)
     full = line_words > 0
     bad &= full
 

@@ -20,6 +20,8 @@ from newsloom.llm.quality_lines import (
     MAX_LOST_PERCENT,
     MAX_REPEAT_PERCENT,
     MIN_WORDS,
+    PHRASE_WORDS,
+    WIDE_MARKS,
     WINDOW,
     judge_documents,
 )
@@ -154,12 +156,13 @@ judged AS (
     row_number() OVER (PARTITION BY doc_id, line ORDER BY place) > 1 AS dup,
     (bars >= 2 AND 5 * bars >= len(w)) OR (len(w) >= 10 AND sentence = 0) OR (shouts >= 4 AND 2 * shouts > len(w))
       OR 2 * symbols > len(w) OR (len(w) >= 10 AND 2 * again > len(w))
-      OR regexp_matches(line, '(?i){"|".join(BOILERPLATE)}') AS bad
+      OR (phrases > 0 AND {PHRASE_WORDS} * phrases >= len(w)) AS bad
   FROM (
     SELECT *,
       length(line) - length(replace(line, '|', '')) AS bars,
       length(line) - length(regexp_replace(line, '[!?]', '', 'g')) AS shouts,
-      length(line) - length(regexp_replace(line, '[.!?;:]', '', 'g')) AS sentence,
+      length(line) - length(regexp_replace(line, '[.!?;:{WIDE_MARKS}]', '', 'g')) AS sentence,
+      len(regexp_extract_all(line, '(?i)({"|".join(BOILERPLATE)})')) AS phrases,
       length(line) - length(regexp_replace(line, '[#*$%&|<>]', '', 'g')) AS symbols,
       len(list_filter(list_zip(w[2:], w[:-2]), lambda x: x[1] = x[2])) AS again
     FROM lines WHERE len(w) > 0

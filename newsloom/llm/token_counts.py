@@ -12,6 +12,11 @@ tokens of the whole words behind that, and the text since the last one (the tail
 maps compose associatively; ``scan`` composes the maps of consecutive chunks in a
 logarithmic number of rounds. Inside a batch every word is a chunk with a constant
 map, whose composition is a running sum.
+
+What differs from the plain method: a map is kept as head, count and tail and not as a table from each
+entry state, of which there are as many as texts make; and only texts of more than ``CHUNK_CHARS``
+characters are cut, within one task. Shorter ones, which is nearly all, are counted word by word, and
+a worker looks up the words it has met. A text without a space is walked in sequence.
 """
 
 from __future__ import annotations

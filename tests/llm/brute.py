@@ -21,14 +21,15 @@ def quality(text, boilerplate):
         dup += line in seen
         seen.add(line)
         again = sum(a == b for a, b in zip(own, own[1:]))
+        phrases = len(re.findall("|".join(boilerplate), line, re.IGNORECASE | re.ASCII)) or -1
         bars, shouts = line.count("|"), line.count("!") + line.count("?")
         fails = (
             (bars >= 2 and 5 * bars >= n)
-            or (n >= 10 and not re.search("[.!?;:]", line))
+            or (n >= 10 and not re.search("[.!?;:。．｡！？；：…।؟؛۔።։]", line))
             or (shouts >= 4 and 2 * shouts > n)
             or 2 * len(re.findall(r"[#*$%&|<>]", line)) > n
             or (n >= 10 and 2 * again > n)
-            or any(x in line.lower() for x in boilerplate)
+            or 20 * phrases >= n
         )
         bad += fails
         lost += n * fails
@@ -84,3 +85,25 @@ def top_k(rows, k):
         scored = [(-sum(a * b for a, b in zip(q, v)), i) for i, v in rows if i != query_id and len(v) == len(q)]
         out += [(query_id, rank, i, -s) for rank, (s, i) in enumerate(sorted(scored)[:k], 1)]
     return sorted(out)
+
+
+def rows_linked(rows):
+    """[(doc_id, n_shingles, component_id, n_links)] of (doc_id, text) rows; ids may repeat or be null."""
+    sets = [shingles(text) for _, text in rows]
+    able = [bool(s) and i is not None for s, (i, _) in zip(sets, rows)]
+    close = [
+        [b for b in range(len(rows)) if b != a and able[a] and able[b] and 100 * len(sets[a] & sets[b]) >= 80 * len(sets[a] | sets[b])]
+        for a in range(len(rows))
+    ]
+    group = [None] * len(rows)
+    for start in range(len(rows)):
+        reach = [start] if group[start] is None else []
+        while reach:
+            here = reach.pop()
+            group[here] = start
+            reach += [x for x in close[here] if group[x] is None]
+    least = {}
+    for g, able_here, (i, _) in zip(group, able, rows):
+        if able_here:
+            least[g] = min(least.get(g, i), i)
+    return [(i, len(s), least[g] if a else i, len(c)) for (i, _), s, g, a, c in zip(rows, sets, group, able, close)]

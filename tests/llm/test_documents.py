@@ -1,4 +1,5 @@
 import random
+import re
 
 import numpy as np
 import pyarrow as pa
@@ -16,7 +17,7 @@ from newsloom.llm.top_k import Shard, search, top_inner_products
 
 import brute
 
-PARTS = ["a ", "b ", "\n", "\n\n", "é ", "日本 ", "| ", "!! ", "*", "\t", "\x0b", "\x1c", "x. ", "All rights Reserved ", "\r\n"]
+PARTS = ["a ", "b ", "\n", "\n\n", "é ", "日本 ", "| ", "!! ", "*", "\t", "\x0b", "\x1c", "x. ", "All rights Reserved ", "\r\n", "字。", "؟ "]
 
 
 def odd_texts(n, most, seed, parts=PARTS):
@@ -62,6 +63,15 @@ def test_quality_verdicts(spark):
     assert judge_documents(docs.limit(0)).count() == 0 and keep_clean(docs.limit(0)).count() == 0
 
 
+def test_long_lines_and_other_scripts(spark):
+    long = CLEAN.replace(". ", ", ") + " Nothing in its privacy policy says so."
+    rows = [(1, long), (2, "All rights reserved, see the privacy policy."), (3, "これ は 文 です。 " * 6), (4, "これ は 文 です " * 6), (5, "هذا نص قصير جدا؟ " * 5)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    found = {r["doc_id"]: (r["n_bad_lines"], r["clean_text"]) for r in judge_documents(docs).collect()}
+    assert found[1] == (0, long) and found[2] == (1, "")
+    assert [found[i][0] for i in (3, 4, 5)] == [0, 1, 0]
+
+
 def test_verdicts_at_the_limits():
     found = {"n_words": np.array([19, 20, 100, 100]), "n_repeat_words": np.array([0, 6, 31, 30]), "n_lost_words": np.array([0, 12, 0, 61])}
     assert [x.tolist() for x in verdicts(found)] == [[True, False, True, False], [False, True, False, False]]
@@ -149,6 +159,68 @@ def test_one_row_of_each_component_stays(spark):
     assert len(found) == 5 and found[4] in rows[6:]
 
 
+@pytest.mark.parametrize("seed, span", [(5, 30), (6, 8)])
+def test_links_of_repeated_ids(spark, seed, span):
+    pick = random.Random(seed)
+    rows = [(pick.randint(0, span), text) for text in copies(seed)[:60]]
+    rows += pick.choices(rows, k=25) + [(i, rows[0][1]) for i in (1, 1, 2, None)] + [(None, ""), (3, ""), (3, None)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string").repartition(4)
+    found = near_duplicate_links(docs).collect()
+    expected = brute.rows_linked(rows)
+    assert sorted(map(str, (tuple(r) for r in found))) == sorted(map(str, expected))
+    # One row of each component stays, and rows that link with nothing.
+    kept = [tuple(r) for r in keep_one_of_each(docs).collect()]
+    texts = {}
+    for (i, text), (_, n, component, _) in zip(rows, expected):
+        texts.setdefault((i, frozenset(brute.shingles(text))), (component, n))
+    able = [(i, t) for i, t in kept if i is not None and brute.shingles(t)]
+    assert all(texts[(i, frozenset(brute.shingles(t)))][0] == i for i, t in able)
+    assert len(able) == len(distinct_components(rows)) and len(kept) - len(able) == sum(
+        i is None or not brute.shingles(t) for i, t in rows
+    )
+
+
+def distinct_components(rows):
+    numbered = [(k, t) for k, (i, t) in enumerate(rows) if i is not None and brute.shingles(t)]
+    return {c for _, c in brute.components(numbered).values()}
+
+
+def test_links_of_few_repeated_rows(spark):
+    text = "one two three four five six seven eight nine ten eleven twelve thirteen fourteen fifteen"
+    near, nearer = text + " sixteen", text + " sixteen seventeen"
+    for rows in ([(1, text), (1, text), (2, near), (3, nearer)], [(3, text), (5, text), (5, near), (6, nearer)]):
+        found = near_duplicate_links(spark.createDataFrame(rows, "doc_id long, text string")).collect()
+        assert [r["n_links"] for r in found] == [3] * 4
+
+
+def test_kept_rows_may_have_any_columns(spark):
+    rows = [(1, "a b c d e f", "x", 2), (2, "a b c d e f", "y", 3), (4, "", "z", 1), (2, "so it is and so on", "y", 4)]
+    docs = spark.createDataFrame([(*r, r[0]) for r in rows], "id long, text string, point string, component int, doc_id long")
+    assert keep_one_of_each(docs).columns == docs.columns and keep_one_of_each(docs).count() == 3
+    for names, part in (("_id, _point, _n", 4), ("Id, _Row, hash", 3)):
+        first, second, third = names.split(", ")
+        docs = spark.createDataFrame(rows[:part], f"{first} long, text string, {second} string, {third} int")
+        kept = keep_one_of_each(docs, doc_id=first)
+        assert kept.columns == docs.columns
+        assert sorted(r[0] for r in kept.collect()) == ([1, 2, 4] if part == 4 else [1, 4])
+
+
+def test_own_rows_are_spread_over_the_buckets():
+    from newsloom.llm.jaccard_join import _by_bucket
+
+    rng = np.random.default_rng(1)
+    carriers = []
+    for _ in range(200):
+        points = rng.integers(0, 2**62, 50)
+        keys = rng.integers(0, 2**63, 400).astype(np.uint64)
+        own = [points.astype("<i8"), points.astype("<i8"), points.astype("<i8"), np.zeros(0, "<u8")]
+        batch = _by_bucket(keys, rng.choice(points, 400), np.ones(400, bool), 20, own)
+        held = [(b, x) for b, x in zip(batch.column("bucket").to_pylist(), batch.column("own_points").to_pylist()) if x]
+        assert len(held) == 1 and held[0][1] == own[0].tobytes()
+        carriers.append(held[0][0])
+    assert len(set(carriers)) == 20 and max(carriers.count(b) for b in range(20)) < 40
+
+
 def test_leftovers_find_links_that_the_pivot_misses(spark):
     words = [f"w{i}" for i in range(124)]
     texts = {1: words, 2: ["x"] * 11 + words[11:], 3: ["x"] * 22 + words[22:], 4: ["x"] * 33 + words[33:]}
@@ -179,6 +251,51 @@ def test_connected_components(spark):
     assert connected_components(spark.createDataFrame([], "a long, b long")).count() == 0
 
 
+def test_languages_against_a_plain_version(spark, sf_dir):
+    """Every text compressed in full with each dictionary by the library."""
+    import zstandard
+
+    from newsloom.llm import language
+
+    docs = spark.read.parquet(f"{sf_dir}/documents.parquet").where("doc_id % 4 = 0")
+    learned = learn(docs)
+    texts = {r["doc_id"]: r["text"] for r in docs.collect()}
+    made = language.Compressor(learned)
+    for name, compress in zip(made.names, made.each):
+        # What it returns is a frame that the raw-content dictionary opens again.
+        kind = zstandard.ZstdCompressionDict(learned[name], dict_type=zstandard.DICT_TYPE_RAWCONTENT)
+        sample = language.prepared("Some words and others, 12.")
+        assert zstandard.ZstdDecompressor(dict_data=kind).decompress(compress(sample), max_output_size=1000) == sample
+    for r in predict_languages(docs, learned).collect():
+        text = texts[r["doc_id"]] or ""
+        if not any(c.isalpha() for c in text):
+            assert (r["lang_pred"], r["score"], r["rejected"]) == (UNKNOWN, 0.0, True)
+            continue
+        data = (" " + re.sub(r"[\W\d_]+", " ", text.lower()) + " ").encode()
+        blocks = [data[i : i + 512] for i in range(0, len(data), 512)]
+        sizes = {n: max(1, sum(len(c(b)) - 9 for b in blocks)) for n, c in zip(made.names, made.each)}
+        best, second = sorted(sizes, key=lambda n: (sizes[n], n))[:2]
+        assert (r["lang_pred"], r["score"]) == (best, 1 - sizes[best] / sizes[second])
+        assert r["rejected"] == (1 - sizes[best] / sizes[second] < 0.005)
+
+
+def test_learning_takes_a_bounded_part_of_every_text(spark, monkeypatch):
+    from newsloom.llm import language
+
+    shown = []
+    monkeypatch.setattr(language, "prepared", lambda x, keep=language.prepared: shown.append(x) or keep(x))
+    body = " ".join(f"wort{chr(97 + i % 26)}{chr(97 + i % 7)}" for i in range(3000))
+    ids = [i for i in range(400) if language.zlib.crc32(str(i).encode()) % 3 != 1]
+    # One id has most rows, with many texts; a header begins all.
+    rows = [(ids[0], f"header {i} {body}", "de") for i in range(600)] + [(i, "header " + body, "de") for i in ids[1:]]
+    rows += [(i, "short", "en") for i in ids[:3]] + [(None, body, "en"), (ids[5], None, "en"), (ids[6], "12 34", "xx")]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, lang string").repartition(3)
+    learned = learn(docs, rows=40, dictionary_bytes=2000)
+    assert sorted(learned) == ["de", "en"] and len(learned["de"]) <= 2000
+    assert sum(map(len, shown)) <= 3 * 2000 + 200 and learned["de"].count(b"header") <= 3
+    assert learn(docs.repartition(7), rows=40, dictionary_bytes=2000) == learned
+
+
 def test_languages(spark, sf_dir):
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
     learned = learn(docs)
@@ -277,6 +394,54 @@ def test_importance(spark, sf_dir):
     assert resample(odd.limit(0), labels).count() == 0
 
 
+def test_importance_against_a_plain_version(spark):
+    """Counts, log ratios, Gumbel keys, ranks and the kept share, text by text."""
+    import math
+    from collections import Counter
+
+    from newsloom.llm import importance as module
+
+    pick = random.Random(5)
+    rows = [(i % 70, " ".join(pick.choice("a b c D É x1 the of".split()) for _ in range(pick.randint(0, 12)))) for i in range(90)]
+    rows += [(None, "a b c"), (None, None), (71, ""), (5, "the of a")]
+    marks = [(i, pick.choice([0, 1])) for i in range(0, 70, 2)] + [(3, None), (None, 1), (4, 1)]
+    docs = spark.createDataFrame([(i, t, 1.0) for i, t in rows], "doc_id long, text string, key double").repartition(3)
+    labels = spark.createDataFrame(marks, "doc_id long, quality int")
+    found = resample(docs, labels)
+    noise = {r["doc_id"]: r["u"] for r in docs.selectExpr(
+        "doc_id", f"(shiftrightunsigned(xxhash64({module.SEED}, coalesce(doc_id, -1)), 12) + 0.5D) / pow(2, 52) u").distinct().collect()}
+
+    def own(text):
+        words = (text or "").translate(brute.SMALL).split()
+        code = lambda x: int(features(pa.array([x]))[0][1 if " " in x else 0])
+        return [code(w) for w in words] + [code(f"{a} {b}") for a, b in zip(words, words[1:])]
+
+    good = {i for i, q in marks if q == 1 and i is not None}
+    raw, target = Counter(), Counter()
+    for i, t in rows:
+        raw.update(own(t))
+        target.update(own(t) if i in good else [])
+    smooth, n = module.SMOOTHING, module.BUCKETS
+    p, q = sum(target.values()) + smooth * n, sum(raw.values()) + smooth * n
+    ratio = lambda b: math.log((target[b] + smooth) / p) - math.log((raw[b] + smooth) / q)
+    expected = []
+    for i, t in rows:
+        parts = own(t)
+        weight = round(module.PER_FEATURES * sum(map(ratio, parts)) / len(parts), 6) if parts else 0.0
+        expected.append((i, weight, weight - math.log(-math.log(noise[i]))))
+    got = sorted(found.collect(), key=lambda r: r["rank"])
+    assert [r["rank"] for r in got] == list(range(1, len(rows) + 1))
+    expected.sort(key=lambda x: (-round(x[2], 5), x[0] is None, x[0] or 0))
+    assert sorted((str(i), round(w, 4), round(k, 4)) for i, w, k in expected) == sorted(
+        (str(r["doc_id"]), round(r["log_weight"], 4), round(r["key"], 4)) for r in got
+    )
+    assert [r["key"] for r in got] == sorted((r["key"] for r in got), reverse=True)
+    listed = [x for _, x in marks]
+    share = sum(x == 1 for x in listed) / sum(x is not None for x in listed)
+    assert sum(r["kept"] for r in got) == math.ceil(share * len(rows) - 1e-9)
+    assert all(r["kept"] for r in got[: sum(r["kept"] for r in got)])
+
+
 def test_features_are_unigrams_and_bigrams():
     _, offsets = features(pa.array(["a b c", None, "", "a", "A a"]))
     assert np.diff(offsets).tolist() == [5, 0, 0, 1, 3]
@@ -304,6 +469,31 @@ def test_top_k(spark, monkeypatch):
     assert sorted(tuple(r) for r in found) == brute.top_k(whole(rows), 10)
 
 
+def test_blocks_go_to_groups_that_can_hold_a_result(spark, monkeypatch):
+    from newsloom.llm import top_k as module
+
+    monkeypatch.setattr(module, "SHARD_ROWS", 50)
+    monkeypatch.setattr(module, "GROUP_SHARDS", 1)
+    counted = []
+    whole_rows = module.other_groups
+    monkeypatch.setattr(module, "other_groups", lambda f, b: counted.append((whole_rows(f, b).count(), f.count() * (len(b) - 1))) or whole_rows(f, b))
+    pick = random.Random(7)
+    # Each input partition, and so each shard, has vectors of one direction; the lengths differ.
+    rows = []
+    for part in range(12):
+        for _ in range(50):
+            rows.append((len(rows), [(1 + part) * (6.0 if x == part % 6 else 0.0) + pick.gauss(0, 0.1) for x in range(6)]))
+    table = spark.createDataFrame([(i, v) for i, v in rows], "vec_id long, embedding array<float>").repartitionByRange(12, "vec_id")
+    query = module.F.col("vec_id") % 100 == 0
+    expected = brute.top_k(whole(rows), 10)
+    assert sorted(tuple(r) for r in top_inner_products(table, query).collect()) == expected
+    sent, pairs = counted[0]
+    assert 0 < sent < pairs
+    # Without a bound on what is sent to all tasks, every block goes everywhere.
+    monkeypatch.setattr(module, "BALL_BYTES", 0)
+    assert sorted(tuple(r) for r in top_inner_products(table, query).collect()) == expected
+
+
 def test_top_k_of_odd_rows(spark):
     from newsloom.llm import top_k as module
 
@@ -319,3 +509,107 @@ def test_search_keeps_ties_with_smaller_ids():
     assert search([shard], 5, np.ones(3), 3, -10) == [(3, 1), (3, 2), (3, 3)]
     assert search([shard], 5, np.ones(3), 3, 3) == [(3, 1), (3, 2), (3, 3)]
     assert search([shard], 5, np.ones(3), 3, 4) == []
+
+
+@pytest.mark.parametrize("name", ["comment-content", "comment-body", "sidebar-content", "widget-content", "comment-page", "siteFooter", "content comments"])
+def test_asides_with_layout_words(name):
+    aside = f'<div class="{name}"><p>{LONG} A reader says so.</p></div>'
+    assert main_text(f"<article><p>{LONG}</p>{aside}</article>") == LONG
+    assert main_text(f"<p>{LONG}</p>{aside}") == LONG
+    assert main_text(f'<div id="comments"><article><p>{LONG} Says one.</p></article></div><article><p>{LONG}</p></article>') == LONG
+
+
+@pytest.mark.parametrize("name", ["has-sidebar", "page-with-ads", "no-comments", "sidebar-layout"])
+def test_layouts_are_no_asides(name):
+    assert main_text(f'<div class="{name}"><p>{LONG}</p></div>') == LONG
+
+
+def test_boxes_around_the_article():
+    for name in ("notice", "overlay", "banner"):
+        assert main_text(f'<div id="{name}"><article><p>{LONG}</p></article></div>') == LONG
+        assert main_text(f'<div id="{name}"><p>{LONG}</p></div>') == LONG
+        assert main_text(f'<p>{LONG}</p><div id="{name}"><p>{LONG} Now.</p></div><p>{LONG}</p>').split("\n") == [LONG, LONG]
+
+
+def test_custom_elements_are_text():
+    page = f"<article><p>{LONG}</p><video-player></video-player><p>{LONG}</p><button-group><p>{LONG}</p></button-group><script-x/><p>{LONG}</p></article>"
+    assert main_text(page).split("\n") == [LONG] * 4
+    assert main_text(f"<article><p>{LONG}</p><button>{LONG}</button><video src=x>{LONG}</video><script/><p>{LONG}</p></article>").count(LONG) == 2
+
+
+def test_inline_elements_that_are_not_shown():
+    for hides in ("hidden", 'style="color: red; display:none"', "hidden=''"):
+        page = f"<article><p>{LONG}<span {hides}>never <b>or <span>at</span> all</b><br><br>no</span> And this.</p><p>{LONG}<i {hides}>open</p><p>{LONG}</p></article>"
+        assert main_text(page).split("\n") == [LONG + " And this.", LONG, LONG]
+    assert main_text(f'<article><p>{LONG} <span title="hidden display:none">Shown.</span></p></article>') == LONG + " Shown."
+
+
+OTHER = (
+    "Ensimmäinen lause alkaa tästä ja jatkuu pitkään, jotta lukija saa tietää mistä tekstissä puhutaan. Toinen lause seuraa sitä "
+    "eikä ole yhtään lyhyempi kuin ensimmäinen, sillä senkin pitää olla riittävän pitkä laskettavaksi mukaan."
+)
+
+
+def test_a_language_without_stop_words():
+    links = "".join(f"<li><a href=x>Uutiset {i}</a></li>" for i in range(9))
+    page = f"<nav>{links}</nav><h1>Otsikko</h1><p>{OTHER}</p><p>Lyhyt.</p><p>{OTHER}</p><ul>{links}</ul><p>Oikeudet.</p>"
+    assert main_text(page).split("\n") == ["Otsikko", OTHER, "Lyhyt.", OTHER]
+    # Beside a known language, text without its words is no article.
+    assert main_text(f"<p>{LONG}</p><p>{LONG}</p><p>{OTHER}</p><p>End.</p>").split("\n") == [LONG, LONG]
+
+
+def naive_text(blocks):
+    """The block rules, block by block, over (text, linked part, heading) without article elements."""
+    from newsloom.llm.html_text import STOP_WORDS
+
+    def stops(text):
+        words = [w for w in "".join(c if c.isalpha() else " " for c in text.lower()).split()]
+        return sum(w in STOP_WORDS for w in words) / max(1, len(words))
+
+    share = lambda b: len(b[1]) / len(b[0])
+    running = [b for b in blocks if len(b[0]) >= 70 and share(b) <= 0.2]
+    known = not running or any(stops(b[0]) >= 0.08 for b in running)
+    labels = []
+    for b in blocks:
+        if share(b) > 0.2:
+            label = "bad"
+        elif len(b[0]) < 70:
+            label = "bad" if b[1] else "short"
+        elif not known or stops(b[0]) >= 0.32:
+            label = "good" if len(b[0]) > 200 else "near"
+        else:
+            label = "near" if stops(b[0]) >= 0.30 else "bad"
+        labels.append(label)
+    for i in range(len(blocks) - 2, -1, -1):
+        if labels[i] == "short" and blocks[i][2] and labels[i + 1] in ("good", "near"):
+            labels[i] = "near"
+    sides = lambda i, stop: [
+        next((x for x in part if x in stop), "bad") for part in (labels[:i][::-1], labels[i + 1 :])
+    ]
+    new = list(labels)
+    for i, x in enumerate(labels):
+        if x == "short":
+            near = sides(i, ("good", "near", "bad"))
+            new[i] = "good" if "good" in near and "bad" not in near else "bad"
+    labels = list(new)
+    for i, x in enumerate(labels):
+        if x == "near":
+            new[i] = "bad" if sides(i, ("good", "bad")) == ["bad", "bad"] else "good"
+    return [b[0] for b, x in zip(blocks, new) if x == "good"]
+
+
+def test_block_rules_against_a_naive_version():
+    pick = random.Random(12)
+    texts = [LONG, LONG[:150].strip(), OTHER, "Short one.", "Read more", "word " * 30 + "end", "the " * 12 + "rare " * 26 + "end"]
+    for _ in range(400):
+        foreign = pick.random() < 0.15
+        blocks, page = [], ""
+        for _ in range(pick.randint(0, 12)):
+            text = pick.choice([OTHER, "Lyhyt."] if foreign else texts)
+            heading, linked = pick.random() < 0.2, ""
+            if pick.random() < 0.3:
+                linked = text[: pick.choice([4, len(text) // 2, len(text)])].strip()
+            inner = f"<a href='x'>{linked}</a>{text[len(linked):]}" if linked else text
+            blocks.append((text, linked, heading))
+            page += f"<h2>{inner}</h2>" if heading else f"<p class='x'>{inner}</p>\n"
+        assert main_text(page).split("\n") == (naive_text(blocks) or [""])

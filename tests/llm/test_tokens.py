@@ -129,6 +129,54 @@ def test_exact_complements_fill_sequences():
     assert sum(times for times, _ in plan_sequences({5: 2, 3: 2, 2: 2}, 10)) == 2
 
 
+def fewest(lengths, capacity):
+    """The smallest number of sequences, by trying everything."""
+    best = [len(lengths)]
+
+    def place(at, rooms):
+        if len(rooms) >= best[0]:
+            return
+        if at == len(lengths):
+            best[0] = len(rooms)
+            return
+        for i in sorted({room: i for i, room in enumerate(rooms) if room >= lengths[at]}.values()):
+            place(at + 1, [*rooms[:i], rooms[i] - lengths[at], *rooms[i + 1 :]])
+        place(at + 1, [*rooms, capacity - lengths[at]])
+
+    lengths = sorted(lengths, reverse=True)
+    place(0, [])
+    return best[0]
+
+
+def test_plans_against_the_optimum():
+    pick = random.Random(6)
+    exact = 0
+    for _ in range(300):
+        lengths = [pick.randint(1, 20) for _ in range(pick.randint(1, 9))]
+        counts = {x: lengths.count(x) for x in lengths}
+        made, least = sum(t for t, _ in plan_sequences(counts, 20)), fewest(lengths, 20)
+        assert least <= made <= least + 1
+        exact += made == least
+    assert exact >= 290
+
+
+def test_gaps_are_filled_by_three_lengths():
+    assert plan_sequences({7: 1, 6: 1, 5: 1, 2: 1}, 20) == [(1, [7, 6, 5, 2])]
+    pick = random.Random(1)
+    exact = 0
+    for _ in range(100):
+        counts = {}
+        for _ in range(6):
+            cuts = [0, *sorted(pick.sample(range(1, 200), 3)), 200]
+            for a, b in zip(cuts, cuts[1:]):
+                counts[b - a] = counts.get(b - a, 0) + 1
+        made = sum(t for t, _ in plan_sequences(counts, 200))
+        assert made <= 7
+        exact += made == 6
+    assert exact >= 60
+
+
+
 def test_pack_documents(spark, hf):
     rows = [tuple(r) for r in pack_documents(table(spark, ROWS), capacity=64).collect()]
     ids = [(i, x + [0]) for (i, _), x in zip(ROWS, library_ids(hf, [t for _, t in ROWS]))]
