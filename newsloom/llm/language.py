@@ -23,12 +23,15 @@ from pyspark.sql import functions as F
 
 from newsloom.llm.workers import kept, slices
 from newsloom.operators.ranking import top_n
+from newsloom.session import pin
 
 UNKNOWN = "und"
 # Labelled rows a language is learned from at most, and bytes of its dictionary.
 TRAIN_ROWS = 300
 DICTIONARY_BYTES = 1 << 14
 SALTS = 16
+# Places of a text that a dictionary takes something from.
+STRETCHES = 2
 BLOCK_BYTES = 512
 MIN_MARGIN = 0.005
 # Matches from three bytes on, found by binary tree: languages differ in short pieces.
@@ -58,34 +61,50 @@ def learn(
     rows: int = TRAIN_ROWS,
     dictionary_bytes: int = DICTIONARY_BYTES,
 ) -> dict[str, bytes]:
-    """A dictionary per language, from ``rows`` labelled rows of each that aren't held out.
-
-    The rows are those with the smallest hash of their id: the same for any order or
-    partitioning. First their ids are found, then only those texts are read. An even
-    share of each text goes into the dictionary.
+    """A dictionary per language, from at most ``rows`` labelled texts of each that aren't held out.
+
+    One text of each id takes part, the one with the smallest hash, and the ids are those with the
+    smallest hash: the same for any order or partitioning. First the ids are found, then only those
+    texts are read. Each gives ``STRETCHES`` short stretches from places all over it, cut before
+    they come to the driver, which gets ``rows`` of them for a language and some twice the
+    dictionary's size. Defined results: repeated rows count once, a text without letters gives
+    nothing, other columns are not read.
     """
     labelled = docs.where(
         F.col(lang).isNotNull() & F.col(text).isNotNull() & F.col(doc_id).isNotNull() & (remainder(doc_id) != 1)
-    )
-    keyed = labelled.select(
-        F.col(lang).alias("lang"), F.col(doc_id).alias("doc_id"), F.xxhash64(F.col(doc_id)).cast("double").alias("key")
-    )
+    ).select(F.col(lang).alias("lang"), F.col(doc_id).alias("doc_id"), F.col(text).alias("text"))
+    hashed = F.xxhash64("text")
+    keyed = labelled.groupBy("lang", "doc_id").agg(F.min(hashed).alias("hash"))
+    keyed = keyed.withColumn("key", F.xxhash64("doc_id").cast("double"))
     # First within salted parts of a language, so that the last step sees a fixed number of rows of each.
     salted = keyed.withColumn("part", F.concat_ws("/", "lang", F.pmod(F.xxhash64("doc_id", F.lit(1)), F.lit(SALTS))))
-    few = top_n(salted, "part", "key", "doc_id", rows).drop("rank")
-    chosen = [row["doc_id"] for row in top_n(few, "lang", "key", "doc_id", rows).select("doc_id").distinct().collect()]
-    found: dict[str, list[bytes]] = {}
-    picked = labelled.where(F.col(doc_id).isin(chosen)).select(
-        F.col(lang).alias("lang"), F.col(doc_id).alias("doc_id"), F.substring(text, 1, dictionary_bytes).alias("text")
-    )
-    for row in sorted(picked.collect(), key=lambda r: (r["lang"], r["doc_id"], r["text"])) if chosen else ():
-        found.setdefault(row["lang"], []).append(prepared(row["text"]))
+    few = pin(top_n(top_n(salted, "part", "key", "doc_id", rows).drop("rank"), "lang", "key", "doc_id", rows))
+    n = few.groupBy("lang").agg(F.count("*").alias("n"))
+    few = few.select("lang", "doc_id", "hash").join(n, "lang")
+
+    # Twice what a stretch gives at an even share, for what its preparation takes away.
+    size = F.ceil(F.lit(2 * dictionary_bytes / STRETCHES) / F.col("n")).cast("int") + F.lit(8)
+    part = F.ceil(F.length("text") / F.lit(STRETCHES)).cast("int")
+
+    def stretch(number: int) -> Column:
+        drawn = F.pmod(F.xxhash64("doc_id", F.lit(number)), F.greatest(part - size, F.lit(0)) + F.lit(1)).cast("int")
+        return F.substr("text", F.lit(number) * part + drawn + F.lit(1), F.least(size, part))
+
+    # At most ``rows`` ids of a language, whatever their rows, so this side is small.
+    picked = labelled.join(F.broadcast(few), ["lang", "doc_id"]).where(hashed == F.col("hash"))
+    picked = picked.select("lang", "doc_id", F.array(*[stretch(i) for i in range(STRETCHES)]).alias("stretches"))
+    picked = picked.groupBy("lang", "doc_id").agg(F.min("stretches").alias("stretches"))
+    found: dict[str, list[list[bytes]]] = {}
+    for row in sorted(picked.collect(), key=lambda r: (r["lang"], str(r["doc_id"]))):
+        found.setdefault(row["lang"], []).append([x for x in map(prepared, row["stretches"]) if x.strip()])
     dictionaries = {}
     for name, texts in found.items():
-        share = dictionary_bytes // len(texts)
-        while sum(min(len(x), share) for x in texts) < dictionary_bytes and share < max(map(len, texts)):
-            share *= 2
-        dictionaries[name] = b" ".join(x[:share] for x in texts)[-dictionary_bytes:]
+        pieces = [x for own in texts for x in own]
+        if pieces:
+            share = max(1, dictionary_bytes // len(pieces))
+            while sum(min(len(x), share) for x in pieces) < dictionary_bytes and share < max(map(len, pieces)):
+                share *= 2
+            dictionaries[name] = b" ".join(x[:share] for x in pieces)[-dictionary_bytes:]
     return {name: x for name, x in sorted(dictionaries.items()) if len(x) >= 8}
 
 
