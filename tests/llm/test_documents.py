@@ -469,31 +469,6 @@ def test_top_k(spark, monkeypatch):
     assert sorted(tuple(r) for r in found) == brute.top_k(whole(rows), 10)
 
 
-def test_blocks_go_to_groups_that_can_hold_a_result(spark, monkeypatch):
-    from newsloom.llm import top_k as module
-
-    monkeypatch.setattr(module, "SHARD_ROWS", 50)
-    monkeypatch.setattr(module, "GROUP_SHARDS", 1)
-    counted = []
-    whole_rows = module.other_groups
-    monkeypatch.setattr(module, "other_groups", lambda f, b: counted.append((whole_rows(f, b).count(), f.count() * (len(b) - 1))) or whole_rows(f, b))
-    pick = random.Random(7)
-    # Each input partition, and so each shard, has vectors of one direction; the lengths differ.
-    rows = []
-    for part in range(12):
-        for _ in range(50):
-            rows.append((len(rows), [(1 + part) * (6.0 if x == part % 6 else 0.0) + pick.gauss(0, 0.1) for x in range(6)]))
-    table = spark.createDataFrame([(i, v) for i, v in rows], "vec_id long, embedding array<float>").repartitionByRange(12, "vec_id")
-    query = module.F.col("vec_id") % 100 == 0
-    expected = brute.top_k(whole(rows), 10)
-    assert sorted(tuple(r) for r in top_inner_products(table, query).collect()) == expected
-    sent, pairs = counted[0]
-    assert 0 < sent < pairs
-    # Without a bound on what is sent to all tasks, every block goes everywhere.
-    monkeypatch.setattr(module, "BALL_BYTES", 0)
-    assert sorted(tuple(r) for r in top_inner_products(table, query).collect()) == expected
-
-
 def test_top_k_of_odd_rows(spark):
     from newsloom.llm import top_k as module
 
