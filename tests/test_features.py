@@ -80,6 +80,22 @@ def test_grid_over_several_blocks(spark, monkeypatch):
     assert pairs.count() == pairs.distinct().count() == 40
 
 
+def test_grid_is_unrolled_in_many_tasks_without_a_broadcast(spark, monkeypatch):
+    monkeypatch.setattr(interactions, "GRID_BLOCK_IDS", 3)
+    monkeypatch.setattr(interactions, "TASK_PAIRS", 20, raising=False)
+    users = spark.createDataFrame([(u,) for u in [*range(12), None]], "user_id long")
+    items = spark.range(10).select(F.col("id").alias("article_id"))
+    log = spark.createDataFrame([(1, 2), (1, 2), (3, 9)], "user_id long, article_id long")
+    pairs = interactions.user_article_pairs(users, items)
+    matrix = interactions.binary_matrix(log, users, items)
+    assert pairs.distinct().count() == 130 and matrix.count() == 131
+    assert sorted(map(tuple, matrix.where("clicked = 1").drop("clicked").collect())) == [(1, 2), (1, 2), (3, 9)]
+    for df in (pairs, matrix):
+        tasks = df.groupBy(F.spark_partition_id().alias("task")).count().collect()
+        assert len(tasks) > 2 and max(r["count"] for r in tasks) < 100
+    assert "BroadcastExchange" not in pairs._jdf.queryExecution().executedPlan().toString()
+
+
 def test_history(spark):
     rows = [(1, [5, 6, 5], [1.0, 2.0, 4.0]), (2, [], []), (3, [7], [3.0])]
     history = spark.createDataFrame(rows, "user_id long, article_id_fixed array<int>, read_time_fixed array<float>")
