@@ -155,6 +155,51 @@ def test_cells_against_a_dense_product(dense_gain, monkeypatch):
             assert set(best) <= got.get(e, set())
 
 
+def test_a_cell_takes_few_sums_at_a_time(monkeypatch):
+    """Once entities have k sums, only better ones leave a slice, in a triangle for the rows too."""
+    monkeypatch.setattr(similarity, "PENDING_SUMS", 100, raising=False)
+    monkeypatch.setattr(similarity, "SLICE_CELLS", 2_000)
+    rng = np.random.default_rng(4)
+    rows = unit([(e, f, float(rng.integers(1, 99))) for e in range(400) for f in range(6)])
+    passed, whole = [], similarity._multiplied
+
+    def counted(*args):
+        for part in whole(*args):
+            passed.append(len(part[0]))
+            yield part
+
+    monkeypatch.setattr(similarity, "_multiplied", counted)
+    out = _cell_neighbours(3)(cell_table([(0, rows, [])]))
+    assert sum(passed) < 400 * 399 / 2 / 3
+    best = {}
+    for e, n, s in zip(*(out[c].to_pylist() for c in ("entity", "neighbor", "sim"))):
+        best.setdefault(e, []).append((-round(s, 9), n))
+    sims = brute_force(rows, 3)
+    assert {e: [n for _, n in sorted(x)[:3]] for e, x in best.items()} == {e: [n for n, _ in x] for e, x in sims.items()}
+
+
+def test_lists_go_only_to_blocks_that_share_a_key(spark, monkeypatch):
+    """Ten separate groups in a dozen blocks: hardly a cell of two blocks has anything to multiply."""
+    whole = similarity._cell_neighbours
+    seen = spark.sparkContext.accumulator(0)
+
+    def watched(k):
+        run = whole(k)
+
+        def count(table):
+            seen.add(int(table["lo"][0] != table["hi"][0]))
+            return run(table)
+
+        return count
+
+    monkeypatch.setattr(similarity, "_cell_neighbours", watched)
+    rng = np.random.default_rng(6)
+    rows = [(e, 100 * (e // 12) + int(f), float(rng.integers(1, 9))) for e in range(120) for f in rng.choice(9, 4, replace=False)]
+    got = found(top_k_cosine(frame(spark, rows), "entity", "key", "weight", 4, collapse=False, chunk_entities=24))
+    assert {e: [n for n, _ in x] for e, x in got.items()} == {e: [n for n, _ in x] for e, x in brute_force(rows, 4).items()}
+    assert seen.value <= 30
+
+
 def test_twins_and_zero_rows(spark):
     rows = [(1, 10, 2.0), (1, 11, 1.0), (2, 10, 4.0), (2, 11, 2.0), (3, 10, 0.0), (4, 12, 1.0)]
     got = found(top_k_cosine(frame(spark, rows), "entity", "key", "weight", 10))
