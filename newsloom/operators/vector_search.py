@@ -27,10 +27,12 @@ from newsloom.operators.ranking import prefix_sums, top_n
 from newsloom.operators.similarity import best_per_row
 from newsloom.session import pin
 
-# Vectors, and stored numbers, in one chunk at most; and the scores a task holds at a time.
+# Vectors, and stored numbers, in one chunk at most; the users of a chunk, who bring their exclusions along;
+# and the scores a task holds at a time.
 CHUNK_VECTORS = 65_536
 CHUNK_NUMBERS = 8_000_000
-SCORE_BLOCK = 4_000_000
+CHUNK_USERS = 8_192
+SCORE_BLOCK = 500_000
 # Below this a chunk of users is not split further for the sake of parallel tasks.
 SMALLEST_CHUNK = 256
 
@@ -114,7 +116,7 @@ def best_by_dot(
     width = items.select(F.size("vec").alias("width")).first()["width"]
     chunk_vectors = max(1, min(chunk_vectors, CHUNK_NUMBERS // max(width, 1)))
     spread = -(-n_users // spark.sparkContext.defaultParallelism)
-    per_chunk = min(chunk_vectors, max(spread, SMALLEST_CHUNK))
+    per_chunk = min(chunk_vectors, CHUNK_USERS, max(spread, SMALLEST_CHUNK))
     user_chunks, item_chunks = -(-n_users // per_chunk), -(-n_items // chunk_vectors)
     wide = F.col("vec").cast("array<double>").alias("vec")
     users = users.select(F.col("user_id").cast("long").alias("user_id"), wide)

@@ -273,6 +273,34 @@ def test_vector_search_on_vectors_without_any_order(spark):
     assert lists(got) == dense_top(users, items, 95)
 
 
+def test_vector_search_bounds_the_users_of_a_cell(spark, monkeypatch):
+    sizes = spark.sparkContext.accumulator(0)
+    whole = vector_search._cell_search
+
+    def watched(n):
+        run = whole(n)
+
+        def checked(table):
+            sizes.add(int(table["kind"].to_numpy().tolist().count(0) > 60))
+            return run(table)
+
+        return checked
+
+    monkeypatch.setattr(vector_search, "_cell_search", watched)
+    monkeypatch.setattr(vector_search, "CHUNK_USERS", 30, raising=False)
+    monkeypatch.setattr(vector_search, "SMALLEST_CHUNK", 1000)
+    rng = np.random.default_rng(1)
+    users = [(u, rng.normal(size=4).tolist()) for u in range(400)]
+    items = [(1000 + a, rng.normal(size=4).tolist()) for a in range(20)]
+    got = best_by_dot(
+        spark.createDataFrame(users, "user_id long, vec array<double>"),
+        spark.createDataFrame(items, "article_id long, vec array<double>"),
+        3,
+    )
+    assert lists(got) == dense_top(users, items, 3)
+    assert sizes.value == 0
+
+
 def test_vector_search_without_items(spark):
     users = spark.createDataFrame([(1, [1.0])], "user_id long, vec array<double>")
     none = spark.createDataFrame([], "article_id long, vec array<double>")
