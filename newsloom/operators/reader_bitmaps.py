@@ -1,9 +1,10 @@
 """The user-by-article matrix as bit-packed blocks: who read what, one bit a cell.
 
-Users are numbered once. The readers of an article are bitmaps of 32,768 users each, built and combined by
-Spark's bitmap aggregates, partly on the map side. Blocks of several loads are merged by "or", so distinct readers stay
-exact without the log; "and" gives the readers that two articles have in common. Blocks without a
-reader don't exist, and the matrix itself is only unrolled for users that are named.
+Users are numbered once. The readers of an article are words of 64 users each, built and combined by
+Spark's bit aggregates, partly on the map side. A word has at least one reader, so there are never more words than
+pairs, however thinly the readers are spread (Spark's own bitmaps of 4 KB each would be nearly empty then). Blocks of
+several loads are merged by "or", so distinct readers stay exact without the log; "and" gives the readers that two
+articles have in common. Blocks without a reader don't exist, and the matrix itself is only unrolled for users that are named.
 """
 
 from __future__ import annotations
@@ -19,6 +20,14 @@ from newsloom.operators.ranking import global_rank
 from newsloom.session import pin
 
 
+# Users in one block: the bits of a long.
+BLOCK_USERS = 64
+
+# Block of a user's position, and the bit in it.
+BLOCK = f"(position - 1) DIV {BLOCK_USERS} AS block"
+BIT = f"CAST((position - 1) % {BLOCK_USERS} AS INT) AS bit"
+
+
 def number_users(users: DataFrame) -> DataFrame:
     """(user_id, position) of the distinct users, from 1; the same numbers serve all loads."""
     return pin(global_rank(distinct_users(users), [F.col("user_id").asc()]))
@@ -37,8 +46,9 @@ class ReaderBitmaps:
         pairs = clicked_pairs(behaviors).groupBy("user_id", "article_id").agg(F.count("*").alias("rows"))
         blocks = (
             pairs.join(places, "user_id")
-            .groupBy("article_id", F.bitmap_bucket_number("position").alias("block"))
-            .agg(F.bitmap_construct_agg(F.bitmap_bit_position("position")).alias("bits"), F.sum("rows").alias("rows"))
+            .selectExpr("article_id", BLOCK, BIT, "rows")
+            .groupBy("article_id", "block")
+            .agg(F.bit_or(F.expr("shiftleft(1L, bit)")).alias("bits"), F.sum("rows").alias("rows"))
         )
         return cls(places, pin(blocks))
 
@@ -46,13 +56,13 @@ class ReaderBitmaps:
         """Both loads together; a reader of both counts once."""
         both = self.blocks.unionByName(other.blocks).groupBy("article_id", "block")
         return ReaderBitmaps(
-            self.places, pin(both.agg(F.bitmap_or_agg("bits").alias("bits"), F.sum("rows").alias("rows")))
+            self.places, pin(both.agg(F.bit_or("bits").alias("bits"), F.sum("rows").alias("rows")))
         )
 
     def readers(self) -> DataFrame:
         """(article_id, positives, readers): impressions, and different users."""
         return self.blocks.groupBy("article_id").agg(
-            F.sum("rows").alias("positives"), F.sum(F.bitmap_count("bits")).alias("readers")
+            F.sum("rows").alias("positives"), F.sum(F.bit_count("bits")).alias("readers")
         )
 
     def click_counts(self, articles: DataFrame) -> DataFrame:
@@ -67,9 +77,9 @@ class ReaderBitmaps:
 
     def sparsity(self) -> DataFrame:
         """One row (interactions, users, items, sparsity) over the users and articles with a click."""
-        n = self.blocks.agg(F.coalesce(F.sum(F.bitmap_count("bits")), F.lit(0)).alias("n"))
-        any_article = self.blocks.groupBy("block").agg(F.bitmap_or_agg("bits").alias("bits"))
-        users = any_article.agg(F.coalesce(F.sum(F.bitmap_count("bits")), F.lit(0))).scalar()
+        n = self.blocks.agg(F.coalesce(F.sum(F.bit_count("bits")), F.lit(0)).alias("n"))
+        any_article = self.blocks.groupBy("block").agg(F.bit_or("bits").alias("bits"))
+        users = any_article.agg(F.coalesce(F.sum(F.bit_count("bits")), F.lit(0))).scalar()
         items = self.blocks.select("article_id").distinct().agg(F.count("*")).scalar()
         found = n.select(F.col("n").alias("interactions"), users.alias("users"), items.alias("items"))
         cells = F.col("users").cast("double") * F.col("items")
@@ -82,17 +92,14 @@ class ReaderBitmaps:
         met = sides[0].unionByName(sides[1]).distinct().join(self.blocks, "article_id")
         # A block counts if it has both articles, or the one that is paired with itself.
         needed = F.when(F.col("first") == F.col("second"), 1).otherwise(2)
-        both = met.groupBy("first", "second", "block").agg(F.bitmap_and_agg("bits").alias("bits"), F.count("*").alias("n"))
-        counted = both.where(F.col("n") == needed).groupBy("first", "second").agg(F.sum(F.bitmap_count("bits")).alias("readers"))
+        both = met.groupBy("first", "second", "block").agg(F.bit_and("bits").alias("bits"), F.count("*").alias("n"))
+        counted = both.where(F.col("n") == needed).groupBy("first", "second").agg(F.sum(F.bit_count("bits")).alias("readers"))
         return pairs.join(counted, ["first", "second"], "left").na.fill(0, ["readers"])
 
     def rows_of(self, users: DataFrame, articles: DataFrame) -> DataFrame:
         """(user_id, article_id, clicked): the literal cells of the named users, one a pair."""
-        named = self.places.join(distinct_users(users), "user_id", "left_semi").select(
-            "user_id", F.bitmap_bucket_number("position").alias("block"), F.bitmap_bit_position("position").alias("bit")
-        )
-        byte = F.conv(F.hex(F.substr("bits", (F.col("bit") / 8).cast("int") + 1, F.lit(1))), 16, 10).cast("int")
-        is_set = F.expr("shiftright(byte, cast(bit % 8 as int))").bitwiseAND(F.lit(1))
-        clicks = self.blocks.join(named, "block").withColumn("byte", byte).select("user_id", "article_id", is_set.alias("clicked"))
+        named = self.places.join(distinct_users(users), "user_id", "left_semi").selectExpr("user_id", BLOCK, BIT)
+        is_set = F.expr("CAST(shiftright(bits, bit) & 1L AS INT)")
+        clicks = self.blocks.join(named, "block").select("user_id", "article_id", is_set.alias("clicked"))
         pairs = user_article_pairs(named, articles.select("article_id").distinct())
         return pairs.join(clicks.where("clicked = 1"), ["user_id", "article_id"], "left").na.fill(0, ["clicked"])

@@ -193,3 +193,14 @@ def test_reader_bitmaps(spark):
     pairs_read = sum(len(x) for x in read.values())
     n_users = len(set().union(*read.values()))
     assert (found["interactions"], found["users"], found["items"]) == (pairs_read, n_users, 6)
+
+
+def test_thinly_read_articles_have_small_blocks(spark):
+    from newsloom.operators.reader_bitmaps import ReaderBitmaps, number_users
+
+    # Each article has three readers far from each other: what is stored follows the pairs.
+    log = spark.range(300).select((F.col("id") * 331 % 9973).alias("user_id"), (F.col("id") % 100).alias("article_id"))
+    found = ReaderBitmaps.of(log, number_users(spark.range(10_000).select(F.col("id").alias("user_id"))))
+    stored = found.blocks.agg(F.sum(F.length(F.hex("bits")) / 2).alias("bytes")).first()["bytes"]
+    assert stored <= 300 * 8
+    assert found.sparsity().first()["interactions"] == 300
