@@ -5,10 +5,12 @@ topic. A key held by d entities links d * d pairs, so pairs are never rows of a
 
 * copies: entities with the same normalised row are searched once (``collapse``);
 * entities are sorted by their heaviest key and cut into blocks of bounded size, so that like ones
-  are near each other. The holders of a key are packed per block. A cell is a pair of blocks: one task
-  multiplies each pair of its entities once, for both of them, and keeps K rows per entity;
+  are near each other. A block's lists, the holders of each key, are packed into one value. A cell is a pair of
+  blocks: one task multiplies each pair of its entities once, for both of them, and keeps K rows per entity;
 * first each block meets itself, above the diagonal only. That gives every entity a K-th score.
-  Then the pairs of blocks follow, with these scores: from a key's largest weight in the other block and
+  Then the pairs of blocks that share a key follow in rounds, as a Cartesian product of the packed blocks: a task
+  reads its two, and no list is written once more for each block it meets. A round begins
+  with the scores of the one before: from a key's largest weight in the other block and
   from partial norms comes a bound for each entity, and one whose bound is below its K-th score asks for
   nothing there. Only pairs of which one side asks are multiplied, and of these only sums that
   reach one of the two scores are kept; the scores rise as a task goes on;
@@ -30,7 +32,7 @@ from pyspark.sql import functions as F
 
 from newsloom.functions import RANK_DIGITS
 from newsloom.operators.ranking import global_rank, prefix_sums, top_n
-from newsloom.session import pin
+from newsloom.session import pin, store
 
 # Bounds of one block: entities and stored weights. A task reads two blocks.
 CHUNK_ENTITIES = 65_536
@@ -41,8 +43,12 @@ LIST_HOLDERS = 65_536
 HEAVY_KEYS = 1_000_000
 # Below this a block is not split further for the sake of parallel tasks.
 SMALLEST_CHUNK = 64
-# Up to so many blocks a list goes to all of them; beyond, to those that hold its key.
+# Up to so many blocks a list goes to all blocks with one heavy entity; beyond, to those that hold its key.
 FEW_BLOCKS = 4
+# A round meets blocks up to so many times as far away as the round before.
+ROUND_GROWTH = 3
+# Rows of a batch that leave a task.
+UNPACKED_ROWS = 100_000
 
 # Inside a task: products expanded at a time, cells of a result that cost as much as
 # sorting one product, multiply-adds of a dense column that cost as much as one expanded
@@ -331,13 +337,117 @@ def _placed(held: DataFrame, n: int, weights: int, n_blocks: int) -> tuple[DataF
     return reached.select("e", F.least(block, F.lit(n_blocks - 1)).alias("block")), n_blocks
 
 
+def _as_bytes(table: pa.Table) -> bytes:
+    sink = pa.BufferOutputStream()
+    with pa.ipc.new_stream(sink, table.schema, options=pa.ipc.IpcWriteOptions(compression="lz4")) as writer:
+        writer.write_table(table)
+    return sink.getvalue().to_pybytes()
+
+
+def _from_bytes(held: pa.BinaryScalar) -> pa.Table:
+    return pa.ipc.open_stream(held.as_buffer()).read_all()
+
+
+def _best_of(found: pa.Table, k: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(entity, neighbor, sim) of the ``k`` best rows of each entity."""
+    entity, neighbor, sim = (found[c].to_numpy() for c in ("entity", "neighbor", "sim"))
+    order = np.argsort(entity, kind="stable")
+    return _best_entries(entity[order], neighbor[order], sim[order], k)
+
+
+def _with_place(lists: pa.Table, lo: int, hi: int, side: int) -> pa.Table:
+    n = lists.num_rows
+    places = {"lo": np.full(n, lo), "hi": np.full(n, hi), "side": np.full(n, side, np.int32)}
+    return pa.table({**{c: pa.array(v) for c, v in places.items()}, **{c: lists[c] for c in lists.column_names}})
+
+
+def _packed_block(k: int, alone: bool):
+    """The task of one block: its lists as one value, and the neighbours that its entities have among themselves."""
+    run = _cell_neighbours(k)
+
+    def pack(table: pa.Table) -> pa.Table:
+        block = table["block"][0].as_py()
+        table = table.select(["f", "e", "x"]).combine_chunks()
+        codes = table["f"].combine_chunks().dictionary_encode()
+        numbers = codes.indices.to_numpy()
+        order = np.argsort(numbers, kind="stable")
+        ends = np.append(0, np.cumsum(np.bincount(numbers, minlength=len(codes.dictionary)))).astype(np.int32)
+        es, xs = (pa.ListArray.from_arrays(pa.array(ends), pa.array(table[c].to_numpy()[order])) for c in ("e", "x"))
+        lists = pa.table({"f": codes.dictionary, "es": es, "xs": xs})
+        best = _best_of(run(_with_place(lists, block, block, 0)), k)
+        near = pa.table(dict(zip(("entity", "neighbor", "sim"), best)))
+        held = None if alone else _as_bytes(lists)
+        return pa.table({"block": [block], "held": pa.array([held], pa.binary()), "near": pa.array([_as_bytes(near)], pa.binary())})
+
+    return pack
+
+
+def _unpacked(column: str, schema: str, rows):
+    """The rows ``rows(table, block)`` of each value of ``column``, a block's at a time."""
+
+    def unpack(batches):
+        for batch in batches:
+            for at in range(batch.num_rows):
+                yield from rows(_from_bytes(batch.column(column)[at]), batch.column("block")[at].as_py()).to_batches(UNPACKED_ROWS)
+
+    return lambda df: df.select("block", column).mapInArrow(unpack, schema)
+
+
+def _met(blocks: DataFrame, kind: str, n_blocks: int) -> DataFrame:
+    """(block, met): the blocks that share a key with a block, as words of 64 bits."""
+    keys = lambda lists, block: pa.table({"f": lists["f"], "block": pa.array(np.full(lists.num_rows, block))})
+    held = _unpacked("held", f"f {kind}, block long", keys)(blocks)
+    sets = held.groupBy("f").agg(F.collect_list("block").alias("others")).where(F.size("others") > 1)
+    word = lambda w: F.aggregate(
+        F.filter("others", lambda b: F.shiftright(b, 6) == w),
+        F.lit(0).cast("long"),
+        lambda bits, b: bits.bitwiseOR(F.call_function("shiftleft", F.lit(1).cast("long"), (b % 64).cast("int"))),
+    )
+    words = [f"w{w}" for w in range(-(-n_blocks // 64))]
+    one = sets.select("others", *[word(w).alias(name) for w, name in enumerate(words)])
+    met = one.select(F.explode("others").alias("block"), *words).groupBy("block").agg(*[F.bit_or(w).alias(w) for w in words])
+    return pin(met.select("block", F.array(*words).alias("met")))
+
+
+def _cells(k: int):
+    """The tasks of pairs of blocks, each row with the lists and K-th scores of both."""
+    run = _cell_neighbours(k)
+
+    def cells(batches):
+        for batch in batches:
+            for at in range(batch.num_rows):
+                lo, hi = (batch.column(c)[at].as_py() for c in ("lo", "hi"))
+                parts = []
+                for side, which in enumerate(("lo", "hi")):
+                    lists = _from_bytes(batch.column(f"{which}_held")[at])
+                    parts.append(_with_place(lists, lo, hi, side))
+                    e, x = (batch.column(f"{which}_{c}").slice(at, 1) for c in ("es", "xs"))
+                    if e.null_count == 0:
+                        floors = pa.table({"f": pa.nulls(1, lists["f"].type), "es": e.cast(pa.list_(pa.int64())), "xs": x.cast(pa.list_(pa.float64()))})
+                        parts.append(_with_place(floors.cast(lists.schema), lo, hi, side))
+                found = run(pa.concat_tables(parts))
+                del parts
+                best = _best_of(found, k)
+                yield from pa.table(dict(zip(("entity", "neighbor", "sim"), best))).to_batches(UNPACKED_ROWS)
+
+    return cells
+
+
+def _ranked(found: DataFrame, k: int) -> DataFrame:
+    return top_n(found, "entity", "sim", "neighbor", k)
+
+
 def _neighbours(
-    unit: DataFrame, k: int, chunk_entities: int, task_holders: int, list_holders: int, heavy_keys: int
+    unit: DataFrame, held: DataFrame, k: int, chunk_entities: int, task_holders: int, list_holders: int, heavy_keys: int
 ) -> DataFrame:
-    """Ranked neighbours (entity, neighbor, sim, rank) of pinned unit rows."""
+    """Ranked neighbours (entity, neighbor, sim, rank) of those entities of the stored unit rows that ``held`` lists.
+
+    A block's lists are one value. Pairs of blocks are a Cartesian product, whose tasks read the values where
+    they are, so that no copy of a list is ever written. Blocks near each other meet first; from round to
+    round the K-th scores rise, and about as many rows pass them in a round as there are neighbours.
+    """
     spark = unit.sparkSession
-    main = F.max_by("f", F.struct(F.abs("x"), "f"))
-    held = unit.groupBy("e").agg(F.count("*").alias("held"), main.alias("main"))
+    kind = dict(unit.dtypes)["f"]
     is_heavy = F.col("held") > heavy_keys
     size = held.agg(
         F.count_if(~is_heavy).alias("n"),
@@ -361,30 +471,56 @@ def _neighbours(
         placed = pin(placed.unionByName(ranked.select("e", (F.col("place") + n_blocks - 1).alias("block"))))
 
     entries = unit.join(placed, "e")
+    own = entries.where(F.col("block") < n_blocks).select("block", "f", "e", "x")
+    packed = own.repartitionById(n_blocks, F.col("block").cast("int")).groupBy("block")
+    blocks = pin(packed.applyInArrow(_packed_block(k, n_all == 1), "block long, held binary, near binary"))
+    best = _ranked(_unpacked("near", NEIGHBOURS, lambda near, _: near)(blocks), k)
+    if n_all == 1:
+        return best
+
+    def scores(best: DataFrame) -> DataFrame:
+        """(block, es, xs): the K-th scores of a block's entities."""
+        kth = best.where(F.col("rank") == k).join(placed, F.col("entity") == F.col("e"))
+        lists = kth.groupBy("block").agg(F.collect_list(F.struct("e", F.col("sim").alias("x"))).alias("l"))
+        return lists.select("block", F.col("l")["e"].alias("es"), F.col("l")["x"].alias("xs"))
+
+    if n_blocks > 1:
+        met = _met(blocks, kind, n_blocks)
+        near, far = 1, n_blocks // 2
+        while near <= far:
+            known = blocks.select("block", "held").unionByName(scores(best), allowMissingColumns=True)
+            known = known.repartitionById(n_blocks, F.col("block").cast("int")).groupBy("block")
+            known = known.agg(*[F.first(c, ignorenulls=True).alias(c) for c in ("held", "es", "xs")])
+            # A row for each block: bounded by the blocks, not by what they hold.
+            known = known.join(F.broadcast(met), "block")
+            lo, hi = (known.select(*[F.col(c).alias(f"{side}_{c}") for c in known.columns]) for side in ("lo", "hi"))
+            away = F.col("hi_block") - F.col("lo_block")
+            away = F.least(away, n_blocks - away)
+            bits = F.element_at("lo_met", (F.shiftright("hi_block", 6) + 1).cast("int"))
+            share = F.getbit(bits, F.col("hi_block") % 64) == 1
+            pairs = lo.hint("shuffle_replicate_nl").join(
+                hi, (F.col("lo_block") < F.col("hi_block")) & away.between(near, near * ROUND_GROWTH - 1) & share
+            )
+            named = [F.col("lo_block").alias("lo"), F.col("hi_block").alias("hi")]
+            pairs = pairs.select(*named, *[f"{side}_{c}" for side in ("lo", "hi") for c in ("held", "es", "xs")])
+            found = pairs.mapInArrow(_cells(k), NEIGHBOURS)
+            best = store(_ranked(found.unionByName(best.drop("rank")), k))
+            near *= ROUND_GROWTH
+    if not size["heavy"]:
+        return best
+
     # Two lists of numbers take half the bytes of a list of pairs.
     two_lists = [F.col("l")["e"].alias("es"), F.col("l")["x"].alias("xs")]
     lists = entries.groupBy("f", "block").agg(F.collect_list(F.struct("e", "x")).alias("l")).select("f", "block", *two_lists)
-    lists = lists if n_all == 1 else pin(lists)
-    own = lists.where(F.col("block") < n_blocks)
-    own = own.select(F.col("block").alias("lo"), F.col("block").alias("hi"), F.lit(0).alias("side"), "f", "es", "xs")
-    first = top_n(own.groupBy("lo", "hi").applyInArrow(_cell_neighbours(k), NEIGHBOURS), "entity", "sim", "neighbor", k)
-    if n_all == 1:
-        return first
-
-    first = pin(first)
-    scores = first.where(F.col("rank") == k).join(placed, F.col("entity") == F.col("e"))
-    scores = scores.groupBy("block").agg(F.collect_list(F.struct("e", F.col("sim").alias("x"))).alias("l"))
-    scores = scores.select(F.lit(None).cast(dict(unit.dtypes)["f"]).alias("f"), "block", *two_lists)
+    floors = scores(best).select(F.lit(None).cast(kind).alias("f"), "block", "es", "xs")
     every = F.sequence(F.lit(0).cast("long"), F.lit(n_all - 1).cast("long"))
     if n_all <= FEW_BLOCKS:
-        sent = lists.unionByName(scores).withColumn("others", every)
+        sent = lists.unionByName(floors).withColumn("others", every)
     else:
-        # Only blocks with a key in common meet: lists go to the blocks that hold their key, scores to the blocks met.
-        holders = pin(lists.groupBy("f").agg(F.collect_set("block").alias("others")).where(F.size("others") > 1))
-        met = holders.select(F.explode("others").alias("block"), "others")
-        met = met.select("block", F.explode("others").alias("other")).distinct()
-        met = met.groupBy("block").agg(F.collect_list("other").alias("others"))
-        sent = lists.join(holders, "f").unionByName(scores.join(met, "block"))
+        # Only blocks with a key in common meet: lists go to the blocks that hold their key, scores to the heavy ones.
+        lists = pin(lists)
+        holders = lists.groupBy("f").agg(F.collect_set("block").alias("others")).where(F.size("others") > 1)
+        sent = lists.join(holders, "f").unionByName(floors.withColumn("others", every))
     sent = sent.select("f", "block", "es", "xs", F.explode("others").alias("other")).where(F.col("block") != F.col("other"))
     sent = sent.select(
         F.least("block", "other").alias("lo"),
@@ -393,15 +529,21 @@ def _neighbours(
         "f",
         "es",
         "xs",
-    ).where(F.col("lo") < n_blocks)
-    found = sent.groupBy("lo", "hi").applyInArrow(_cell_neighbours(k), NEIGHBOURS).unionByName(first.drop("rank"))
+    ).where((F.col("lo") < n_blocks) & (F.col("hi") >= n_blocks))
+    found = sent.groupBy("lo", "hi").applyInArrow(_cell_neighbours(k), NEIGHBOURS).unionByName(best.drop("rank"))
     if size["heavy"] > 1:
         # Two heavy rows may share more keys than fit a task: few pairs, summed on the map side first.
         heavy = entries.where(F.col("block") >= n_blocks)
         one = heavy.select("f", F.col("e").alias("entity"), F.col("x").alias("own"))
         both = one.join(heavy, "f").where(F.col("entity") != F.col("e")).groupBy("entity", F.col("e").alias("neighbor"))
         found = found.unionByName(both.agg(F.sum(F.col("own") * F.col("x")).alias("sim")).where("sim > 0"))
-    return top_n(found, "entity", "sim", "neighbor", k)
+    return _ranked(found, k)
+
+
+def _entities(unit: DataFrame) -> DataFrame:
+    """(e, held, main): the number of keys and the heaviest one."""
+    main = F.max_by("f", F.struct(F.abs("x"), "f"))
+    return unit.groupBy("e").agg(F.count("*").alias("held"), main.alias("main"))
 
 
 def _collapsed(unit: DataFrame, k: int) -> tuple[DataFrame, DataFrame] | None:
@@ -468,11 +610,12 @@ def top_k_cosine(
 
     Exact, ties by the smaller id. Pairs of ``rows`` must be unique.
     """
-    unit = pin(unit_rows(rows, entity, key, weight))
+    unit = store(unit_rows(rows, entity, key, weight))
     limits = (chunk_entities, task_holders, list_holders, heavy_keys)
+    held = pin(_entities(unit))
     copies = _collapsed(unit, k) if collapse else None
     if copies is None:
-        return _neighbours(unit, k, *limits)
+        return _neighbours(unit, held, k, *limits)
     members, groups = copies
-    distinct = pin(unit.join(groups, F.col("e") == F.col("rep"), "left_semi"))
-    return _expand(members, groups, _neighbours(distinct, k, *limits), k)
+    distinct = held.join(groups, F.col("e") == F.col("rep"), "left_semi")
+    return _expand(members, groups, _neighbours(unit, pin(distinct), k, *limits), k)

@@ -236,3 +236,20 @@ def test_unique_pairs_are_checked(spark):
     with pytest.raises(ValueError):
         require_unique_pairs(frame(spark, [(1, 1, 1.0), (1, 1, 2.0)]), "entity", "key")
     require_unique_pairs(frame(spark, [(1, 1, 1.0), (1, 2, 2.0)]), "entity", "key")
+
+
+def test_pairs_of_blocks_are_read_and_not_shuffled(spark, monkeypatch):
+    """Twelve blocks that all share keys: cells come from a Cartesian product in rounds, whose scores rise."""
+    plans, stored = [], similarity.store
+
+    def watched(df):
+        plans.append(df._jdf.queryExecution().toString())
+        return stored(df)
+
+    monkeypatch.setattr(similarity, "store", watched)
+    rng = np.random.default_rng(8)
+    rows = [(e, int(f), float(rng.integers(1, 9))) for e in range(120) for f in rng.choice(30, 5, replace=False)]
+    got = found(top_k_cosine(frame(spark, rows), "entity", "key", "weight", 4, collapse=False, chunk_entities=20))
+    assert got == brute_force(rows, 4)
+    rounds = [p for p in plans if "CartesianProduct" in p]
+    assert len(rounds) == 2 and not any("FlatMapGroupsInArrow" in p for p in rounds)
