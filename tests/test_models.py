@@ -411,3 +411,18 @@ def ranks_of(found):
     for r in found.collect():
         out.setdefault(r["user_id"], []).append(r["rank"])
     return {user: sorted(ranks) for user, ranks in out.items()}
+
+
+@pytest.mark.parametrize("model", [UserCF, ItemCF])
+def test_offers_are_worked_off_in_passes(spark, model, monkeypatch):
+    from newsloom.operators import ranking
+
+    rows = [(u, a, float(1 + (u * 7 + a * 3) % 5)) for u in range(30) for a in range(25) if (u * 5 + a * 11) % 4]
+    fitted = model(spark.createDataFrame(rows, "user_id long, article_id long, interaction_score double")).fit()
+    whole = fitted.recommend(n=3).collect()
+    passes, stored = [], ranking.store
+    monkeypatch.setattr(ranking, "PASS_OFFERS", 10)
+    monkeypatch.setattr(ranking, "store", lambda df: passes.append(1) or stored(df))
+    key = lambda r: (r["user_id"], r["rank"])
+    assert sorted(fitted.recommend(n=3).collect(), key=key) == sorted(whole, key=key)
+    assert len(passes) > 1
