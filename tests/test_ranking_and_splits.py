@@ -1,6 +1,7 @@
 import random
 from datetime import datetime
 
+import numpy as np
 import pytest
 from conftest import at
 from pyspark.sql import functions as F
@@ -234,3 +235,37 @@ def test_user_time_split_is_complete(gaps, hot_rows):
     assert sorted(rows_of(train) + rows_of(test)) == list(range(50))
     nobody = rows_of(gaps.where("user_id IS NULL"))
     assert len(set(nobody) & set(rows_of(train))) == len(nobody) // 2
+
+
+@pytest.mark.parametrize("waiting", [4_000_000, 50])
+@pytest.mark.parametrize("pass_offers", [20_000_000, 300])
+@pytest.mark.parametrize("wide", [1, 2**40])
+def test_offers_travel_as_packed_lists(spark, monkeypatch, waiting, pass_offers, wide):
+    """Sums of offers by user, without read pairs; users may be null, ids far apart, and no offer is a row of its own."""
+    monkeypatch.setattr(ranking, "WAITING_OFFERS", waiting, raising=False)
+    monkeypatch.setattr(ranking, "PASS_OFFERS", pass_offers)
+    rng = np.random.default_rng(3)
+    reads = [(u if u else None, int(a) * wide) for u in range(20) for a in rng.choice(30, 6, replace=False)]
+    near = [(a * wide, int(b) * wide, float(rng.integers(1, 5)) / 4) for a in range(25) for b in rng.choice(30, 5, replace=False)]
+    mine = spark.createDataFrame(reads, "user_id long, article_id long")
+    lists = ranking.lists_of(spark.createDataFrame(near, "article_id long, item long, sim double"), "article_id", "item", "sim")
+    shown = []
+
+    def offers_of(some):
+        rows = some.join(lists, "article_id", "left").selectExpr("user_id", "article_id AS read", "held")
+        shown.append(rows.count())
+        return rows
+
+    got = ranking.best_unread(mine, offers_of, None, 3, len(reads) * 5, 30)
+    sums = {}
+    for u, a in reads:
+        for x, b, s in near:
+            if x == a and (u, b) not in reads:
+                sums.setdefault(u, {}).setdefault(b, []).append(s)
+    want = {u: [b for _, b in sorted((-sum(s), b) for b, s in x.items())[:3]] for u, x in sums.items()}
+    found = {}
+    for r in sorted(got.collect(), key=lambda r: r["rank"]):
+        found.setdefault(r["user_id"], []).append(r["article_id"])
+        assert r["score"] == sum(sums[r["user_id"]][r["article_id"]])
+    assert found == want
+    assert sum(shown) <= len(reads) * 2 and len(shown) == (1 if pass_offers > 1000 else 2)
