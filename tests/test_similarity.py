@@ -253,3 +253,66 @@ def test_pairs_of_blocks_are_read_and_not_shuffled(spark, monkeypatch):
     assert got == brute_force(rows, 4)
     rounds = [p for p in plans if "CartesianProduct" in p]
     assert len(rounds) == 2 and not any("FlatMapGroupsInArrow" in p for p in rounds)
+
+
+def test_a_task_meets_several_blocks(spark, monkeypatch):
+    """Twelve blocks in three partitions: a round has nine tasks, not one for each of 144 pairs of blocks."""
+    monkeypatch.setattr(similarity, "LEAST_PARTS", 2, raising=False)
+    tasks, whole = spark.sparkContext.accumulator(0), similarity._cells
+
+    def watched(k):
+        run = whole(k)
+
+        def cells(batches):
+            tasks.add(1)
+            yield from run(batches)
+
+        return cells
+
+    monkeypatch.setattr(similarity, "_cells", watched)
+    rng = np.random.default_rng(8)
+    rows = [(e, int(f), float(rng.integers(1, 9))) for e in range(120) for f in rng.choice(30, 5, replace=False)]
+    got = found(top_k_cosine(frame(spark, rows), "entity", "key", "weight", 4, collapse=False, chunk_entities=20))
+    assert got == brute_force(rows, 4)
+    assert 0 < tasks.value <= 2 * 9
+
+
+@pytest.mark.parametrize("first", [0, -(2**62), 2**62])
+def test_packed_blocks_meet_like_a_dense_product(first, monkeypatch):
+    monkeypatch.setattr(similarity, "DENSE_GAIN", 0)
+    monkeypatch.setattr(similarity, "SPARSE_GAIN", 0)
+    monkeypatch.setattr(similarity, "PRODUCT_BATCH", 40)
+    rng = np.random.default_rng(5)
+    m = np.where(rng.random((40, 25)) < 0.2, rng.integers(1, 9, (40, 25)), 0) + np.eye(40, 25)
+    m /= np.linalg.norm(m, axis=1, keepdims=True)
+    ids, keys, k = np.arange(40) * 7 + 3, first + np.arange(25) * 3, 3
+    packed, sims = [], m @ m.T
+    for part in (range(18), range(18, 40)):
+        at, f = np.nonzero(m[list(part)])
+        rows = pa.table({"block": np.zeros(len(at), np.int64), "f": keys[f], "e": ids[list(part)][at], "x": m[list(part)][at, f]})
+        packed.append(similarity._packed_block(k, False, int(keys[0]), int(keys[-1]))(rows)["held"][0].as_py())
+    for floors in ((np.zeros(0, np.int64), np.zeros(0)), (ids, np.full(40, 0.3))):
+        got = {}
+        for e, o, s in zip(*similarity._cell_of(similarity._cell_best(k), *packed, [floors] * 2)):
+            got.setdefault(e, {})[o] = s
+        for i, e in enumerate(ids):
+            others = range(18, 40) if i < 18 else range(18)
+            best = sorted(((-round(sims[i, j], 9), ids[j]) for j in others if sims[i, j] > max(1e-12, floors[1].max(initial=0))))[:k]
+            assert {o: -s for s, o in best}.items() <= {o: round(s, 9) for o, s in got.get(e, {}).items()}.items()
+
+
+def test_blocks_that_share_a_key_share_a_range():
+    rng = np.random.default_rng(2)
+    low, high = -(2**63), 2**63 - 1
+    keys = np.append(rng.integers(low, high, 300), [low, high])
+    for key in keys:
+        one = similarity._key_ranges(np.array([key]), low, high)
+        assert any(a & b for a, b in zip(one, similarity._key_ranges(np.sort(keys), low, high)))
+    assert similarity._key_ranges(np.array([5]), 5, 5)[0] == 1
+
+
+def test_keys_of_any_kind(spark):
+    rng = np.random.default_rng(1)
+    rows = [(e, int(f), float(rng.integers(1, 9))) for e in range(30) for f in rng.choice(20, 4, replace=False)]
+    named = spark.createDataFrame([(e, f"key {f:02d}", w) for e, f, w in rows], "entity long, key string, weight double")
+    assert found(top_k_cosine(named, "entity", "key", "weight", 3)) == brute_force(rows, 3)
